@@ -106,11 +106,14 @@ def apply_overlap(chunks: Column, overlap) -> Column:
     """Chunk i >= 1 gets the last ``overlap`` characters of the original chunk i-1 in front."""
     overlap = _c(overlap)
 
-    def one(c, i):
-        prev = F.element_at(chunks, i)  # 1-based: element i is chunk i-1
-        return F.when((i == 0) | (overlap <= 0), c).otherwise(F.concat(F.right(prev, overlap), c))
+    def body(cs):
+        def one(c, i):
+            prev = F.element_at(cs, i)  # 1-based: element i is chunk i-1
+            return F.when((i == 0) | (overlap <= 0), c).otherwise(F.concat(F.right(prev, overlap), c))
 
-    return F.transform(chunks, one)
+        return F.transform(cs, one)
+
+    return let(chunks, body)
 
 
 def _level(sep: str, size: Column):
@@ -171,11 +174,15 @@ def semantic_stages(size, overlap, threshold, embed: Callable[[Column], Column])
         return F.transform(sents, lambda x: F.struct(x.alias("s"), embed(x).alias("v")))
 
     def with_sims(items: Column) -> Column:
-        return F.transform(
+        # bound once: element_at on an unbound expression would re-embed every sentence per element
+        return let(
             items,
-            lambda it, i: F.struct(
-                it["s"].alias("s"),
-                F.when(i == 0, F.lit(0.0)).otherwise(cosine(F.element_at(items, i)["v"], it["v"])).alias("sim"),
+            lambda its: F.transform(
+                its,
+                lambda it, i: F.struct(
+                    it["s"].alias("s"),
+                    F.when(i == 0, F.lit(0.0)).otherwise(cosine(F.element_at(its, i)["v"], it["v"])).alias("sim"),
+                ),
             ),
         )
 

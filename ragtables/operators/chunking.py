@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunkers import add_chunks
 from ..functions.text import clean_text, nullif_blank
+from ..plans.partitioning import spread
 from ..schemas import CHUNK_COLUMNS, FILE_METADATA_COLUMNS
 from .profiles import ChunkConfig, Profile
 
@@ -32,7 +33,7 @@ def chunk_documents(
     """
     config.validate()
     keep = [c for c in docs.columns if c != text_col]
-    staged = docs.withColumn("_text", clean_text(F.col(text_col)))
+    staged = spread(docs).withColumn("_text", clean_text(F.col(text_col)))
     staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, embed)
     return staged.select(*keep, F.posexplode("_chunks").alias("chunk_index", "content")).withColumn(
         "chunk_index", F.col("chunk_index").cast("int")

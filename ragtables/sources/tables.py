@@ -20,3 +20,41 @@ def documents_from_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.concat(F.lit("table/"), F.col(id_col).cast("string")).alias("path"),
     ).filter(F.length("content") > 0)
+
+
+def render_value(c) -> "F.Column":
+    """A cell as text: null -> '' (numbers as Spark prints them)."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def rows_to_text(
+    df: DataFrame,
+    *,
+    columns: list[str] | None = None,
+    title: str | None = None,
+    order_by: list[str],
+    group_by: list[str] | None = None,
+    rows_per_doc: int | None = None,
+) -> DataFrame:
+    """``记录 i`` then ``col: value`` lines per row, records stripped and joined by a blank line,
+    title first. One document per group (and per ``rows_per_doc`` records, which bounds the text).
+
+    Output: group columns, ``part`` (0-based), ``content``.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.text import strip
+
+    columns = columns or [c for c in df.columns]
+    group_by = group_by or []
+    w = Window.partitionBy(*group_by).orderBy(*order_by)
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), render_value(F.col(c))) for c in columns])
+    rec = df.withColumn("_i", F.row_number().over(w)).select(
+        *group_by, "_i", strip(F.concat(F.lit("记录 "), F.col("_i").cast("string"), F.lit("\n"), lines)).alias("_sec")
+    )
+    part = F.floor((F.col("_i") - 1) / rows_per_doc).cast("int") if rows_per_doc else F.lit(0)
+    rec = rec.withColumn("part", part)
+    grouped = rec.groupBy(*group_by, "part").agg(F.array_sort(F.collect_list(F.struct("_i", "_sec"))).alias("_r"))
+    body = F.array_join(F.transform(F.filter("_r", lambda r: F.length(r["_sec"]) > 0), lambda r: r["_sec"]), "\n\n")
+    content = strip(F.concat(F.lit(f"{title}\n\n"), body)) if title else body
+    return grouped.select(*group_by, "part", content.alias("content"))
