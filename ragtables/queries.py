@@ -14,8 +14,19 @@ from .functions.tokens import tokenize
 from .functions.vectors import cosine, hash_embed, l2_normalize
 from .operators.chunking import chunk_documents, with_chunk_keys
 from .operators.profiles import ChunkConfig
-from .operators.retrieval import keyword_topk, vector_topk
-from .sources.tables import documents_from_table, rows_to_text
+from .functions.chunkers import sections
+from .operators.chunking import chunk_profiles
+from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
+from .operators.profiles import Profile, RetrievalConfig
+from .operators.prompts import answer, build_prompts, format_context
+from .operators.retrieval import keyword_topk, merge_hits, retrieve, retrieve_multi, vector_topk
+from .operators.timing import pair_stages, timing_summary
+from .sources.files import with_path_metadata
+from .sources.index import upsert
+from .sources.logs import parse_stage_log
+from .sources.markup import html_to_text, json_to_text
+from .sources.tables import (assemble_parts, documents_from_table, load_table_documents, preview_table, rows_to_text,
+                             table_to_text)
 
 DEFAULT = ChunkConfig("fixed", 800, 120)
 
@@ -151,6 +162,248 @@ def e4_l2_normalize(spark, d):
     )
 
 
+
+
+# ---- retrieval with hash embeddings (E2) over the default collection ----------------------------
+
+
+def embedded_index(spark, d) -> DataFrame:
+    return default_index(spark, d).withColumn("embedding", hash_embed("content"))
+
+
+def embedded_questions(spark, d) -> DataFrame:
+    return questions(spark, d).withColumn("embedding", hash_embed("question"))
+
+
+def _hits_out(h: DataFrame) -> DataFrame:
+    return h.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("doc_ord").alias("doc_id"), "chunk_index", "distance")
+
+
+def r9_retrieve_vector(spark, d):
+    return _hits_out(retrieve(embedded_questions(spark, d), embedded_index(spark, d), RetrievalConfig("vector", 4)))
+
+
+def r6_rerank(spark, d):
+    return _hits_out(retrieve(embedded_questions(spark, d), embedded_index(spark, d), RetrievalConfig("rerank", 4, 12)))
+
+
+def r7_rrf(spark, d):
+    return _hits_out(retrieve(embedded_questions(spark, d), embedded_index(spark, d), RetrievalConfig("rrf", 4, 12, 60)))
+
+
+def r8_merge_hits(spark, d):
+    qs, idx = embedded_questions(spark, d), embedded_index(spark, d)
+    kw = retrieve(qs, idx, RetrievalConfig("keyword", 4)).withColumn("group_ord", F.lit(0))
+    vc = retrieve(qs, idx, RetrievalConfig("vector", 4)).withColumn("group_ord", F.lit(1))
+    return _hits_out(merge_hits(kw.unionByName(vc, allowMissingColumns=True), 4))
+
+
+TWO_PROFILES = [
+    Profile("kb-fixed", "fixed 切分库", "easy-rag-fixed", ChunkConfig("fixed", 800, 120)),
+    Profile("kb-recursive", "recursive 切分库", "easy-rag-recursive", ChunkConfig("recursive", 300, 40)),
+]
+
+
+def c9_chunk_profiles(spark, d):
+    idx = chunk_profiles(documents(spark, d), TWO_PROFILES)
+    return idx.select("id", "kb_id", "collection_name", F.col("doc_ord").alias("doc_id"), "chunk_index", "content")
+
+
+def r10_retrieve_multi(spark, d):
+    idx = chunk_profiles(documents(spark, d), TWO_PROFILES)
+    h = retrieve_multi(questions(spark, d), idx, TWO_PROFILES, RetrievalConfig("keyword", 4, 12))
+    return h.select("question_id", F.col("rank").cast("int").alias("rank"), "kb_id", F.col("doc_ord").alias("doc_id"),
+                    "chunk_index", "distance")
+
+
+# ---- prompts and answers ----------------------------------------------------------------------
+
+
+def keyword_hits_default(spark, d) -> DataFrame:
+    return keyword_topk(questions(spark, d), default_index(spark, d), 4)
+
+
+def p1_format_context(spark, d):
+    return format_context(keyword_hits_default(spark, d)).select("question_id", F.col("rank").cast("int").alias("rank"), "block")
+
+
+def p2_build_prompts(spark, d):
+    return build_prompts(questions(spark, d), keyword_hits_default(spark, d)).select("question_id", "system", "user")
+
+
+def p3_references(spark, d):
+    p = build_prompts(questions(spark, d), keyword_hits_default(spark, d))
+    return p.select("question_id", F.array_join("references", "\n").alias("references_text"), "context_count")
+
+
+def p5_answer(spark, d):
+    a = answer(questions(spark, d), keyword_hits_default(spark, d))
+    return a.select("question_id", "answer", F.array_join("references", "\n").alias("references_text"), "context_count", "error")
+
+
+# ---- evaluation ---------------------------------------------------------------------------------
+
+
+def eval_cases(spark, d) -> DataFrame:
+    """V8: benchmark passages as cases: ids by item order, a length category, the first three word tokens."""
+    b = table(spark, d, "benchmark")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-Z0-9_]+"), 0)
+    t = b.select(
+        "item_id",
+        F.when(F.length("text") < 200, "short").when(F.length("text") < 400, "medium").otherwise("long").alias("category"),
+        F.col("text").alias("question"), F.slice(words, 1, 3).alias("expected_keywords"),
+    )
+    n = b.count()
+    return build_eval_cases(t, n, ["item_id"]).withColumn("question_id", F.col("item_id"))
+
+
+def eval_results(spark, d) -> DataFrame:
+    cases = eval_cases(spark, d)
+    qs = cases.select("question_id", "question")
+    hits = keyword_topk(qs, default_index(spark, d), 4)
+    ans = answer(qs, hits)
+    return evaluate_cases(cases, ans, hits, 0.5)
+
+
+def v8_build_eval_cases(spark, d):
+    c = eval_cases(spark, d)
+    return c.select(F.col("ord").cast("int").alias("ord"), "id", "category", F.array_join("expected_keywords", "|").alias("keywords"))
+
+
+def v4_evaluate_cases(spark, d):
+    r = eval_results(spark, d)
+    return r.select(
+        "id", "category", "retrieval_hit", F.round("retrieval_keyword_recall", 6).alias("retrieval_keyword_recall"),
+        "answer_hit", F.round("answer_keyword_accuracy", 6).alias("answer_keyword_accuracy"),
+        F.array_join("retrieval_matched_keywords", "|").alias("retrieval_matched"),
+        F.array_join("answer_matched_keywords", "|").alias("answer_matched"),
+        F.col("context_count").cast("int").alias("context_count"), "error",
+    )
+
+
+def v5_eval_summary(spark, d):
+    s = eval_summary(eval_results(spark, d))
+    return s.select(
+        "total_cases", "successful_cases", "failed_cases",
+        *[F.round(c, 6).alias(c) for c in ["retrieval_recall", "answer_accuracy", "avg_retrieval_keyword_recall",
+                                           "avg_answer_keyword_accuracy", "avg_latency_ms"]],
+    )
+
+
+def v6_eval_by_category(spark, d):
+    s = eval_by_category(eval_results(spark, d))
+    return s.select("category", "total", "retrieval_hit", "answer_hit",
+                    F.round("retrieval_recall", 6).alias("retrieval_recall"), F.round("answer_accuracy", 6).alias("answer_accuracy"))
+
+
+def v7_eval_misses(spark, d):
+    return eval_misses(eval_results(spark, d), 10).select(F.col("ord").cast("int").alias("ord"), "id", "retrieval_hit", "answer_hit", "error")
+
+
+# ---- sources ------------------------------------------------------------------------------------
+
+
+def s2_path_metadata(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("/web/"), F.regexp_replace("url", "^[a-zA-Z]+://", "")).alias("path"))
+    m = with_path_metadata(pages, "/web")
+    return m.select("page_id", "path", "file_name", "file_stem", "file_suffix", "relative_path", "parent_dir", "document_type")
+
+
+def s4_html_to_text(spark, d):
+    from .plans.partitioning import spread
+
+    return spread(table(spark, d, "pages")).select("page_id", html_to_text("html").alias("text"))
+
+
+def s5_json_to_text(spark, d):
+    return table(spark, d, "events").select("event_id", json_to_text("props").alias("text"))
+
+
+def s7_table_to_text(spark, d):
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table_to_text(n, columns=["n_nationkey", "n_name", "n_regionkey"], order_by=["n_nationkey"],
+                         group_by=["r_regionkey"], title_col="r_name").select("r_regionkey", "content")
+
+
+def s9_assemble_parts(spark, d):
+    c = table(spark, d, "conversations")
+    return assemble_parts(c, doc_key=["conv_id"], part_key="turn", text="text", kind="paragraphs")
+
+
+def s10_table_documents(spark, d):
+    table(spark, d, "region").createOrReplaceTempView("region")
+    table(spark, d, "nation").createOrReplaceTempView("nation")
+    docs = load_table_documents(spark, ["region", "nation"], order_by={"region": ["r_regionkey"], "nation": ["n_nationkey"]})
+    return docs.select("doc_ord", "source", "path", "document_type", "content")
+
+
+def s11_preview_table(spark, d):
+    table(spark, d, "supplier").createOrReplaceTempView("supplier")
+    return preview_table(spark, "supplier", 10, ["s_suppkey"]).withColumn("row_count", F.col("row_count").cast("long"))
+
+
+def s12_source_counts(spark, d):
+    docs = documents(spark, d).withColumn("document_type", F.lit("table_text"))
+    pages = table(spark, d, "pages").select(
+        F.col("page_id").alias("doc_id"), clean_text(html_to_text("html")).alias("content"), F.lit("html").alias("document_type")
+    ).filter(F.length("content") > 0)
+    u = docs.select("doc_id", "content", "document_type").unionByName(pages)
+    per = u.groupBy("document_type").agg(F.count("*").alias("documents"))
+    total = u.agg(F.lit("total").alias("document_type"), F.count("*").alias("documents"))
+    return per.unionByName(total)
+
+
+def s13_upsert(spark, d):
+    docs = documents_from_table(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    langs = table(spark, d, "documents").select("doc_id", "lang")
+    docs = docs.join(langs, "doc_id")
+    old = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("en", "fr")).drop("lang"), DEFAULT), None, "easy-rag")
+    new = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("fr", "de", "es")).drop("lang"),
+                                          ChunkConfig("recursive", 300, 40)), None, "easy-rag")
+    return upsert(old, new).select(F.col("doc_ord").alias("doc_id"), "chunk_index", "content")
+
+
+def stage_log_lines(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    t = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    line = F.concat_ws(
+        " | ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO"), F.lit("ragtables"),
+        F.when(F.col("event_type") == "error", "API_STAGE_END").otherwise("STAGE_END"), F.col("event_type"),
+        F.concat(F.lit("started_at="), t), F.concat(F.lit("ended_at="), t),
+        F.concat(F.lit("duration_ms="), F.format_string("%.2f", F.col("value") * 1000)),
+    )
+    return e.select(line.alias("value"))
+
+
+def s17_parse_stage_log(spark, d):
+    return parse_stage_log(stage_log_lines(spark, d)).select("marker", "name", "started_at", "ended_at", "duration_ms")
+
+
+def c7_split_sections(spark, d):
+    recs = customer_records(spark, d)
+    docs = recs.select((F.col("c_nationkey") * 1000 + F.col("part")).cast("long").alias("doc_id"), clean_text("content").alias("t"))
+    return docs.select("doc_id", F.posexplode(sections("t")).alias("section_index", "section")).withColumn(
+        "section_index", F.col("section_index").cast("int"))
+
+
+# ---- timing ---------------------------------------------------------------------------------------
+
+
+def session_stages(spark, d) -> DataFrame:
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click"))
+    e = e.select("user_id", F.lit("session").alias("stage"), F.when(F.col("event_type") == "view", "start").otherwise("end").alias("kind"),
+                 "ts", "event_id")
+    return pair_stages(e, request="user_id", stage="stage", kind="kind", ts="ts", order="event_id")
+
+
+def t1_pair_stages(spark, d):
+    return session_stages(spark, d).select("user_id", "event_id", "started_at", "ended_at", "duration_ms")
+
+
+def t2_timing_summary(spark, d):
+    return timing_summary(session_stages(spark, d), request="user_id", end_order=["ended_at", "event_id"])
+
+
 QUERIES = {
     "c2_split_fixed": c2_split_fixed,
     "c4_split_recursive": c4_split_recursive,
@@ -165,4 +418,32 @@ QUERIES = {
     "e2_hash_embed": e2_hash_embed,
     "e3_cosine": e3_cosine,
     "e4_l2_normalize": e4_l2_normalize,
+    "r9_retrieve_vector": r9_retrieve_vector,
+    "r6_rerank": r6_rerank,
+    "r7_rrf": r7_rrf,
+    "r8_merge_hits": r8_merge_hits,
+    "c9_chunk_profiles": c9_chunk_profiles,
+    "r10_retrieve_multi": r10_retrieve_multi,
+    "p1_format_context": p1_format_context,
+    "p2_build_prompts": p2_build_prompts,
+    "p3_references": p3_references,
+    "p5_answer": p5_answer,
+    "v8_build_eval_cases": v8_build_eval_cases,
+    "v4_evaluate_cases": v4_evaluate_cases,
+    "v5_eval_summary": v5_eval_summary,
+    "v6_eval_by_category": v6_eval_by_category,
+    "v7_eval_misses": v7_eval_misses,
+    "s2_path_metadata": s2_path_metadata,
+    "s4_html_to_text": s4_html_to_text,
+    "s5_json_to_text": s5_json_to_text,
+    "s7_table_to_text": s7_table_to_text,
+    "s9_assemble_parts": s9_assemble_parts,
+    "s10_table_documents": s10_table_documents,
+    "s11_preview_table": s11_preview_table,
+    "s12_source_counts": s12_source_counts,
+    "s13_upsert": s13_upsert,
+    "s17_parse_stage_log": s17_parse_stage_log,
+    "c7_split_sections": c7_split_sections,
+    "t1_pair_stages": t1_pair_stages,
+    "t2_timing_summary": t2_timing_summary,
 }

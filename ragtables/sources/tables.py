@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -58,3 +58,139 @@ def rows_to_text(
     body = F.array_join(F.transform(F.filter("_r", lambda r: F.length(r["_sec"]) > 0), lambda r: r["_sec"]), "\n\n")
     content = strip(F.concat(F.lit(f"{title}\n\n"), body)) if title else body
     return grouped.select(*group_by, "part", content.alias("content"))
+
+
+def csv_cell(c) -> "F.Column":
+    """A cell for CSV text: null -> '', quoted (quotes doubled) when it holds a comma, quote or line break."""
+    v = render_value(c)
+    return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+
+def table_to_text(
+    df: DataFrame,
+    *,
+    columns: list[str] | None = None,
+    order_by: list[str],
+    group_by: list[str] | None = None,
+    title_col: str | None = None,
+    title_prefix: str = "工作表: ",
+) -> DataFrame:
+    """CSV text (header, all cells as strings, minimal quoting) per group, optionally titled
+    ``工作表: <title>``; a table without rows is ``(空表)``. Output: group columns, ``content``."""
+    from pyspark.sql import Window
+
+    columns = columns or [c for c in df.columns if c not in (group_by or [])]
+    group_by = group_by or []
+    header = ",".join(('"' + c.replace('"', '""') + '"') if any(ch in c for ch in '",\r\n') else c for c in columns)
+    line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+    w = Window.partitionBy(*group_by).orderBy(*order_by)
+    rows = df.select(*group_by, *([title_col] if title_col and title_col not in group_by else []),
+                     F.row_number().over(w).alias("_i"), line.alias("_line"))
+    keys = group_by + ([title_col] if title_col and title_col not in group_by else [])
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_line"))).alias("_r"))
+    body = F.concat(F.lit(header + "\n"), F.array_join(F.transform("_r", lambda r: r["_line"]), "\n"))
+    from ..functions.text import strip
+
+    text = strip(body)
+    text = F.when(F.length(text) > 0, text).otherwise(F.lit("(空表)"))
+    if title_col:
+        text = F.concat(F.lit(title_prefix), F.col(title_col).cast("string"), F.lit("\n"), text)
+    return g.select(*keys, text.alias("content"))
+
+
+def assemble_parts(df: DataFrame, *, doc_key: list[str], part_key: str, text: str, kind: str = "paragraphs",
+                   sub_key: str | None = None) -> DataFrame:
+    """Parts (pages, paragraphs, slides' shapes) -> one document per ``doc_key``.
+
+    ``pages``: stripped non-blank parts joined by a line break; ``paragraphs``: by a blank line;
+    ``slides``: per slide (``part_key`` = slide number) ``幻灯片 n`` then its shape texts (ordered by
+    ``sub_key``) one per line, slides without text dropped, slides joined by a blank line.
+    """
+    from ..functions.text import strip
+
+    t = strip(F.col(text))
+    if kind in ("pages", "paragraphs"):
+        sep = "\n" if kind == "pages" else "\n\n"
+        g = df.filter(F.length(t) > 0).groupBy(*doc_key).agg(
+            F.array_sort(F.collect_list(F.struct(F.col(part_key).alias("k"), t.alias("t")))).alias("_p")
+        )
+        return g.select(*doc_key, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias("content"))
+    if kind != "slides":
+        raise ValueError(f"unknown part kind {kind!r}")
+    order = F.col(sub_key) if sub_key else F.lit(0)
+    slides = df.filter(F.col(text).isNotNull() & (F.length(t) > 0)).groupBy(*doc_key, part_key).agg(
+        F.array_sort(F.collect_list(F.struct(order.alias("k"), t.alias("t")))).alias("_s")
+    )
+    slides = slides.select(*doc_key, part_key, F.concat(
+        F.lit("幻灯片 "), F.col(part_key).cast("string"), F.lit("\n"), F.array_join(F.transform("_s", lambda s: s["t"]), "\n")
+    ).alias("_slide"))
+    g = slides.groupBy(*doc_key).agg(F.array_sort(F.collect_list(F.struct(F.col(part_key).alias("k"), F.col("_slide").alias("t")))).alias("_p"))
+    return g.select(*doc_key, F.array_join(F.transform("_p", lambda p: p["t"]), "\n\n").alias("content"))
+
+
+# Table-document titles, sources and types.
+QUERY_TITLE = "MySQL 自定义查询结果"
+TABLE_TITLE = "MySQL 表: {table}"
+IDENTIFIER_REGEX = r"^[A-Za-z0-9_]+$"
+DEFAULT_ROWS_PER_TABLE = 500
+
+
+def safe_identifier(name: str) -> str:
+    import re
+
+    if not re.fullmatch(r"[A-Za-z0-9_]+", name):
+        raise ValueError(f"unsafe table name: {name!r}")
+    return name
+
+
+def table_document(df: DataFrame, *, source: str, path: str, document_type: str, title: str, order_by: list[str],
+                   limit: int | None = None) -> DataFrame:
+    """One table (or query result) -> one document: first ``limit`` rows in ``order_by`` order as
+    record text (S8). The limit is the feature (a bounded preview per table), applied as a top-n."""
+    rows = df.orderBy(*order_by).limit(limit) if limit else df
+    recs = rows_to_text(rows, columns=df.columns, title=title, order_by=order_by)
+    return recs.filter(F.length("content") > 0).select(
+        F.lit(source).alias("source"), F.lit(path).alias("path"), F.lit(source).alias("file_name"),
+        F.lit(source).alias("file_stem"), F.lit("").alias("file_suffix"), F.lit(source).alias("relative_path"),
+        F.lit("").alias("parent_dir"), F.lit(document_type).alias("document_type"), "content",
+    )
+
+
+def load_table_documents(spark, tables: list[str], *, query: str | None = None, order_by: dict | None = None,
+                         limit: int = DEFAULT_ROWS_PER_TABLE, base_path: str = "catalog://default") -> DataFrame:
+    """The custom query first (one document), then each named table (``LIMIT limit`` rows in an
+    explicit order, one document each), in list order. Tables come from the catalog (or any source
+    registered as a view, e.g. a JDBC table)."""
+    order_by = order_by or {}
+    parts = []
+    if query:
+        q = spark.sql(query)
+        parts.append(table_document(q, source="mysql_query", path=f"{base_path}/query", document_type="mysql_query",
+                                    title=QUERY_TITLE, order_by=order_by.get("__query__", q.columns[:1])))
+    for t in tables:
+        t = safe_identifier(t)
+        tdf = spark.table(t)
+        parts.append(table_document(tdf, source=f"mysql_table:{t}", path=f"{base_path}/{t}", document_type="mysql_table",
+                                    title=TABLE_TITLE.format(table=t), order_by=order_by.get(t, tdf.columns[:1]), limit=limit))
+    out = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("doc_ord", F.lit(i).cast("long"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def catalog_summary(spark) -> DataFrame:
+    """Database, version, table count and the first 20 table names."""
+    tables = spark.catalog.listTables()
+    names = [t.name for t in tables]
+    return spark.createDataFrame(
+        [(spark.catalog.currentDatabase(), spark.version, len(names), names[:20])],
+        "database string, version string, table_count int, sample_tables array<string>",
+    )
+
+
+def preview_table(spark, table: str, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows of a table in an explicit order (a bounded top-n) with the row count."""
+    t = spark.table(safe_identifier(table))
+    rows = t.orderBy(*(order_by or t.columns[:1])).limit(n)
+    return rows.withColumn("row_count", F.count("*").over(Window.partitionBy()))
