@@ -99,8 +99,15 @@ def _collections_bound(index: DataFrame) -> int:
     return index.select("collection_name").distinct().count() if "collection_name" in index.columns else 1
 
 
-def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Chunks with score > 0, best k per (question, collection); distance = round(1 - score, 6)."""
+def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                 plan: str = "scan") -> DataFrame:
+    """Chunks with score > 0, best k per (question, collection); distance = round(1 - score, 6).
+
+    ``plan="scan"`` (default): broadcast question tokens + per-partition top-k (one pass over the
+    index, no shuffle of pairs). ``plan="postings"``: joins through the vocabulary and postings.
+    """
+    if plan == "scan":
+        return keyword_scan_topk(questions, index, k)
     scores = keyword_scores(questions, index, max_broadcast_rows)
     ranked = top_k(scores, ["question_id", "collection_name"], [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
     bound = questions.count() * max(k, 1) * _collections_bound(index)
@@ -108,6 +115,121 @@ def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_r
     return out.withColumn("distance", F.round(1 - F.col("score"), 6))
 
 
+# keyword scan plan: broadcast question tokens, per-partition exact scores and running top-k
+
+# Cells of the (tokens x questions) count matrix broadcast at once; more questions go in blocks.
+MAX_TOKEN_MATRIX_CELLS = 8_000_000
+
+
+def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block_cells: int = 4_000_000):
+    def scan(batches):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        qids, tokens, M, ntok = bc.value
+        T, Q = M.shape
+        try:
+            import ahocorasick
+
+            auto = ahocorasick.Automaton()
+            for j, tok in enumerate(tokens):
+                auto.add_word(tok, j)
+            auto.make_automaton()
+            find = lambda s: {j for _, j in auto.iter(s)}
+        except ImportError:  # plain substring tests
+            find = lambda s: {j for j, tok in enumerate(tokens) if tok in s}
+        word = re.compile(r"[a-zA-Z0-9_]+")
+        cjk = re.compile("[\u4e00-\u9fff]")
+        coll_group = "collection_name" in payload
+        group = ("question_id", "collection_name") if coll_group else ("question_id",)
+        order = (("score", "descending"), ("doc_ord", "ascending"), ("chunk_index", "ascending"))
+        kept, kept_rows = [], 0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0 or Q == 0:
+                continue
+            contents = batch.column(batch.schema.get_field_index("content")).to_pylist()
+            tbl = pa.Table.from_batches([batch]).select(payload)
+            step = max(1, block_cells // max(T, 1))
+            for s0 in range(0, n, step):
+                e0 = min(n, s0 + step)
+                P = np.zeros((e0 - s0, T))
+                for i in range(s0, e0):
+                    text = contents[i]
+                    if not text:
+                        continue
+                    low = text.lower()
+                    # a token occurs in the text iff it occurs in one of its distinct word runs / CJK chars
+                    runs = set(word.findall(low)) | set(cjk.findall(low))
+                    hit = find("\x00".join(runs))
+                    if hit:
+                        P[i - s0, list(hit)] = 1.0
+                H = P @ M  # exact integer hit counts (float64)
+                score = H / ntok[None, :]
+                r, c = np.nonzero(H > 0)
+                if len(r) == 0:
+                    continue
+                cand = tbl.slice(s0, e0 - s0).take(pa.array(r))
+                cand = cand.append_column("question_id", pa.array(qids[c], pa.int64()))
+                cand = cand.append_column("score", pa.array(score[r, c], pa.float64()))
+                kept.append(_trim(cand, k, group, order))
+                kept_rows += kept[-1].num_rows
+                if kept_rows > 4 * Q * k + 100_000:
+                    merged = _trim(pa.concat_tables(kept), k, group, order)
+                    kept, kept_rows = [merged], merged.num_rows
+        if kept:
+            merged = _trim(pa.concat_tables(kept), k, group, order).select(out_names)
+            for b in merged.to_batches():
+                yield b
+
+    return scan
+
+
+def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_cells: int = MAX_TOKEN_MATRIX_CELLS) -> DataFrame:
+    """R3, scan plan: the same result as the postings plan. Question tokens (distinct, with counts) are
+    size-checked and broadcast as a (tokens x questions) count matrix; every index partition finds the
+    tokens present in each chunk, gets exact hit counts with one matrix product, and keeps a running
+    top-k per question; a final rank filter merges partitions."""
+    import numpy as np
+
+    spark = index.sparkSession
+    payload = _payload(index)
+    out_schema = T.StructType(
+        list(index.select(*payload).schema.fields)
+        + [T.StructField("question_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    )
+    out_names = [f.name for f in out_schema.fields]
+    mult, ntok = question_tokens(questions)
+    mult = mult.withColumn("question_id", F.col("question_id").cast("long"))
+    stats = mult.agg(F.countDistinct("token").alias("t"), F.countDistinct("question_id").alias("q")).collect()[0]
+    nt, nq = stats["t"], stats["q"]
+    if nq == 0 or k <= 0:
+        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()).add("distance", T.DoubleType()))
+    per_block = max(1, max_cells // max(nt, 1))
+    blocks = max(1, math.ceil(nq / per_block))
+    parts = []
+    for b in range(blocks):
+        mb = mult if blocks == 1 else mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        pdf = mb.toPandas()
+        if len(pdf) == 0:
+            continue
+        qids, qpos = np.unique(pdf["question_id"].to_numpy(dtype=np.int64), return_inverse=True)
+        toks, tpos = np.unique(pdf["token"].to_numpy(dtype=object), return_inverse=True)
+        M = np.zeros((len(toks), len(qids)))
+        np.add.at(M, (tpos, qpos), pdf["mult"].to_numpy(dtype=np.float64))
+        ntok_q = M.sum(axis=0)
+        bc = spark.sparkContext.broadcast((qids, [str(t) for t in toks], M, ntok_q))
+        parts.append(index.select(*payload).mapInArrow(_kw_scan_factory(bc, k, payload, out_names), out_schema))
+    partial = parts[0]
+    for p in parts[1:]:
+        partial = partial.unionByName(p)
+    group = ["question_id", "collection_name"] if "collection_name" in payload else ["question_id"]
+    ranked = top_k(partial, group, [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
+    return ranked.withColumn("distance", F.round(1 - F.col("score"), 6))
+
+
 # ---------------------------------------------------------------------------------------------------
 # vector search
 
@@ -130,20 +252,22 @@ def _matrix(vec, d: int):
     return X, valid
 
 
-def _trim(t, k: int):
+def _trim(t, k: int, group=("question_id",), order=(("distance", "ascending"), ("doc_ord", "ascending"), ("chunk_index", "ascending"))):
+    """Keep the first k rows per ``group`` in ``order`` (a pyarrow Table)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     if t.num_rows == 0:
         return t
-    idx = pc.sort_indices(
-        t, sort_keys=[("question_id", "ascending"), ("distance", "ascending"), ("doc_ord", "ascending"), ("chunk_index", "ascending")]
-    )
-    t = t.take(idx)
-    q = t.column("question_id").to_numpy()
-    first = np.r_[True, q[1:] != q[:-1]]
-    pos = np.arange(len(q))
+    keys = [(g, "ascending") for g in group] + list(order)
+    t = t.take(pc.sort_indices(t, sort_keys=keys))
+    first = np.zeros(t.num_rows, dtype=bool)
+    first[0] = True
+    for g in group:
+        col = t.column(g).to_numpy(zero_copy_only=False)
+        first[1:] |= col[1:] != col[:-1]
+    pos = np.arange(t.num_rows)
     start = np.maximum.accumulate(np.where(first, pos, 0))
     return t.filter(pa.array((pos - start) < k))
 
