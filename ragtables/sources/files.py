@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text, col_
 from ..schemas import DOCUMENT_COLUMNS, FILE_METADATA_COLUMNS
-from .markup import html_to_text, json_to_text, xml_to_text
+from .markup import html_to_text, structured_to_text
 
 # Supported file suffixes (lower case).
 SUPPORTED_SUFFIXES = (".txt", ".md", ".pdf", ".csv", ".xlsx", ".xls", ".xlsm", ".docx", ".pptx", ".html", ".json", ".xml")
@@ -108,8 +108,7 @@ def file_documents(spark: SparkSession, directory: str) -> DataFrame:
     body = (
         F.when(suf.isin(".txt", ".md"), text)
         .when(suf == ".html", html_to_text(text))
-        .when(suf == ".json", json_to_text(text))
-        .when(suf == ".xml", xml_to_text(text))
+        .otherwise(structured_to_text(suf, text))
     )
     docs = files.withColumn("content", clean_text(body)).filter(F.length("content") > 0)
     from ..plans.ordinals import with_ordinal

@@ -69,3 +69,25 @@ def xml_to_text(s: pd.Series) -> pd.Series:
         return "\n".join(out)
 
     return s.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def structured_to_text(suffix: pd.Series, text: pd.Series) -> pd.Series:
+    """S5/S6 dispatched by file suffix inside one UDF (Spark evaluates a Python UDF for every row even
+    under ``CASE WHEN``, so the suffix test must happen here): ``.json`` and ``.xml`` are converted,
+    other rows give null."""
+    import json
+    import xml.etree.ElementTree as ET
+
+    def one(suf, v):
+        if v is None:
+            return None
+        if suf == ".json":
+            return json.dumps(json.loads(v), ensure_ascii=False, indent=2)
+        if suf == ".xml":
+            out: list = []
+            _flatten_xml(ET.fromstring(v), 0, out)
+            return "\n".join(out)
+        return None
+
+    return pd.Series([one(s, v) for s, v in zip(suffix, text)], dtype=object)

@@ -19,7 +19,7 @@ from ..operators.chunking import chunk_documents, with_chunk_keys
 from ..operators.profiles import ChunkConfig
 from ..sources.files import TEXT_SUFFIXES, decode_text, file_name, file_suffix, with_path_metadata
 from ..sources.index import write_index
-from ..sources.markup import html_to_text, json_to_text, xml_to_text
+from ..sources.markup import html_to_text, structured_to_text
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -38,7 +38,7 @@ def _batch_documents(files: DataFrame, root: str) -> DataFrame:
     text = decode_text("content")
     suf = F.col("file_suffix")
     body = (F.when(suf.isin(".txt", ".md"), text).when(suf == ".html", html_to_text(text))
-            .when(suf == ".json", json_to_text(text)).when(suf == ".xml", xml_to_text(text)))
+            .otherwise(structured_to_text(suf, text)))
     docs = files.withColumn("content", clean_text(body)).filter(F.length("content") > 0)
     # doc_id = hash of the path: stable across batches, so an upsert replaces a changed file's chunks
     docs = docs.withColumn("doc_id", F.sha2("path", 256)).withColumn("doc_ord", F.xxhash64("path"))
