@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sqlparts import (
-    EMPTY, NL2, WS, clean, explode_list, fixed, lit, nonblank, recursive_ctes, sections, strip, tokens,
+    EMPTY, NL2, WS, clean, explode_list, fixed, lit, nonblank, overlap, recursive_ctes, sections, strip, tokens,
 )
 
 
@@ -69,6 +69,13 @@ def _cos(a: str, b: str) -> str:
     )
 
 
+def c3_apply_overlap() -> str:
+    return _with(
+        [_docs_cte(), f"s AS (SELECT doc_id, {overlap(_sentences('t'), 10)} AS ss FROM d WHERE length(t) > 0)"],
+        explode_list("doc_id", "ss", "s"),
+    )
+
+
 def c6_split_semantic(size: int = 300, overlap: int = 40, th: float = 0.3) -> str:
     ectes, ev = _embed_ctes("u", "doc_id, i, s", "s", "e")
     step = (
@@ -558,6 +565,7 @@ def t2_timing_summary() -> str:
 ORACLES = {
     "c2_split_fixed": c2_split_fixed,
     "c4_split_recursive": c4_split_recursive,
+    "c3_apply_overlap": c3_apply_overlap,
     "c5_split_sentences": c5_split_sentences,
     "c6_split_semantic": c6_split_semantic,
     "s8_rows_to_text": s8_rows_to_text,

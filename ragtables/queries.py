@@ -14,7 +14,8 @@ from .functions.tokens import tokenize
 from .functions.vectors import cosine, hash_embed, l2_normalize
 from .operators.chunking import chunk_documents, with_chunk_keys
 from .operators.profiles import ChunkConfig
-from .functions.chunkers import sections
+from .functions.chunkers import apply_overlap, sections
+from .plans.joins import join_small
 from .operators.chunking import chunk_profiles
 from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
 from .operators.profiles import Profile, RetrievalConfig
@@ -72,6 +73,13 @@ def c5_split_sentences(spark, d):
     )
 
 
+def c3_apply_overlap(spark, d):
+    """C3 on the sentence lists of the documents: each sentence gets the last 10 characters of the previous one."""
+    docs = documents(spark, d)
+    return docs.select("doc_id", F.posexplode(apply_overlap(sentences(F.col("content")), 10)).alias("chunk_index", "content")).withColumn(
+        "chunk_index", F.col("chunk_index").cast("int"))
+
+
 def c6_split_semantic(spark, d):
     return _chunks_out(chunk_documents(documents(spark, d), ChunkConfig("semantic", 300, 40, 0.3)))
 
@@ -152,7 +160,7 @@ def e2_hash_embed(spark, d):
 def e3_cosine(spark, d):
     e = table(spark, d, "embeddings")
     c = label_centroids(spark, d)
-    return e.join(F.broadcast(c), "label").select("vec_id", F.round(cosine("embedding", "centroid"), 6).alias("cosine"))
+    return join_small(e, c, "label").select("vec_id", F.round(cosine("embedding", "centroid"), 6).alias("cosine"))
 
 
 def e4_l2_normalize(spark, d):
@@ -320,7 +328,8 @@ def s5_json_to_text(spark, d):
 
 
 def s7_table_to_text(spark, d):
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = join_small(table(spark, d, "nation"), table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    n = n.withColumn("r_regionkey", F.col("n_regionkey"))
     return table_to_text(n, columns=["n_nationkey", "n_name", "n_regionkey"], order_by=["n_nationkey"],
                          group_by=["r_regionkey"], title_col="r_name").select("r_regionkey", "content")
 
@@ -407,6 +416,7 @@ def t2_timing_summary(spark, d):
 QUERIES = {
     "c2_split_fixed": c2_split_fixed,
     "c4_split_recursive": c4_split_recursive,
+    "c3_apply_overlap": c3_apply_overlap,
     "c5_split_sentences": c5_split_sentences,
     "c6_split_semantic": c6_split_semantic,
     "s8_rows_to_text": s8_rows_to_text,

@@ -116,3 +116,12 @@ def test_retrieve_methods_and_multi(spark, corpus):
         RetrievalConfig("vector", 5, 3).validate()
     with pytest.raises(ValueError):
         RetrievalConfig("bogus").validate()
+
+
+def test_model_embedding_equals_hash_embed(spark):
+    from ragtables.operators.embedding import embed, hash_model
+
+    df = spark.createDataFrame([("RAG 向量 rag",), ("",), ("drag and drop",)], "t string")
+    got = embed(df, "t", lambda: hash_model(64), batch_size=2, normalize=True).withColumn("h", hash_embed("t")).collect()
+    for r in got:
+        assert list(r.embedding) == list(r.h)
