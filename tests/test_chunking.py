@@ -148,3 +148,16 @@ def test_config_validation():
         ChunkConfig("bogus", 10, 1).validate()
     with pytest.raises(ValueError):
         ChunkConfig("semantic", 10, 1, 0.0).validate()
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "recursive", "structure", "semantic"])
+def test_arrow_engine_equals_native(spark, strategy):
+    rng = random.Random(7)
+    texts = [_random_text(rng) for _ in range(200)] + FIXED_CASES + RECURSIVE_CASES + STRUCTURE_CASES + SEMANTIC_CASES
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, content string")
+    cfg = ChunkConfig(strategy, 25, 5, 0.5)
+    a = sorted(tuple(r) for r in chunk_documents(docs, cfg, engine="arrow").collect())
+    n = sorted(tuple(r) for r in chunk_documents(docs, cfg, engine="native").collect())
+    assert a == n
+    exp = sorted((i, j, c) for i, t in enumerate(texts) for j, c in enumerate(pyref.split_text(t, strategy, 25, 5, 0.5, pyref.hash_embed)))
+    assert a == exp
