@@ -40,6 +40,11 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)) if cpus.isdigit() else 16, app="ragtables-bench")
     from ragtables.queries import QUERIES
 
+    # untimed warm-up: JVM code paths and one Python worker round trip
+    from pyspark.sql import functions as F
+
+    spark.range(1000).select(F.sum("id")).collect()
+    spark.range(1000).mapInArrow(lambda it: it, "id long").count()
     times, rows = {}, {}
     for name in names:
         t0 = time.time()

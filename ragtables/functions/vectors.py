@@ -65,4 +65,5 @@ def hash_embed(text: Column | str, dim: int = 64) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
 
-    return l2_normalize(let(F.struct(buckets.alias("b"), F.reverse(buckets).alias("rb")), counts))
+    vec = l2_normalize(let(F.struct(buckets.alias("b"), F.reverse(buckets).alias("rb")), counts))
+    return F.when(col_(text).isNotNull(), vec)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,3 +59,22 @@ def hash_model(dim: int = 64) -> Callable[[np.ndarray], np.ndarray]:
         return out
 
     return predict
+
+
+def hash_embed_arrow(col, dim: int = 64):
+    """E2 over Arrow batches (numpy), equal to the native ``functions.vectors.hash_embed``; used for
+    bulk embedding of an index, where the native form runs ``dim`` interpreted lambdas per text."""
+    from ..functions.arrow_chunkers import hash_vectors
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s: pd.Series) -> pd.Series:
+        emb = hash_vectors(dim)
+        mask = s.notna().to_numpy()
+        out = [None] * len(s)
+        if mask.any():
+            vecs = emb([t for t, m in zip(s, mask) if m])
+            it = iter(vecs)
+            out = [next(it) if m else None for m in mask]
+        return pd.Series(out, dtype=object)
+
+    return run(F.col(col) if isinstance(col, str) else col)

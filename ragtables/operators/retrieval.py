@@ -326,15 +326,17 @@ def vector_topk(
     vec_col: str = "embedding",
     question_vec_col: str = "embedding",
     max_question_bytes: int = MAX_QUESTION_VECTOR_BYTES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The k nearest chunks per question by cosine distance (exact), best first.
 
-    Output: payload columns, question_id, cosine, distance (= round(1 - cos, 6)), rank.
+    Output: payload columns (plus ``carry``, e.g. the chunk vector for re-ranking, so no second index
+    scan is needed), question_id, cosine, distance (= round(1 - cos, 6)), rank.
     """
     import numpy as np
 
     spark = index.sparkSession
-    payload = _payload(index)
+    payload = _payload(index) + [c for c in (carry or []) if c not in PAYLOAD]
     idx_schema = index.select(*payload).schema
     out_schema = T.StructType(
         list(idx_schema.fields)
@@ -360,7 +362,8 @@ def vector_topk(
                 Q[i] = np.asarray(v, dtype=np.float64)
         bq = spark.sparkContext.broadcast((pdf["question_id"].to_numpy(dtype=np.int64), Q))
         scan = _scan_factory(bq, k, payload, vec_col, out_names)
-        parts.append(index.select(*payload, vec_col).mapInArrow(scan, out_schema))
+        cols = payload + ([vec_col] if vec_col not in payload else [])
+        parts.append(index.select(*cols).mapInArrow(scan, out_schema))
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)
@@ -454,8 +457,7 @@ def retrieve(
         if m == "vector":
             hits = vector_topk(qs, index, config.top_k, vec_col=vec_col, question_vec_col=qvec)
         elif m == "rerank":
-            cand = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec)
-            cand = join_small(index.select(*CHUNK_KEY, vec_col), cand, CHUNK_KEY, max_rows=max_broadcast_rows)
+            cand = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec, carry=[vec_col])
             hits = rerank(qs, cand, config.top_k, vec_col=vec_col, question_vec_col=qvec)
         else:
             kw = keyword_topk(questions, index, config.candidate_k, max_broadcast_rows)

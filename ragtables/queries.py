@@ -17,6 +17,7 @@ from .operators.profiles import ChunkConfig
 from .functions.chunkers import apply_overlap, sections
 from .plans.joins import join_small
 from .operators.chunking import chunk_profiles
+from .operators.embedding import hash_embed_arrow
 from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
 from .operators.profiles import Profile, RetrievalConfig
 from .operators.prompts import answer, build_prompts, format_context
@@ -176,11 +177,11 @@ def e4_l2_normalize(spark, d):
 
 
 def embedded_index(spark, d) -> DataFrame:
-    return default_index(spark, d).withColumn("embedding", hash_embed("content"))
+    return default_index(spark, d).withColumn("embedding", hash_embed_arrow("content"))
 
 
 def embedded_questions(spark, d) -> DataFrame:
-    return questions(spark, d).withColumn("embedding", hash_embed("question"))
+    return questions(spark, d).withColumn("embedding", hash_embed_arrow("question"))
 
 
 def _hits_out(h: DataFrame) -> DataFrame:

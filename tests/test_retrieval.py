@@ -125,3 +125,11 @@ def test_model_embedding_equals_hash_embed(spark):
     got = embed(df, "t", lambda: hash_model(64), batch_size=2, normalize=True).withColumn("h", hash_embed("t")).collect()
     for r in got:
         assert list(r.embedding) == list(r.h)
+
+
+def test_arrow_hash_embed_equals_native(spark, sf):
+    from ragtables.operators.embedding import hash_embed_arrow
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("text").union(spark.createDataFrame([(None,), ("",), ("向量 RAG",)], "text string"))
+    rows = d.select(hash_embed_arrow("text").alias("a"), hash_embed("text").alias("n")).collect()
+    assert all((r.a is None and r.n is None) or list(r.a) == list(r.n) for r in rows)
