@@ -119,6 +119,8 @@ def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_r
 
 # Cells of the (tokens x questions) count matrix broadcast at once; more questions go in blocks.
 MAX_TOKEN_MATRIX_CELLS = 8_000_000
+# Rows of (question, token, count) fetched in one go before falling back to counted blocks.
+MAX_QUESTION_TOKEN_ROWS = 1_000_000
 
 
 def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block_cells: int = 4_000_000):
@@ -168,7 +170,12 @@ def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block
                         P[i - s0, list(hit)] = 1.0
                 H = P @ M  # exact integer hit counts (float64)
                 score = H / ntok[None, :]
-                r, c = np.nonzero(H > 0)
+                keep = H > 0
+                if e0 - s0 > k:
+                    # only rows at or above each question's k-th best score in this block (ties kept)
+                    kth = -np.partition(-score, k - 1, axis=0)[k - 1]
+                    keep &= score >= kth[None, :]
+                r, c = np.nonzero(keep)
                 if len(r) == 0:
                     continue
                 cand = tbl.slice(s0, e0 - s0).take(pa.array(r))
@@ -203,16 +210,24 @@ def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_cel
     out_names = [f.name for f in out_schema.fields]
     mult, ntok = question_tokens(questions)
     mult = mult.withColumn("question_id", F.col("question_id").cast("long"))
-    stats = mult.agg(F.countDistinct("token").alias("t"), F.countDistinct("question_id").alias("q")).collect()[0]
-    nt, nq = stats["t"], stats["q"]
+    # one bounded fetch when the token table is small (the common case), else blocks of questions
+    head = mult.limit(MAX_QUESTION_TOKEN_ROWS + 1).toPandas()
+    small = len(head) <= MAX_QUESTION_TOKEN_ROWS
+    if small:
+        nt, nq = head["token"].nunique(), head["question_id"].nunique()
+    else:
+        stats = mult.agg(F.countDistinct("token").alias("t"), F.countDistinct("question_id").alias("q")).collect()[0]
+        nt, nq = stats["t"], stats["q"]
     if nq == 0 or k <= 0:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()).add("distance", T.DoubleType()))
     per_block = max(1, max_cells // max(nt, 1))
     blocks = max(1, math.ceil(nq / per_block))
     parts = []
     for b in range(blocks):
-        mb = mult if blocks == 1 else mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        pdf = mb.toPandas()
+        if blocks == 1 and small:
+            pdf = head
+        else:
+            pdf = mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).toPandas()
         if len(pdf) == 0:
             continue
         qids, qpos = np.unique(pdf["question_id"].to_numpy(dtype=np.int64), return_inverse=True)
