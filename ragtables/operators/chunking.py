@@ -12,8 +12,9 @@ from typing import Callable
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.arrow_chunkers import chunk_udf
+from ..functions.arrow_chunkers import chunk_rows_fn
 from ..functions.chunkers import add_chunks
 from ..functions.text import clean_text, nullif_blank
 from ..plans.partitioning import spread
@@ -42,9 +43,12 @@ def chunk_documents(
     keep = [c for c in docs.columns if c != text_col]
     docs = spread(docs)
     if engine == "arrow":
-        udf = chunk_udf(config.strategy, config.size, config.overlap, config.threshold, make_embed)
-        staged = docs.withColumn("_chunks", udf(F.col(text_col)))
-    elif engine == "native":
+        fn = chunk_rows_fn(text_col, keep, config.strategy, config.size, config.overlap, config.threshold, make_embed)
+        schema = T.StructType(
+            [docs.schema[c] for c in keep] + [T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())]
+        )
+        return docs.select(*keep, text_col).mapInArrow(fn, schema)
+    if engine == "native":
         staged = docs.withColumn("_text", clean_text(F.col(text_col)))
         staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, embed)
     else:
