@@ -12,8 +12,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     scan task); a large scan already has more partitions than cores and is left as it is, so no
     shuffle is added at scale.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as it is
+        return df
+    # round-robin repartition sorts rows first (spark.sql.execution.sortBeforeRepartition), so a
+    # retried task sees the same rows
+    return df.repartition(target) if current < target else df
