@@ -13,9 +13,11 @@ def pair_stages(events: DataFrame, *, request: str, stage: str, kind: str, ts: s
     ``kind`` is 'start' or 'end'. Output: request, stage, end key, started_at, ended_at, duration_ms
     (2 decimals).
     """
-    w = Window.partitionBy(request, stage).orderBy(ts, order)
-    prev = F.lag(F.struct(F.col(kind).alias("k"), F.col(ts).alias("t"))).over(w)
-    e = events.select(request, stage, kind, ts, order, prev.alias("_prev"))
+    from ..plans.ordinals import lag_split
+
+    # lag over (request, stage) by (ts, order), split so that a hot request spans several tasks
+    e = events.select(request, stage, kind, ts, order, F.struct(F.col(kind).alias("k"), F.col(ts).alias("t")).alias("_cur"))
+    e = lag_split(e, [request, stage], [ts, order], ["_cur"], prefix="_prev").withColumnRenamed("_prev_cur", "_prev")
     ends = e.filter((F.col(kind) == "end") & (F.col("_prev.k") == "start"))
     # milliseconds with 2 decimals, rounded in integer microseconds (nearest 10 us, half up), so the
     # value does not depend on the binary representation of a half

@@ -1,9 +1,10 @@
-"""Global ordinals without a single-partition window.
+"""Ordinals and ``lag`` without putting a whole key in one task.
 
-Rows are range-partitioned and sorted on the order key; each partition numbers its rows
-locally (``monotonically_increasing_id`` is sequential inside a partition); a table of per-partition
-counts (one row per partition) gives the offsets. The sorted frame is checkpointed first so both uses
-see the same partitioning (checkpoint folder: the cluster's ``spark.checkpoint.dir``).
+Rows are range-partitioned and sorted on (key, order), so a hot key spans several partitions. The
+sorted frame is checkpointed (into the cluster's ``spark.checkpoint.dir``) so every use sees the same
+partition ids. Each partition numbers its rows locally (``monotonically_increasing_id`` is sequential
+inside a partition); a small table with one row per (partition, key) -- bounded by keys + partitions --
+gives per-key offsets and the rows that precede each partition's first row.
 """
 
 from __future__ import annotations
@@ -12,18 +13,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .joins import join_small
 
 
-def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
-    """Add ``name`` = position of the row in ``order_by`` order (0-based by default). The order
-    key must be unique."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keyed = (
-        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+def _sorted_checkpoint(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    cols = keys + order_by
+    return (
+        df.repartitionByRange(*cols).sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     ).checkpoint(eager=True)
-    counts = keyed.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = keyed.join(F.broadcast(offs.select("_pid", "_off", "_m0")), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + start).cast("long")).drop("_pid", "_mid", "_off", "_m0")
+
+
+def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0, partition_by: list[str] | None = None) -> DataFrame:
+    """Add ``name`` = position of the row within its ``partition_by`` group in ``order_by`` order
+    (0-based by default; global when no group). The order must be unique within a group."""
+    keys = list(partition_by or [])
+    keyed = _sorted_checkpoint(df, keys, order_by)
+    counts = keyed.groupBy("_pid", *keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", *keys, "_off", "_m0")
+    out = join_small(keyed, offs, ["_pid", *keys])
+    return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + start).cast("long")).drop(
+        "_pid", "_mid", "_off", "_m0"
+    )
+
+
+def lag_split(df: DataFrame, keys: list[str], order_by: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
+    """``lag(col)`` over ``Window.partitionBy(keys).orderBy(order_by)`` for each of ``cols``, computed so
+    that a key holding a large share of the rows is split over several tasks."""
+    keyed = _sorted_checkpoint(df, keys, order_by)
+    w = Window.partitionBy("_pid", *keys).orderBy("_mid")
+    local = keyed
+    for c in cols:
+        local = local.withColumn(f"{prefix}{c}", F.lag(c).over(w))
+    local = local.withColumn("_first", F.row_number().over(w) == 1)
+    # the last row of every (partition, key), and for each the last row of the previous partition of that key
+    last = keyed.groupBy("_pid", *keys).agg(F.max_by(F.struct(*cols), F.col("_mid")).alias("_last"))
+    wp = Window.partitionBy(*keys).orderBy("_pid")
+    carry = last.select("_pid", *keys, F.lag("_last").over(wp).alias("_carry"))
+    out = join_small(local, carry, ["_pid", *keys])
+    for c in cols:
+        out = out.withColumn(f"{prefix}{c}", F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"{prefix}{c}")))
+    return out.drop("_pid", "_mid", "_first", "_carry")

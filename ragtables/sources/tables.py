@@ -47,9 +47,11 @@ def rows_to_text(
 
     columns = columns or [c for c in df.columns]
     group_by = group_by or []
-    w = Window.partitionBy(*group_by).orderBy(*order_by)
     lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), render_value(F.col(c))) for c in columns])
-    rec = df.withColumn("_i", F.row_number().over(w)).select(
+    from ..plans.ordinals import with_ordinal
+
+    # record numbers per group without one task per group (a hot group spans several partitions)
+    rec = with_ordinal(df, order_by, "_i", start=1, partition_by=group_by).select(
         *group_by, "_i", strip(F.concat(F.lit("记录 "), F.col("_i").cast("string"), F.lit("\n"), lines)).alias("_sec")
     )
     part = F.floor((F.col("_i") - 1) / rows_per_doc).cast("int") if rows_per_doc else F.lit(0)
@@ -83,9 +85,11 @@ def table_to_text(
     group_by = group_by or []
     header = ",".join(('"' + c.replace('"', '""') + '"') if any(ch in c for ch in '",\r\n') else c for c in columns)
     line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
-    w = Window.partitionBy(*group_by).orderBy(*order_by)
-    rows = df.select(*group_by, *([title_col] if title_col and title_col not in group_by else []),
-                     F.row_number().over(w).alias("_i"), line.alias("_line"))
+    from ..plans.ordinals import with_ordinal
+
+    numbered = with_ordinal(df, order_by, "_i", start=1, partition_by=group_by)
+    rows = numbered.select(*group_by, *([title_col] if title_col and title_col not in group_by else []),
+                           "_i", line.alias("_line"))
     keys = group_by + ([title_col] if title_col and title_col not in group_by else [])
     g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_line"))).alias("_r"))
     body = F.concat(F.lit(header + "\n"), F.array_join(F.transform("_r", lambda r: r["_line"]), "\n"))
