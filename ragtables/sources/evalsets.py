@@ -27,9 +27,9 @@ def load_eval_cases(spark: SparkSession, path: str, limit: int = 0) -> tuple[Dat
         raw = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
         raw = raw.filter(F.length(F.trim("value")) > 0)
         cases = raw.select("_line", F.from_json("value", CASE_SCHEMA).alias("c"))
-        from pyspark.sql import Window
+        from ..plans.ordinals import with_ordinal
 
-        cases = cases.select(F.row_number().over(Window.orderBy("_line")).alias("ord"), "c.*")
+        cases = with_ordinal(cases, ["_line"], "ord", start=1).select("ord", "c.*")
         n = cases.count()
         meta = spark.createDataFrame([(json.dumps({"format": "jsonl", "case_count": n}),)], "meta string")
     else:

@@ -11,6 +11,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_
     document no longer has disappear); other rows are kept. Left-anti join on the document key +
     union: no row-by-row id lookups."""
     incoming = new.select(*keys).distinct()
+    # data-derived side: AQE broadcasts it after measuring it, else a shuffle anti-join (skew split on)
     kept = old.join(incoming, list(keys), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 

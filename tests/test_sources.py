@@ -158,3 +158,11 @@ def test_streaming_ingest_equals_batch(spark):
 
     batch = chunk_documents(file_documents(spark, kdir), cfg)
     assert streamed == sorted((r.relative_path, r.chunk_index, r.content) for r in batch.collect())
+
+
+def test_catalog_summary(spark):
+    from ragtables.sources.tables import catalog_summary
+
+    spark.range(3).createOrReplaceTempView("t_catalog")
+    r = catalog_summary(spark).collect()[0]
+    assert r.version == spark.version and r.table_count >= 1 and "t_catalog" in r.sample_tables
