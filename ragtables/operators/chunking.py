@@ -98,3 +98,48 @@ def chunk_profiles(
         out = part if out is None else out.unionByName(part)
     return out
 
+
+
+# Per-strategy forms (native JVM expressions): add ``out_col`` = array of chunks of ``text_col``.
+
+
+def _native(df: DataFrame, text_col: str, out_col: str, strategy: str, size: int, overlap: int, threshold: float = 0.75,
+            embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    ChunkConfig(strategy, size, overlap, threshold).validate()
+    staged = df.withColumn(out_col, clean_text(F.col(text_col)))
+    return add_chunks(staged, out_col, out_col, strategy, size, overlap, threshold, embed)
+
+
+def split_fixed(df: DataFrame, text_col: str, size: int, overlap: int, out_col: str = "chunks") -> DataFrame:
+    """C2."""
+    return _native(df, text_col, out_col, "fixed", size, overlap)
+
+
+def split_recursive(df: DataFrame, text_col: str, size: int, overlap: int, out_col: str = "chunks") -> DataFrame:
+    """C4 (with C3)."""
+    return _native(df, text_col, out_col, "recursive", size, overlap)
+
+
+def split_semantic(df: DataFrame, text_col: str, size: int, overlap: int, threshold: float,
+                   embed: Callable[[Column], Column] | None = None, out_col: str = "chunks") -> DataFrame:
+    """C6 (``embed`` maps a sentence Column to a vector Column; default E2)."""
+    return _native(df, text_col, out_col, "semantic", size, overlap, threshold, embed)
+
+
+def split_structure(df: DataFrame, text_col: str, size: int, overlap: int, out_col: str = "chunks") -> DataFrame:
+    """C8."""
+    return _native(df, text_col, out_col, "structure", size, overlap)
+
+
+def split_sentences(df: DataFrame, text_col: str, out_col: str = "sentences") -> DataFrame:
+    """C5."""
+    from ..functions.chunkers import sentences
+
+    return df.withColumn(out_col, sentences(clean_text(F.col(text_col))))
+
+
+def split_sections(df: DataFrame, text_col: str, out_col: str = "sections") -> DataFrame:
+    """C7."""
+    from ..functions.chunkers import sections
+
+    return df.withColumn(out_col, sections(clean_text(F.col(text_col))))

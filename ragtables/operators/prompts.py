@@ -122,3 +122,9 @@ def answer(questions: DataFrame, hits: DataFrame, fn: Callable = first_context_a
         (F.col("_blocks") if with_contexts else F.lit(None)).alias("contexts"),
     )
     return out
+
+
+def references(hits: DataFrame) -> DataFrame:
+    """Per question, the hit sources, distinct, in order of first appearance (rank order)."""
+    g = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("_s"))
+    return g.select("question_id", F.array_distinct(F.transform("_s", lambda s: s["source"])).alias("references"))

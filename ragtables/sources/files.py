@@ -123,6 +123,11 @@ def load_documents(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = None
     for p in parts:
         docs = p if docs is None else docs.unionByName(p, allowMissingColumns=True)
-    counts = docs.groupBy("document_type").agg(F.count("*").alias("documents"))
+    return docs, source_counts(docs)
+
+
+def source_counts(docs: DataFrame) -> DataFrame:
+    """S12 counts: documents per ``document_type`` and a ``total`` row (one aggregate pass each)."""
+    per = docs.groupBy("document_type").agg(F.count("*").alias("documents"))
     total = docs.agg(F.lit("total").alias("document_type"), F.count("*").alias("documents"))
-    return docs, counts.unionByName(total)
+    return per.unionByName(total)

@@ -161,3 +161,18 @@ def test_arrow_engine_equals_native(spark, strategy):
     assert a == n
     exp = sorted((i, j, c) for i, t in enumerate(texts) for j, c in enumerate(pyref.split_text(t, strategy, 25, 5, 0.5, pyref.hash_embed)))
     assert a == exp
+
+
+def test_named_native_forms(spark):
+    from ragtables.operators.chunking import (split_fixed, split_recursive, split_sections, split_semantic, split_sentences,
+                                              split_structure)
+
+    texts = RECURSIVE_CASES + STRUCTURE_CASES
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    for fn, strat in [(split_fixed, "fixed"), (split_recursive, "recursive"), (split_structure, "structure")]:
+        got = [list(r.chunks) for r in fn(df, "t", 20, 4).orderBy("id").collect()]
+        assert got == expect(texts, strat, 20, 4)
+    got = [list(r.chunks) for r in split_semantic(df, "t", 20, 4, 0.5).orderBy("id").collect()]
+    assert got == expect(texts, "semantic", 20, 4, 0.5)
+    assert [list(r.sentences) for r in split_sentences(df, "t").orderBy("id").collect()] == [pyref.sentences(t.strip()) for t in texts]
+    assert [list(r.sections) for r in split_sections(df, "t").orderBy("id").collect()] == [pyref.sections(t.strip()) for t in texts]
