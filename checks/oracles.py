@@ -189,6 +189,14 @@ def e2_hash_embed() -> str:
     return _with(ctes, f"SELECT item_id, unnest(range(len(vec)))::INTEGER AS dim, round(unnest(vec)::DOUBLE, 6) AS value FROM {v}")
 
 
+def e1_embed_model() -> str:
+    return e2_hash_embed()
+
+
+def r2_keyword_score() -> str:
+    return _with(_keyword_topk(4), "SELECT question_id, rank, round(score, 9) AS score FROM kw")
+
+
 def e3_cosine() -> str:
     return _with(
         _centroids_ctes(),
@@ -575,6 +583,8 @@ ORACLES = {
     "r3_keyword_topk": r3_keyword_topk,
     "r4_vector_topk": r4_vector_topk,
     "e2_hash_embed": e2_hash_embed,
+    "e1_embed_model": e1_embed_model,
+    "r2_keyword_score": r2_keyword_score,
     "e3_cosine": e3_cosine,
     "e4_l2_normalize": e4_l2_normalize,
     "r9_retrieve_vector": r9_retrieve_vector,

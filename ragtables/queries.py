@@ -17,7 +17,8 @@ from .operators.profiles import ChunkConfig
 from .functions.chunkers import apply_overlap, sections
 from .plans.joins import join_small
 from .operators.chunking import chunk_profiles
-from .operators.embedding import hash_embed_arrow
+from .operators.embedding import embed, hash_embed_arrow, hash_model
+from .functions.tokens import keyword_score
 from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
 from .operators.profiles import Profile, RetrievalConfig
 from .operators.prompts import answer, build_prompts, format_context
@@ -158,6 +159,21 @@ def e2_hash_embed(spark, d):
     )
 
 
+def e1_embed_model(spark, d):
+    """Benchmark texts through a model function in batches of 32 (offline hash model), L2-normalised."""
+    b = embed(table(spark, d, "benchmark"), "text", lambda: hash_model(64), batch_size=32, normalize=True)
+    return b.select("item_id", F.posexplode("embedding").alias("dim", "value")).select(
+        "item_id", F.col("dim").cast("int").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def r2_keyword_score(spark, d):
+    """R2 (native expression) on every keyword hit of the default collection."""
+    qs = questions(spark, d)
+    hits = keyword_topk(qs, default_index(spark, d), 4).join(qs, "question_id")
+    return hits.select("question_id", F.col("rank").cast("int").alias("rank"),
+                       F.round(keyword_score("question", "content"), 9).alias("score"))
+
+
 def e3_cosine(spark, d):
     e = table(spark, d, "embeddings")
     c = label_centroids(spark, d)
@@ -427,6 +443,8 @@ QUERIES = {
     "r3_keyword_topk": r3_keyword_topk,
     "r4_vector_topk": r4_vector_topk,
     "e2_hash_embed": e2_hash_embed,
+    "e1_embed_model": e1_embed_model,
+    "r2_keyword_score": r2_keyword_score,
     "e3_cosine": e3_cosine,
     "e4_l2_normalize": e4_l2_normalize,
     "r9_retrieve_vector": r9_retrieve_vector,
