@@ -1,8 +1,8 @@
 """Chunking operators (C1, C9, C10): documents -> one row per chunk.
 
 Chunking is a narrow per-row map (native array expressions + posexplode): it never shuffles, and a
-document is never split across tasks because it is one row. Several profiles reuse one persisted
-scan of the documents.
+document is never split across tasks because it is one row. Several profiles are branches over the
+same documents, unioned.
 """
 
 from __future__ import annotations
@@ -79,12 +79,13 @@ def chunk_profiles(
     profiles: list[Profile],
     *,
     embed: Callable[[Column], Column] | None = None,
-    persist: bool = True,
+    persist: bool = False,
 ) -> DataFrame:
     """The same documents chunked once per profile, each into its own collection.
 
-    One branch per profile (profiles are configuration, not data); the branches share one persisted
-    scan of the documents and are unioned.
+    One branch per profile (profiles are configuration, not data), unioned. Each branch reads only the
+    columns it needs from the source; ``persist=True`` shares one cached scan instead (worth it when the
+    documents come from an expensive plan rather than a table).
     """
     if not profiles:
         raise ValueError("at least one profile is required")

@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let
-from ..functions.tokens import CJK_TOKEN_REGEX, cjk_chars, keyword_score_tokens, tokenize, word_runs
+from ..functions.tokens import cjk_chars, keyword_score_tokens, tokenize, word_runs
 from ..functions.vectors import cosine
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, fits, join_small
+from ..plans.joins import DEFAULT_BROADCAST_ROWS, join_small
 from ..plans.topk import top_k
 from ..schemas import FILE_METADATA_COLUMNS
 from .profiles import Profile, RetrievalConfig

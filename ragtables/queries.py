@@ -5,25 +5,21 @@ Column names match the DuckDB oracles in ``checks/oracles.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chunkers import add_chunks, sentences
+from .functions.chunkers import apply_overlap, sections, sentences
 from .functions.text import clean_text
-from .functions.tokens import tokenize
+from .functions.tokens import keyword_score, tokenize
 from .functions.vectors import cosine, hash_embed, l2_normalize
-from .operators.chunking import chunk_documents, with_chunk_keys
-from .operators.profiles import ChunkConfig
-from .functions.chunkers import apply_overlap, sections
-from .plans.joins import join_small
-from .operators.chunking import chunk_profiles
+from .operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
 from .operators.embedding import embed, hash_embed_arrow, hash_model
-from .functions.tokens import keyword_score
 from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
-from .operators.profiles import Profile, RetrievalConfig
+from .operators.profiles import ChunkConfig, Profile, RetrievalConfig
 from .operators.prompts import answer, build_prompts, format_context
 from .operators.retrieval import keyword_topk, merge_hits, retrieve, retrieve_multi, vector_topk
 from .operators.timing import pair_stages, timing_summary
+from .plans.joins import join_small
 from .sources.files import with_path_metadata
 from .sources.index import upsert
 from .sources.logs import parse_stage_log

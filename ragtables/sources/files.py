@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, col_
-from ..schemas import DOCUMENT_COLUMNS, FILE_METADATA_COLUMNS
+from ..schemas import DOCUMENT_COLUMNS
 from .markup import html_to_text, structured_to_text
 
 # Supported file suffixes (lower case).

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import col_, let, stripped_nonblank
+from ..functions.text import col_, stripped_nonblank
 
 # Named character references decoded in text, also without the closing ';'
 # (the legacy names); '&amp' is decoded last so that '&amp;lt;' stays '&lt;'.
