@@ -38,13 +38,26 @@ def python_float_text(x: Column) -> Column:
 
 def timing_summary(stages: DataFrame, *, request: str, name: str = "stage", end_order: list[str] | None = None) -> DataFrame:
     """Per request: total = sum of all records (nested stages counted twice, as in the reference),
-    the chain ``a(1.0ms) -> b(2.0ms)`` in completion order, and the number of stages."""
+    the chain ``a(1.0ms) -> b(2.0ms)`` in completion order, and the number of stages.
+
+    Built in two levels so that a request with a large share of the records is not gathered by one
+    task: rows are range-split on (request, completion order); each partition joins its part of the
+    chain, then a request joins at most one part per partition.
+    """
+    from ..plans.ordinals import _sorted_checkpoint
+
     order = end_order or ["ended_at"]
-    item = F.struct(*[F.col(c) for c in order], F.col(name).alias("_n"), F.col("duration_ms").alias("_d"))
-    g = stages.groupBy(request).agg(
-        F.round(F.sum("duration_ms"), 2).alias("total_ms"),
-        F.count("*").alias("stages"),
-        F.array_sort(F.collect_list(item)).alias("_items"),
+    keyed = _sorted_checkpoint(stages.select(request, name, "duration_ms", *[c for c in order if c not in (request, name)]),
+                               [request], order)
+    text = F.concat(F.col(name), F.lit("("), python_float_text(F.col("duration_ms")), F.lit("ms)"))
+    parts = keyed.groupBy("_pid", request).agg(
+        F.sum("duration_ms").alias("_sum"),
+        F.count("*").alias("_n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_mid", text.alias("t")))), lambda x: x["t"]), " -> ").alias("_chain"),
+    )
+    g = parts.groupBy(request).agg(
+        F.round(F.sum("_sum"), 2).alias("total_ms"),
+        F.sum("_n").alias("stages"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pid", "_chain"))), lambda x: x["_chain"]), " -> ").alias("chain_text"),
     )
-    chain = F.array_join(F.transform("_items", lambda it: F.concat(it["_n"], F.lit("("), python_float_text(it["_d"]), F.lit("ms)"))), " -> ")
-    return g.select(request, "total_ms", "stages", chain.alias("chain_text"))
+    return g.select(request, "total_ms", "stages", "chain_text")

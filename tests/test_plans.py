@@ -37,3 +37,15 @@ def test_joins_and_spread(spark):
     assert fits(b, 10) and not fits(b, 9)
     assert join_small(a, b, "k").count() == 10 and join_small(a, b, "k", max_rows=1).count() == 10
     assert spread(spark.range(10).coalesce(1), 4).rdd.getNumPartitions() == 4
+
+
+def test_timing_summary_hot_request(spark):
+    from ragtables.operators.timing import timing_summary
+
+    rows = [("hot", f"s{i}", float(i % 7) + 0.5, i) for i in range(2500)] + [("cold", "x", 1.25, 0)]
+    st = spark.createDataFrame(rows, "req string, stage string, duration_ms double, ended_at long")
+    out = {r.req: r for r in timing_summary(st, request="req", end_order=["ended_at"]).collect()}
+    exp = " -> ".join(f"s{i}({float(i % 7) + 0.5}ms)" for i in range(2500))
+    assert out["hot"].chain_text == exp and out["hot"].stages == 2500
+    assert out["hot"].total_ms == round(sum(float(i % 7) + 0.5 for i in range(2500)), 2)
+    assert out["cold"].chain_text == "x(1.25ms)"
