@@ -55,9 +55,16 @@ def rows_to_text(
         *group_by, "_i", strip(F.concat(F.lit("记录 "), F.col("_i").cast("string"), F.lit("\n"), lines)).alias("_sec")
     )
     part = F.floor((F.col("_i") - 1) / rows_per_doc).cast("int") if rows_per_doc else F.lit(0)
-    rec = rec.withColumn("part", part)
-    grouped = rec.groupBy(*group_by, "part").agg(F.array_sort(F.collect_list(F.struct("_i", "_sec"))).alias("_r"))
-    body = F.array_join(F.transform(F.filter("_r", lambda r: F.length(r["_sec"]) > 0), lambda r: r["_sec"]), "\n\n")
+    rec = rec.withColumn("part", part).filter(F.length("_sec") > 0)
+    if rows_per_doc:
+        # a document holds at most rows_per_doc records: one ordered collect per document
+        grouped = rec.groupBy(*group_by, "part").agg(F.array_sort(F.collect_list(F.struct("_i", "_sec"))).alias("_r"))
+        grouped = grouped.select(*group_by, "part", F.array_join(F.transform("_r", lambda r: r["_sec"]), "\n\n").alias("_body"))
+    else:
+        from ..plans.strings import ordered_join
+
+        grouped = ordered_join(rec, group_by + ["part"], ["_i"], "_sec", "\n\n", "_body")
+    body = F.col("_body")
     content = strip(F.concat(F.lit(f"{title}\n\n"), body)) if title else body
     return grouped.select(*group_by, "part", content.alias("content"))
 
@@ -85,17 +92,13 @@ def table_to_text(
     group_by = group_by or []
     header = ",".join(('"' + c.replace('"', '""') + '"') if any(ch in c for ch in '",\r\n') else c for c in columns)
     line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
-    from ..plans.ordinals import with_ordinal
-
-    numbered = with_ordinal(df, order_by, "_i", start=1, partition_by=group_by)
-    rows = numbered.select(*group_by, *([title_col] if title_col and title_col not in group_by else []),
-                           "_i", line.alias("_line"))
-    keys = group_by + ([title_col] if title_col and title_col not in group_by else [])
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_line"))).alias("_r"))
-    body = F.concat(F.lit(header + "\n"), F.array_join(F.transform("_r", lambda r: r["_line"]), "\n"))
     from ..functions.text import strip
+    from ..plans.strings import ordered_join
 
-    text = strip(body)
+    keys = group_by + ([title_col] if title_col and title_col not in group_by else [])
+    lines = df.select(*keys, *[c for c in order_by if c not in keys], line.alias("_line"))
+    g = ordered_join(lines, keys, order_by, "_line", "\n", "_body")
+    text = strip(F.concat(F.lit(header + "\n"), F.col("_body")))
     text = F.when(F.length(text) > 0, text).otherwise(F.lit("(空表)"))
     if title_col:
         text = F.concat(F.lit(title_prefix), F.col(title_col).cast("string"), F.lit("\n"), text)
@@ -112,24 +115,21 @@ def assemble_parts(df: DataFrame, *, doc_key: list[str], part_key: str, text: st
     """
     from ..functions.text import strip
 
+    from ..plans.strings import ordered_join
+
     t = strip(F.col(text))
     if kind in ("pages", "paragraphs"):
         sep = "\n" if kind == "pages" else "\n\n"
-        g = df.filter(F.length(t) > 0).groupBy(*doc_key).agg(
-            F.array_sort(F.collect_list(F.struct(F.col(part_key).alias("k"), t.alias("t")))).alias("_p")
-        )
-        return g.select(*doc_key, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias("content"))
+        parts = df.filter(F.length(t) > 0).select(*doc_key, part_key, *([sub_key] if sub_key else []), t.alias("_t"))
+        order = [part_key] + ([sub_key] if sub_key else [])
+        return ordered_join(parts, doc_key, order, "_t", sep, "content")
     if kind != "slides":
         raise ValueError(f"unknown part kind {kind!r}")
-    order = F.col(sub_key) if sub_key else F.lit(0)
-    slides = df.filter(F.col(text).isNotNull() & (F.length(t) > 0)).groupBy(*doc_key, part_key).agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("k"), t.alias("t")))).alias("_s")
-    )
-    slides = slides.select(*doc_key, part_key, F.concat(
-        F.lit("幻灯片 "), F.col(part_key).cast("string"), F.lit("\n"), F.array_join(F.transform("_s", lambda s: s["t"]), "\n")
-    ).alias("_slide"))
-    g = slides.groupBy(*doc_key).agg(F.array_sort(F.collect_list(F.struct(F.col(part_key).alias("k"), F.col("_slide").alias("t")))).alias("_p"))
-    return g.select(*doc_key, F.array_join(F.transform("_p", lambda p: p["t"]), "\n\n").alias("content"))
+    shapes = df.filter(F.col(text).isNotNull() & (F.length(t) > 0)).select(
+        *doc_key, part_key, *([sub_key] if sub_key else []), t.alias("_t"))
+    slides = ordered_join(shapes, doc_key + [part_key], [sub_key] if sub_key else [part_key], "_t", "\n", "_shapes")
+    slides = slides.select(*doc_key, part_key, F.concat(F.lit("幻灯片 "), F.col(part_key).cast("string"), F.lit("\n"), F.col("_shapes")).alias("_slide"))
+    return ordered_join(slides, doc_key, [part_key], "_slide", "\n\n", "content")
 
 
 # Table-document titles, sources and types.
