@@ -36,20 +36,29 @@ def python_float_text(x: Column) -> Column:
     return F.regexp_replace(s, "\\.$", ".0")
 
 
-def timing_summary(stages: DataFrame, *, request: str, name: str = "stage", end_order: list[str] | None = None) -> DataFrame:
+def timing_summary(stages: DataFrame, *, request: str, name: str = "stage", end_order: list[str] | None = None,
+                   max_key_rows: int | None = None) -> DataFrame:
     """Per request: total = sum of all records (nested stages counted twice, as in the reference),
     the chain ``a(1.0ms) -> b(2.0ms)`` in completion order, and the number of stages.
 
-    Built in two levels so that a request with a large share of the records is not gathered by one
-    task: rows are range-split on (request, completion order); each partition joins its part of the
-    chain, then a request joins at most one part per partition.
+    A request with more than ``max_key_rows`` records is built in two levels so that it is not gathered
+    by one task: rows are range-split on (request, completion order); each partition joins its part of
+    the chain, then the request joins at most one part per partition.
     """
-    from ..plans.ordinals import _sorted_checkpoint
+    from ..plans.ordinals import _sorted_checkpoint, needs_split
 
     order = end_order or ["ended_at"]
-    keyed = _sorted_checkpoint(stages.select(request, name, "duration_ms", *[c for c in order if c not in (request, name)]),
-                               [request], order)
     text = F.concat(F.col(name), F.lit("("), python_float_text(F.col("duration_ms")), F.lit("ms)"))
+    base = stages.select(request, name, "duration_ms", *[c for c in order if c not in (request, name)])
+    if not needs_split(base, [request], max_key_rows):
+        g = base.groupBy(request).agg(
+            F.round(F.sum("duration_ms"), 2).alias("total_ms"),
+            F.count("*").alias("stages"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], text.alias("t")))),
+                                     lambda x: x["t"]), " -> ").alias("chain_text"),
+        )
+        return g.select(request, "total_ms", "stages", "chain_text")
+    keyed = _sorted_checkpoint(base, [request], order)
     parts = keyed.groupBy("_pid", request).agg(
         F.sum("duration_ms").alias("_sum"),
         F.count("*").alias("_n"),

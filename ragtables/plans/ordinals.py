@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .joins import join_small
 
+# Rows one key may have before it is split over several tasks (a task handles this many comfortably).
+MAX_KEY_ROWS = 1_000_000
+
+
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest ``keys`` group (one aggregate with map-side partial counts)."""
+    g = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
+    r = g.agg(F.max("count").alias("m")).collect()[0]["m"]
+    return int(r or 0)
+
+
+def needs_split(df: DataFrame, keys: list[str], max_key_rows: int | None) -> bool:
+    bound = MAX_KEY_ROWS if max_key_rows is None else max_key_rows
+    return largest_key(df, keys) > bound
+
 
 def _sorted_checkpoint(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     checkpoint_dir(df.sparkSession)
@@ -25,10 +40,17 @@ def _sorted_checkpoint(df: DataFrame, keys: list[str], order_by: list[str]) -> D
     ).checkpoint(eager=True)
 
 
-def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0, partition_by: list[str] | None = None) -> DataFrame:
+def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0, partition_by: list[str] | None = None,
+                 max_key_rows: int | None = None) -> DataFrame:
     """Add ``name`` = position of the row within its ``partition_by`` group in ``order_by`` order
-    (0-based by default; global when no group). The order must be unique within a group."""
+    (0-based by default; global when no group). The order must be unique within a group.
+
+    Groups up to ``max_key_rows`` rows use ``row_number`` (one task per group); a larger group is
+    range-split over several tasks."""
     keys = list(partition_by or [])
+    if not needs_split(df, keys, max_key_rows):
+        w = Window.partitionBy(*keys).orderBy(*order_by)
+        return df.withColumn(name, (F.row_number().over(w) - 1 + start).cast("long"))
     keyed = _sorted_checkpoint(df, keys, order_by)
     counts = keyed.groupBy("_pid", *keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,9 +61,16 @@ def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0,
     )
 
 
-def lag_split(df: DataFrame, keys: list[str], order_by: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
+def lag_split(df: DataFrame, keys: list[str], order_by: list[str], cols: list[str], prefix: str = "prev_",
+              max_key_rows: int | None = None) -> DataFrame:
     """``lag(col)`` over ``Window.partitionBy(keys).orderBy(order_by)`` for each of ``cols``, computed so
-    that a key holding a large share of the rows is split over several tasks."""
+    that a key holding more than ``max_key_rows`` rows is split over several tasks."""
+    if not needs_split(df, keys, max_key_rows):
+        w0 = Window.partitionBy(*keys).orderBy(*order_by)
+        out = df
+        for c in cols:
+            out = out.withColumn(f"{prefix}{c}", F.lag(c).over(w0))
+        return out
     keyed = _sorted_checkpoint(df, keys, order_by)
     w = Window.partitionBy("_pid", *keys).orderBy("_mid")
     local = keyed

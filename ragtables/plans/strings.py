@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordinals import _sorted_checkpoint
+from .ordinals import _sorted_checkpoint, needs_split
 
 
-def ordered_join(df: DataFrame, keys: list[str], order_by: list[str], text_col: str, sep: str, out_col: str = "text") -> DataFrame:
+def ordered_join(df: DataFrame, keys: list[str], order_by: list[str], text_col: str, sep: str, out_col: str = "text",
+                 max_key_rows: int | None = None) -> DataFrame:
     """Per ``keys``: the ``text_col`` values joined by ``sep`` in ``order_by`` order.
 
-    Two levels: rows are range-split on (keys, order) so a large key spans several partitions; each
-    (partition, key) joins its rows, then each key joins at most one piece per partition.
+    Keys up to ``max_key_rows`` rows: one ordered collect per key. Larger keys: two levels -- rows are
+    range-split on (keys, order) so the key spans several partitions; each (partition, key) joins its
+    rows, then the key joins at most one piece per partition.
     """
+    if not needs_split(df, keys, max_key_rows):
+        order = F.struct(*[F.col(c) for c in order_by], F.col(text_col).alias("_t"))
+        g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_r"))
+        return g.select(*keys, F.array_join(F.transform("_r", lambda x: x["_t"]), sep).alias(out_col))
     keyed = _sorted_checkpoint(df.select(*keys, *[c for c in order_by if c not in keys], text_col), keys, order_by)
     pieces = keyed.groupBy("_pid", *keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_mid", F.col(text_col).alias("t")))), lambda x: x["t"]), sep).alias("_t")

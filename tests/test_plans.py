@@ -15,16 +15,16 @@ def _data(spark):
 
 def test_with_ordinal_hot_key(spark):
     df = _data(spark)
-    got = with_ordinal(df, ["t"], "o", start=1, partition_by=["k"])
+    got = with_ordinal(df, ["t"], "o", start=1, partition_by=["k"], max_key_rows=100)
     exp = df.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("t")))
     assert sorted(map(tuple, got.select("k", "t", "o").collect())) == sorted(map(tuple, exp.select("k", "t", "o").collect()))
-    g = with_ordinal(df, ["k", "t"], "g")
+    g = with_ordinal(df, ["k", "t"], "g", max_key_rows=100)
     assert sorted(r.g for r in g.collect()) == list(range(3300))
 
 
 def test_lag_split_hot_key(spark):
     df = _data(spark)
-    got = lag_split(df, ["k"], ["t"], ["v", "t"])
+    got = lag_split(df, ["k"], ["t"], ["v", "t"], max_key_rows=100)
     w = Window.partitionBy("k").orderBy("t")
     exp = df.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_t", F.lag("t").over(w))
     cols = ["k", "t", "v", "prev_v", "prev_t"]
@@ -44,8 +44,23 @@ def test_timing_summary_hot_request(spark):
 
     rows = [("hot", f"s{i}", float(i % 7) + 0.5, i) for i in range(2500)] + [("cold", "x", 1.25, 0)]
     st = spark.createDataFrame(rows, "req string, stage string, duration_ms double, ended_at long")
-    out = {r.req: r for r in timing_summary(st, request="req", end_order=["ended_at"]).collect()}
+    out = {r.req: r for r in timing_summary(st, request="req", end_order=["ended_at"], max_key_rows=100).collect()}
+    small = {r.req: r for r in timing_summary(st, request="req", end_order=["ended_at"]).collect()}
+    assert {k: tuple(v) for k, v in small.items()} == {k: tuple(v) for k, v in out.items()}
     exp = " -> ".join(f"s{i}({float(i % 7) + 0.5}ms)" for i in range(2500))
     assert out["hot"].chain_text == exp and out["hot"].stages == 2500
     assert out["hot"].total_ms == round(sum(float(i % 7) + 0.5 for i in range(2500)), 2)
     assert out["cold"].chain_text == "x(1.25ms)"
+
+
+def test_ordered_join_paths(spark):
+    from ragtables.plans.strings import ordered_join
+
+    df = _data(spark).withColumn("s", F.col("t").cast("string"))
+    a = {r.k: r.text for r in ordered_join(df, ["k"], ["t"], "s", ",", max_key_rows=100).collect()}
+    b = {r.k: r.text for r in ordered_join(df, ["k"], ["t"], "s", ",").collect()}
+    assert a == b and a["hot"] == ",".join(str(i) for i in range(3000))
+    # also the plain-window paths equal the split ones
+    w1 = with_ordinal(df, ["t"], "o", partition_by=["k"])
+    w2 = with_ordinal(df, ["t"], "o", partition_by=["k"], max_key_rows=100)
+    assert sorted(map(tuple, w1.select("k", "t", "o").collect())) == sorted(map(tuple, w2.select("k", "t", "o").collect()))
