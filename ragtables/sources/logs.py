@@ -19,7 +19,7 @@ def parse_stage_log(lines: DataFrame, col: str = "value") -> DataFrame:
     g = lambda i: F.regexp_extract(x, STAGE_LINE_REGEX, i)
     return m.select(
         g(1).alias("logged_at"), g(2).alias("level"), g(4).alias("marker"), g(5).alias("name"),
-        F.to_timestamp(g(6)).alias("started_at"), F.to_timestamp(g(7)).alias("ended_at"),
+        F.to_timestamp_ntz(g(6)).alias("started_at"), F.to_timestamp_ntz(g(7)).alias("ended_at"),
         g(8).cast("double").alias("duration_ms"),
     )
 
