@@ -120,3 +120,29 @@ def build_eval_cases(templates: DataFrame, n: int, order_by: list[str]) -> DataF
     first = templates.orderBy(*order_by).limit(n)
     w = Window.orderBy(*order_by)
     return first.withColumn("ord", F.row_number().over(w)).withColumn("id", F.format_string("Q%03d", F.col("ord")))
+
+
+def run_evaluation(spark, cases_path: str, index: DataFrame, *, retrieval=None, profiles=None, embed=None,
+                   answer_fn=None, limit: int = 0, min_ratio: float = 0.5, report_path: str | None = None):
+    """Batch evaluation: cases (S15) -> retrieval (R9/R10) -> answers (P5) -> per-case
+    scores (V4) -> summary (V5), per category (V6), first misses (V7) -> report (S16). One Spark job
+    graph in place of the per-case request loop. Returns (results, summary, by_category, misses)."""
+    from ..operators.profiles import RetrievalConfig
+    from ..operators.prompts import answer, first_context_answer
+    from ..operators.retrieval import retrieve, retrieve_multi
+    from ..sources.evalsets import load_eval_cases, write_eval_report
+
+    cases, meta = load_eval_cases(spark, cases_path, limit)
+    cases = cases.withColumn("question_id", F.col("ord").cast("long"))
+    qs = cases.select("question_id", "question")
+    config = retrieval or RetrievalConfig("keyword")
+    if profiles:
+        hits = retrieve_multi(qs, index, list(profiles), config, embed=embed)
+    else:
+        hits = retrieve(qs, index, config, embed=embed)
+    answers = answer(qs, hits, answer_fn or first_context_answer)
+    results = evaluate_cases(cases, answers, hits, min_ratio)
+    summary, by_cat, misses = eval_summary(results), eval_by_category(results), eval_misses(results)
+    if report_path:
+        write_eval_report(summary, by_cat, results, report_path, cases_path, meta.collect()[0]["meta"])
+    return results, summary, by_cat, misses

@@ -53,3 +53,23 @@ def read_index(spark: SparkSession, path: str, collection: str | None = None) ->
     """The index; a collection filter prunes to that partition directory."""
     df = spark.read.parquet(path)
     return df.filter(F.col("collection_name") == collection) if collection else df
+
+
+def build_index(docs: DataFrame, path: str, profiles=None, *, config=None, make_model=None, embed_col: str = "embedding",
+                mode: str = "replace", batch_size: int = 32) -> dict:
+    """Ingest: documents -> chunks per profile (C1/C9) -> keys (C10) -> vectors (E1, when
+    ``make_model`` is given) -> partitioned index (S13). Without profiles one default collection is
+    built with ``config``. Returns the per-collection document and chunk counts."""
+    from ..operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
+    from ..operators.embedding import embed
+    from ..operators.profiles import DEFAULT_COLLECTION, ChunkConfig
+
+    if docs.limit(1).count() == 0:
+        raise FileNotFoundError("no documents to index")
+    if profiles:
+        chunks = chunk_profiles(docs, list(profiles))
+    else:
+        chunks = with_chunk_keys(chunk_documents(docs, config or ChunkConfig()), None, DEFAULT_COLLECTION)
+    if make_model is not None:
+        chunks = embed(chunks, "content", make_model, out_col=embed_col, batch_size=batch_size, normalize=True)
+    return write_index(chunks, path, mode=mode)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragtables.sources.evalsets import load_eval_cases, write_eval_report
 from ragtables.sources.files import decode_text, file_documents, scan_files, with_path_metadata
-from ragtables.sources.index import read_index, upsert, write_index
+from ragtables.sources.index import build_index, read_index, upsert, write_index
 from ragtables.sources.logs import parse_stage_log
 from ragtables.sources.markup import html_to_text, json_to_text, xml_to_text
 from ragtables.sources.tables import (assemble_parts, load_table_documents, preview_table, rows_to_text, safe_identifier,
@@ -166,3 +166,30 @@ def test_catalog_summary(spark):
     spark.range(3).createOrReplaceTempView("t_catalog")
     r = catalog_summary(spark).collect()[0]
     assert r.version == spark.version and r.table_count >= 1 and "t_catalog" in r.sample_tables
+
+
+def test_build_index_and_run_evaluation(spark, sf):
+    from ragtables.operators.embedding import hash_model
+    from ragtables.operators.evaluation import run_evaluation
+    from ragtables.operators.profiles import ChunkConfig, Profile, RetrievalConfig
+    from ragtables.sources.tables import documents_from_table
+
+    base = tempfile.mkdtemp(prefix="rt-e2e-")
+    docs = documents_from_table(spark.read.parquet(f"{sf}/documents.parquet"))
+    profiles = [Profile("kb-a", "A", "coll-a", ChunkConfig("fixed", 600, 60)), Profile("kb-b", "B", "coll-b", ChunkConfig("recursive", 300, 30))]
+    stats = build_index(docs, os.path.join(base, "idx"), profiles, make_model=lambda: hash_model(64))
+    assert set(stats) == {"coll-a", "coll-b"} and stats["coll-a"]["documents"] == docs.count()
+    idx = read_index(spark, os.path.join(base, "idx"))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()
+    with open(os.path.join(base, "cases.jsonl"), "w") as f:
+        for r in bench:
+            words = r.text.lower().split()[:2]
+            f.write(json.dumps({"id": f"Q{r.item_id:03d}", "category": "c", "question": r.text, "expected_keywords": words, "reference": ""}) + "\n")
+    from ragtables.operators.embedding import hash_embed_arrow
+
+    results, summary, by_cat, misses = run_evaluation(
+        spark, os.path.join(base, "cases.jsonl"), idx, retrieval=RetrievalConfig("rrf", 4, 8), profiles=profiles,
+        embed=hash_embed_arrow, limit=10, report_path=os.path.join(base, "report"))
+    s = summary.collect()[0]
+    assert s.total_cases == 10 and s.failed_cases == 0 and s.retrieval_recall > 0.5
+    assert results.count() == 10 and spark.read.json(os.path.join(base, "report", "results")).count() == 10
