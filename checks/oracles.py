@@ -140,7 +140,7 @@ def _default_chunks_ctes() -> list[str]:
 def c10_chunk_keys() -> str:
     return _with(
         _default_chunks_ctes(),
-        "SELECT format('default-doc-{}-chunk-{}', doc_id, chunk_index) AS id, doc_id, chunk_index, 'easy-rag' AS collection_name FROM chunks",
+        "SELECT format('default-doc-{}-chunk-{}', doc_id, chunk_index) AS id, doc_id, chunk_index, 'knowledge' AS collection_name FROM chunks",
     )
 
 
@@ -325,9 +325,9 @@ def _recursive_chunks_ctes() -> list[str]:
 def c9_chunk_profiles() -> str:
     return _with(
         [*_default_chunks_ctes_meta(), *_recursive_chunks_ctes()],
-        "SELECT format('kb-fixed-doc-{}-chunk-{}', doc_id, chunk_index) AS id, 'kb-fixed' AS kb_id, 'easy-rag-fixed' AS collection_name, "
+        "SELECT format('kb-fixed-doc-{}-chunk-{}', doc_id, chunk_index) AS id, 'kb-fixed' AS kb_id, 'knowledge-fixed' AS collection_name, "
         "doc_id, chunk_index, content FROM chunks UNION ALL "
-        "SELECT format('kb-recursive-doc-{}-chunk-{}', doc_id, chunk_index), 'kb-recursive', 'easy-rag-recursive', doc_id, chunk_index, content FROM rchunks",
+        "SELECT format('kb-recursive-doc-{}-chunk-{}', doc_id, chunk_index), 'kb-recursive', 'knowledge-recursive', doc_id, chunk_index, content FROM rchunks",
     )
 
 
@@ -386,7 +386,7 @@ def p5_answer() -> str:
         _blocks(),
         f"SELECT b.item_id AS question_id, coalesce({strip('pq.first_content')}, '') AS answer, coalesce({_refs_text()}, '') AS references_text, "
         "coalesce(pq.context_count, 0)::INTEGER AS context_count, "
-        "CASE WHEN pq.question_id IS NULL THEN '当前向量库为空，请先执行 ingest.py 建立索引。' ELSE '' END AS error "
+        "CASE WHEN pq.question_id IS NULL THEN '当前向量库为空，请先建立索引。' ELSE '' END AS error "
         "FROM benchmark b LEFT JOIN pq ON pq.question_id = b.item_id",
     )
 
@@ -404,7 +404,7 @@ def _eval_ctes() -> list[str]:
         "ctx AS (SELECT question_id, string_agg(content || chr(10) || source || chr(10) || path, chr(10) ORDER BY rank) AS ctext, "
         "count(*) AS n, arg_min(content, rank) AS first_content, list(source ORDER BY rank) AS srcs FROM kh GROUP BY question_id)",
         "j AS (SELECT cs.*, coalesce(ctx.ctext, '') AS ctext, coalesce(ctx.n, 0) AS n, coalesce(" + strip("ctx.first_content") + ", '') AS answer, "
-        "CASE WHEN ctx.question_id IS NULL THEN '当前向量库为空，请先执行 ingest.py 建立索引。' ELSE '' END AS error "
+        "CASE WHEN ctx.question_id IS NULL THEN '当前向量库为空，请先建立索引。' ELSE '' END AS error "
         "FROM cases cs LEFT JOIN ctx ON ctx.question_id = cs.item_id)",
         "m AS (SELECT *, list_filter(kw, lambda k: contains(lower(ctext), lower(k))) AS rm, "
         "list_filter(kw, lambda k: contains(lower(answer), lower(k))) AS am, len(kw) AS total FROM j)",

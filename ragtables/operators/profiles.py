@@ -18,7 +18,7 @@ DEFAULT_SEMANTIC_THRESHOLD = 0.75
 DEFAULT_TOP_K = 4
 DEFAULT_CANDIDATE_K = 12
 DEFAULT_RRF_K = 60
-DEFAULT_COLLECTION = "easy-rag"
+DEFAULT_COLLECTION = "knowledge"
 COLLECTION_NAME_REGEX = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,62}$"
 
 PROFILE_SCHEMA = T.StructType(

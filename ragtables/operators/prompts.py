@@ -25,7 +25,7 @@ CONTENT_PREFIX = "内容: "
 USER_TEMPLATE_HEAD = "以下是检索到的知识库内容：\n"
 USER_TEMPLATE_QUESTION = "\n\n用户问题："
 USER_TEMPLATE_TAIL = "\n\n请用中文给出简洁准确的答案，并尽量结合上下文内容。"
-EMPTY_INDEX_ERROR = "当前向量库为空，请先执行 ingest.py 建立索引。"
+EMPTY_INDEX_ERROR = "当前向量库为空，请先建立索引。"
 
 
 def _nonempty(c: Column) -> Column:

@@ -49,7 +49,7 @@ def questions(spark, d) -> DataFrame:
 
 def default_index(spark, d, config: ChunkConfig = DEFAULT) -> DataFrame:
     """C1 + C10 over the documents: the default collection."""
-    return with_chunk_keys(chunk_documents(documents(spark, d), config), None, "easy-rag")
+    return with_chunk_keys(chunk_documents(documents(spark, d), config), None, "knowledge")
 
 
 def _chunks_out(df: DataFrame) -> DataFrame:
@@ -220,8 +220,8 @@ def r8_merge_hits(spark, d):
 
 
 TWO_PROFILES = [
-    Profile("kb-fixed", "fixed 切分库", "easy-rag-fixed", ChunkConfig("fixed", 800, 120)),
-    Profile("kb-recursive", "recursive 切分库", "easy-rag-recursive", ChunkConfig("recursive", 300, 40)),
+    Profile("kb-fixed", "fixed 切分库", "knowledge-fixed", ChunkConfig("fixed", 800, 120)),
+    Profile("kb-recursive", "recursive 切分库", "knowledge-recursive", ChunkConfig("recursive", 300, 40)),
 ]
 
 
@@ -379,9 +379,9 @@ def s13_upsert(spark, d):
     docs = documents_from_table(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
     langs = table(spark, d, "documents").select("doc_id", "lang")
     docs = docs.join(langs, "doc_id")
-    old = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("en", "fr")).drop("lang"), DEFAULT), None, "easy-rag")
+    old = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("en", "fr")).drop("lang"), DEFAULT), None, "knowledge")
     new = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("fr", "de", "es")).drop("lang"),
-                                          ChunkConfig("recursive", 300, 40)), None, "easy-rag")
+                                          ChunkConfig("recursive", 300, 40)), None, "knowledge")
     return upsert(old, new).select(F.col("doc_ord").alias("doc_id"), "chunk_index", "content")
 
 

@@ -53,7 +53,7 @@ def ingest_stream(
     *,
     config: ChunkConfig = ChunkConfig(),
     profile_id: str | None = None,
-    collection: str = "easy-rag",
+    collection: str = "knowledge",
     embed: Callable[[Column], Column] | None = None,
     available_now: bool = True,
 ):

@@ -105,10 +105,10 @@ def test_timing(spark):
 
 
 def test_profiles(spark):
-    ps = default_profiles("easy-rag")
+    ps = default_profiles("knowledge")
     assert [p.id for p in ps] == ["kb-fixed", "kb-recursive", "kb-semantic", "kb-structure"]
     assert [p.enabled for p in ps] == [True, False, False, False]
-    assert ps[1].collection_name == "easy-rag-recursive"
+    assert ps[1].collection_name == "knowledge-recursive"
     validate_profiles(profiles_frame(spark, ps))
     bad = ps + [Profile("kb-fixed", " ", "-bad", ChunkConfig("fixed", 10, 20), enabled=False)]
     rules = {r.rule for r in profile_violations(profiles_frame(spark, bad)).collect()}
