@@ -64,7 +64,7 @@ def build_prompts(questions: DataFrame, hits: DataFrame, system_prompt: str = ""
     system = system_prompt.strip() or DEFAULT_SYSTEM_PROMPT
     blocks = format_context(hits)
     per_q = blocks.groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "block", "source"))).alias("_b")
+        F.array_sort(F.collect_list(F.struct("rank", "block", "source", F.coalesce(F.col("content"), F.lit("")).alias("content")))).alias("_b")
     )
     context = F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n")
     refs = F.array_distinct(F.transform("_b", lambda b: b["source"]))
@@ -77,14 +77,12 @@ def build_prompts(questions: DataFrame, hits: DataFrame, system_prompt: str = ""
 
 
 def first_context_answer(pdf):
-    """Offline answer function: the first context's content (for tests and the bench)."""
-    import re
+    """Offline answer function: the first context's content (for tests and the bench).
 
-    out = []
-    for user in pdf["user"]:
-        m = re.search(r"\n内容: (.*?)(?:\n\n\[片段 |\n\n用户问题：)", user, re.S)
-        out.append(m.group(1) if m else "")
-    return out
+    A batch holds ``question_id``, ``question``, ``system``, ``user``, ``references``,
+    ``context_count`` and ``_blocks`` (the contexts in rank order: rank, block, source, content).
+    """
+    return [(b[0]["content"] if b is not None and len(b) else "") for b in pdf["_blocks"]]
 
 
 def generate_answers(prompts: DataFrame, fn: Callable = first_context_answer) -> DataFrame:
