@@ -102,7 +102,15 @@ def table_to_text(
     text = F.when(F.length(text) > 0, text).otherwise(F.lit("(空表)"))
     if title_col:
         text = F.concat(F.lit(title_prefix), F.col(title_col).cast("string"), F.lit("\n"), text)
-    return g.select(*keys, text.alias("content"))
+    out = g.select(*keys, text.alias("content"))
+    if not keys:
+        # a whole table without rows is still a document: its header line (or the empty-table mark)
+        spark = df.sparkSession
+        empty_text = header.strip() or "(空表)"
+        fallback = spark.createDataFrame([(0, empty_text)], "_k int, content string")
+        present = out.select(F.lit(0).alias("_k")).limit(1)
+        out = out.unionByName(fallback.join(present, "_k", "left_anti").drop("_k"))
+    return out
 
 
 def assemble_parts(df: DataFrame, *, doc_key: list[str], part_key: str, text: str, kind: str = "paragraphs",

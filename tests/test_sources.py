@@ -193,3 +193,10 @@ def test_build_index_and_run_evaluation(spark, sf):
     s = summary.collect()[0]
     assert s.total_cases == 10 and s.failed_cases == 0 and s.retrieval_recall > 0.5
     assert results.count() == 10 and spark.read.json(os.path.join(base, "report", "results")).count() == 10
+
+
+def test_table_to_text_empty(spark):
+    empty = spark.createDataFrame([], "id int, name string")
+    assert [r.content for r in table_to_text(empty, order_by=["id"]).collect()] == ["id,name"]
+    one = spark.createDataFrame([(1, "x")], "id int, name string")
+    assert [r.content for r in table_to_text(one, order_by=["id"]).collect()] == ["id,name\n1,x"]
