@@ -17,6 +17,7 @@ HEADLINE = [
     "c4_split_recursive",
     "c6_split_semantic",
     "c8_split_structure",
+    "c9_chunk_profiles",
     "r3_keyword_topk",
     "r4_vector_topk",
     "r9_retrieve_vector",
@@ -25,7 +26,9 @@ HEADLINE = [
     "r10_retrieve_multi",
     "p5_answer",
     "v4_evaluate_cases",
+    "v5_eval_summary",
     "s4_html_to_text",
+    "s12_source_counts",
     "s13_upsert",
     "t2_timing_summary",
 ]
