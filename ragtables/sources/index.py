@@ -16,39 +16,67 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "replace") -> dict:
-    """Write chunks partitioned by ``collection_name``.
-
-    ``replace``: the collections present in ``chunks`` are replaced (dynamic partition overwrite),
-    other collections stay. ``upsert``: per collection, the incoming documents' chunks replace theirs;
-    the merged collection is written to a staged path and swapped in by a partition overwrite, never
-    overwriting the path being read in the same plan.
-    Returns the document and chunk counts; no chunks is an error.
+# Document buckets per collection: an upsert rewrites only the buckets its documents fall into.
+DOC_BUCKETS = 256
+
+
+def doc_bucket(doc_id, buckets: int = DOC_BUCKETS):
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str, mode: str = "replace", buckets: int = DOC_BUCKETS) -> dict:
+    """Write chunks partitioned by ``collection_name`` and ``doc_bucket`` (a hash of ``doc_id``).
+
+    ``replace``: the collections present in ``chunks`` are replaced (their other buckets are removed
+    first), other collections stay. ``upsert``: only the (collection, bucket) partitions touched by the
+    incoming documents are read, merged (the incoming documents' chunks replace theirs) and rewritten;
+    the merge goes through a staged path, never overwriting the path being read in the same plan.
+    Returns the per-collection document and chunk counts; no chunks is an error.
     """
     spark = chunks.sparkSession
     if chunks.limit(1).count() == 0:
         raise ValueError("no chunks to index")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    if mode == "upsert":
-        try:
-            old = spark.read.parquet(path)
-        except Exception:
-            old = None
-        if old is not None:
-            colls = [r[0] for r in chunks.select("collection_name").distinct().collect()]
-            merged = upsert(old.filter(F.col("collection_name").isin(colls)), chunks)
-            staged = path.rstrip("/") + "._staged"
-            merged.write.mode("overwrite").partitionBy("collection_name").parquet(staged)
-            chunks = spark.read.parquet(staged)
-    elif mode != "replace":
+    chunks = chunks.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
+    parts = ["collection_name", "doc_bucket"]
+    try:
+        old = spark.read.parquet(path)
+    except Exception:
+        old = None
+    if mode == "upsert" and old is not None:
+        # the touched partitions: at most collections x buckets small rows
+        touched = chunks.select(*parts).distinct()
+        old_touched = old.join(F.broadcast(touched), parts, "left_semi")
+        merged = upsert(old_touched, chunks)
+        staged = path.rstrip("/") + "._staged"
+        merged.write.mode("overwrite").partitionBy(*parts).parquet(staged)
+        chunks = spark.read.parquet(staged)
+    elif mode == "replace" and old is not None:
+        # a replaced collection must not keep buckets the new chunks do not cover: drop its partition
+        # directories (collections are few: names come to the driver), then write the new chunks
+        names = [r[0] for r in chunks.select("collection_name").distinct().collect()]
+        _drop_collections(spark, path, names)
+    elif mode not in ("replace", "upsert"):
         raise ValueError("mode must be 'replace' or 'upsert'")
-    chunks.write.mode("overwrite").partitionBy("collection_name").parquet(path)
+    if chunks is not None:
+        chunks.write.mode("overwrite").partitionBy(*parts).parquet(path)
     stats = spark.read.parquet(path).groupBy("collection_name").agg(
         F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks")
     )
     return {r["collection_name"]: {"documents": r["documents"], "chunks": r["chunks"]} for r in stats.collect()}
 
 
+def _drop_collections(spark, path: str, names: list[str]) -> None:
+    """Delete ``collection_name=<name>`` partition directories (Hadoop FileSystem, any storage)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/collection_name=" + name)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+
+
 def read_index(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """The index; a collection filter prunes to that partition directory."""
     df = spark.read.parquet(path)
