@@ -119,10 +119,18 @@ def file_documents(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def load_documents(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents of all sources concatenated (files first) + counts per document type and total."""
+    """Documents of all sources concatenated in argument order (files first, then tables) and
+    numbered across the whole list (``doc_ord``, used in chunk ids), + counts per type and total."""
+    from ..plans.ordinals import with_ordinal
+
     docs = None
-    for p in parts:
+    for i, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(i))
+        if "doc_ord" not in p.columns:
+            p = p.withColumn("doc_ord", F.lit(0).cast("long"))
         docs = p if docs is None else docs.unionByName(p, allowMissingColumns=True)
+    docs = with_ordinal(docs.withColumnRenamed("doc_ord", "_ord_in_part"), ["_part", "_ord_in_part"], "doc_ord")
+    docs = docs.drop("_part", "_ord_in_part")
     return docs, source_counts(docs)
 
 

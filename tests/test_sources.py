@@ -200,3 +200,15 @@ def test_table_to_text_empty(spark):
     assert [r.content for r in table_to_text(empty, order_by=["id"]).collect()] == ["id,name"]
     one = spark.createDataFrame([(1, "x")], "id int, name string")
     assert [r.content for r in table_to_text(one, order_by=["id"]).collect()] == ["id,name\n1,x"]
+
+
+def test_load_documents_numbers_across_sources(spark):
+    from ragtables.sources.files import load_documents
+
+    files = spark.createDataFrame([("f1", 0, "a", "file"), ("f2", 1, "b", "file")], "doc_id string, doc_ord long, content string, document_type string")
+    spark.createDataFrame([(1, "x")], "k int, v string").createOrReplaceTempView("t_docs")
+    tables = load_table_documents(spark, ["t_docs"], order_by={"t_docs": ["k"]}).withColumn("doc_id", F.lit("t"))
+    docs, counts = load_documents(files, tables)
+    got = sorted((r.doc_ord, r.document_type) for r in docs.collect())
+    assert got == [(0, "file"), (1, "file"), (2, "mysql_table")]
+    assert {r.document_type: r.documents for r in counts.collect()} == {"file": 2, "mysql_table": 1, "total": 3}
