@@ -113,7 +113,8 @@ def file_documents(spark: SparkSession, directory: str) -> DataFrame:
     docs = files.withColumn("content", clean_text(body)).filter(F.length("content") > 0)
     from ..plans.ordinals import with_ordinal
 
-    docs = with_ordinal(docs, ["path"], "doc_ord")
+    # numbered in path-component order (as sorted Path objects), not string order: "a/b" < "a-c/x"
+    docs = with_ordinal(docs.withColumn("_parts", F.split("path", "/")), ["_parts"], "doc_ord").drop("_parts")
     docs = docs.withColumn("doc_id", F.sha2(F.col("path"), 256))
     return docs.select(*DOCUMENT_COLUMNS)
 

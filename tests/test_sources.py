@@ -212,3 +212,16 @@ def test_load_documents_numbers_across_sources(spark):
     got = sorted((r.doc_ord, r.document_type) for r in docs.collect())
     assert got == [(0, "file"), (1, "file"), (2, "mysql_table")]
     assert {r.document_type: r.documents for r in counts.collect()} == {"file": 2, "mysql_table": 1, "total": 3}
+
+
+def test_file_order_by_path_components(spark):
+    tmp = tempfile.mkdtemp(prefix="rt-order-")
+    for rel in ["a-c/x.md", "a/b.md", "a.md"]:
+        os.makedirs(os.path.dirname(os.path.join(tmp, rel)), exist_ok=True)
+        with open(os.path.join(tmp, rel), "w") as f:
+            f.write(rel)
+    docs = sorted((r.doc_ord, r.relative_path) for r in file_documents(spark, tmp).collect())
+    from pathlib import Path
+
+    expect = [p.relative_to(tmp).as_posix() for p in sorted(Path(tmp).rglob("*")) if p.is_file()]
+    assert [r for _, r in docs] == expect
