@@ -133,3 +133,17 @@ def test_arrow_hash_embed_equals_native(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("text").union(spark.createDataFrame([(None,), ("",), ("向量 RAG",)], "text string"))
     rows = d.select(hash_embed_arrow("text").alias("a"), hash_embed("text").alias("n")).collect()
     assert all((r.a is None and r.n is None) or list(r.a) == list(r.n) for r in rows)
+
+
+def test_merge_reference_expectations(spark):
+    # two groups, one duplicate (0.4 in the first group, 0.1 later): three rows, the first copy is kept
+    g = spark.createDataFrame(
+        [(1, 1, "a.md", "A", 0, 0, 0.4, None, 0), (1, 2, "b.md", "B", 1, 0, 0.2, None, 0),
+         (1, 1, "a.md", "A", 0, 0, 0.1, None, 1), (1, 2, "c.md", "C", 2, 0, 0.3, None, 1)],
+        HIT + ", group_ord int",
+    )
+    rows = merge_hits(g, 10).orderBy("rank").collect()
+    assert [(r.source, r.distance) for r in rows] == [("b.md", 0.2), ("c.md", 0.3), ("a.md", 0.4)]
+    # two profiles: the nearer hit leads whatever its profile order
+    two = spark.createDataFrame([(1, 1, "x", "from a", 0, 0, 0.5, None, 0), (1, 1, "y", "from b", 1, 0, 0.2, None, 1)], HIT + ", group_ord int")
+    assert [r.source for r in merge_hits(two, 2).orderBy("rank").collect()] == ["y", "x"]
