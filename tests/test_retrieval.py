@@ -147,3 +147,13 @@ def test_merge_reference_expectations(spark):
     # two profiles: the nearer hit leads whatever its profile order
     two = spark.createDataFrame([(1, 1, "x", "from a", 0, 0, 0.5, None, 0), (1, 1, "y", "from b", 1, 0, 0.2, None, 1)], HIT + ", group_ord int")
     assert [r.source for r in merge_hits(two, 2).orderBy("rank").collect()] == ["y", "x"]
+
+
+def test_retrieval_edge_cases(spark, corpus):
+    idx, _ = corpus
+    qs = spark.createDataFrame([(1, "!!! ???"), (2, "the")], "question_id long, question string")
+    for plan in ["scan", "postings"]:
+        ids = {r.question_id for r in keyword_topk(qs, idx, 3, plan=plan).collect()}
+        assert ids == {2}
+    with pytest.raises(ValueError):
+        retrieve(qs, idx, RetrievalConfig("vector", 3))
