@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 BLOCK = 1 << 20
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
-TABLE = np.random.default_rng(20240611).integers(1, 2**63 - 1, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+TABLE = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=U64)
 #: ASCII white space, the separators of words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -156,7 +157,7 @@ def row_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iter
         lo = hi
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str) -> DataFrame:
     """``fn`` over slices of bounded size of each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,3 +166,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Arrays of one length as one byte string, column by column."""
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def unpack(blobs: list[bytes], dtypes: list[np.dtype]) -> list[np.ndarray]:
+    """Columns of packed byte strings, one after the other."""
+    width = sum(d.itemsize for d in dtypes)
+    parts: list[list[np.ndarray]] = [[] for _ in dtypes]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for part, d in zip(parts, dtypes, strict=True):
+            part.append(np.frombuffer(blob, dtype=d, count=n, offset=at))
+            at += n * d.itemsize
+    return [np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts, dtypes, strict=True)]
+
+
+def buckets_of(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) of each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        yield int(sorted_[lo]), order[lo:hi]
