@@ -64,11 +64,16 @@ def block_counts(data: np.ndarray, offs: np.ndarray, lang: np.ndarray) -> list[t
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     """Model from (doc_id, text, lang): {"langs": [...], kind: (sorted hashes, log frequencies)}."""
     labelled = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= rows_per_language).select("doc_id", "lang").distinct()
-    langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    langs = sorted(sizes)
     if not langs:
         return {"langs": []}
+    # a hash share of about twice the rows wanted of each language, of which the first by hash are taken
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 2.0 * rows_per_language / n)]), F.col("lang"))
+    h = F.xxhash64("doc_id")
+    few = labelled.select("doc_id", "lang").filter((h / F.lit(2.0**64) + 0.5) < share)
+    pick = Window.partitionBy("lang").orderBy(h, "doc_id")
+    chosen = few.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= rows_per_language).select("doc_id", "lang").distinct()
     # at most rows_per_language ids for each language: a bounded broadcast
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select(letters_only(F.col("text")).alias("text"), F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("lang"))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ragtables.llm import textarrays as ta
 
@@ -37,7 +38,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 NONE, CHAR = -1, -2  # no piece yet; a character without a piece
-SLICE = 16 << 20
+SLICE = 8 << 20
+#: Words whose pieces a worker remembers; beyond it, it starts anew.
+KNOWN_WORDS = 1_000_000
 TOP = np.iinfo(np.int64).max
 
 
@@ -142,12 +145,43 @@ class Codec:
         h = subs.hashes(self.bounds[keep], self.bounds[keep + 1])
         order = np.argsort(h)
         self.keys, self.key_ids = h[order], keep[order]
+        self.maybe = np.zeros(1 << 22, dtype=bool)  # most substrings that are no piece end here
+        self.maybe[h >> ta.U64(42)] = True
         self.longest = max((len(names[i]) for i in normal), default=1)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the store of words that this worker has already searched."""
+        self.known, self.known_at, self.known_size = np.zeros(0, ta.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_ids = np.zeros(0, np.int32)
+
+    def distinct_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number) in ``known_ids`` of the ids of distinct words with sorted hashes; new words are searched."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != h) if len(self.known) else np.arange(len(h))
+        if len(new):
+            row, step = ta.ragged(ends[new] - starts[new])
+            small = data[starts[new][row] + step]  # new words side by side
+            bounds = np.concatenate(([0], np.cumsum(ends[new] - starts[new])))
+            ids, cuts = self.words(ta.Substrings(small), small, bounds[:-1], bounds[1:])
+            keys = np.concatenate((self.known, h[new]))
+            order = np.argsort(keys, kind="stable")
+            self.known = keys[order]
+            self.known_at = np.concatenate((self.known_at, cuts[:-1] + len(self.known_ids)))[order]
+            self.known_size = np.concatenate((self.known_size, np.diff(cuts)))[order]
+            self.known_ids = np.concatenate((self.known_ids, ids.astype(np.int32)))
+            at = np.searchsorted(self.known, h)
+        return self.known_at[at], self.known_size[at]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, or NONE."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_ids[at], NONE)
+        out = np.full(len(h), NONE)
+        some = np.flatnonzero(self.maybe[h >> ta.U64(42)])
+        at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == h[some], self.key_ids[at], NONE)
+        return out
 
     def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves pieces a and b side by side: no better merge across the border at any time."""
@@ -261,16 +295,14 @@ class Codec:
         # a word begins at the last space of each run of spaces
         next_same = np.append(space[1:] & ~first[1:-1], False)
         starts = np.flatnonzero(space & ~next_same)
-        owner = ta.owners(offs, starts)
         run_start = np.flatnonzero(space & ~np.append(False, space[:-1] & ~first[1:-1]))
         extra = starts - run_start
-        ends = np.minimum(np.append(run_start[1:], n), offs[owner + 1])
+        ends = np.append(run_start[1:], n)  # each document begins with a space
         subs = ta.Substrings(data)
-        h = subs.hashes(starts, ends)
-        _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        ids, bounds = self.words(subs, data, starts[one], ends[one])
-        count = np.diff(bounds)[inverse]
-        lone = ids[bounds[:-1]][inverse] == self.ids.get(" ", NONE)
+        h, one, inverse = np.unique(subs.hashes(starts, ends), return_index=True, return_inverse=True)
+        word_at, word_size = self.distinct_words(data, starts[one], ends[one], h)
+        ids, word_at, count = self.known_ids, word_at[inverse], word_size[inverse]
+        lone = ids[word_at] == self.ids.get(" ", NONE)
         drop = ((extra > 0) & lone).astype(np.int64)
         lead = np.zeros(len(starts), dtype=np.int64)
         several = np.flatnonzero(extra)
@@ -280,7 +312,7 @@ class Codec:
         at = np.concatenate(([0], np.cumsum(total)))
         out = np.zeros(at[-1], dtype=np.int64)
         row, step = ta.ragged(count - drop)
-        out[at[row] + lead[row] + step] = ids[bounds[inverse[row]] + drop[row] + step]
+        out[at[row] + lead[row] + step] = ids[word_at[row] + drop[row] + step]
         if len(several):
             row, step = ta.ragged(lead)
             out[at[row] + step] = np.concatenate(prefix)
@@ -333,7 +365,7 @@ def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_
                 exact = pc.and_(pc.and_(pa.array(same), part.column("_plain")), pc.invert(null))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, exact], names=[*columns, "ids", "exact"])
 
-    schema = rows.select(*columns).schema.add("ids", "array<int>").add("exact", "boolean")
+    schema = rows.select(*columns).schema.add("ids", ArrayType(IntegerType())).add("exact", "boolean")
     return rows.mapInArrow(run, schema)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragtables.llm import language_id, near_dup, quality_model, quality_rules, suffix_dedup
+from ragtables.llm import decontaminate, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "exact")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,8 @@ QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_piece_codec": op6_piece_codec,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_near_dup": op9_near_dup,
 }
