@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtables.llm import decontaminate, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup
+from ragtables.llm import decontaminate, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,21 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_rules": op3_url_rules,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_piece_codec": op6_piece_codec,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_warc": op8_warc,
     "op9_near_dup": op9_near_dup,
 }
-ORACLES: dict[str, str] = {}
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+o AS (SELECT payload_digest, max(page_id) AS original FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id < o.original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id < o.original THEN o.original END AS refers_to
+FROM d LEFT JOIN o USING (payload_digest)
+"""
+ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
