@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtables.llm import decontaminate, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
+from ragtables.llm import decontaminate, html_text, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """Labels: the number in a url's path is the doc_id of the document that the page shows."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    _, path = url_rules.host_and_path(F.col("url"))
+    shown = pages.select("page_id", F.regexp_extract(path, r"/(\d{1,18})", 1).try_cast("long").alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), True).when(F.col("quality") == 1, False)
+    return url_rules.url_verdicts(pages, shown.join(labels, "doc_id").select("page_id", bad.alias("blocked")))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +54,10 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
@@ -59,6 +68,7 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_near_dup": op9_near_dup,
+    "op10_html_text": op10_html_text,
 }
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -96,13 +96,12 @@ def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url).
 
-    labels: doc_id (the page), quality, toxic; a page of quality 0 or with toxic 1 is one to block.
+    labels: page_id and blocked (boolean); a page with several labels is one to block if one of them says so.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
-    blocked = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), True).when(F.col("quality") == 1, False)
-    known = labels.select(F.col("doc_id").cast("long").alias("page_id"), blocked.alias("blocked")).filter("blocked is not null").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
+    known = labels.select(F.col("page_id").cast("long").alias("page_id"), "blocked").filter("blocked is not null").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     mined = mined_rules(rows.filter(F.size("tokens") > 0).join(known, "page_id").select("tokens", "blocked"), min_support, min_confidence)
     caught = matched(rows.filter("fixed is null").select("tokens").distinct(), mined).withColumn("caught", F.lit(True))
     judged = rows.join(caught, "tokens", "left")
