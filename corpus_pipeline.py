@@ -1,25 +1,75 @@
-"""Corpus pipeline: language filter (grows to the full list of stages)."""
+"""Corpus pipeline over ``documents``: language, near duplicates, repeated passages, test items, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
+``documents`` (the last one the tokens). ``run`` writes what a stage returns as Parquet in the shared folder and reads
+it again as the next one's docs.
+
+Defined results: documents whose text is null or has no letter, or whose language is not clear, go in the first
+stage; of each class of near duplicates the document with the smallest doc_id stays, repeated rows of it go; rows
+with a null doc_id pass through the stages that work on ids; a document that holds a copy of a test item goes; a text
+of which everything was cut stays as an empty one. Extra columns are dropped; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragtables.llm import language_id
+from ragtables.llm import decontaminate, language_id, near_dup, piece_codec, suffix_dedup
+from ragtables.llm.storage import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A smaller share of the likelihood than this is no clear language.
+MIN_LANGUAGE_SCORE = 0.5
 ORACLE_SQL = None
 
 
-def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pred = language_id.language_id(docs).filter("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(pred, "doc_id", "left_semi")
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a clear language."""
+    docs = docs.select(COLUMNS)
+    model = language_id.fit(docs.filter(language_id.held_out() != 2))
+    return language_id.keep_clear(docs, model, MIN_LANGUAGE_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    docs = docs.select(COLUMNS)
+    kept = near_dup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: one shuffle
+    return one.unionByName(docs.filter("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that a document with a smaller doc_id holds too."""
+    cut = suffix_dedup.cut_documents(docs, COLUMNS)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a test item."""
+    docs, items = docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.join(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and whether decoding them gives the text back."""
+    coded = piece_codec.encode(docs, columns=("doc_id", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "exact")
 
 
-STAGES = [("language", detect_language)]
+STAGES = [
+    ("language", keep_language),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
+    ("test items", drop_contaminated),
+    ("tokens", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = new_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

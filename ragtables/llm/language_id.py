@@ -162,24 +162,42 @@ def predict(model: dict, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     return best, score
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of (doc_id, text)."""
+def judged(docs: DataFrame, columns: list[str], model: dict, schema, finish) -> DataFrame:
+    """``finish(columns of the batch, predictions, scores)`` over all rows; the prediction of a text without letters is und."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by rows_per_language x languages
     text = F.col("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), letters_only(text)).alias("text"))
+    rows = docs.select(*columns, F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), letters_only(text)).alias("_letters"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        none = pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False)
+        model, letters = shared.value, batch.column("_letters")
+        none = pc.is_null(letters).to_numpy(zero_copy_only=False)
         langs = np.array([*model["langs"], "und"], dtype=object)
         if model["langs"]:
-            best, score = predict(model, *ta.text_buffers(batch.column(1)))
+            best, score = predict(model, *ta.text_buffers(letters))
         else:
             best, score = np.zeros(len(none), dtype=np.int64), np.zeros(len(none))
             none = np.ones(len(none), dtype=bool)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs[np.where(none, -1, best)], pa.string()), pa.array(np.where(none, 0.0, score))], names=["doc_id", "lang_pred", "score"])
+        return finish(batch.select(columns), langs[np.where(none, -1, best)], np.where(none, 0.0, score))
+
+    return ta.map_arrow(rows, run, schema, "_letters")
+
+
+def identify(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of (doc_id, text)."""
+
+    def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    return judged(docs, ["doc_id"], model, PREDICTIONS, finish)
+
+
+def keep_clear(docs: DataFrame, model: dict, min_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``min_score``."""
+
+    def finish(batch: pa.RecordBatch, lang: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return batch.filter(pa.array((lang != "und") & (score >= min_score)))
 
-    return ta.map_arrow(rows, run, PREDICTIONS, "text")
+    return judged(docs, docs.columns, model, docs.schema, finish)
 
 
 def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:

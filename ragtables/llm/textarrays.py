@@ -187,8 +187,10 @@ def unpack(blobs: list[bytes], dtypes: list[np.dtype]) -> list[np.ndarray]:
 
 def buckets_of(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, rows) of each bucket that has rows."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
-    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
         yield int(sorted_[lo]), order[lo:hi]
