@@ -1,7 +1,7 @@
 """Encoding and decoding with SentencePiece models, by batched Viterbi search in numpy.
 
-Texts are cut into words (a run of spaces and what follows it; no piece crosses that border, which is checked when a
-model is loaded). Distinct words of equal length in characters advance together, position by position: the substrings
+Texts are cut into words: before a run of spaces (no piece crosses that border, which is checked when a model is
+loaded) and between two ASCII characters that no piece holds side by side. Distinct words of equal length in characters advance together, position by position: the substrings
 that end at the position are hashed, their hashes probe the sorted piece keys, and a vectorised maximum over the
 admissible pieces stores the back pointer. Back pointers give the pieces of all words of a length at once.
 
@@ -38,9 +38,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 NONE, CHAR = -1, -2  # no piece yet; a character without a piece
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Words whose pieces a worker remembers; beyond it, it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 TOP = np.iinfo(np.int64).max
 
 
@@ -147,6 +147,12 @@ class Codec:
         self.keys, self.key_ids = h[order], keep[order]
         self.maybe = np.zeros(1 << 22, dtype=bool)  # most substrings that are no piece end here
         self.maybe[h >> ta.U64(42)] = True
+        inner = np.ones(len(self.bytes), dtype=bool)
+        inner[self.bounds[:-1][self.size > 0]] = False
+        at = np.flatnonzero(inner)
+        self.joined = np.zeros((256, 256), dtype=bool)  # bytes that stand side by side in some piece
+        self.joined[128:, :] = self.joined[:, 128:] = True
+        self.joined[self.bytes[at - 1], self.bytes[at]] = True
         self.longest = max((len(names[i]) for i in normal), default=1)
         self.forget()
 
@@ -294,10 +300,14 @@ class Codec:
         first[offs] = True
         # a word begins at the last space of each run of spaces
         next_same = np.append(space[1:] & ~first[1:-1], False)
-        starts = np.flatnonzero(space & ~next_same)
-        run_start = np.flatnonzero(space & ~np.append(False, space[:-1] & ~first[1:-1]))
-        extra = starts - run_start
-        ends = np.append(run_start[1:], n)  # each document begins with a space
+        run_ends = np.flatnonzero(space & ~next_same)
+        run_starts = np.flatnonzero(space & ~np.append(False, space[:-1] & ~first[1:-1]))
+        apart = np.append(False, ~self.joined[data[:-1], data[1:]] & ~space[1:])
+        starts = np.sort(np.concatenate((run_ends, np.flatnonzero(apart))))
+        after = np.searchsorted(run_starts, starts, side="right")  # a word ends at the next one or at the next run of spaces
+        ends = np.minimum(np.append(starts[1:], n), np.append(run_starts, n)[after])
+        extra = np.zeros(len(starts), dtype=np.int64)
+        extra[np.searchsorted(starts, run_ends)] = run_ends - run_starts
         subs = ta.Substrings(data)
         h, one, inverse = np.unique(subs.hashes(starts, ends), return_index=True, return_inverse=True)
         word_at, word_size = self.distinct_words(data, starts[one], ends[one], h)
