@@ -50,8 +50,11 @@ def resolved(rows: DataFrame, min_bytes: int) -> DataFrame:
     return rows.join(revisits, ["page_id", "digest"], "left")
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2025-01-01T00:00:00Z") -> None:
-    """Write a record for each row of pages (page_id, url, html) to files in the folder ``path``."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2025-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Write a record for each row of pages (page_id, url, html) to files in the folder ``path``.
+
+    compression: gzip (each file is one gzip member) or none.
+    """
     rows = resolved(captures(pages), min_bytes)
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("html").cast("string"), F.lit(END + END))
@@ -69,7 +72,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(END, *lines), F.lit(END + END), block)  # concat_ws leaves out what is null
-    rows.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def parse(content: bytes, name: str) -> Iterator[tuple]:
