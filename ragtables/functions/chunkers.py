@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import WHITESPACE_CLASS, col_, let, split_literal, strip, stripped_nonblank
+from .text import col_, let, split_literal, strip, stripped_nonblank
 
 # Recursive separators in priority order ("" = cut by size).
 RECURSIVE_SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", " ", ""]
@@ -21,22 +21,14 @@ RECURSIVE_SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；",
 # Sentence ends (cut after each of them).
 SENTENCE_END_CHARS = "。！？!?；;\n"
 
-# Heading digits and marks of the structure pattern.
-STRUCTURE_CHAPTER_NUMERALS = "0-9一二三四五六七八九十百千"
-STRUCTURE_CHAPTER_KINDS = "章节部分条"
-STRUCTURE_LIST_NUMERALS = "一二三四五六七八九十"
-
-# A cut before every line that starts a heading; (?d): only \n ends a line; (?m): ^ at line starts.
+# A cut before every line that starts a heading (markdown marks, record titles, chapters, numbered and
+# listed items). (?d): only \n ends a line; (?m): ^ at line starts; the long classes are Python's white space.
 STRUCTURE_SPLIT_REGEX = (
-    "(?dm)(?="
-    f"^#{{1,6}}[{WHITESPACE_CLASS}]+"
-    r"|^记录 \p{Nd}+"
-    f"|^第[{STRUCTURE_CHAPTER_NUMERALS}]+[{STRUCTURE_CHAPTER_KINDS}]"
-    f"|^\\p{{Nd}}+\\.[{WHITESPACE_CLASS}]+"
-    f"|^[{STRUCTURE_LIST_NUMERALS}]+、"
-    ")"
+    r"(?dm)(?=^#{1,6}[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|^记录 \p{Nd}+"
+    r"|^第[0-9一二三四五六七八九十百千]+[章节部分条]|^\p{Nd}+\.[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|^[一二三四五六七八九十]+、)"
 )
 
+
 def _empty() -> Column:
     return F.array().cast(T.ArrayType(T.StringType()))
 
@@ -55,51 +47,56 @@ def windows(p: Column, size, overlap) -> Column:
     return F.filter(pieces, lambda s: F.length(s) > 0)
 
 
-def _append_if(out: Column, cur: Column) -> Column:
-    return F.when(F.length(cur) > 0, F.concat(out, F.array(cur))).otherwise(out)
+def group_starts(lengths: Column, gap: int, size) -> Column:
+    """First index of each group when items of these lengths are packed greedily, ``gap`` characters between two."""
+    size = _c(size)
+    init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("cur"), F.lit(0).alias("i"))
+
+    def step(acc, n):
+        longer = acc["cur"] + F.lit(gap) + n
+        return F.when(
+            (acc["cur"] >= 0) & (longer <= size),
+            F.struct(acc["starts"].alias("starts"), longer.alias("cur"), (acc["i"] + 1).alias("i")),
+        ).otherwise(F.struct(F.concat(acc["starts"], F.array(acc["i"])).alias("starts"), n.alias("cur"), (acc["i"] + 1).alias("i")))
+
+    return F.aggregate(lengths, init, step, lambda acc: acc["starts"])
+
+
+def joined_groups(items: Column, starts: Column, sep: str) -> Column:
+    """The items from each start up to the next, joined by ``sep``."""
+    return let(
+        F.struct(items.alias("x"), starts.alias("s")),
+        lambda v: F.transform(
+            v["s"], lambda s, j: F.array_join(F.slice(v["x"], s + 1, F.coalesce(F.get(v["s"], j + 1), F.size(v["x"])) - s), sep)
+        ),
+    )
 
 
 def pack(segments: Column, sep: str, size) -> Column:
-    """Greedy packing: strip segments, drop blanks, join with ``sep`` while the result fits ``size``."""
-    size = _c(size)
-    init = F.struct(_empty().alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, s):
-        cur = acc["cur"]
-        return (
-            F.when(F.length(cur) == 0, F.struct(acc["out"].alias("out"), s.alias("cur")))
-            .when(
-                F.length(cur) + F.lit(len(sep)) + F.length(s) <= size,
-                F.struct(acc["out"].alias("out"), F.concat(cur, F.lit(sep), s).alias("cur")),
-            )
-            .otherwise(F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), s.alias("cur")))
-        )
+    """Greedy packing: strip segments, drop blanks, join with ``sep`` while the result fits ``size``.
 
-    return F.aggregate(stripped_nonblank(segments), init, step, lambda acc: _append_if(acc["out"], acc["cur"]))
+    The fold runs over lengths only; the strings are sliced and joined once at the end.
+    """
+    return let(
+        stripped_nonblank(segments),
+        lambda segs: joined_groups(segs, group_starts(F.transform(segs, F.length), len(sep), size), sep),
+    )
 
 
 def fixed_chunks(text: Column | str, size, overlap) -> Column:
-    """Paragraphs (split on a blank line) packed greedily; an oversize paragraph is cut in windows."""
-    size, overlap = _c(size), _c(overlap)
-    paragraphs = stripped_nonblank(split_literal(text, "\n\n"))
-    init = F.struct(_empty().alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, p):
-        out, cur = acc["out"], acc["cur"]
-        small = F.length(p) <= size
-        return (
-            F.when(small & (F.length(cur) == 0), F.struct(out.alias("out"), p.alias("cur")))
-            .when(
-                small & (F.length(cur) + 2 + F.length(p) <= size),
-                F.struct(out.alias("out"), F.concat(cur, F.lit("\n\n"), p).alias("cur")),
-            )
-            .when(small, F.struct(F.concat(out, F.array(cur)).alias("out"), p.alias("cur")))
-            .otherwise(
-                F.struct(F.concat(_append_if(out, cur), windows(p, size, overlap)).alias("out"), F.lit("").alias("cur"))
-            )
-        )
+    """Paragraphs (split on a blank line) packed greedily; an oversize paragraph is cut in windows.
 
-    return F.aggregate(paragraphs, init, step, lambda acc: _append_if(acc["out"], acc["cur"]))
+    An oversize paragraph can share no group (its length alone is over ``size``), so packing all
+    paragraphs first and cutting the groups that are too long is the same.
+    """
+    groups = pack(split_literal(text, "\n\n"), "\n\n", size)
+    return let(
+        groups,
+        lambda gs: F.when(
+            F.exists(gs, lambda g: F.length(g) > _c(size)),
+            F.flatten(F.transform(gs, lambda g: F.when(F.length(g) <= _c(size), F.array(g)).otherwise(windows(g, size, overlap)))),
+        ).otherwise(gs),
+    )
 
 
 def apply_overlap(chunks: Column, overlap) -> Column:
@@ -117,7 +114,14 @@ def apply_overlap(chunks: Column, overlap) -> Column:
 
 
 def _level(sep: str, size: Column):
-    return lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(pack(split_literal(p, sep), sep, size))
+    """Split the pieces that are too long at ``sep`` and pack them; a piece without ``sep`` stays as it is."""
+    split = lambda p: F.when((F.length(p) > size) & p.contains(sep), pack(split_literal(p, sep), sep, size)).otherwise(F.array(p))
+    return _where_too_long(size, split)
+
+
+def _where_too_long(size: Column, cut) -> Callable[[Column], Column]:
+    """Pieces -> pieces: ``cut`` each one, but only in lists with a piece over ``size``."""
+    return lambda ps: F.when(F.exists(ps, lambda p: F.length(p) > size), F.flatten(F.transform(ps, cut))).otherwise(ps)
 
 
 def recursive_stages(size, overlap) -> list[Callable[[Column], Column]]:
@@ -135,9 +139,9 @@ def recursive_stages(size, overlap) -> list[Callable[[Column], Column]]:
     stages: list[Callable[[Column], Column]] = []
     for sep in RECURSIVE_SEPARATORS[:-1]:
         lv = _level(sep, size)
-        stages.append(lambda st, lv=lv: F.transform(st, lambda ps: F.flatten(F.transform(ps, lv))))
-    last = lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(windows(p, size, overlap))
-    stages.append(lambda st: F.transform(st, lambda ps: F.flatten(F.transform(ps, last))))
+        stages.append(lambda st, lv=lv: F.transform(st, lv))
+    last = _where_too_long(size, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(windows(p, size, overlap)))
+    stages.append(lambda st: F.transform(st, last))
     stages.append(lambda st: F.flatten(F.transform(st, lambda ps: apply_overlap(ps, overlap))))
     return stages
 
@@ -158,56 +162,38 @@ def sentences(text: Column | str) -> Column:
     return stripped_nonblank(F.split(col_(text), f"(?<=[{SENTENCE_END_CHARS}])", -1))
 
 
-def semantic_stages(size, overlap, threshold, embed: Callable[[Column], Column]) -> list[Callable[[Column], Column]]:
-    """C6 as stages over the stripped text: sentences, vectors, similarity to the previous sentence,
-    the left-to-right fold, then C2 on groups that ended up oversize.
+def semantic_stages(size, overlap, threshold, similarity: Callable[[Column], Column]) -> list[Callable[[Column], Column]]:
+    """C6 as stages over the stripped text: sentences, similarity of each to the sentence before it, the
+    left-to-right packing, then C2 on groups that ended up oversize.
 
-    ``embed`` maps a sentence Column to a vector Column (e.g. ``hash_embed``). The compared vector is
-    always the immediately preceding sentence's.
+    ``similarity`` maps an array of sentences to the array of similarities to the previous one (0 for the first).
     """
-    from .vectors import cosine
-
     size, overlap, threshold = _c(size), _c(overlap), _c(threshold)
 
-    def with_vectors(t: Column) -> Column:
-        sents = sentences(t)
-        return F.transform(sents, lambda x: F.struct(x.alias("s"), embed(x).alias("v")))
-
-    def with_sims(items: Column) -> Column:
-        # bound once: element_at on an unbound expression would re-embed every sentence per element
-        return let(
-            items,
-            lambda its: F.transform(
-                its,
-                lambda it, i: F.struct(
-                    it["s"].alias("s"),
-                    F.when(i == 0, F.lit(0.0)).otherwise(cosine(F.element_at(its, i)["v"], it["v"])).alias("sim"),
-                ),
-            ),
-        )
+    def with_sims(t: Column) -> Column:
+        return let(sentences(t), lambda ss: F.struct(ss.alias("s"), F.transform(ss, F.length).alias("n")))
 
-    def fold(items: Column) -> Column:
-        init = F.struct(_empty().alias("out"), F.lit("").alias("cur"))
+    def fold(v: Column) -> Column:
+        init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("cur"), F.lit(0).alias("i"))
 
         def step(acc, it):
-            s_, sim, cur = it["s"], it["sim"], acc["cur"]
-            return (
-                F.when(F.length(cur) == 0, F.struct(acc["out"].alias("out"), s_.alias("cur")))
-                .when(
-                    (sim >= threshold) & (F.length(cur) + F.length(s_) <= size),
-                    F.struct(acc["out"].alias("out"), F.concat(cur, s_).alias("cur")),
-                )
-                .otherwise(F.struct(F.concat(acc["out"], F.array(strip(cur))).alias("out"), s_.alias("cur")))
-            )
-
-        return F.aggregate(items, init, step, lambda acc: _append_if(acc["out"], strip(acc["cur"])))
+            longer = acc["cur"] + it["n"]
+            return F.when(
+                (acc["cur"] >= 0) & (it["sim"] >= threshold) & (longer <= size),
+                F.struct(acc["starts"].alias("starts"), longer.alias("cur"), (acc["i"] + 1).alias("i")),
+            ).otherwise(F.struct(F.concat(acc["starts"], F.array(acc["i"])).alias("starts"), it["n"].alias("cur"), (acc["i"] + 1).alias("i")))
+
+        items = F.zip_with(v["n"], v["sims"], lambda n, sim: F.struct(n.alias("n"), sim.alias("sim")))
+        return stripped_nonblank(joined_groups(v["s"], F.aggregate(items, init, step, lambda acc: acc["starts"]), ""))
 
     def split_oversize(groups: Column) -> Column:
         return F.flatten(
             F.transform(groups, lambda g: F.when(F.length(g) <= size, F.array(g)).otherwise(fixed_chunks(g, size, overlap)))
         )
 
-    return [with_vectors, with_sims, fold, split_oversize]
+    # the similarities come from a batched Python function, which cannot stand inside a lambda
+    add_sims = lambda v: v.withField("sims", similarity(v["s"]))
+    return [with_sims, add_sims, fold, split_oversize]
 
 
 def sections(text: Column | str) -> Column:
@@ -230,8 +216,12 @@ def sections(text: Column | str) -> Column:
     )
 
 
-def add_chunks(df, text_col: str, out_col: str, strategy: str, size, overlap, threshold=0.75, embed=None):
-    """Add ``out_col`` = the chunk array of ``text_col`` (already normalised and stripped)."""
+def add_chunks(df, text_col: str, out_col: str, strategy: str, size, overlap, threshold=0.75, make_model=None, batch_size: int = 32):
+    """Add ``out_col`` = the chunk array of ``text_col`` (already normalised and stripped).
+
+    ``make_model`` (C6 only) is that of E1: called once per worker, it returns ``predict(texts) -> (n, dim)``;
+    without one the E2 hash model is used.
+    """
     t = F.col(text_col)
     if strategy == "fixed":
         return df.withColumn(out_col, fixed_chunks(t, size, overlap))
@@ -240,9 +230,10 @@ def add_chunks(df, text_col: str, out_col: str, strategy: str, size, overlap, th
     elif strategy == "structure":
         df, stages = df.withColumn(out_col, structure_init(t, size)), recursive_stages(size, overlap)
     elif strategy == "semantic":
-        if embed is None:
-            from .vectors import hash_embed as embed
-        df, stages = df.withColumn(out_col, t), semantic_stages(size, overlap, threshold, embed)
+        from ..operators.embedding import hash_vectors, previous_similarity
+
+        similarity = previous_similarity(make_model or hash_vectors, batch_size)
+        df, stages = df.withColumn(out_col, t), semantic_stages(size, overlap, threshold, similarity)
     else:
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     for st in stages:

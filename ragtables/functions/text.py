@@ -25,8 +25,14 @@ def col_(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode white space."""
-    return F.btrim(col_(c), F.lit(WHITESPACE))
+    """Python ``str.strip()``: remove leading and trailing Unicode white space.
+
+    Spark's trim with a set of characters walks the whole string character by character, so it runs only
+    where the first or last character is white space.
+    """
+    c = col_(c)
+    blank_end = lambda at: F.instr(F.lit(WHITESPACE), F.substring(c, at, 1)) > 0
+    return F.when((F.length(c) > 0) & (blank_end(1) | blank_end(-1)), F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def normalize_newlines(c: Column | str) -> Column:

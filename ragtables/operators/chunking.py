@@ -10,14 +10,11 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.arrow_chunkers import chunk_rows_fn
 from ..functions.chunkers import add_chunks
 from ..functions.text import clean_text, nullif_blank
-from ..plans.partitioning import spread
 from ..schemas import CHUNK_COLUMNS, FILE_METADATA_COLUMNS
 from .profiles import ChunkConfig, Profile
 
@@ -27,35 +24,22 @@ def chunk_documents(
     config: ChunkConfig = ChunkConfig(),
     *,
     text_col: str = "content",
-    embed: Callable[[Column], Column] | None = None,
-    engine: str = "arrow",
-    make_embed: Callable | None = None,
+    make_model: Callable | None = None,
+    batch_size: int = 32,
 ) -> DataFrame:
     """One row per chunk: the document's columns, ``chunk_index`` and the chunk as ``content``.
 
-    Text is normalised and stripped first; blank documents give no chunks. ``engine="arrow"`` (default)
-    runs the chunker as an Arrow-batched pandas UDF (measured 10-30x faster than interpreted lambdas);
-    ``engine="native"`` keeps everything in JVM expressions (``embed`` is then a Column function).
-    Semantic chunking embeds sentences with ``make_embed()`` (arrow) or ``embed`` (native); both
-    default to the E2 hash embedding.
+    Text is normalised and stripped first; blank documents give no chunks. Chunkers are array expressions
+    in the scan stage. Semantic chunking (C6) asks the model of E1 (``make_model``, batches of
+    ``batch_size`` sentences) for vectors; without one it uses the E2 hash model.
     """
     config.validate()
     keep = [c for c in docs.columns if c != text_col]
-    docs = spread(docs)
-    if engine == "arrow":
-        fn = chunk_rows_fn(text_col, keep, config.strategy, config.size, config.overlap, config.threshold, make_embed)
-        schema = T.StructType(
-            [docs.schema[c] for c in keep] + [T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())]
-        )
-        return docs.select(*keep, text_col).mapInArrow(fn, schema)
-    if engine == "native":
-        staged = docs.withColumn("_text", clean_text(F.col(text_col)))
-        staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, embed)
-    else:
-        raise ValueError("engine must be 'arrow' or 'native'")
-    return staged.select(*keep, F.posexplode("_chunks").alias("chunk_index", "content")).withColumn(
-        "chunk_index", F.col("chunk_index").cast("int")
-    )
+    staged = docs.select(*keep, clean_text(F.col(text_col)).alias("_text"))
+    staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, make_model, batch_size)
+    # the outer form: for the inner one Spark infers a filter on the array and so chunks every text twice more
+    chunks = staged.select(*keep, F.posexplode_outer("_chunks").alias("chunk_index", "content")).filter("chunk_index is not null")
+    return chunks.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def with_chunk_keys(chunks: DataFrame, profile_id: str | None = None, collection_name: str = "") -> DataFrame:
@@ -78,7 +62,8 @@ def chunk_profiles(
     docs: DataFrame,
     profiles: list[Profile],
     *,
-    embed: Callable[[Column], Column] | None = None,
+    make_model: Callable | None = None,
+    batch_size: int = 32,
     persist: bool = False,
 ) -> DataFrame:
     """The same documents chunked once per profile, each into its own collection.
@@ -95,7 +80,7 @@ def chunk_profiles(
         docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for p in profiles:
-        part = with_chunk_keys(chunk_documents(docs, p.chunk, embed=embed), p.id, p.collection_name)
+        part = with_chunk_keys(chunk_documents(docs, p.chunk, make_model=make_model, batch_size=batch_size), p.id, p.collection_name)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -105,10 +90,10 @@ def chunk_profiles(
 
 
 def _native(df: DataFrame, text_col: str, out_col: str, strategy: str, size: int, overlap: int, threshold: float = 0.75,
-            embed: Callable[[Column], Column] | None = None) -> DataFrame:
+            make_model: Callable | None = None) -> DataFrame:
     ChunkConfig(strategy, size, overlap, threshold).validate()
     staged = df.withColumn(out_col, clean_text(F.col(text_col)))
-    return add_chunks(staged, out_col, out_col, strategy, size, overlap, threshold, embed)
+    return add_chunks(staged, out_col, out_col, strategy, size, overlap, threshold, make_model)
 
 
 def split_fixed(df: DataFrame, text_col: str, size: int, overlap: int, out_col: str = "chunks") -> DataFrame:
@@ -122,9 +107,9 @@ def split_recursive(df: DataFrame, text_col: str, size: int, overlap: int, out_c
 
 
 def split_semantic(df: DataFrame, text_col: str, size: int, overlap: int, threshold: float,
-                   embed: Callable[[Column], Column] | None = None, out_col: str = "chunks") -> DataFrame:
-    """C6 (``embed`` maps a sentence Column to a vector Column; default E2)."""
-    return _native(df, text_col, out_col, "semantic", size, overlap, threshold, embed)
+                   make_model: Callable | None = None, out_col: str = "chunks") -> DataFrame:
+    """C6 (``make_model`` as in E1; default E2)."""
+    return _native(df, text_col, out_col, "semantic", size, overlap, threshold, make_model)
 
 
 def split_structure(df: DataFrame, text_col: str, size: int, overlap: int, out_col: str = "chunks") -> DataFrame:

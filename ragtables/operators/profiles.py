@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.text import strip
 from pyspark.sql import types as T
 
 # Strategies, retrieval methods and defaults of the settings.
@@ -121,8 +123,8 @@ def profile_violations(profiles: DataFrame, registry_enabled: bool = True) -> Da
     """K2 as a table: one row per violated rule (profile id, rule). Empty when the registry is off."""
     p = profiles
     rules = [
-        ("id_blank", F.length(F.btrim(F.coalesce("id", F.lit("")))) == 0),
-        ("name_blank", F.length(F.btrim(F.coalesce("name", F.lit("")))) == 0),
+        ("id_blank", F.length(strip(F.coalesce("id", F.lit("")))) == 0),
+        ("name_blank", F.length(strip(F.coalesce("name", F.lit("")))) == 0),
         ("collection_name_invalid", ~F.coalesce(F.col("collection_name").rlike(COLLECTION_NAME_REGEX), F.lit(False))),
         ("overlap_not_below_size", F.col("chunk_overlap") >= F.col("chunk_size")),
         ("strategy_unknown", ~F.col("chunk_strategy").isin(*CHUNK_STRATEGIES)),
@@ -148,6 +150,8 @@ def profile_violations(profiles: DataFrame, registry_enabled: bool = True) -> Da
 
 def validate_profiles(profiles: DataFrame, registry_enabled: bool = True) -> None:
     """K2: raise when the profile table breaks a rule."""
-    bad = profile_violations(profiles, registry_enabled).limit(20).collect()
-    if bad:
-        raise ValueError("invalid profiles: " + "; ".join(f"{r['id']}: {r['rule']}" for r in bad))
+    found = profile_violations(profiles, registry_enabled)
+    shown = found.limit(21).collect()  # the message names 20 of them
+    if shown:
+        more = f"; and {found.count() - 20} more" if len(shown) > 20 else ""
+        raise ValueError("invalid profiles: " + "; ".join(f"{r['id']}: {r['rule']}" for r in shown[:20]) + more)

@@ -63,8 +63,9 @@ def build_prompts(questions: DataFrame, hits: DataFrame, system_prompt: str = ""
     """
     system = system_prompt.strip() or DEFAULT_SYSTEM_PROMPT
     blocks = format_context(hits)
+    path = [F.col("path")] if "path" in blocks.columns else [F.lit("").alias("path")]
     per_q = blocks.groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "block", "source", F.coalesce(F.col("content"), F.lit("")).alias("content")))).alias("_b")
+        F.array_sort(F.collect_list(F.struct("rank", "block", "source", F.coalesce(F.col("content"), F.lit("")).alias("content"), *path))).alias("_b")
     )
     context = F.array_join(F.transform("_b", lambda b: b["block"]), "\n\n")
     refs = F.array_distinct(F.transform("_b", lambda b: b["source"]))
@@ -85,21 +86,29 @@ def first_context_answer(pdf):
     return [(b[0]["content"] if b is not None and len(b) else "") for b in pdf["_blocks"]]
 
 
-def generate_answers(prompts: DataFrame, fn: Callable = first_context_answer) -> DataFrame:
-    """One completion per prompt through a user function over pandas batches (one client per
-    partition); the answer is stripped, null -> '', and a failure is recorded per row in ``error``."""
+def generate_answers(prompts: DataFrame, fn: Callable = first_context_answer, batch_size: int = 64) -> DataFrame:
+    """One completion per prompt through a user function over pandas batches of ``batch_size`` prompts (one
+    client per partition); the answer is stripped, null -> ''. If a batch fails, or gives another number of answers
+    than prompts, its prompts are asked one by one, so ``error`` holds the failure of that prompt only."""
     schema = T.StructType(prompts.schema.fields + [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator):
         import pandas as pd
 
-        for pdf in batches:
+        def ask(part: "pd.DataFrame") -> list[tuple[str, str]]:
             try:
-                ans = list(fn(pdf))
-                pdf = pdf.assign(answer=[("" if a is None else str(a)).strip() for a in ans], error="")
-            except Exception as exc:  # whole batch failed: record per row
-                pdf = pdf.assign(answer="", error=str(exc))
-            yield pdf
+                got = list(fn(part))
+                if len(got) != len(part):
+                    raise ValueError(f"{len(got)} answers for {len(part)} prompts")
+                return [(("" if a is None else str(a)).strip(), "") for a in got]
+            except Exception as exc:  # any failure of the user's function is a result
+                if len(part) == 1:
+                    return [("", str(exc) or type(exc).__name__)]
+                return [r for i in range(len(part)) for r in ask(part.iloc[i : i + 1])]
+
+        for pdf in batches:
+            rows = [r for i in range(0, len(pdf), batch_size) for r in ask(pdf.iloc[i : i + batch_size])]
+            yield pdf.assign(answer=[a for a, _ in rows], error=[e for _, e in rows])
 
     return prompts.mapInPandas(run, schema)
 

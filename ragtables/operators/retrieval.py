@@ -126,21 +126,17 @@ def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block
     def scan(batches):
         import re
 
+        import ahocorasick
         import numpy as np
         import pyarrow as pa
 
         qids, tokens, M, ntok = bc.value
         T, Q = M.shape
-        try:
-            import ahocorasick
-
-            auto = ahocorasick.Automaton()
-            for j, tok in enumerate(tokens):
-                auto.add_word(tok, j)
-            auto.make_automaton()
-            find = lambda s: {j for _, j in auto.iter(s)}
-        except ImportError:  # plain substring tests
-            find = lambda s: {j for j, tok in enumerate(tokens) if tok in s}
+        auto = ahocorasick.Automaton()
+        for j, tok in enumerate(tokens):
+            auto.add_word(tok, j)
+        auto.make_automaton()
+        find = lambda s: {j for _, j in auto.iter(s)}
         word = re.compile(r"[a-zA-Z0-9_]+")
         cjk = re.compile("[\u4e00-\u9fff]")
         coll_group = "collection_name" in payload
@@ -170,15 +166,18 @@ def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block
                 H = P @ M  # exact integer hit counts (float64)
                 score = H / ntok[None, :]
                 keep = H > 0
-                if e0 - s0 > k:
-                    # only rows at or above each question's k-th best score in this block (ties kept)
-                    kth = -np.partition(-score, k - 1, axis=0)[k - 1]
-                    keep &= score >= kth[None, :]
+                names = tbl.column("collection_name").to_numpy()[s0:e0] if coll_group else np.zeros(e0 - s0)
+                for name in set(names):
+                    rows = np.flatnonzero(names == name)
+                    if len(rows) > k:
+                        # only rows at or above each question's k-th best score in this block (ties kept)
+                        kth = -np.partition(-score[rows], k - 1, axis=0)[k - 1]
+                        keep[rows] &= score[rows] >= kth[None, :]
                 r, c = np.nonzero(keep)
                 if len(r) == 0:
                     continue
                 cand = tbl.slice(s0, e0 - s0).take(pa.array(r))
-                cand = cand.append_column("question_id", pa.array(qids[c], pa.int64()))
+                cand = cand.append_column("question_id", qids.take(pa.array(c)))
                 cand = cand.append_column("score", pa.array(score[r, c], pa.float64()))
                 kept.append(_trim(cand, k, group, order))
                 kept_rows += kept[-1].num_rows
@@ -199,16 +198,17 @@ def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_cel
     tokens present in each chunk, gets exact hit counts with one matrix product, and keeps a running
     top-k per question; a final rank filter merges partitions."""
     import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark = index.sparkSession
     payload = _payload(index)
     out_schema = T.StructType(
         list(index.select(*payload).schema.fields)
-        + [T.StructField("question_id", T.LongType()), T.StructField("score", T.DoubleType())]
+        + [questions.schema["question_id"], T.StructField("score", T.DoubleType())]
     )
     out_names = [f.name for f in out_schema.fields]
     mult, ntok = question_tokens(questions)
-    mult = mult.withColumn("question_id", F.col("question_id").cast("long"))
     # one bounded fetch when the token table is small (the common case), else blocks of questions
     head = mult.limit(MAX_QUESTION_TOKEN_ROWS + 1).toPandas()
     small = len(head) <= MAX_QUESTION_TOKEN_ROWS
@@ -229,9 +229,10 @@ def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_cel
             pdf = mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).toPandas()
         if len(pdf) == 0:
             continue
-        qids, qpos = np.unique(pdf["question_id"].to_numpy(dtype=np.int64), return_inverse=True)
+        qpos, ids = pdf["question_id"].factorize()
+        qids = pa.array(list(ids), to_arrow_type(questions.schema["question_id"].dataType))
         toks, tpos = np.unique(pdf["token"].to_numpy(dtype=object), return_inverse=True)
-        M = np.zeros((len(toks), len(qids)))
+        M = np.zeros((len(toks), len(ids)))
         np.add.at(M, (tpos, qpos), pdf["mult"].to_numpy(dtype=np.float64))
         ntok_q = M.sum(axis=0)
         bc = spark.sparkContext.broadcast((qids, [str(t) for t in toks], M, ntok_q))
@@ -294,6 +295,8 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
         qids, Q = bq.value
         q, d = Q.shape
         qn = np.linalg.norm(Q, axis=1)
+        group = ("question_id", "collection_name") if "collection_name" in payload else ("question_id",)
+        several = "collection_name" in payload  # the k-th best of a block is of all collections together
         kept, kept_rows = [], 0
         for batch in batches:
             n = batch.num_rows
@@ -310,22 +313,27 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
                 ok = (denom > 0) & valid[s:e, None]
                 cos = np.where(ok, dots / np.where(ok, denom, 1.0), 0.0)
                 dist = np.round(1.0 - cos, 6)
-                if e - s > k:
-                    kth = np.partition(dist, k - 1, axis=0)[k - 1]
-                    r, c = np.nonzero(dist <= kth[None, :])
-                else:
-                    r, c = np.nonzero(np.ones(dist.shape, dtype=bool))
+                near = np.zeros(dist.shape, dtype=bool)
+                names = tbl.column("collection_name").to_numpy()[s:e] if several else np.zeros(e - s)
+                for name in set(names):  # each collection has its own k best
+                    rows = np.flatnonzero(names == name)
+                    if len(rows) > k:
+                        kth = np.partition(dist[rows], k - 1, axis=0)[k - 1]
+                        near[rows] = dist[rows] <= kth[None, :]
+                    else:
+                        near[rows] = True
+                r, c = np.nonzero(near)
                 cand = tbl.slice(s, e - s).take(pa.array(r))
-                cand = cand.append_column("question_id", pa.array(qids[c], pa.int64()))
+                cand = cand.append_column("question_id", qids.take(pa.array(c)))
                 cand = cand.append_column("cosine", pa.array(cos[r, c], pa.float64()))
                 cand = cand.append_column("distance", pa.array(dist[r, c], pa.float64()))
                 kept.append(cand)
                 kept_rows += cand.num_rows
                 if kept_rows > 4 * q * k + 100_000:
-                    merged = _trim(pa.concat_tables(kept), k)
+                    merged = _trim(pa.concat_tables(kept), k, group)
                     kept, kept_rows = [merged], merged.num_rows
         if kept:
-            merged = _trim(pa.concat_tables(kept), k).select(out_names)
+            merged = _trim(pa.concat_tables(kept), k, group).select(out_names)
             for b in merged.to_batches():
                 yield b
 
@@ -342,22 +350,24 @@ def vector_topk(
     max_question_bytes: int = MAX_QUESTION_VECTOR_BYTES,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """The k nearest chunks per question by cosine distance (exact), best first.
+    """The k nearest chunks per question and collection by cosine distance (exact), best first.
 
     Output: payload columns (plus ``carry``, e.g. the chunk vector for re-ranking, so no second index
     scan is needed), question_id, cosine, distance (= round(1 - cos, 6)), rank.
     """
     import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark = index.sparkSession
     payload = _payload(index) + [c for c in (carry or []) if c not in PAYLOAD]
     idx_schema = index.select(*payload).schema
     out_schema = T.StructType(
         list(idx_schema.fields)
-        + [T.StructField("question_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("distance", T.DoubleType())]
+        + [questions.schema["question_id"], T.StructField("cosine", T.DoubleType()), T.StructField("distance", T.DoubleType())]
     )
     out_names = [f.name for f in out_schema.fields]
-    qv = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col(question_vec_col).alias("qvec"))
+    qv = questions.select("question_id", F.col(question_vec_col).alias("qvec"))
     stats = qv.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).collect()[0]
     n, d = stats["n"], stats["d"] or 0
     if n == 0 or k <= 0:
@@ -374,14 +384,15 @@ def vector_topk(
         for i, v in enumerate(pdf["qvec"]):
             if v is not None and len(v) == d:
                 Q[i] = np.asarray(v, dtype=np.float64)
-        bq = spark.sparkContext.broadcast((pdf["question_id"].to_numpy(dtype=np.int64), Q))
+        bq = spark.sparkContext.broadcast((pa.array(list(pdf["question_id"]), to_arrow_type(questions.schema["question_id"].dataType)), Q))
         scan = _scan_factory(bq, k, payload, vec_col, out_names)
         cols = payload + ([vec_col] if vec_col not in payload else [])
         parts.append(index.select(*cols).mapInArrow(scan, out_schema))
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)
-    return top_k(partial, ["question_id"], [F.asc("distance"), F.asc("doc_ord"), F.asc("chunk_index")], k)
+    group = ["question_id", "collection_name"] if "collection_name" in payload else ["question_id"]
+    return top_k(partial, group, [F.asc("distance"), F.asc("doc_ord"), F.asc("chunk_index")], k)
 
 
 # ---------------------------------------------------------------------------------------------------

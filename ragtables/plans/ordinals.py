@@ -31,6 +31,17 @@ def needs_split(df: DataFrame, keys: list[str], max_key_rows: int | None) -> boo
     return largest_key(df, keys) > bound
 
 
+def join_on_keys(rows: DataFrame, per_key: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of its (partition, key) row in ``per_key``; null keys match null keys."""
+    named = per_key.select(*[F.col(c).alias(f"_on_{c}") if c in (*on, *keys) else F.col(c) for c in per_key.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_on_{c}"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return join_small(rows, named, same).drop(*[f"_on_{c}" for c in (*on, *keys)])
+
+
 def _sorted_checkpoint(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     cols = keys + order_by
@@ -55,7 +66,7 @@ def with_ordinal(df: DataFrame, order_by: list[str], name: str, start: int = 0,
     counts = keyed.groupBy("_pid", *keys).agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", *keys, "_off", "_m0")
-    out = join_small(keyed, offs, ["_pid", *keys])
+    out = join_on_keys(keyed, offs, ["_pid"], keys)
     return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + start).cast("long")).drop(
         "_pid", "_mid", "_off", "_m0"
     )
@@ -81,7 +92,7 @@ def lag_split(df: DataFrame, keys: list[str], order_by: list[str], cols: list[st
     last = keyed.groupBy("_pid", *keys).agg(F.max_by(F.struct(*cols), F.col("_mid")).alias("_last"))
     wp = Window.partitionBy(*keys).orderBy("_pid")
     carry = last.select("_pid", *keys, F.lag("_last").over(wp).alias("_carry"))
-    out = join_small(local, carry, ["_pid", *keys])
+    out = join_on_keys(local, carry, ["_pid"], keys)
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"{prefix}{c}")))
     return out.drop("_pid", "_mid", "_first", "_carry")

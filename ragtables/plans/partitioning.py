@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy per-row work (chunking, markup parsing).
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread the rows of a table scan over all cores before CPU-heavy work on each row.
 
-    Only when the input has fewer partitions than the cluster's parallelism (a small file is one
-    scan task); a large scan already has more partitions than cores and is left as it is, so no
-    shuffle is added at scale.
+    ``scan`` must be a plain file scan: its partition count is then known without running a job. Only a scan
+    with fewer partitions than the cluster has cores (a small file) is repartitioned; a large one stays as it
+    is, so no shuffle is added at scale.
     """
-    try:
-        spark = df.sparkSession
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as it is
-        return df
+    target = partitions or scan.sparkSession.sparkContext.defaultParallelism
     # round-robin repartition sorts rows first (spark.sql.execution.sortBeforeRepartition), so a
     # retried task sees the same rows
-    return df.repartition(target) if current < target else df
+    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan

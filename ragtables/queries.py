@@ -20,7 +20,8 @@ from .operators.prompts import answer, build_prompts, format_context
 from .operators.retrieval import keyword_topk, merge_hits, retrieve, retrieve_multi, vector_topk
 from .operators.timing import pair_stages, timing_summary
 from .plans.joins import join_small
-from .sources.files import with_path_metadata
+from .plans.partitioning import spread
+from .sources.files import source_counts, with_path_metadata
 from .sources.index import upsert
 from .sources.logs import parse_stage_log
 from .sources.markup import html_to_text, json_to_text
@@ -35,12 +36,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return documents_from_table(table(spark, d, "documents"))
+    return documents_from_table(spread(table(spark, d, "documents")))
 
 
 def paragraph_documents(spark, d) -> DataFrame:
     """Documents whose line breaks are made paragraph breaks (the table has no blank lines)."""
-    return documents_from_table(table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n")))
+    return documents_from_table(spread(table(spark, d, "documents")).withColumn("text", F.regexp_replace("text", "\n", "\n\n")))
 
 
 def questions(spark, d) -> DataFrame:
@@ -274,16 +275,14 @@ def eval_cases(spark, d) -> DataFrame:
         F.when(F.length("text") < 200, "short").when(F.length("text") < 400, "medium").otherwise("long").alias("category"),
         F.col("text").alias("question"), F.slice(words, 1, 3).alias("expected_keywords"),
     )
-    n = b.count()
-    return build_eval_cases(t, n, ["item_id"]).withColumn("question_id", F.col("item_id"))
+    return build_eval_cases(t, b.count(), ["item_id"]).withColumn("question_id", F.col("item_id"))
 
 
 def eval_results(spark, d) -> DataFrame:
     cases = eval_cases(spark, d)
     qs = cases.select("question_id", "question")
     hits = keyword_topk(qs, default_index(spark, d), 4)
-    ans = answer(qs, hits)
-    return evaluate_cases(cases, ans, hits, 0.5)
+    return evaluate_cases(cases, answer(qs, hits), min_ratio=0.5)
 
 
 def v8_build_eval_cases(spark, d):
@@ -331,7 +330,6 @@ def s2_path_metadata(spark, d):
 
 
 def s4_html_to_text(spark, d):
-    from .plans.partitioning import spread
 
     return spread(table(spark, d, "pages")).select("page_id", html_to_text("html").alias("text"))
 
@@ -369,16 +367,11 @@ def s12_source_counts(spark, d):
     pages = table(spark, d, "pages").select(
         F.col("page_id").alias("doc_id"), clean_text(html_to_text("html")).alias("content"), F.lit("html").alias("document_type")
     ).filter(F.length("content") > 0)
-    u = docs.select("doc_id", "content", "document_type").unionByName(pages)
-    per = u.groupBy("document_type").agg(F.count("*").alias("documents"))
-    total = u.agg(F.lit("total").alias("document_type"), F.count("*").alias("documents"))
-    return per.unionByName(total)
+    return source_counts(docs.select("doc_id", "content", "document_type").unionByName(pages))
 
 
 def s13_upsert(spark, d):
-    docs = documents_from_table(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
-    langs = table(spark, d, "documents").select("doc_id", "lang")
-    docs = docs.join(langs, "doc_id")
+    docs = documents_from_table(spread(table(spark, d, "documents")), keep=["lang"])
     old = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("en", "fr")).drop("lang"), DEFAULT), None, "knowledge")
     new = with_chunk_keys(chunk_documents(docs.filter(F.col("lang").isin("fr", "de", "es")).drop("lang"),
                                           ChunkConfig("recursive", 300, 40)), None, "knowledge")

@@ -28,16 +28,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the session names none (local tests) a folder under the system temp dir is set.
-    """
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``); a local session may have none and
+    then gets a folder under the system temp dir, any other session must name one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="ragtables-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

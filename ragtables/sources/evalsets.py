@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 CASE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -25,7 +27,7 @@ def load_eval_cases(spark: SparkSession, path: str, limit: int = 0) -> tuple[Dat
     the first ``limit`` cases when limit > 0."""
     if path.lower().endswith(".jsonl"):
         raw = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
-        raw = raw.filter(F.length(F.trim("value")) > 0)
+        raw = raw.filter(F.length(strip("value")) > 0)
         cases = raw.select("_line", F.from_json("value", CASE_SCHEMA).alias("c"))
         from ..plans.ordinals import with_ordinal
 
@@ -33,25 +35,35 @@ def load_eval_cases(spark: SparkSession, path: str, limit: int = 0) -> tuple[Dat
         n = cases.count()
         meta = spark.createDataFrame([(json.dumps({"format": "jsonl", "case_count": n}),)], "meta string")
     else:
-        schema = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
-                               T.StructField("cases", T.ArrayType(CASE_SCHEMA))])
-        doc = spark.read.schema(schema).option("multiLine", "true").json(path)
+        schema = T.StructType([T.StructField("meta", T.StringType()), T.StructField("cases", T.ArrayType(CASE_SCHEMA))])
+        doc = spark.read.schema(schema).option("multiLine", "true").json(path)  # a string field keeps an object's JSON text
         cases = doc.select(F.posexplode("cases").alias("pos", "c")).select((F.col("pos") + 1).alias("ord"), "c.*")
-        meta = doc.select(F.to_json("meta").alias("meta"))
+        meta = doc.select("meta")
     if limit > 0:
         cases = cases.filter(F.col("ord") <= limit)
     return cases, meta
 
 
+def list_eval_datasets(spark: SparkSession, directory: str) -> DataFrame:
+    """(name, path, format) of the ``.json`` and ``.jsonl`` case files directly in a folder, by name; a missing folder
+    gives no rows."""
+    from .index import _Folder
+
+    names = [n for n in _Folder(spark, directory).names() if n.lower().endswith((".json", ".jsonl"))]
+    rows = [(n, f"{directory.rstrip('/')}/{n}", n.lower().rpartition(".")[2]) for n in names]
+    return spark.createDataFrame(rows, "name string, path string, format string")
+
+
 def write_eval_report(summary: DataFrame, by_category: DataFrame, results: DataFrame, path: str,
                       cases_path: str = "", meta_json: str = "{}") -> None:
-    """generated_at, cases path, meta and summary as one JSON object; per-category rows and per-case
-    results stay partitioned JSON datasets next to it (no single string of all results)."""
-    head = summary.select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
-        F.lit(cases_path).alias("cases_path"), F.lit(meta_json).alias("meta"),
-        F.to_json(F.struct(*summary.columns)).alias("summary"),
+    """generated_at (with zone), cases path, and meta and summary as objects in one JSON line; per-category rows
+    and per-case results stay partitioned JSON datasets next to it (no single string of all results)."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    quoted = F.to_json(F.struct(stamp.alias("generated_at"), F.lit(cases_path).alias("cases_path")))
+    line = F.concat(
+        F.substring(quoted, F.lit(1), F.length(quoted) - 1), F.lit(',"meta":' + json.dumps(json.loads(meta_json or "{}"), ensure_ascii=False)),
+        F.lit(',"summary":'), F.to_json(F.struct(*summary.columns)), F.lit("}"),
     )
-    head.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "/summary")
+    summary.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "/summary")
     by_category.write.mode("overwrite").json(path.rstrip("/") + "/by_category")
     results.write.mode("overwrite").json(path.rstrip("/") + "/results")

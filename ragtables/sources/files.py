@@ -14,7 +14,7 @@ from .markup import html_to_text, structured_to_text
 # Supported file suffixes (lower case).
 SUPPORTED_SUFFIXES = (".txt", ".md", ".pdf", ".csv", ".xlsx", ".xls", ".xlsm", ".docx", ".pptx", ".html", ".json", ".xml")
 # Suffixes whose bytes this package turns into text (the office and PDF formats come as extracted parts, see S9).
-TEXT_SUFFIXES = (".txt", ".md", ".html", ".json", ".xml")
+TEXT_SUFFIXES = (".txt", ".md", ".html", ".json", ".xml", ".csv")
 
 
 def file_name(path: Column) -> Column:
@@ -59,9 +59,10 @@ def with_path_metadata(df: DataFrame, root: str, path_col: str = "path") -> Data
     )
 
 
-def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES) -> DataFrame:
+def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES, ordered: bool = True) -> DataFrame:
     """Regular files under ``directory`` (recursive) whose lower-cased suffix is supported,
-    ordered by path; a missing directory gives no rows. Columns: path, length, content (binary)."""
+    ordered by path; a missing directory gives no rows. Columns: path, length, content (binary).
+    Names that start with a dot or an underscore are left out by Spark's file sources (``skipped_files``)."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()),
                            T.StructField("content", T.BinaryType())])
     try:
@@ -73,7 +74,7 @@ def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES)
     path = F.regexp_replace("path", "^file:", "")
     out = raw.select(path.alias("path"), "length", "content")
     out = out.filter(F.lower(file_suffix(file_name(F.col("path")))).isin(*suffixes))
-    return out.orderBy(F.split("path", "/"))
+    return out.orderBy(F.split("path", "/")) if ordered else out
 
 
 @F.pandas_udf(T.StringType())
@@ -95,30 +96,60 @@ def decode_text(content: Column | str) -> Column:
     """S3: bytes -> text: UTF-8 natively; otherwise GBK, GB18030, then UTF-8 dropping bad bytes."""
     c = col_(content)
     s = c.cast("string")
-    return F.when(F.is_valid_utf8(s), s).otherwise(_decode_fallback(c))
+    # Spark runs a Python function for every row even under CASE WHEN: valid rows send it a null
+    return F.coalesce(F.when(F.is_valid_utf8(s), s), _decode_fallback(F.when(~F.is_valid_utf8(s), c)))
 
 
-def file_documents(spark: SparkSession, directory: str) -> DataFrame:
+def file_documents(spark: SparkSession, directory: str, parts: DataFrame | None = None) -> DataFrame:
     """S12 (files): text formats decoded and converted by suffix, stripped, blanks dropped, newlines
-    normalised; ``doc_ord`` follows the path order."""
-    files = scan_files(spark, directory, TEXT_SUFFIXES)
+    normalised; ``doc_ord`` follows the path order. ``parts`` (path, part, text): the extracted pages, slides or
+    sheets of files in other formats, which become documents too. See ``skipped_files`` for what is left out."""
+    files = scan_files(spark, directory, TEXT_SUFFIXES, ordered=False)  # file bytes are not sorted
     files = with_path_metadata(files, directory)
-    text = decode_text("content")
-    suf = F.col("file_suffix")
-    body = (
-        F.when(suf.isin(".txt", ".md"), text)
-        .when(suf == ".html", html_to_text(text))
-        .otherwise(structured_to_text(suf, text))
-    )
-    docs = files.withColumn("content", clean_text(body)).filter(F.length("content") > 0)
+    docs = files.withColumn("content", file_text(F.col("file_suffix"), F.col("content")))
+    docs = docs.withColumn("content", clean_text("content")).filter(F.length("content") > 0)
+    if parts is not None:
+        from .tables import assemble_parts
+
+        # extracted parts of other formats: (path, part, text), joined per file
+        whole = assemble_parts(parts, doc_key=["path"], part_key="part", text="text", kind="paragraphs")
+        whole = with_path_metadata(whole.select("path", clean_text("content").alias("content")), directory)
+        docs = docs.unionByName(whole.filter(F.length("content") > 0), allowMissingColumns=True)
     from ..plans.ordinals import with_ordinal
 
-    # numbered in path-component order (as sorted Path objects), not string order: "a/b" < "a-c/x"
-    docs = with_ordinal(docs.withColumn("_parts", F.split("path", "/")), ["_parts"], "doc_ord").drop("_parts")
-    docs = docs.withColumn("doc_id", F.sha2(F.col("path"), 256))
+    # numbered in path-component order (as sorted Path objects), not string order: "a/b" < "a-c/x"; only the
+    # paths are ordered and numbered, and joined back
+    paths = with_ordinal(docs.select("path", F.split("path", "/").alias("_parts")), ["_parts"], "doc_ord").drop("_parts")
+    docs = docs.join(paths, "path").withColumn("doc_id", F.sha2(F.col("path"), 256))
     return docs.select(*DOCUMENT_COLUMNS)
 
 
+def file_text(suffix: Column, content: Column) -> Column:
+    """Text of a file's bytes by its suffix (S3-S7); null for other formats."""
+    text = decode_text(content)
+    plain = F.when(suffix.isin(".txt", ".md"), text).when(suffix == ".html", html_to_text(F.when(suffix == ".html", text)))
+    return F.coalesce(plain, structured_to_text(suffix, F.when(suffix.isin(".json", ".xml", ".csv"), text)))
+
+
+def skipped_files(spark: SparkSession, directory: str, suffixes=TEXT_SUFFIXES) -> DataFrame:
+    """(path, file_suffix) of the files under ``directory`` that ``file_documents`` does not read: other suffixes, and
+    names that start with a dot or an underscore, which Spark's file sources leave out."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(directory)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    if fs.exists(root):
+        found = fs.listFiles(root, True)
+        while found.hasNext():
+            path = found.next().getPath()
+            name = path.getName()
+            dot = name.rfind(".")
+            suffix = name[dot:].lower() if 0 < dot < len(name) - 1 else ""
+            if name.startswith((".", "_")) or suffix not in suffixes:
+                rows.append((path.toUri().getPath(), suffix))
+    return spark.createDataFrame(rows, "path string, file_suffix string")
+
+
 def load_documents(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of all sources concatenated in argument order (files first, then tables) and
     numbered across the whole list (``doc_ord``, used in chunk ids), + counts per type and total."""
@@ -136,7 +167,7 @@ def load_documents(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def source_counts(docs: DataFrame) -> DataFrame:
-    """S12 counts: documents per ``document_type`` and a ``total`` row (one aggregate pass each)."""
-    per = docs.groupBy("document_type").agg(F.count("*").alias("documents"))
-    total = docs.agg(F.lit("total").alias("document_type"), F.count("*").alias("documents"))
-    return per.unionByName(total)
+    """S12 counts: documents per ``document_type`` and a ``total`` row, in one pass (``rollup``)."""
+    counted = docs.rollup("document_type").agg(F.count("*").alias("documents"), F.grouping("document_type").alias("_total"))
+    name = F.when(F.col("_total") == 1, F.lit("total")).otherwise(F.col("document_type"))
+    return counted.select(name.alias("document_type"), "documents")

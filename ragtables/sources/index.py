@@ -2,79 +2,148 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_name", "doc_id")) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_name", "doc_id"), documents: DataFrame | None = None) -> DataFrame:
     """Rows of the incoming documents replace all old rows of those documents (so chunks that a
-    document no longer has disappear); other rows are kept. Left-anti join on the document key +
-    union: no row-by-row id lookups."""
-    incoming = new.select(*keys).distinct()
+    document no longer has disappear); other rows are kept. ``documents``: the keys of all incoming documents, also
+    of those that have no chunk any more. Left-anti join on the document key + union: no row-by-row id lookups."""
+    incoming = new.select(*keys)
+    if documents is not None:
+        incoming = incoming.unionByName(documents.select(*keys))
     # data-derived side: AQE broadcasts it after measuring it, else a shuffle anti-join (skew split on)
-    kept = old.join(incoming, list(keys), "left_anti")
+    kept = old.join(incoming.distinct(), list(keys), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-# Document buckets per collection: an upsert rewrites only the buckets its documents fall into.
+# Document buckets per collection of a new index: an upsert rewrites only the buckets its documents fall into.
 DOC_BUCKETS = 256
+# The index keeps its bucket count in this file (readers skip names that start with an underscore).
+META = "_index.json"
 
 
 def doc_bucket(doc_id, buckets: int = DOC_BUCKETS):
     return F.pmod(F.xxhash64(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(buckets)).cast("int")
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "replace", buckets: int = DOC_BUCKETS) -> dict:
+class _Folder:
+    """A folder on any Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
+        self.fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _of(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def names(self, inside: str = "") -> list[str]:
+        at = self._of(f"{self.path}/{inside}" if inside else self.path)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def delete(self, inside: str) -> None:
+        self.fs.delete(self._of(f"{self.path}/{inside}"), True)
+
+    def move(self, source: str, inside: str) -> None:
+        target = self._of(f"{self.path}/{inside}")
+        self.fs.mkdirs(target.getParent())
+        if not self.fs.rename(self._of(source), target):
+            raise OSError(f"cannot move {source} to {target}")
+
+    def read(self, name: str) -> str | None:
+        at = self._of(f"{self.path}/{name}")
+        if not self.fs.exists(at):
+            return None
+        stream = self.fs.open(at)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._of(f"{self.path}/{name}"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+
+def index_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count of an existing index; None without one."""
+    folder = _Folder(spark, path)
+    if not any(n.startswith("collection_name=") for n in folder.names()):
+        return None
+    meta = folder.read(META)
+    return json.loads(meta)["buckets"] if meta else DOC_BUCKETS
+
+
+def write_index(chunks: DataFrame, path: str, mode: str = "replace", buckets: int = DOC_BUCKETS, documents: DataFrame | None = None,
+                counts: bool = True) -> dict:
     """Write chunks partitioned by ``collection_name`` and ``doc_bucket`` (a hash of ``doc_id``).
 
-    ``replace``: the collections present in ``chunks`` are replaced (their other buckets are removed
-    first), other collections stay. ``upsert``: only the (collection, bucket) partitions touched by the
-    incoming documents are read, merged (the incoming documents' chunks replace theirs) and rewritten;
-    the merge goes through a staged path, never overwriting the path being read in the same plan.
-    Returns the per-collection document and chunk counts; no chunks is an error.
+    ``replace``: the collections present in ``chunks`` are replaced, other collections stay. ``upsert``: only the
+    (collection, bucket) partitions touched by the incoming documents are read, merged (the incoming documents'
+    chunks replace theirs; ``documents`` also names those that became blank) and rewritten. An existing index keeps
+    its bucket count; a new one takes ``buckets``. All rows are computed once, into a stage folder of its own beside
+    the index, one file for each partition; only when that is complete the old partitions give way to the staged
+    ones, by renaming. An index that cannot be read is an error. Returns the per-collection document and chunk
+    counts (``counts=False``: none, which saves reading the index); no chunks is an error, but for an upsert with
+    ``documents``.
     """
-    spark = chunks.sparkSession
-    if chunks.limit(1).count() == 0:
-        raise ValueError("no chunks to index")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    if mode not in ("replace", "upsert"):
+        raise ValueError("mode must be 'replace' or 'upsert'")
+    spark, folder, parts = chunks.sparkSession, _Folder(chunks.sparkSession, path), ["collection_name", "doc_bucket"]
+    known = index_buckets(spark, path)
+    buckets = known or buckets
     chunks = chunks.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
-    parts = ["collection_name", "doc_bucket"]
-    try:
+    stage = f"{folder.path}._stage-{uuid.uuid4().hex}"
+    fresh = chunks
+    touched = None
+    if mode == "upsert" and known is not None:
+        keys = chunks.select(*parts, "doc_id")
+        if documents is not None:
+            documents = documents.select("collection_name", "doc_id").withColumn("doc_bucket", doc_bucket("doc_id", buckets))
+            keys = keys.unionByName(documents)
+        # at most collections x buckets small rows
+        touched = [(r["collection_name"], r["doc_bucket"]) for r in keys.select(*parts).distinct().collect()]
         old = spark.read.parquet(path)
-    except Exception:
-        old = None
-    if mode == "upsert" and old is not None:
-        # the touched partitions: at most collections x buckets small rows
-        touched = chunks.select(*parts).distinct()
-        old_touched = old.join(F.broadcast(touched), parts, "left_semi")
-        merged = upsert(old_touched, chunks)
-        staged = path.rstrip("/") + "._staged"
-        merged.write.mode("overwrite").partitionBy(*parts).parquet(staged)
-        chunks = spark.read.parquet(staged)
-    elif mode == "replace" and old is not None:
-        # a replaced collection must not keep buckets the new chunks do not cover: drop its partition
-        # directories (collections are few: names come to the driver), then write the new chunks
-        names = [r[0] for r in chunks.select("collection_name").distinct().collect()]
-        _drop_collections(spark, path, names)
-    elif mode not in ("replace", "upsert"):
-        raise ValueError("mode must be 'replace' or 'upsert'")
-    if chunks is not None:
-        chunks.write.mode("overwrite").partitionBy(*parts).parquet(path)
+        where = F.lit(False)
+        for name in sorted({c for c, _ in touched}):
+            where = where | ((F.col("collection_name") == name) & F.col("doc_bucket").isin([b for c, b in touched if c == name]))
+        fresh = upsert(old.filter(where), chunks, documents=documents)
+    fresh.repartition(*parts).write.partitionBy(*parts).parquet(stage)
+    staged = _Folder(spark, stage)
+    collections = [n for n in staged.names() if n.startswith("collection_name=")]
+    if not collections and not touched:
+        folder.fs.delete(folder._of(stage), True)
+        raise ValueError("no chunks to index")
+    filled = {(c, b) for c in collections for b in staged.names(c) if b.startswith("doc_bucket=")}
+    if mode == "replace":
+        for c in collections:
+            folder.delete(c)
+    for name, bucket in touched or []:
+        c, b = f"collection_name={_escaped(spark, name)}", f"doc_bucket={bucket}"
+        if (c, b) not in filled:
+            folder.delete(f"{c}/{b}")
+    for c, b in sorted(filled):
+        folder.delete(f"{c}/{b}")
+        folder.move(f"{stage}/{c}/{b}", f"{c}/{b}")
+    folder.write(META, json.dumps({"buckets": buckets}))
+    folder.fs.delete(folder._of(stage), True)
+    if not counts or not any(n.startswith("collection_name=") and folder.names(n) for n in folder.names()):
+        return {}
+    spark.catalog.refreshByPath(path)
     stats = spark.read.parquet(path).groupBy("collection_name").agg(
         F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks")
     )
     return {r["collection_name"]: {"documents": r["documents"], "chunks": r["chunks"]} for r in stats.collect()}
 
 
-def _drop_collections(spark, path: str, names: list[str]) -> None:
-    """Delete ``collection_name=<name>`` partition directories (Hadoop FileSystem, any storage)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in names:
-        p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/collection_name=" + name)
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            fs.delete(p, True)
+def _escaped(spark: SparkSession, name: str) -> str:
+    """A partition value as Spark writes it in a folder name."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
 
 
 def read_index(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
@@ -86,7 +155,7 @@ def read_index(spark: SparkSession, path: str, collection: str | None = None) ->
 def build_index(docs: DataFrame, path: str, profiles=None, *, config=None, make_model=None, embed_col: str = "embedding",
                 mode: str = "replace", batch_size: int = 32) -> dict:
     """Ingest: documents -> chunks per profile (C1/C9) -> keys (C10) -> vectors (E1, when
-    ``make_model`` is given) -> partitioned index (S13). Without profiles one default collection is
+    ``make_model`` is given, which semantic chunking then uses too) -> partitioned index (S13). Without profiles one default collection is
     built with ``config``. Returns the per-collection document and chunk counts."""
     from ..operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
     from ..operators.embedding import embed
@@ -95,9 +164,12 @@ def build_index(docs: DataFrame, path: str, profiles=None, *, config=None, make_
     if docs.limit(1).count() == 0:
         raise FileNotFoundError("no documents to index")
     if profiles:
-        chunks = chunk_profiles(docs, list(profiles))
+        chunks = chunk_profiles(docs, list(profiles), make_model=make_model, batch_size=batch_size)
+        names = [p.collection_name for p in profiles]
     else:
-        chunks = with_chunk_keys(chunk_documents(docs, config or ChunkConfig()), None, DEFAULT_COLLECTION)
+        split = chunk_documents(docs, config or ChunkConfig(), make_model=make_model, batch_size=batch_size)
+        chunks, names = with_chunk_keys(split, None, DEFAULT_COLLECTION), [DEFAULT_COLLECTION]
     if make_model is not None:
         chunks = embed(chunks, "content", make_model, out_col=embed_col, batch_size=batch_size, normalize=True)
-    return write_index(chunks, path, mode=mode)
+    incoming = docs.select(F.explode(F.array(*map(F.lit, names))).alias("collection_name"), "doc_id")
+    return write_index(chunks, path, mode=mode, documents=incoming)

@@ -1,40 +1,52 @@
-"""Markup to text (S4 HTML natively; S5 JSON and S6 XML through Arrow-batched pandas UDFs)."""
+"""Markup to text (S4 HTML, S5 JSON, S6 XML, S7 CSV files) through Arrow-batched pandas UDFs over the standard parsers."""
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import col_, stripped_nonblank
-
-# Named character references decoded in text, also without the closing ';'
-# (the legacy names); '&amp' is decoded last so that '&amp;lt;' stays '&lt;'.
-HTML_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\xa0"), ("copy", "©"), ("reg", "®"),
-    ("middot", "·"), ("amp", "&"),
-]
 # Elements whose text is not part of the visible text.
 HIDDEN_ELEMENTS = ("script", "style", "template")
-# Python str.splitlines() boundaries.
-LINE_BREAKS_REGEX = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def html_to_text(html: Column | str) -> Column:
-    """Visible text, one line per text node, lines stripped, blank lines dropped.
+class _VisibleText(HTMLParser):
+    """Text nodes outside hidden elements; character references are decoded by the parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.nodes, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in HIDDEN_ELEMENTS
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in HIDDEN_ELEMENTS and self.hidden > 0
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.nodes.append(data)
 
-    Hidden elements, comments and the doctype are removed, every tag ends a line, entities are decoded.
-    """
-    x = col_(html)
-    for tag in HIDDEN_ELEMENTS:
-        x = F.regexp_replace(x, f"(?is)<{tag}\\b.*?</{tag}\\s*>", "\n")
-    x = F.regexp_replace(x, "(?s)<!--.*?-->", "\n")
-    x = F.regexp_replace(x, "(?s)<![^>]*>", "\n")
-    x = F.regexp_replace(x, "(?s)</?[a-zA-Z][^>]*>", "\n")
-    for name, ch in HTML_ENTITIES:
-        x = F.regexp_replace(x, f"&{name};?", ch.replace("\\", "\\\\").replace("$", "\\$"))
-    return F.array_join(stripped_nonblank(F.split(x, LINE_BREAKS_REGEX, -1)), "\n")
+
+def visible_text(html: str) -> str:
+    """The text nodes of a page, one per line, lines stripped, blank lines dropped."""
+    parser = _VisibleText()
+    parser.feed(html)
+    parser.close()
+    lines = (line.strip() for node in parser.nodes for line in node.splitlines())
+    return "\n".join(line for line in lines if line)
+
+
+@F.pandas_udf(T.StringType())
+def html_to_text(html: pd.Series) -> pd.Series:
+    """Visible text, one line per text node, lines stripped, blank lines dropped; markup comments, the
+    doctype and hidden elements left out, all character references decoded. Null stays null."""
+    return html.map(lambda v: None if v is None else visible_text(v))
 
 
 @F.pandas_udf(T.StringType())
@@ -71,11 +83,23 @@ def xml_to_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def csv_to_text(text: str) -> str:
+    """A CSV file as table text (S7): header and rows, missing values blank; a file without a column is blank."""
+    import io
+
+    try:
+        table = pd.read_csv(io.StringIO(text))
+    except pd.errors.EmptyDataError:
+        return ""
+    shown = table.astype(object).where(table.notna(), "").astype(str)
+    shown.columns = [str(c) for c in shown.columns]
+    return shown.to_csv(index=False).strip() or "(空表)"
+
+
 @F.pandas_udf(T.StringType())
 def structured_to_text(suffix: pd.Series, text: pd.Series) -> pd.Series:
-    """S5/S6 dispatched by file suffix inside one UDF (Spark evaluates a Python UDF for every row even
-    under ``CASE WHEN``, so the suffix test must happen here): ``.json`` and ``.xml`` are converted,
-    other rows give null."""
+    """S5, S6 and CSV by file suffix in one UDF; other rows give null. The caller sends null texts for these: Spark
+    evaluates a Python UDF for every row even under ``CASE WHEN``."""
     import json
     import xml.etree.ElementTree as ET
 
@@ -88,6 +112,8 @@ def structured_to_text(suffix: pd.Series, text: pd.Series) -> pd.Series:
             out: list = []
             _flatten_xml(ET.fromstring(v), 0, out)
             return "\n".join(out)
+        if suf == ".csv":
+            return csv_to_text(v)
         return None
 
     return pd.Series([one(s, v) for s, v in zip(suffix, text)], dtype=object)

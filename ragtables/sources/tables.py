@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 
 
-def documents_from_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def documents_from_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """A text table as documents: ``doc_ord`` is the table's own ordinal key, content is normalised.
 
-    Blank documents are dropped (the reference skips them before numbering).
+    Blank documents are dropped (they have no number). ``keep``: other columns to carry.
     """
     return df.select(
+        *(keep or []),
         F.col(id_col).alias("doc_id"),
         F.col(id_col).cast("long").alias("doc_ord"),
         clean_text(F.col(text_col)).alias("content"),

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text
 from ..operators.chunking import chunk_documents, with_chunk_keys
+from ..operators.embedding import embed
 from ..operators.profiles import ChunkConfig
-from ..sources.files import TEXT_SUFFIXES, decode_text, file_name, file_suffix, with_path_metadata
-from ..sources.index import write_index
-from ..sources.markup import html_to_text, structured_to_text
+from ..sources.files import TEXT_SUFFIXES, file_name, file_suffix, file_text, with_path_metadata
+from ..sources.index import _Folder, index_buckets, write_index
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -32,17 +32,54 @@ BINARY_FILE_SCHEMA = T.StructType(
 
 
 def _batch_documents(files: DataFrame, root: str) -> DataFrame:
+    """Documents of the files, also those without text (their chunks are to go)."""
     files = files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
     files = files.filter(F.lower(file_suffix(file_name(F.col("path")))).isin(*TEXT_SUFFIXES))
     files = with_path_metadata(files, root)
-    text = decode_text("content")
-    suf = F.col("file_suffix")
-    body = (F.when(suf.isin(".txt", ".md"), text).when(suf == ".html", html_to_text(text))
-            .otherwise(structured_to_text(suf, text)))
-    docs = files.withColumn("content", clean_text(body)).filter(F.length("content") > 0)
-    # doc_id = hash of the path: stable across batches, so an upsert replaces a changed file's chunks
-    docs = docs.withColumn("doc_id", F.sha2("path", 256)).withColumn("doc_ord", F.xxhash64("path"))
-    return docs.drop("length")
+    docs = files.withColumn("content", clean_text(file_text(F.col("file_suffix"), F.col("content"))))
+    # doc_id = hash of the path: stable across batches, so an upsert replaces a changed file's chunks; the batch job
+    # numbers documents by path order instead, which no later batch could keep
+    return docs.withColumn("doc_id", F.sha2("path", 256)).withColumn("doc_ord", F.xxhash64("path"))
+
+
+def _upsert(docs: DataFrame, index_path: str, config: ChunkConfig, profile_id: str | None, collection: str,
+            make_model: Callable | None, batch_size: int) -> None:
+    chunks = with_chunk_keys(chunk_documents(docs, config, make_model=make_model, batch_size=batch_size), profile_id, collection)
+    if make_model is not None:
+        chunks = embed(chunks, "content", make_model, batch_size=batch_size, normalize=True)
+    incoming = docs.select(F.lit(collection).alias("collection_name"), "doc_id")
+    if chunks.isEmpty() and index_buckets(docs.sparkSession, index_path) is None:
+        return
+    write_index(chunks, index_path, mode="upsert", documents=incoming, counts=False)
+
+
+def _note(files: DataFrame, manifest: str) -> None:
+    files.select("path", "modificationTime").write.mode("append").parquet(manifest)
+
+
+def ingest_changes(spark: SparkSession, directory: str, index_path: str, checkpoint: str, *, config: ChunkConfig = ChunkConfig(),
+                   profile_id: str | None = None, collection: str = "knowledge", make_model: Callable | None = None,
+                   batch_size: int = 32) -> int:
+    """Re-read the files whose modification time is later than that of their last ingest, and drop the chunks of files
+    that are gone. Returns the number of such files. The ingested (path, modification time) rows are kept beside the
+    stream's checkpoint."""
+    manifest = f"{checkpoint.rstrip('/')}/manifest"
+    if not _Folder(spark, manifest).names():
+        return 0
+    seen = spark.read.parquet(manifest).groupBy("path").agg(F.max("modificationTime").alias("at"))
+    now = spark.read.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true").load(directory)
+    listed = now.select("path", "modificationTime")  # pruned: no file is read
+    state = seen.join(listed, "path", "left")
+    state = state.filter(F.col("modificationTime").isNull() | (F.col("modificationTime") > F.col("at"))).persist()
+    n = state.count()
+    if n:
+        changed = now.join(state.filter("modificationTime is not null").select("path"), "path", "left_semi")
+        gone = state.filter("modificationTime is null").select("path", F.lit(None).cast("binary").alias("content"))
+        docs = _batch_documents(changed.select("path", "content").unionByName(gone), directory)
+        _upsert(docs, index_path, config, profile_id, collection, make_model, batch_size)
+        _note(state.select("path", F.coalesce("modificationTime", F.current_timestamp()).alias("modificationTime")), manifest)
+    state.unpersist()
+    return n
 
 
 def ingest_stream(
@@ -54,27 +91,28 @@ def ingest_stream(
     config: ChunkConfig = ChunkConfig(),
     profile_id: str | None = None,
     collection: str = "knowledge",
-    embed: Callable[[Column], Column] | None = None,
+    make_model: Callable | None = None,
+    batch_size: int = 32,
     available_now: bool = True,
 ):
-    """Start the incremental ingest; returns the StreamingQuery (already finished when available_now)."""
+    """Start the incremental ingest; returns the StreamingQuery (already finished when available_now).
+
+    The file source knows new paths only; with ``available_now`` changed and removed files are brought up to date
+    afterwards (``ingest_changes``); beside a running stream, call that function when needed."""
     stream = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", "true").load(directory)
     )
 
     def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        docs = _batch_documents(batch, directory)
-        chunks = with_chunk_keys(chunk_documents(docs, config), profile_id, collection)
-        if embed is not None:
-            chunks = chunks.withColumn("embedding", embed(F.col("content")))
-        if chunks.limit(1).count() == 0:
-            return
-        write_index(chunks, index_path, mode="upsert")
+        _upsert(_batch_documents(batch, directory), index_path, config, profile_id, collection, make_model, batch_size)
+        _note(batch, f"{checkpoint.rstrip('/')}/manifest")
 
     q = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     handle = q.start()
     if available_now:
         handle.awaitTermination()
+        ingest_changes(spark, directory, index_path, checkpoint, config=config, profile_id=profile_id, collection=collection,
+                       make_model=make_model, batch_size=batch_size)
     return handle

@@ -1,27 +1,28 @@
-"""Chunkers against the plain-Python statement (tests/pyref.py) on in-line and random texts."""
+"""Chunkers: hand-worked expected chunks, and properties that must hold on random texts."""
 
 import random
+import re
 
-import pyref
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ragtables.functions import chunkers as C
 from ragtables.functions.text import WHITESPACE, clean_text, strip
-from ragtables.functions.vectors import hash_embed
-from ragtables.operators.chunking import chunk_documents, with_chunk_keys
-from ragtables.operators.profiles import ChunkConfig
+from ragtables.operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
+from ragtables.operators.profiles import ChunkConfig, Profile
 
 
-def run_chunks(spark, texts, strategy, size, overlap, threshold=0.75):
+def run_chunks(spark, texts, strategy, size, overlap, threshold=0.75, make_model=None):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
-    staged = C.add_chunks(df.withColumn("_t", clean_text("t")), "_t", "c", strategy, size, overlap, threshold, hash_embed)
+    staged = C.add_chunks(df.withColumn("_t", clean_text("t")), "_t", "c", strategy, size, overlap, threshold, make_model)
     got = {r.id: list(r.c) for r in staged.select("id", "c").collect()}
     return [got[i] for i in range(len(texts))]
 
 
-def expect(texts, strategy, size, overlap, threshold=0.75):
-    return [pyref.split_text(t, strategy, size, overlap, threshold, pyref.hash_embed) for t in texts]
+def table(cases):
+    """(texts, expected) of a list of pairs."""
+    return [t for t, _ in cases], [e for _, e in cases]
 
 
 def test_strip_matches_python(spark):
@@ -31,88 +32,99 @@ def test_strip_matches_python(spark):
     assert set(WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
 
 
-FIXED_CASES = [
-    "A" * 50,
-    "A" * 51,
-    "short one\n\n" + "B" * 130 + "\n\nshort two",
-    "a\n\n\nb",
-    "A" * 120,
-    "p1\n\np2\n\np3",
-    "",
-    "   \n\n  ",
+def test_fixed(spark):
+    texts, want = table([
+        ("A" * 50, ["A" * 50]),
+        ("A" * 51, ["A" * 50, "A" * 11]),
+        ("A" * 120, ["A" * 50, "A" * 50, "A" * 40]),  # windows start at 0, 40, 80
+        ("short one\n\n" + "B" * 60 + "\n\nshort two", ["short one", "B" * 50, "B" * 20, "short two"]),
+        ("a\n\n\nb", ["a\n\nb"]),
+        ("p1\n\np2\n\np3", ["p1\n\np2\n\np3"]),
+        ("x" * 30 + "\n\n" + "y" * 18 + "\n\nz", ["x" * 30 + "\n\n" + "y" * 18, "z"]),
+        ("  \n\n ", []),
+        ("", []),
+    ])
+    assert run_chunks(spark, texts, "fixed", 50, 10) == want
+
+
+def test_recursive(spark):
+    texts, want = table([
+        ("one two", ["one two"]),
+        ("aaaa\n\nbbbb\n\ncccc", ["aaaa\n\nbbbb", "cccc"]),
+        ("aaa bbb ccc ddd", ["aaa bbb", "ccc ddd"]),
+        ("aaaaaa. bbbbbb. cc", ["aaaaaa", "bbbbbb.cc"]),  # the separator joins what was split at it
+        ("x" * 23, ["x" * 10, "x" * 10, "x" * 3]),
+        ("中文句子一。中文句子二！三", ["中文句子一", "中文句子二！三"]),
+    ])
+    assert run_chunks(spark, texts, "recursive", 10, 0) == want
+    # overlap: the last characters of the chunk before, in front
+    assert run_chunks(spark, ["aaa bbb ccc ddd"], "recursive", 10, 2) == [["aaa bbb", "bbccc ddd"]]
+
+
+SECTIONS = [
+    ("# Title\nintro text\n## Part\nbody", ["# Title\nintro text", "## Part\nbody"]),
+    ("preface\n# Head\ncontent", ["preface", "# Head\ncontent"]),
+    ("# Only heading at start", ["# Only heading at start"]),
+    ("记录 1\na: 1\n\n记录 2\na: 2", ["记录 1\na: 1", "记录 2\na: 2"]),
+    ("第十二章 开始\n内容\n第3节 继续", ["第十二章 开始\n内容", "第3节 继续"]),
+    ("１. full width digit\n2. ascii digit", ["１. full width digit", "2. ascii digit"]),
+    ("一、第一\n二、第二", ["一、第一", "二、第二"]),
+    ("para one\n\npara two", ["para one", "para two"]),
+    ("#nospace\n#\tTab heading", ["#nospace", "#\tTab heading"]),
+    ("no cut at all", ["no cut at all"]),
 ]
 
 
-@pytest.mark.parametrize("overlap", [0, 10])
-def test_fixed_inline(spark, overlap):
-    assert run_chunks(spark, FIXED_CASES, "fixed", 50, overlap) == expect(FIXED_CASES, "fixed", 50, overlap)
+def test_sections(spark):
+    texts, want = table(SECTIONS)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = df.select("id", C.sections(clean_text("t")).alias("s")).orderBy("id").collect()
+    assert [list(r.s) for r in got] == want
 
 
-def test_fixed_long_paragraph_reference_case(spark):
-    # 120 x A, size 50, overlap 10: windows start at 0, 40, 80
-    assert run_chunks(spark, ["A" * 120], "fixed", 50, 10)[0] == ["A" * 50, "A" * 50, "A" * 40]
+def test_structure_keeps_small_sections_and_splits_large_ones(spark):
+    texts, want = table(SECTIONS)
+    assert run_chunks(spark, texts, "structure", 1000, 0) == want
+    assert run_chunks(spark, ["# A\none two three\n# B\nx"], "structure", 9, 0) == [["# A", "one two", "three", "# B\nx"]]
 
 
-RECURSIVE_CASES = [
-    "First sentence here. Second sentence is here! Third one?",
-    "a\n\nb\n\nc",
-    "x" * 95,
-    "one two three four five six seven eight nine ten eleven twelve",
-    "中文句子一。中文句子二！中文句子三？还有；分号;结束",
-    "....!!!???",
-    "line one\nline two\n\n\npara two " + "w" * 30,
-    "tab\tseparated\ttext " * 5,
-]
+def test_sentences(spark):
+    df = spark.createDataFrame([("a。b！c？d!e?f；g;h\ni.j",), ("",), ("x",)], "t string")
+    assert [list(r.s) for r in df.select(C.sentences("t").alias("s")).collect()] == [["a。", "b！", "c？", "d!", "e?", "f；", "g;", "h", "i.j"], [], ["x"]]
 
 
-@pytest.mark.parametrize("size,overlap", [(20, 0), (20, 5), (40, 0), (7, 3)])
-def test_recursive_inline(spark, size, overlap):
-    assert run_chunks(spark, RECURSIVE_CASES, "recursive", size, overlap) == expect(RECURSIVE_CASES, "recursive", size, overlap)
+def models():
+    """Two models (nested functions travel to the workers by value): one vector for all; one way for texts with an "x"."""
 
+    def constant_model():
+        return lambda texts: np.ones((len(texts), 3))
 
-STRUCTURE_CASES = [
-    "# Title\nintro text\n## Part\nbody",
-    "preface\n# Head\ncontent",
-    "# Only heading at start and nothing else",
-    "记录 1\na: 1\n\n记录 2\na: 2",
-    "第十二章 开始\n内容\n第3节 继续",
-    "１. full width digit\n2. ascii digit",
-    "一、第一\n二、第二",
-    "para one\n\npara two",
-    "#nospace\n#\tTab heading",
-]
+    def alternating_model():
+        return lambda texts: np.array([[1.0, 0.0] if "x" in t else [0.0, 1.0] for t in texts])
 
+    return constant_model, alternating_model
 
-@pytest.mark.parametrize("size", [10, 60, 1000])
-def test_structure_inline(spark, size):
-    assert run_chunks(spark, STRUCTURE_CASES, "structure", size, 3) == expect(STRUCTURE_CASES, "structure", size, 3)
 
+constant_model, alternating_model = models()
 
-def test_sections_inline(spark):
-    df = spark.createDataFrame([(t,) for t in STRUCTURE_CASES], "t string")
-    got = [list(r.s) for r in df.select(C.sections(clean_text("t")).alias("s")).collect()]
-    assert got == [pyref.sections(t.strip()) for t in STRUCTURE_CASES]
 
-
-SEMANTIC_CASES = [
-    "Only one sentence",
-    "X" * 90,
-    "same words. same words. same words. other topic entirely!",
-    "alpha beta; alpha beta; gamma delta? gamma delta",
-    "。！？",
-]
+def test_semantic_asks_the_model(spark):
+    texts = ["aa. bb!cc!dd!ee!", "x1!x2!b!c!x3!", "only one", "x" * 9 + "!" + "x" * 9 + "!"]
+    assert run_chunks(spark, texts, "semantic", 20, 0, 0.5, constant_model) == [["aa. bb!cc!dd!ee!"], ["x1!x2!b!c!x3!"], ["only one"], ["x" * 9 + "!" + "x" * 9 + "!"]]
+    assert run_chunks(spark, texts, "semantic", 20, 0, 0.5, alternating_model) == [["aa. bb!cc!dd!ee!"], ["x1!x2!", "b!c!", "x3!"], ["only one"], ["x" * 9 + "!" + "x" * 9 + "!"]]
+    # size ends a group, and what is over size alone is cut like a paragraph
+    assert run_chunks(spark, ["x1!x2!x3!", "x" * 12], "semantic", 6, 0, 0.5, alternating_model) == [["x1!x2!", "x3!"], ["x" * 6, "x" * 6]]
 
 
-@pytest.mark.parametrize("threshold", [0.3, 1.0])
-def test_semantic_inline(spark, threshold):
-    got = run_chunks(spark, SEMANTIC_CASES, "semantic", 30, 5, threshold)
-    assert got == expect(SEMANTIC_CASES, "semantic", 30, 5, threshold)
-
-
-def test_sentences(spark):
-    texts = ["a。b！c？d!e?f；g;h\ni.j", "", "x"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [list(r.s) for r in df.select(C.sentences("t").alias("s")).collect()] == [pyref.sentences(t) for t in texts]
+def test_profiles_and_documents_pass_the_model(spark):
+    docs = spark.createDataFrame([("d", 0, "aa. bb!cc!dd!ee!")], "doc_id string, doc_ord long, content string")
+    config = ChunkConfig("semantic", 100, 0, 0.9)
+    assert [r.content for r in chunk_documents(docs, config, make_model=constant_model).collect()] == ["aa. bb!cc!dd!ee!"]
+    rows = chunk_profiles(docs, [Profile("p", "P", "coll", config)], make_model=constant_model).collect()
+    assert [r.content for r in rows] == ["aa. bb!cc!dd!ee!"]
+    assert len(chunk_documents(docs, config).collect()) > 1  # the default model
+    with pytest.raises(TypeError):
+        chunk_documents(docs, config, embed=constant_model)
 
 
 def _random_text(rng):
@@ -120,12 +132,22 @@ def _random_text(rng):
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120)))
 
 
+def _letters(text):
+    return re.sub(r"[\s.。！？!?；;]", "", text)
+
+
 @pytest.mark.parametrize("strategy", ["fixed", "recursive", "structure", "semantic"])
-def test_random_texts(spark, strategy):
-    rng = random.Random(hash(strategy) % 1000)
-    texts = [_random_text(rng) for _ in range(300)]
-    for size, overlap in [(15, 4), (40, 0)]:
-        assert run_chunks(spark, texts, strategy, size, overlap, 0.5) == expect(texts, strategy, size, overlap, 0.5)
+def test_chunks_of_random_texts(spark, strategy):
+    rng = random.Random(len(strategy))
+    texts = [_random_text(rng) for _ in range(200)]
+    for size in (15, 40):
+        for text, chunks in zip(texts, run_chunks(spark, texts, strategy, size, 0, 0.5), strict=True):
+            assert all(0 < len(c) <= size and c == c.strip() for c in chunks)
+            assert _letters("".join(chunks)) == _letters(text)  # whole, in order
+    plain, lapped = (run_chunks(spark, texts, strategy, 15, o, 0.5) for o in (0, 4))
+    if strategy in ("recursive", "structure") and all(len(t) <= 15 for c in plain for t in c):
+        for a, b in zip(plain, lapped, strict=True):
+            assert (not a) == (not b)
 
 
 def test_chunk_documents_and_keys(spark):
@@ -150,29 +172,13 @@ def test_config_validation():
         ChunkConfig("semantic", 10, 1, 0.0).validate()
 
 
-@pytest.mark.parametrize("strategy", ["fixed", "recursive", "structure", "semantic"])
-def test_arrow_engine_equals_native(spark, strategy):
-    rng = random.Random(7)
-    texts = [_random_text(rng) for _ in range(200)] + FIXED_CASES + RECURSIVE_CASES + STRUCTURE_CASES + SEMANTIC_CASES
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, content string")
-    cfg = ChunkConfig(strategy, 25, 5, 0.5)
-    a = sorted(tuple(r) for r in chunk_documents(docs, cfg, engine="arrow").collect())
-    n = sorted(tuple(r) for r in chunk_documents(docs, cfg, engine="native").collect())
-    assert a == n
-    exp = sorted((i, j, c) for i, t in enumerate(texts) for j, c in enumerate(pyref.split_text(t, strategy, 25, 5, 0.5, pyref.hash_embed)))
-    assert a == exp
-
-
-def test_named_native_forms(spark):
-    from ragtables.operators.chunking import (split_fixed, split_recursive, split_sections, split_semantic, split_sentences,
-                                              split_structure)
-
-    texts = RECURSIVE_CASES + STRUCTURE_CASES
+def test_named_forms(spark):
+    from ragtables.operators.chunking import split_fixed, split_recursive, split_sections, split_semantic, split_sentences, split_structure
+
+    texts = [t for t, _ in SECTIONS]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
-    for fn, strat in [(split_fixed, "fixed"), (split_recursive, "recursive"), (split_structure, "structure")]:
-        got = [list(r.chunks) for r in fn(df, "t", 20, 4).orderBy("id").collect()]
-        assert got == expect(texts, strat, 20, 4)
-    got = [list(r.chunks) for r in split_semantic(df, "t", 20, 4, 0.5).orderBy("id").collect()]
-    assert got == expect(texts, "semantic", 20, 4, 0.5)
-    assert [list(r.sentences) for r in split_sentences(df, "t").orderBy("id").collect()] == [pyref.sentences(t.strip()) for t in texts]
-    assert [list(r.sections) for r in split_sections(df, "t").orderBy("id").collect()] == [pyref.sections(t.strip()) for t in texts]
+    for fn, strategy in [(split_fixed, "fixed"), (split_recursive, "recursive"), (split_structure, "structure")]:
+        assert [list(r.chunks) for r in fn(df, "t", 20, 4).orderBy("id").collect()] == run_chunks(spark, texts, strategy, 20, 4)
+    assert [list(r.chunks) for r in split_semantic(df, "t", 20, 4, 0.5).orderBy("id").collect()] == run_chunks(spark, texts, "semantic", 20, 4, 0.5)
+    assert [list(r.sections) for r in split_sections(df, "t").orderBy("id").collect()] == [e for _, e in SECTIONS]
+    assert split_sentences(df, "t").count() == len(texts)

@@ -64,3 +64,22 @@ def test_ordered_join_paths(spark):
     w1 = with_ordinal(df, ["t"], "o", partition_by=["k"])
     w2 = with_ordinal(df, ["t"], "o", partition_by=["k"], max_key_rows=100)
     assert sorted(map(tuple, w1.select("k", "t", "o").collect())) == sorted(map(tuple, w2.select("k", "t", "o").collect()))
+
+
+def test_null_keys_survive_on_both_paths(spark):
+    rows = [(None if i % 2 else "k", i) for i in range(8)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    for bound in (None, 1):
+        got = with_ordinal(df, ["t"], "o", partition_by=["k"], max_key_rows=bound).collect()
+        assert sorted((str(r.k), r.t, r.o) for r in got) == sorted((str(k), t, t // 2) for k, t in rows)
+        lagged = lag_split(df, ["k"], ["t"], ["t"], max_key_rows=bound).collect()
+        assert sorted((str(r.k), r.t, r.prev_t) for r in lagged) == sorted((str(k), t, t - 2 if t > 1 else None) for k, t in rows)
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    from ragtables.plans import joins
+
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) s", "array_repeat(0.0D, 100) v")
+    assert fits(wide, 100)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 100_000)
+    assert not fits(wide, 100)

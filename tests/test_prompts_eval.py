@@ -45,6 +45,26 @@ def test_prompts_and_answer(spark):
     assert b[1].error == "model down" and b[1].answer == ""
 
 
+def test_a_failing_prompt_fails_alone(spark):
+    q = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "question_id long, question string").coalesce(1)
+    h = spark.createDataFrame([(i, 1, "s", "", None, None, None, f"c{i}") for i in range(6)], HIT)
+
+    def failing():
+        def fn(pdf):
+            if "q3" in list(pdf["question"]):
+                raise RuntimeError("no q3")
+            return list(pdf["question"])
+
+        return fn
+
+    def short():
+        return lambda pdf: list(pdf["question"])[:1]  # one answer too few for every batch but those of one prompt
+
+    got = {r.question: (r.answer, r.error) for r in answer(q, h, failing()).collect()}
+    assert got == {f"q{i}": (f"q{i}", "") if i != 3 else ("", "no q3") for i in range(6)}
+    assert {r.answer for r in answer(q, h, short()).collect()} == {f"q{i}" for i in range(6)}
+
+
 def test_keyword_scoring(spark):
     df = spark.createDataFrame([("RAG and Drag", ["rag", "RAG", "x"]), ("abc", [])], "t string, k array<string>")
     r = df.select(keyword_hits(F.col("t"), F.col("k")).alias("m")).collect()
@@ -66,7 +86,8 @@ def test_evaluation(spark):
     )
     hits = spark.createDataFrame([(1, 1, "beta text", "s", "/p"), (3, 1, "c", "s", "/p")],
                                  "question_id long, rank int, content string, source string, path string")
-    res = evaluate_cases(cases, answers, hits)
+    contexts = hits.groupBy("question_id").agg(F.collect_list(F.struct("rank", "content", "source", "path")).alias("contexts"))
+    res = evaluate_cases(cases, answers.join(contexts, "question_id", "left"))
     r = {x.id: x for x in res.collect()}
     assert r["Q001"].retrieval_hit and r["Q001"].answer_hit and r["Q001"].retrieval_keyword_recall == 0.5
     assert not r["Q002"].retrieval_hit and r["Q002"].error == "boom" and r["Q002"].context_count == 0

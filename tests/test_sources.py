@@ -93,6 +93,33 @@ def test_tables(spark):
     assert preview_table(spark, "t_small", 1, ["id"]).collect()[0].row_count == 1
 
 
+def test_html_cases(spark):
+    cases = [
+        ("caf&eacute; &#39;x&#39; &hellip; &euro;5 &#x41;", "café 'x' … €5 A"),
+        ("&copysr; &ltimes; a &amp;lt; b", "℗ ⋉ a &lt; b"),
+        ('<a title="a>b">hi</a><p>there', "hi\nthere"),
+        ("<!-- <script> -->KEEP<script>no</script> end", "KEEP\nend"),
+        ("<style>p{}</style><template>t<b>u</b></template>x", "x"),
+        ("", ""),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)] + [(99, None)], "id int, h string")
+    got = {r.id: r.t for r in df.select("id", html_to_text("h").alias("t")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)} | {99: None}
+
+
+def test_csv_parts_and_skipped_files(spark):
+    from ragtables.sources.files import skipped_files
+
+    tmp = tempfile.mkdtemp(prefix="rt-mixed-")
+    for name, data in {"a.csv": "id,名\n1,x\n2,\n".encode("gbk"), "b.txt": b"text", "_n.txt": b"x", ".h.txt": b"x", "c.pdf": b"%PDF", "e.csv": b""}.items():
+        with open(os.path.join(tmp, name), "wb") as f:
+            f.write(data)
+    parts = spark.createDataFrame([(f"{tmp}/c.pdf", 2, "page two"), (f"{tmp}/c.pdf", 1, "page one")], "path string, part int, text string")
+    docs = {r.relative_path: r.content for r in file_documents(spark, tmp, parts).collect()}
+    assert docs == {"a.csv": "id,名\n1,x\n2,", "b.txt": "text", "c.pdf": "page one\n\npage two"}
+    assert sorted(os.path.basename(r.path) for r in skipped_files(spark, tmp).collect()) == [".h.txt", "_n.txt", "c.pdf"]
+
+
 def test_index_write_upsert(spark):
     path = tempfile.mkdtemp(prefix="rt-index-") + "/idx"
     mk = lambda rows: spark.createDataFrame(rows, "collection_name string, doc_id string, chunk_index int, content string")
@@ -110,31 +137,94 @@ def test_index_write_upsert(spark):
     assert [r.content for r in upsert(old, new).collect()] == ["z"]
 
 
+def _files(path):
+    return [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+
+
+def test_index_is_clustered_keeps_buckets_and_drops_emptied_documents(spark):
+    path = tempfile.mkdtemp(prefix="rt-index-") + "/idx"
+    rows = spark.range(2000).selectExpr("'c' collection_name", "cast(id % 400 as string) doc_id", "cast(id as int) chunk_index", "concat('t', id) content").repartition(8)
+    write_index(rows, path, buckets=5)
+    assert len(_files(path)) == 5  # one file for each bucket, not one for each task and bucket
+    from ragtables.sources.index import index_buckets
+
+    assert index_buckets(spark, path) == 5
+    new = spark.createDataFrame([("c", "7", 0, "new")], "collection_name string, doc_id string, chunk_index int, content string")
+    gone = spark.createDataFrame([("c", "7"), ("c", "8")], "collection_name string, doc_id string")
+    assert write_index(new, path, mode="upsert", buckets=99, documents=gone)["c"] == {"documents": 399, "chunks": 2000 - 10 + 1}
+    assert read_index(spark, path, "c").filter("doc_id = '7'").first().content == "new"
+    assert write_index(new.limit(0), path, mode="upsert", documents=gone.filter("doc_id = '7'"))["c"]["documents"] == 398
+    assert not [n for n in os.listdir(os.path.dirname(path)) if "_stage" in n]
+
+
+def test_an_index_that_cannot_be_read_is_an_error(spark):
+    path = tempfile.mkdtemp(prefix="rt-index-") + "/idx"
+    mk = lambda rows: spark.createDataFrame(rows, "collection_name string, doc_id string, chunk_index int, content string")
+    write_index(mk([("c", "a", 0, "a"), ("c", "b", 0, "b")]), path, buckets=1)
+    part = [os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n.startswith("part-")][0]
+    with open(part, "wb") as f:
+        f.write(b"broken")
+    with pytest.raises(Exception):
+        write_index(mk([("c", "a", 0, "new")]), path, mode="upsert")
+    assert os.path.exists(part)
+
+
+def test_changed_emptied_and_removed_files(spark):
+    from ragtables.operators.profiles import ChunkConfig
+    from ragtables.streaming.ingest import ingest_stream
+
+    base = tempfile.mkdtemp(prefix="rt-change-")
+    kdir, idx, ck = os.path.join(base, "k"), os.path.join(base, "idx"), os.path.join(base, "ck")
+    os.makedirs(kdir)
+
+    def put(name, text, at):
+        with open(os.path.join(kdir, name), "w") as f:
+            f.write(text)
+        os.utime(os.path.join(kdir, name), (at, at))
+
+    for name in ("a.md", "b.md", "c.md", "d.md"):
+        put(name, f"old {name}", 1_700_000_000)
+    ingest_stream(spark, kdir, idx, ck, config=ChunkConfig("fixed", 50, 0))
+    put("a.md", "new text", 1_700_000_100)
+    put("b.md", "  ", 1_700_000_100)
+    os.remove(os.path.join(kdir, "c.md"))
+    ingest_stream(spark, kdir, idx, ck, config=ChunkConfig("fixed", 50, 0))
+    spark.catalog.refreshByPath(idx)
+    assert sorted(r.content for r in read_index(spark, idx).collect()) == ["new text", "old d.md"]
+
+
 def test_eval_sets_and_report(spark):
     tmp = tempfile.mkdtemp(prefix="rt-eval-")
     cases = [{"id": f"Q{i}", "category": "c", "question": f"q{i}", "expected_keywords": ["k"], "reference": "r"} for i in range(3)]
     with open(os.path.join(tmp, "set.json"), "w") as f:
-        json.dump({"meta": {"name": "x"}, "cases": cases}, f)
+        json.dump({"meta": {"name": "x", "n": {"a": [1, True]}}, "cases": cases}, f)
     with open(os.path.join(tmp, "set.jsonl"), "w") as f:
-        f.write("\n".join(json.dumps(c) for c in cases) + "\n\n")
+        f.write("\n".join(json.dumps(c) for c in cases) + "\n\t\n\n")
     c1, m1 = load_eval_cases(spark, os.path.join(tmp, "set.json"), limit=2)
-    assert [r.id for r in c1.orderBy("ord").collect()] == ["Q0", "Q1"] and json.loads(m1.collect()[0].meta) == {"name": "x"}
+    assert [r.id for r in c1.orderBy("ord").collect()] == ["Q0", "Q1"] and json.loads(m1.collect()[0].meta) == {"name": "x", "n": {"a": [1, True]}}
     c2, m2 = load_eval_cases(spark, os.path.join(tmp, "set.jsonl"))
     assert c2.count() == 3 and json.loads(m2.collect()[0].meta) == {"format": "jsonl", "case_count": 3}
     summary = spark.createDataFrame([(3, 1.0)], "total_cases int, retrieval_recall double")
-    write_eval_report(summary, summary, c2, os.path.join(tmp, "report"), "set.jsonl")
-    assert spark.read.json(os.path.join(tmp, "report", "summary")).count() == 1
+    write_eval_report(summary, summary, c2, os.path.join(tmp, "report"), "set.jsonl", m1.collect()[0].meta)
+    head = json.loads(spark.read.text(os.path.join(tmp, "report", "summary")).first().value)
+    assert head["meta"] == {"name": "x", "n": {"a": [1, True]}} and head["summary"] == {"total_cases": 3, "retrieval_recall": 1.0}
+    assert head["cases_path"] == "set.jsonl" and head["generated_at"][-1] == "Z" or "+" in head["generated_at"]
+    from ragtables.sources.evalsets import list_eval_datasets
+
+    assert [(r.name, r.format) for r in list_eval_datasets(spark, tmp).collect()] == [("set.json", "json"), ("set.jsonl", "jsonl")]
+    assert list_eval_datasets(spark, tmp + "/none").count() == 0
 
 
 def test_stage_log(spark):
     lines = spark.createDataFrame(
         [("2024-01-01 00:00:00,1 | INFO | easy | STAGE_END | vector_retrieve | started_at=2024-01-01T00:00:00 | ended_at=2024-01-01T00:00:01 | duration_ms=12.5",),
          ("2024-01-01 00:00:00,1 | INFO | api | API_STAGE_END | request | started_at=2024-01-01T00:00:00 | ended_at=2024-01-01T00:00:02 | duration_ms=20.0",),
+         ("2024 | INFO | api | STAGE_END | broken | started_at=bad | ended_at=2024-01-01T00:00:02 | duration_ms=1e",),
          ("2024-01-01 | INFO | x | STAGE_START | vector_retrieve | started_at=2024-01-01T00:00:00",)],
         "value string",
     )
     rows = parse_stage_log(lines).orderBy("name").collect()
-    assert [(r.marker, r.name, r.duration_ms) for r in rows] == [("API_STAGE_END", "request", 20.0), ("STAGE_END", "vector_retrieve", 12.5)]
+    assert [(r.marker, r.name, r.duration_ms) for r in rows] == [("STAGE_END", "broken", None), ("API_STAGE_END", "request", 20.0), ("STAGE_END", "vector_retrieve", 12.5)]
 
 
 def test_streaming_ingest_equals_batch(spark):
