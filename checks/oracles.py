@@ -76,8 +76,28 @@ def c3_apply_overlap() -> str:
     )
 
 
-def c6_split_semantic(size: int = 300, overlap: int = 40, th: float = 0.3) -> str:
-    ectes, ev = _embed_ctes("u", "doc_id, i, s", "s", "e")
+def c6_user_model() -> str:
+    """C6 with a model that tells even from odd sentence lengths."""
+    return c6_split_semantic(model=(["ev AS (SELECT doc_id, i, s, CASE WHEN length(s) % 2 = 0 THEN [1.0, 0.0] ELSE [0.0, 1.0] END AS vec FROM u)"], "ev"))
+
+
+def s3_decode_text() -> str:
+    return (
+        "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '中文' || doc_id "
+        "ELSE regexp_replace(text, '[^ -~]', '', 'g') END AS text FROM documents"
+    )
+
+
+def s6_xml_to_text() -> str:
+    nl = "chr(10)"
+    return (
+        f"SELECT n_nationkey, '<nation>' || {nl} || '  <name>' || {nl} || '  ' || n_name || {nl} || '  <region>' || {nl} || '    <key>' || {nl} || "
+        f"'    ' || n_regionkey AS text FROM nation"
+    )
+
+
+def c6_split_semantic(size: int = 300, overlap: int = 40, th: float = 0.3, model: tuple | None = None) -> str:
+    ectes, ev = model or _embed_ctes("u", "doc_id, i, s", "s", "e")
     step = (
         "lambda acc, it: CASE WHEN length(acc.cur) = 0 THEN {'out': acc.out, 'cur': it.s} "
         f"WHEN it.sim >= {th} AND length(acc.cur) + length(it.s) <= {size} THEN {{'out': acc.out, 'cur': acc.cur || it.s}} "
@@ -605,6 +625,9 @@ ORACLES = {
     "s2_path_metadata": s2_path_metadata,
     "s4_html_to_text": s4_html_to_text,
     "s5_json_to_text": s5_json_to_text,
+    "c6_user_model": c6_user_model,
+    "s3_decode_text": s3_decode_text,
+    "s6_xml_to_text": s6_xml_to_text,
     "s7_table_to_text": s7_table_to_text,
     "s9_assemble_parts": s9_assemble_parts,
     "s10_table_documents": s10_table_documents,

@@ -21,10 +21,10 @@ from .operators.retrieval import keyword_topk, merge_hits, retrieve, retrieve_mu
 from .operators.timing import pair_stages, timing_summary
 from .plans.joins import join_small
 from .plans.partitioning import spread
-from .sources.files import source_counts, with_path_metadata
+from .sources.files import decode_text, source_counts, with_path_metadata
 from .sources.index import upsert
 from .sources.logs import parse_stage_log
-from .sources.markup import html_to_text, json_to_text
+from .sources.markup import html_to_text, json_to_text, xml_to_text
 from .sources.tables import (assemble_parts, documents_from_table, load_table_documents, preview_table, rows_to_text,
                              table_to_text)
 
@@ -83,6 +83,16 @@ def c6_split_semantic(spark, d):
     return _chunks_out(chunk_documents(documents(spark, d), ChunkConfig("semantic", 300, 40, 0.3)))
 
 
+def parity_model():
+    """A model that tells even from odd text lengths."""
+    return lambda texts: [[1.0, 0.0] if len(t) % 2 == 0 else [0.0, 1.0] for t in texts]
+
+
+def c6_user_model(spark, d):
+    """C6 with a model other than the default."""
+    return _chunks_out(chunk_documents(documents(spark, d), ChunkConfig("semantic", 300, 40, 0.3), make_model=parity_model))
+
+
 def customer_records(spark, d) -> DataFrame:
     """Customers rendered as record text, one document per nation and 50 records."""
     cust = table(spark, d, "customer")
@@ -329,8 +339,17 @@ def s2_path_metadata(spark, d):
     return m.select("page_id", "path", "file_name", "file_stem", "file_suffix", "relative_path", "parent_dir", "document_type")
 
 
-def s4_html_to_text(spark, d):
+def s3_decode_text(spark, d):
+    """Texts as bytes and back: UTF-8, GBK, and ASCII with a byte that no encoding knows."""
+    t = spread(table(spark, d, "documents"))
+    gbk = F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    bad = F.concat(F.encode(F.regexp_replace("text", "[^ -~]", ""), "UTF-8"), F.unhex(F.lit("FF")))
+    part = F.pmod("doc_id", F.lit(3))
+    raw = F.when(part == 0, F.encode("text", "UTF-8")).when(part == 1, gbk).otherwise(bad)
+    return t.select("doc_id", raw.alias("raw")).select("doc_id", decode_text("raw").alias("text"))
 
+
+def s4_html_to_text(spark, d):
     return spread(table(spark, d, "pages")).select("page_id", html_to_text("html").alias("text"))
 
 
@@ -338,6 +357,12 @@ def s5_json_to_text(spark, d):
     return table(spark, d, "events").select("event_id", json_to_text("props").alias("text"))
 
 
+def s6_xml_to_text(spark, d):
+    """XML built from the nations: nested elements, attributes and tail text (both left out)."""
+    xml = F.concat(F.lit('<nation id="1"><name>'), "n_name", F.lit("</name>tail<region> <key>"), F.col("n_regionkey").cast("string"), F.lit("</key> </region></nation>"))
+    return table(spark, d, "nation").select("n_nationkey", xml_to_text(xml).alias("text"))
+
+
 def s7_table_to_text(spark, d):
     n = join_small(table(spark, d, "nation"), table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     n = n.withColumn("r_regionkey", F.col("n_regionkey"))
@@ -425,6 +450,9 @@ QUERIES = {
     "c3_apply_overlap": c3_apply_overlap,
     "c5_split_sentences": c5_split_sentences,
     "c6_split_semantic": c6_split_semantic,
+    "c6_user_model": c6_user_model,
+    "s3_decode_text": s3_decode_text,
+    "s6_xml_to_text": s6_xml_to_text,
     "s8_rows_to_text": s8_rows_to_text,
     "c8_split_structure": c8_split_structure,
     "c10_chunk_keys": c10_chunk_keys,
