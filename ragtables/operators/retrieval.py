@@ -116,13 +116,58 @@ def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_r
 
 # keyword scan plan: broadcast question tokens, per-partition exact scores and running top-k
 
-# Cells of the (tokens x questions) count matrix broadcast at once; more questions go in blocks.
-MAX_TOKEN_MATRIX_CELLS = 8_000_000
-# Rows of (question, token, count) fetched in one go before falling back to counted blocks.
-MAX_QUESTION_TOKEN_ROWS = 1_000_000
+# Bytes of (question, token, count) entries broadcast at once; more questions go in blocks, each its own scan.
+MAX_TOKEN_BYTES = 64 * 1024 * 1024
+TOKEN_ENTRY_BYTES = 24
+# Rows that a task may keep for the questions of a block (questions x k).
+MAX_STATE_ROWS = 1_000_000
+# Groups of partitions that a question's rows are cut in before they meet.
+MERGE_GROUPS = 32
 
 
-def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block_cells: int = 4_000_000):
+def _key_columns(index: DataFrame) -> list[str]:
+    return [c for c in CHUNK_KEY if c in index.columns]
+
+
+def _merged_top_k(partial: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """Final rank filter in two steps: groups of partitions first, so that a question's rows of all partitions do not
+    meet in one task."""
+    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+    first = top_k(salted, [*group, "_salt"], order, k, rank_col="_first").drop("_first", "_salt")
+    return top_k(first, group, order, k)
+
+
+def _with_payload(index: DataFrame, ranked: DataFrame, questions: int, k: int, columns: list[str]) -> DataFrame:
+    """Payload of the final rows by one join on the chunk key; the ranked side is broadcast when its bound
+    (questions x k x collections) is small."""
+    keys = _key_columns(index)
+    bound = questions * max(k, 1) * _collections_bound(index)
+    if bound <= DEFAULT_BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
+    return index.select(*dict.fromkeys([*keys, *columns])).join(ranked, keys)
+
+
+def _typed_ids(pdf_ids, field):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.array(list(pdf_ids), to_arrow_type(field.dataType))
+
+
+def _best_rows(score, names, k: int):
+    """(row, question) of the rows at or above each question's k-th best score of each collection (ties kept)."""
+    import numpy as np
+
+    keep = np.isfinite(score)
+    for name in set(names):
+        rows = np.flatnonzero(names == name)
+        if len(rows) > k:
+            kth = -np.partition(-score[rows], k - 1, axis=0)[k - 1]
+            keep[rows] &= score[rows] >= kth[None, :]
+    return np.nonzero(keep)
+
+
+def _kw_scan_factory(bc, k: int, keys: list[str], out_names: list[str], block_cells: int = 4_000_000):
     def scan(batches):
         import re
 
@@ -130,119 +175,94 @@ def _kw_scan_factory(bc, k: int, payload: list[str], out_names: list[str], block
         import numpy as np
         import pyarrow as pa
 
-        qids, tokens, M, ntok = bc.value
-        T, Q = M.shape
+        qids, tokens, begins, question, mult, ntok = bc.value
+        n_questions = len(ntok)
         auto = ahocorasick.Automaton()
         for j, tok in enumerate(tokens):
             auto.add_word(tok, j)
         auto.make_automaton()
-        find = lambda s: {j for _, j in auto.iter(s)}
         word = re.compile(r"[a-zA-Z0-9_]+")
         cjk = re.compile("[\u4e00-\u9fff]")
-        coll_group = "collection_name" in payload
-        group = ("question_id", "collection_name") if coll_group else ("question_id",)
+        group = ("question_id", "collection_name") if "collection_name" in keys else ("question_id",)
         order = (("score", "descending"), ("doc_ord", "ascending"), ("chunk_index", "ascending"))
         kept, kept_rows = [], 0
+        step = max(1, block_cells // max(n_questions, 1))
         for batch in batches:
-            n = batch.num_rows
-            if n == 0 or Q == 0:
-                continue
             contents = batch.column(batch.schema.get_field_index("content")).to_pylist()
-            tbl = pa.Table.from_batches([batch]).select(payload)
-            step = max(1, block_cells // max(T, 1))
-            for s0 in range(0, n, step):
-                e0 = min(n, s0 + step)
-                P = np.zeros((e0 - s0, T))
-                for i in range(s0, e0):
-                    text = contents[i]
-                    if not text:
-                        continue
-                    low = text.lower()
-                    # a token occurs in the text iff it occurs in one of its distinct word runs / CJK chars
-                    runs = set(word.findall(low)) | set(cjk.findall(low))
-                    hit = find("\x00".join(runs))
-                    if hit:
-                        P[i - s0, list(hit)] = 1.0
-                H = P @ M  # exact integer hit counts (float64)
-                score = H / ntok[None, :]
-                keep = H > 0
-                names = tbl.column("collection_name").to_numpy()[s0:e0] if coll_group else np.zeros(e0 - s0)
-                for name in set(names):
-                    rows = np.flatnonzero(names == name)
-                    if len(rows) > k:
-                        # only rows at or above each question's k-th best score in this block (ties kept)
-                        kth = -np.partition(-score[rows], k - 1, axis=0)[k - 1]
-                        keep[rows] &= score[rows] >= kth[None, :]
-                r, c = np.nonzero(keep)
-                if len(r) == 0:
+            tbl = pa.Table.from_batches([batch]).select(keys)
+            for low in range(0, batch.num_rows, step):
+                high = min(batch.num_rows, low + step)
+                row, token = [], []
+                for i in range(low, high):
+                    if contents[i]:
+                        text = contents[i].lower()
+                        # a token occurs in the text iff it occurs in one of its distinct word runs / CJK chars
+                        found = {j for _, j in auto.iter("\x00".join(set(word.findall(text)) | set(cjk.findall(text))))}
+                        row += [i - low] * len(found)
+                        token += found
+                if not token:
                     continue
-                cand = tbl.slice(s0, e0 - s0).take(pa.array(r))
+                row, token = np.array(row), np.array(token)
+                # every (chunk, question) entry of the tokens found; sparse, so rare tokens cost nothing
+                size = begins[token + 1] - begins[token]
+                which = np.repeat(np.arange(len(token)), size)
+                at = begins[token][which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]
+                cells = row[which] * n_questions + question[at]
+                hits = np.bincount(cells, weights=mult[at], minlength=(high - low) * n_questions).reshape(high - low, n_questions)
+                score = np.where(hits > 0, hits / ntok[None, :], -np.inf)
+                names = tbl.column("collection_name").to_numpy()[low:high] if len(group) > 1 else np.zeros(high - low)
+                r, c = _best_rows(score, names, k)
+                if not len(r):
+                    continue
+                cand = tbl.slice(low, high - low).take(pa.array(r))
                 cand = cand.append_column("question_id", qids.take(pa.array(c)))
                 cand = cand.append_column("score", pa.array(score[r, c], pa.float64()))
                 kept.append(_trim(cand, k, group, order))
                 kept_rows += kept[-1].num_rows
-                if kept_rows > 4 * Q * k + 100_000:
+                if kept_rows > 4 * n_questions * k + 100_000:
                     merged = _trim(pa.concat_tables(kept), k, group, order)
                     kept, kept_rows = [merged], merged.num_rows
         if kept:
-            merged = _trim(pa.concat_tables(kept), k, group, order).select(out_names)
-            for b in merged.to_batches():
-                yield b
+            yield from _trim(pa.concat_tables(kept), k, group, order).select(out_names).to_batches()
 
     return scan
 
 
-def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_cells: int = MAX_TOKEN_MATRIX_CELLS) -> DataFrame:
-    """R3, scan plan: the same result as the postings plan. Question tokens (distinct, with counts) are
-    size-checked and broadcast as a (tokens x questions) count matrix; every index partition finds the
-    tokens present in each chunk, gets exact hit counts with one matrix product, and keeps a running
-    top-k per question; a final rank filter merges partitions."""
+def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
+    """R3, scan plan: the same result as the postings plan. Question tokens (distinct, with counts) are broadcast as
+    sparse entries in blocks of at most ``max_bytes`` (64 MB hold the tokens of about 100,000 questions); every index
+    partition finds the tokens present in each chunk, sums exact hit counts and keeps a running top-k of chunk keys
+    per question; a rank filter in two steps merges the partitions, and one join fetches the payload."""
     import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = index.sparkSession
-    payload = _payload(index)
-    out_schema = T.StructType(
-        list(index.select(*payload).schema.fields)
-        + [questions.schema["question_id"], T.StructField("score", T.DoubleType())]
-    )
-    out_names = [f.name for f in out_schema.fields]
-    mult, ntok = question_tokens(questions)
-    # one bounded fetch when the token table is small (the common case), else blocks of questions
-    head = mult.limit(MAX_QUESTION_TOKEN_ROWS + 1).toPandas()
-    small = len(head) <= MAX_QUESTION_TOKEN_ROWS
-    if small:
-        nt, nq = head["token"].nunique(), head["question_id"].nunique()
-    else:
-        stats = mult.agg(F.countDistinct("token").alias("t"), F.countDistinct("question_id").alias("q")).collect()[0]
-        nt, nq = stats["t"], stats["q"]
-    if nq == 0 or k <= 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()).add("distance", T.DoubleType()))
-    per_block = max(1, max_cells // max(nt, 1))
-    blocks = max(1, math.ceil(nq / per_block))
-    parts = []
+    spark, field, keys = index.sparkSession, questions.schema["question_id"], _key_columns(index)
+    out_schema = T.StructType([*index.select(*keys).schema.fields, field, T.StructField("score", T.DoubleType())])
+    mult, _ = question_tokens(questions)
+    size = mult.agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("q")).first()
+    if size["q"] == 0 or k <= 0:
+        payload = index.select(*_payload(index)).schema
+        empty = T.StructType([*payload.fields, field, T.StructField("score", T.DoubleType())])
+        return spark.createDataFrame([], empty.add("rank", T.IntegerType()).add("distance", T.DoubleType()))
+    blocks = max(1, math.ceil(size["n"] * TOKEN_ENTRY_BYTES / max_bytes), math.ceil(size["q"] * k / MAX_STATE_ROWS))
+    partial = None
     for b in range(blocks):
-        if blocks == 1 and small:
-            pdf = head
-        else:
-            pdf = mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).toPandas()
+        # a bounded block of question tokens
+        pdf = (mult if blocks == 1 else mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)).toPandas()
         if len(pdf) == 0:
             continue
-        qpos, ids = pdf["question_id"].factorize()
-        qids = pa.array(list(ids), to_arrow_type(questions.schema["question_id"].dataType))
-        toks, tpos = np.unique(pdf["token"].to_numpy(dtype=object), return_inverse=True)
-        M = np.zeros((len(toks), len(ids)))
-        np.add.at(M, (tpos, qpos), pdf["mult"].to_numpy(dtype=np.float64))
-        ntok_q = M.sum(axis=0)
-        bc = spark.sparkContext.broadcast((qids, [str(t) for t in toks], M, ntok_q))
-        parts.append(index.select(*payload).mapInArrow(_kw_scan_factory(bc, k, payload, out_names), out_schema))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    group = ["question_id", "collection_name"] if "collection_name" in payload else ["question_id"]
-    ranked = top_k(partial, group, [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
-    return ranked.withColumn("distance", F.round(1 - F.col("score"), 6))
+        question, ids = pdf["question_id"].factorize()
+        token, names = pdf["token"].factorize()
+        order = np.argsort(token, kind="stable")
+        counts = pdf["mult"].to_numpy(dtype=np.float64)
+        ntok = np.bincount(question, weights=counts)
+        begins = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(names)))))
+        bc = spark.sparkContext.broadcast((_typed_ids(ids, field), [str(t) for t in names], begins, question[order], counts[order], ntok))
+        part = index.select(*keys, "content").mapInArrow(_kw_scan_factory(bc, k, keys, out_schema.fieldNames()), out_schema)
+        partial = part if partial is None else partial.unionByName(part)
+    group = ["question_id", "collection_name"] if "collection_name" in keys else ["question_id"]
+    ranked = _merged_top_k(partial, group, [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
+    out = _with_payload(index, ranked, size["q"], k, _payload(index))
+    return out.withColumn("distance", F.round(1 - F.col("score"), 6))
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -287,7 +307,7 @@ def _trim(t, k: int, group=("question_id",), order=(("distance", "ascending"), (
     return t.filter(pa.array((pos - start) < k))
 
 
-def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[str], block_elems: int = 4_000_000):
+def _scan_factory(bq, k: int, keys: list[str], vec_col: str, out_names: list[str], block_elems: int = 4_000_000):
     def scan(batches):
         import numpy as np
         import pyarrow as pa
@@ -295,8 +315,7 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
         qids, Q = bq.value
         q, d = Q.shape
         qn = np.linalg.norm(Q, axis=1)
-        group = ("question_id", "collection_name") if "collection_name" in payload else ("question_id",)
-        several = "collection_name" in payload  # the k-th best of a block is of all collections together
+        group = ("question_id", "collection_name") if "collection_name" in keys else ("question_id",)
         kept, kept_rows = [], 0
         for batch in batches:
             n = batch.num_rows
@@ -304,7 +323,7 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
                 continue
             X, valid = _matrix(batch.column(batch.schema.get_field_index(vec_col)), d)
             xn = np.linalg.norm(X, axis=1)
-            tbl = pa.Table.from_batches([batch]).select(payload)
+            tbl = pa.Table.from_batches([batch]).select(keys)
             step = max(1, block_elems // q)
             for s in range(0, n, step):
                 e = min(n, s + step)
@@ -313,16 +332,8 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
                 ok = (denom > 0) & valid[s:e, None]
                 cos = np.where(ok, dots / np.where(ok, denom, 1.0), 0.0)
                 dist = np.round(1.0 - cos, 6)
-                near = np.zeros(dist.shape, dtype=bool)
-                names = tbl.column("collection_name").to_numpy()[s:e] if several else np.zeros(e - s)
-                for name in set(names):  # each collection has its own k best
-                    rows = np.flatnonzero(names == name)
-                    if len(rows) > k:
-                        kth = np.partition(dist[rows], k - 1, axis=0)[k - 1]
-                        near[rows] = dist[rows] <= kth[None, :]
-                    else:
-                        near[rows] = True
-                r, c = np.nonzero(near)
+                names = tbl.column("collection_name").to_numpy()[s:e] if len(group) > 1 else np.zeros(e - s)
+                r, c = _best_rows(-dist, names, k)
                 cand = tbl.slice(s, e - s).take(pa.array(r))
                 cand = cand.append_column("question_id", qids.take(pa.array(c)))
                 cand = cand.append_column("cosine", pa.array(cos[r, c], pa.float64()))
@@ -333,9 +344,7 @@ def _scan_factory(bq, k: int, payload: list[str], vec_col: str, out_names: list[
                     merged = _trim(pa.concat_tables(kept), k, group)
                     kept, kept_rows = [merged], merged.num_rows
         if kept:
-            merged = _trim(pa.concat_tables(kept), k, group).select(out_names)
-            for b in merged.to_batches():
-                yield b
+            yield from _trim(pa.concat_tables(kept), k, group).select(out_names).to_batches()
 
     return scan
 
@@ -352,47 +361,38 @@ def vector_topk(
 ) -> DataFrame:
     """The k nearest chunks per question and collection by cosine distance (exact), best first.
 
-    Output: payload columns (plus ``carry``, e.g. the chunk vector for re-ranking, so no second index
-    scan is needed), question_id, cosine, distance (= round(1 - cos, 6)), rank.
+    Question vectors are broadcast in blocks bounded by their bytes and by the rows that a task keeps for them; the
+    scan keeps chunk keys only, and one join fetches the payload of the final rows. Output: payload columns (plus
+    ``carry``, e.g. the chunk vector for re-ranking), question_id, cosine, distance (= round(1 - cos, 6)), rank.
     """
     import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = index.sparkSession
+    spark, field, keys = index.sparkSession, questions.schema["question_id"], _key_columns(index)
     payload = _payload(index) + [c for c in (carry or []) if c not in PAYLOAD]
-    idx_schema = index.select(*payload).schema
-    out_schema = T.StructType(
-        list(idx_schema.fields)
-        + [questions.schema["question_id"], T.StructField("cosine", T.DoubleType()), T.StructField("distance", T.DoubleType())]
-    )
-    out_names = [f.name for f in out_schema.fields]
+    scores = [field, T.StructField("cosine", T.DoubleType()), T.StructField("distance", T.DoubleType())]
+    out_schema = T.StructType([*index.select(*keys).schema.fields, *scores])
     qv = questions.select("question_id", F.col(question_vec_col).alias("qvec"))
     stats = qv.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).collect()[0]
     n, d = stats["n"], stats["d"] or 0
     if n == 0 or k <= 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    per_block = max(1, max_question_bytes // (8 * max(d, 1)))
+        return spark.createDataFrame([], T.StructType([*index.select(*payload).schema.fields, *scores]).add("rank", T.IntegerType()))
+    per_block = max(1, min(max_question_bytes // (8 * max(d, 1)), MAX_STATE_ROWS // k))
     blocks = max(1, math.ceil(n / per_block))
-    parts = []
+    partial = None
     for b in range(blocks):
-        qb = qv if blocks == 1 else qv.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        pdf = qb.toPandas()
+        pdf = (qv if blocks == 1 else qv.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)).toPandas()
         if len(pdf) == 0:
             continue
         Q = np.zeros((len(pdf), d))
         for i, v in enumerate(pdf["qvec"]):
             if v is not None and len(v) == d:
                 Q[i] = np.asarray(v, dtype=np.float64)
-        bq = spark.sparkContext.broadcast((pa.array(list(pdf["question_id"]), to_arrow_type(questions.schema["question_id"].dataType)), Q))
-        scan = _scan_factory(bq, k, payload, vec_col, out_names)
-        cols = payload + ([vec_col] if vec_col not in payload else [])
-        parts.append(index.select(*cols).mapInArrow(scan, out_schema))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    group = ["question_id", "collection_name"] if "collection_name" in payload else ["question_id"]
-    return top_k(partial, group, [F.asc("distance"), F.asc("doc_ord"), F.asc("chunk_index")], k)
+        bq = spark.sparkContext.broadcast((_typed_ids(pdf["question_id"], field), Q))
+        part = index.select(*keys, vec_col).mapInArrow(_scan_factory(bq, k, keys, vec_col, out_schema.fieldNames()), out_schema)
+        partial = part if partial is None else partial.unionByName(part)
+    group = ["question_id", "collection_name"] if "collection_name" in keys else ["question_id"]
+    ranked = _merged_top_k(partial, group, [F.asc("distance"), F.asc("doc_ord"), F.asc("chunk_index")], k)
+    return _with_payload(index, ranked, n, k, payload)
 
 
 # ---------------------------------------------------------------------------------------------------

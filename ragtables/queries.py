@@ -5,6 +5,7 @@ Column names match the DuckDB oracles in ``checks/oracles.py``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ def questions(spark, d) -> DataFrame:
 
 
 def default_index(spark, d, config: ChunkConfig = DEFAULT) -> DataFrame:
-    """C1 + C10 over the documents: the default collection."""
-    return with_chunk_keys(chunk_documents(documents(spark, d), config), None, "knowledge")
+    """C1 + C10 over the documents: the default collection, chunked once and kept (a deployment reads a stored index)."""
+    return with_chunk_keys(chunk_documents(documents(spark, d), config), None, "knowledge").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _chunks_out(df: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def e4_l2_normalize(spark, d):
 
 
 def embedded_index(spark, d) -> DataFrame:
-    return default_index(spark, d).withColumn("embedding", hash_embed_arrow("content"))
+    return default_index(spark, d).withColumn("embedding", hash_embed_arrow("content")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def embedded_questions(spark, d) -> DataFrame:
@@ -242,7 +243,7 @@ def c9_chunk_profiles(spark, d):
 
 
 def r10_retrieve_multi(spark, d):
-    idx = chunk_profiles(documents(spark, d), TWO_PROFILES)
+    idx = chunk_profiles(documents(spark, d), TWO_PROFILES).persist(StorageLevel.MEMORY_AND_DISK)
     h = retrieve_multi(questions(spark, d), idx, TWO_PROFILES, RetrievalConfig("keyword", 4, 12))
     return h.select("question_id", F.col("rank").cast("int").alias("rank"), "kb_id", F.col("doc_ord").alias("doc_id"),
                     "chunk_index", "distance")

@@ -183,7 +183,7 @@ def test_text_ids_blocks_and_collections(spark):
     qs = spark.createDataFrame([("Q001", "common word1", [1.0, 0.0]), ("Q002", "word6", [0.0, 1.0])], "question_id string, question string, embedding array<float>")
     from ragtables.operators.retrieval import keyword_scan_topk
 
-    for hits in (keyword_topk(qs, index, 2), keyword_scan_topk(qs, index, 2, max_cells=1)):
+    for hits in (keyword_topk(qs, index, 2), keyword_scan_topk(qs, index, 2, max_bytes=1)):
         rows = hits.collect()
         assert sorted((r.collection_name, r.doc_ord) for r in rows if r.question_id == "Q001" and r["rank"] == 1) == [("c0", 0), ("c1", 1)]
         assert [(r.collection_name, r.doc_ord) for r in rows if r.question_id == "Q002"] == [("c0", 6)]
