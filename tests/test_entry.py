@@ -1,6 +1,8 @@
 """Driver contract: the flagship query runs; every registered query has an oracle."""
 
 import __spark_entry__ as E
+from checks.oracles import ORACLES
+from ragtables.queries import QUERIES
 
 
 def test_entry_runs(spark):
@@ -10,5 +12,6 @@ def test_entry_runs(spark):
 
 
 def test_queries_have_oracles():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql()) <= set(E.queries())
     assert all(isinstance(s, str) and s.strip() for s in E.oracle_sql().values())

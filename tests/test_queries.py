@@ -1,11 +1,12 @@
-"""Every registered query against its DuckDB oracle on the smallest driver tables (as the driver does
+"""Every query of the library against its DuckDB oracle on the smallest driver tables (as the driver does
 at sf0.01: row count, column names, order-insensitive values)."""
 
 import duckdb
 import pytest
 
-import __spark_entry__ as E
 from checks.compare import TABLES, digest
+from checks.oracles import ORACLES
+from ragtables.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +19,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    rel = duck.sql(E.oracle_sql()[name])
+    rel = duck.sql(ORACLES[name]())
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(rows) == len(orows)
