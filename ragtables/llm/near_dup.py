@@ -10,8 +10,10 @@ Registers are banded (32 bands of 4: a pair of similarity 0.8 is missed with pro
 Texts with equal words are one node. Candidates are verified on the texts: the Jaccard similarity of the sets of
 shingles must be at least ``threshold``. No bucket is expanded into all pairs: in each round every node is compared
 with one leader of its bucket that is not yet in its class (the smallest, then random ones), and classes are joined.
-After the rounds, what is left in buckets between different classes is compared pair by pair without a cap, so each
-pair of texts that shares a bucket is either in one class or has been compared.
+The nodes that still share a bucket with another class are then compared exactly and without a cap: they meet again in
+wide buckets (16 bands of 3: similarity 0.8 is missed with probability 1e-5), each cut into blocks of bounded size, and
+a task computes all similarities of two blocks by a matrix product. Two blocks of a bucket's largest class never meet,
+and a block gives only the links that join classes, so no pairs are emitted.
 
 Defined results: class_id is the smallest doc_id of the class; a text without words (also null) is a class of its
 own; rows with a null doc_id get a null class and take no part; repeated rows are kept, with equal classes; extra
@@ -34,8 +36,13 @@ from ragtables.llm.storage import cut
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
+WIDE_BANDS, WIDE_ROWS = 16, 3
+#: Texts and bytes of text in a block of the exact comparison.
+BLOCK_TEXTS, BLOCK_BYTES = 500, 1 << 20
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
+ROUNDS = 2
+#: Links in a partition of the steps that join classes.
+LINKS_PER_PART = 500_000
 DOCS_AT_ONCE = 2048
 
 
@@ -93,21 +100,21 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int,
     return value.reshape(docs, registers)
 
 
-def band_hashes(registers: np.ndarray) -> np.ndarray:
-    """Hash of each band of ROWS registers, different for each band."""
-    parts = registers.reshape(len(registers), BANDS, ROWS)
-    total = np.tile(np.arange(1, BANDS + 1, dtype=ta.U64) * ta.U64(0xD6E8FEB86659FD93), (len(registers), 1))
-    for j in range(ROWS):
+def band_hashes(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Hash of each band of consecutive registers, different for each band."""
+    parts = registers[:, : bands * rows].reshape(len(registers), bands, rows)
+    total = np.tile(np.arange(1, bands + 1, dtype=ta.U64) * ta.U64(0xD6E8FEB86659FD93), (len(registers), 1))
+    for j in range(rows):
         total = ta.mix(total + parts[:, :, j])
     return total
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, content, bands): a hash of the words, null without words, and the band hashes of each document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = ta.text_buffers(batch.column(1))
-        content, bands = np.zeros(batch.num_rows, dtype=ta.U64), np.zeros((batch.num_rows, BANDS), dtype=ta.U64)
+        content, bands = np.zeros(batch.num_rows, dtype=ta.U64), np.zeros((batch.num_rows, count), dtype=ta.U64)
         some = np.zeros(batch.num_rows, dtype=bool)
         for lo, hi, b, o in ta.blocks(data, offs):
             doc, h = shingles(b, o)
@@ -123,12 +130,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             for at in range(0, hi - lo, DOCS_AT_ONCE):
                 few = min(DOCS_AT_ONCE, hi - lo - at)
                 mine = slice(*np.searchsorted(d, (at, at + few)))
-                bands[lo + at : lo + at + few] = band_hashes(prob_minhash(d[mine] - at, h[mine], weight[mine], few))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
+                bands[lo + at : lo + at + few] = band_hashes(prob_minhash(d[mine] - at, h[mine], weight[mine], few), count, rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * count, count, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content.view(np.int64), mask=~some), lists], names=["doc_id", "content", "bands"])
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ta.map_arrow(rows, run, "doc_id long, content long, bands array<long>", "text")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ta.map_arrow(texts, run, "doc_id long, content long, bands array<long>", "text")
 
 
 def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
@@ -156,17 +163,29 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of edges (a, b), by alternating large and small stars."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+def linked(links: DataFrame, most: int) -> DataFrame:
+    """The distinct links, of which there are at most about ``most``."""
+    return cut(links.distinct().coalesce(parts_for(most)))
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for a table of links; few for few rows, so that the many small steps make few files."""
+    return 1 + rows // LINKS_PER_PART
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, root) of the connected components of ``rows`` edges (a, b), by alternating large and small stars."""
+    parts = parts_for(rows)
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").coalesce(parts).distinct().coalesce(parts))
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        edges = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct().coalesce(parts)
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         small = edges.join(least, "a")
-        edges = cut(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        edges = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = cut(edges.coalesce(parts).distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -175,13 +194,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after more links between nodes; nodes that are their own root are left out."""
+    rows = links.count()
+    if not rows:
+        return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if roots is None:
-        return cut(components(links))
-    a, b = (rooted(links, roots, c) for c in "ab")
-    edges = links.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    top = components(edges)
+        return components(links, rows)
+    parts = parts_for(roots.count() + rows)
+    a, b = (rooted(links, roots, c).coalesce(parts) for c in "ab")
+    edges = links.join(a, "a").coalesce(parts).join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    top = components(edges, rows)
     moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return cut(moved.unionByName(top.join(roots, "node", "left_anti")))
+    return cut(moved.coalesce(parts).unionByName(top.join(roots, "node", "left_anti").coalesce(parts)))
 
 
 def rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -199,18 +222,69 @@ def leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def left_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of nodes of different classes that share a bucket; at least one of them is outside the bucket's largest class."""
-    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("l"), F.count("*").alias("classes")).filter("classes > 1").select("bucket", F.col("l.root").alias("big"))
-    mixed = members.join(largest, "bucket")
-    outside = mixed.filter("root <> big").select("bucket", F.col("node").alias("o"), F.col("root").alias("o_root"))
-    pairs = outside.join(mixed.select("bucket", "node", "root"), "bucket").filter("root <> o_root")
-    return pairs.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
+def similar_pairs(doc: np.ndarray, h: np.ndarray, docs: int, threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity of each pair of a block's sets is at least ``threshold``, from its distinct shingles."""
+    size = np.bincount(doc, minlength=docs)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1  # only shingles of two or more texts count
+    held = times[column] > 1
+    row, column, common = doc[held], rank[column[held]], np.zeros((docs, docs), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, width = row[order], column[order], 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        mine = slice(*np.searchsorted(column, (low, low + width)))
+        part = np.zeros((docs, width), dtype=np.float32)
+        part[row[mine], column[mine] - low] = 1
+        common += part @ part.T
+    near = np.zeros((docs, docs), dtype=bool)
+    for low in range(0, docs, 128):
+        some = common[low : low + 128].astype(np.float64)
+        near[low : low + 128] = some / np.maximum(size[low : low + 128, None] + size[None, :] - some, 1) >= threshold
+    return near
+
+
+def block_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join classes, among all pairs of the nodes (node, root) that meet in a wide bucket."""
+    own = texts.join(mixed.select("node"), "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
+    sizes = own.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).groupBy("node").agg(F.sum("bytes").alias("bytes"))
+    wide = signatures(own, WIDE_BANDS, WIDE_ROWS).filter("content is not null").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
+    placed = cut(wide.join(mixed, "node").join(sizes, "node"))
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = F.max(F.struct("n", "bytes", "root"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES, F.lit(1.0)))
+    stats = classes.groupBy("bucket").agg(largest.alias("l"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes")).filter("classes > 1")
+    stats = stats.select("bucket", F.col("l.root").alias("main"), blocks(F.col("l.n"), F.col("l.bytes")).alias("mains"), blocks(F.col("n") - F.col("l.n"), F.col("bytes") - F.col("l.bytes")).alias("others"))
+    own_block = lambda n: F.pmod(F.xxhash64("node"), n)
+    number = F.col("block")
+    member = placed.join(stats, "bucket").withColumn("is_main", F.col("root") == F.col("main")).withColumn("block", F.when(F.col("is_main"), own_block(F.col("mains"))).otherwise(own_block(F.col("others"))))
+    key = lambda main, x, y: F.struct(F.lit(main).alias("main"), x.alias("x"), y.alias("y"))
+    among = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: key(False, F.least(i, number), F.greatest(i, number)))
+    to_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda i: key(True, i, number))
+    from_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda i: key(True, number, i))
+    sent = member.select("bucket", "node", "root", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(among, to_main))).alias("k"))
+    rows = sent.join(texts, "node").select("bucket", "k.main", "k.x", "k.y", "node", "root", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        node, root = group.column("node").to_numpy(), group.column("root").to_numpy().copy()
+        out: list[tuple[int, int]] = []
+        if root.min() != root.max():
+            data, offs = ta.text_buffers(group.column("text"))
+            parts = [(lo + d, h) for lo, _, b, o in ta.blocks(data, offs) for d, h in [shingles(b, o)]]
+            doc, h, _ = distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            near = similar_pairs(doc, h, len(node), threshold)
+            for i, j in zip(*np.nonzero(near & (root[:, None] < root[None, :])), strict=True):
+                if root[i] != root[j]:
+                    out.append((int(node[i]), int(node[j])))
+                    root[root == root[j]] = root[i]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("bucket", "main", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, class_id) of every row of (doc_id, text)."""
+    ta.bounded_batches(docs.sparkSession)
     signed = signatures(docs).persist(StorageLevel.MEMORY_AND_DISK)
     nodes = signed.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -219,17 +293,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text").persist(StorageLevel.MEMORY_AND_DISK)
     roots, done = None, None
-    for turn in range(rounds + 1):
-        placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = left_pairs(placed) if turn == rounds else leader_pairs(placed, turn)
+    place = lambda: members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for turn in range(rounds):
+        pairs = leader_pairs(place(), turn)
         pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
-        if pairs.isEmpty():
-            break
-        roots = joined_roots(roots, verified(pairs, texts, threshold).distinct())
-    named = nodes.select("content", "node")
-    if roots is not None:
-        named = named.join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("node"))
+        roots = joined_roots(roots, linked(verified(pairs, texts, threshold), pairs.count()))
+    several = place().groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    mixed = cut(place().join(several, "bucket", "left_semi").select("node", "root").distinct())
+    roots = joined_roots(roots, linked(block_links(mixed, texts, threshold), mixed.count()))
+    named = nodes.join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("node"))
     classes = signed.select("doc_id", "content").join(named, "content", "left").select("doc_id", F.coalesce("node", "doc_id").alias("class_id"))
     nameless = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return classes.unionByName(nameless)

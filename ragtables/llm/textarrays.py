@@ -14,10 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 BLOCK = 1 << 20
+BATCH_ROWS = 1000
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=U64)
@@ -157,6 +158,13 @@ def row_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iter
         lo = hi
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: texts are long, and Spark bounds batches by rows only."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str) -> DataFrame:
     """``fn`` over slices of bounded size of each Arrow batch."""
 
@@ -165,6 +173,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in row_slices(batch, text):
                 yield fn(part)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
