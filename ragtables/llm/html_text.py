@@ -66,7 +66,7 @@ TAGS = {tag: i for i, tags in enumerate(GROUPS.values()) for tag in tags.split()
 ARTICLE, LEAF = 0, len(GROUPS)
 VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(("br", "hr"))
-#: Tags whose start ends an open paragraph, and tags that end an open one of their own kind.
+#: Tags that end an open one of their own kind.
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 OUTSIDE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist reply replies respond consent cookie cookies gdpr notice notices alert copyright footer foot header masthead menu nav navbar navigation newsletter subscribe signup login search popup modal overlay promo promoted promotion related recommended share sharing social sidebar side sponsor sponsored tags toolbar widget widgets rail teaser complementary contentinfo".split())
 INSIDE = frozenset("article body content entry main post story text copy prose".split())
@@ -173,7 +173,6 @@ class Nodes:
         """Features of all nodes."""
         n = len(self.parent)
         parent, tag = np.array(self.parent, dtype=np.int64), np.array(self.tag, dtype=np.int64)
-        page = np.array(self.page, dtype=np.int64)
         up = np.maximum(parent, 0)
         own = np.concatenate((np.array(self.counts, dtype=np.float64).reshape(n, 4), (tag == LEAF)[:, None], (tag == TAGS["p"])[:, None], np.ones((n, 1))), axis=1)
         depth = np.zeros(n, dtype=np.int64)
@@ -198,8 +197,6 @@ class Nodes:
             np.add.at(total, parent[here], total[here])
         chars, linked, words, marks, leaves, paragraphs, size = total.T
         siblings = np.bincount(up[parent >= 0], minlength=n)
-        firsts = np.full(n, n)
-        np.minimum.at(firsts, up[parent >= 0], np.flatnonzero(parent >= 0))
         place = np.zeros(n)
         order = np.lexsort((np.arange(n), up))
         new = np.append(True, up[order][1:] != up[order][:-1])
@@ -215,7 +212,6 @@ class Nodes:
             above[:, ARTICLE], above[:, 6] + above[:, 9] + above[:, 10], above[:, 7] + above[:, 8], above[:, 5],
             tag[up] * (parent >= 0),
         ]
-        del page, firsts
         return np.concatenate((flags, (tag == LEAF)[:, None], np.stack(columns, axis=1)), axis=1) if n else np.zeros((0, FEATURES))
 
     def article_nodes(self) -> np.ndarray:
@@ -369,6 +365,7 @@ def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
 
 def extract(pages: DataFrame, trees: list[dict] | None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    ta.bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trees)  # TREES trees of depth DEPTH
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
 

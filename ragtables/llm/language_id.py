@@ -80,18 +80,14 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offs = ta.text_buffers(batch.column(0))
         lang = batch.column(1).to_numpy(zero_copy_only=False) - 1
-        found: dict[int, list] = {}
-        for lo, hi, b, o in ta.blocks(data, offs):
-            for kind, h, owner in block_counts(b, o, lang[lo:hi]):
-                found.setdefault(kind, []).append(np.stack((h, owner.astype(ta.U64))))
         columns: list[list] = [[], [], [], []]
-        for kind, parts in found.items():
-            h, owner = np.concatenate(parts, axis=1)
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
-            for column, values in zip(columns, (np.full(len(new), kind, np.int32), h[new].view(np.int64), owner[new].astype(np.int32), np.diff(np.append(new, len(h)))), strict=True):
-                column.append(values)
+        for lo, hi, b, o in ta.blocks(data, offs, SMALL_BLOCK):
+            for kind, h, owner in block_counts(b, o, lang[lo:hi]):
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))[: len(h)]
+                for column, values in zip(columns, (np.full(len(new), kind), h[new].view(np.int64), owner[new], np.diff(np.append(new, len(h)))), strict=True):
+                    column.append(values)
         arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(a.astype(t)) for a, t in zip(arrays, (np.int32, np.int64, np.int32, np.int64), strict=True)], names=["kind", "hash", "lang", "n"])
 

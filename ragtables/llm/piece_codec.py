@@ -350,6 +350,7 @@ def prepared(text: Column) -> Column:
 
 def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, ids (array<int>) and exact (decoding gives the text back) of every document."""
+    ta.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec(path))  # of the size of the vocabulary
     rows = docs.select(*columns, prepared(F.col("text")).alias("_prepared"), (~F.coalesce(F.col("text").contains(MARK), F.lit(False))).alias("_plain"))
 
@@ -381,6 +382,7 @@ def encode(docs: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_
 
 def decode(coded: DataFrame, path: str = MODEL, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` and text of every row of ids; bytes that are no UTF-8 become U+FFFD, null ids null."""
+    ta.bounded_batches(coded.sparkSession)
     shared = coded.sparkSession.sparkContext.broadcast(Codec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
