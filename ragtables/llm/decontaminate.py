@@ -1,41 +1,54 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped seeds that no match can miss, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and bytes above 127 of the lower-case text. Seeds are word 3-grams of the test
-items: their document frequencies are counted over the whole corpus, and of each ``WINDOW`` consecutive 3-grams of an
-item the rarest is a seed, so a shared run of WINDOW + 2 words holds at least one. Training passages that hold a
-seed join the items of the seed and are aligned word by word (match 2, mismatch -1, gap -1; the best local score over
-the score of a full match). Copies with words changed, added or dropped keep a high score.
+Words are runs of letters, digits and bytes above 127 of the lower-case text. Training passages that share enough seeds
+with a test item are aligned with it word by word (match 2, mismatch -1, gap -1; the best local score over the score of
+a full match). Copies with words changed, added or dropped keep a high score.
 
-Only two fixed-size bit maps (``1 << BITS`` bits) are broadcast: one of all 3-grams of the items for counting, one of
-the seeds for the search. They drop most words of the corpus early; what passes by chance is dropped by the joins. Seeds
-in many documents are split by salt. Alignments are made for the words within reach of the seeds, so texts are not
-shuffled, and no candidate is capped.
+A seed is the hash of three words in order, with at most ``EDITS`` other words between them; a text has all of them.
+An alignment of m of n words with e edits scores 2m - e, so one of at least 2nt (t the threshold) has e <= 2(m - nt). Its
+m - 2 runs of three matched words have 2e edits between them at most, so at least n - 2 - 4n(1 - t) / (EDITS + 1) of them
+have at most EDITS edits, and their words are seeds of both texts. For items too short for that (under seven words at
+0.5) seeds are two words with at most ``PAIR_EDITS`` others between; there at least nt - 1 are shared. So each item with
+nt > 1 shares a known number of seeds with all its matches, and passages that share fewer need no alignment: none is
+missed. Repeated seeds of an item are counted as the fewest distinct ones that can make up that number.
+
+Passages are overlapping windows of twice the most words that a match can take, so each match lies in one. Only
+fixed-size bit maps (``1 << BITS`` bits) are broadcast: of the words and the seeds of the items, and of the passages to
+align. Bits that are set by chance are dropped by the joins. Seeds in many documents are split by salt. Texts are
+shuffled only for passages to align, and no candidate is capped.
 
 Defined results: one row per (doc_id, item_id) with a score of at least ``threshold``; repeated rows with one doc_id
-give one row. Null or empty texts and items under three words match nothing. Rows with null ids take no part; equal
-items are all reported; extra columns are dropped; empty tables give an empty result.
+give one row; ``n_seeds`` counts the distinct seeds that the passage shares with the item. Null or empty texts and items
+under three words match nothing. Rows with null ids take no part; equal items are all reported; extra columns are
+dropped; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragtables.llm import textarrays as ta
 
-GRAM = 3
-WINDOW = 6
+LEAST_WORDS = 3
+EDITS, PAIR_EDITS = 2, 1
 THRESHOLD = 0.5
 BITS = 22
 SALTS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 INSIDE = np.zeros(256, dtype=bool)
 INSIDE[128:] = INSIDE[48:58] = INSIDE[97:123] = INSIDE[65:91] = True
+#: Distances between the words of a seed of three words, and of two.
+TRIPLES = [(x, y) for x in range(1, EDITS + 2) for y in range(1, EDITS + 3 - x)]
+PAIRS = [(x,) for x in range(1, PAIR_EDITS + 2)]
+FACTORS = (1, ta.BASE, 0xD6E8FEB86659FD93)
+PROBES = (64 - BITS, 21, 0)
 MATCHES = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
 
 
@@ -45,98 +58,139 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends, ta.Substrings(data).hashes(starts, ends), ta.per_document(starts, offs)
 
 
-def grams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word index in the block, hash) of all 3-grams within documents."""
+def seeds_at(h: np.ndarray, bounds: np.ndarray, steps: tuple[int, ...], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word index in the block, hash) of the words at these distances, within documents; of ``known`` words only."""
+    places = np.cumsum((0, *steps)).tolist()
+    n = max(0, len(h) - places[-1])
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    g = ta.window_hashes(h, GRAM)
-    at = np.flatnonzero(owner[: len(g)] == owner[GRAM - 1 :]) if len(g) else np.zeros(0, np.int64)
-    return owner[at], at, g[at]
+    there = owner[:n] == owner[places[-1] :][:n]
+    if known is not None:
+        for x in places:
+            there &= known[x : x + n]
+    at = np.flatnonzero(there)
+    g = np.full(len(at), len(places), dtype=ta.U64)
+    for x, factor in zip(places, FACTORS, strict=False):
+        g += h[at + x] * ta.U64(factor)
+    return owner[at], at, g
+
+
+def needed(words: int, threshold: float) -> tuple[list[tuple[int, ...]], int]:
+    """The kind of seeds of an item, and how many of them a match shares at least."""
+    three = math.ceil(words - 2 - 4 * words * (1 - threshold) / (EDITS + 1) - 1e-9)
+    return (TRIPLES, three) if three > 0 else (PAIRS, max(1, math.ceil(words * threshold - 1 - 1e-9)))
 
 
-def item_grams(items: DataFrame) -> DataFrame:
-    """(item_id, pos, h, words) of all 3-grams of the items."""
+def item_seeds(items: DataFrame, threshold: float) -> DataFrame:
+    """(item, h, need, words, pairs) of all seeds of the items; need is the number of distinct ones that a match shares."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, parts = batch.column(0).to_numpy(), [[], [], [], []]
+        keys, parts = batch.column(0).to_pylist(), [[], [], [], [], []]
         for lo, _, b, o in ta.blocks(*ta.text_buffers(batch.column(1))):
             *_, h, bounds = word_hashes(b, o)
-            doc, at, g = grams(h, bounds)
-            for part, x in zip(parts, (ids[lo + doc], at - bounds[doc], g.view(np.int64), np.diff(bounds)[doc]), strict=True):
-                part.append(x.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in parts], names=["item_id", "pos", "h", "words"])
+            for d, n in enumerate(np.diff(bounds).tolist()):
+                if n < LEAST_WORDS:
+                    continue
+                kind, need = needed(n, threshold)
+                own, one = h[bounds[d] : bounds[d + 1]], np.array([0, n])
+                g, times = np.unique(np.concatenate([seeds_at(own, one, steps)[2] for steps in kind]), return_counts=True)
+                need = int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), need)) + 1
+                for part, x in zip(parts, (keys[lo + d], g.view(np.int64), need, n, int(kind is PAIRS)), strict=True):
+                    part.append(np.broadcast_to(np.asarray(x, dtype=np.int64), len(g)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in parts], names=["item", "h", "need", "words", "pairs"])
+
+    return ta.map_arrow(items, run, "item long, h long, need long, words long, pairs long", "text")
+
 
-    return ta.map_arrow(items, run, "item_id long, pos long, h long, words long", "text")
+def item_words(items: DataFrame) -> DataFrame:
+    """(h): hashes of the words of the items."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(word_hashes(b, o)[2]) for _, _, b, o in ta.blocks(*ta.text_buffers(batch.column(1)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, ta.U64), *found]).view(np.int64))], names=["h"])
+
+    return ta.map_arrow(items, run, "h long", "text")
 
 
-def bit_map(rows: DataFrame) -> Broadcast:
-    """Broadcast of the fixed-size map of the bits that column ``h`` sets."""
-    bits = rows.select(F.shiftrightunsigned("h", 64 - BITS).alias("bit")).distinct().toArrow()  # at most 1 << BITS rows
+def bit_map(rows: DataFrame, column: str = "h") -> Broadcast:
+    """Broadcast of the fixed-size map of the bits that ``column`` sets, one by each probe."""
+    probes = [F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << BITS) - 1)) for s in PROBES]
+    bits = rows.select(F.explode(F.array(*probes)).alias("bit")).distinct().toArrow()  # at most 1 << BITS rows
     out = np.zeros(1 << BITS, dtype=bool)
     out[bits.column(0).to_numpy()] = True
     return rows.sparkSession.sparkContext.broadcast(np.packbits(out))
 
 
 def passing(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(bits[(g >> ta.U64(64 - BITS)).astype(np.int64)])
+    """Indexes of the values whose bits are all set."""
+    at = np.arange(len(g))
+    for s in PROBES:
+        at = at[bits[((g[at] >> ta.U64(s)) & ta.U64((1 << BITS) - 1)).astype(np.int64)]]
+    return at
 
 
-def frequencies(docs: DataFrame, bits: Broadcast) -> DataFrame:
-    """(h, df): number of documents that hold each 3-gram in the bit map."""
+def region_ids(keys: np.ndarray, window: np.ndarray) -> np.ndarray:
+    return ta.mix(keys.view(ta.U64) + window.astype(ta.U64) * ta.U64(ta.BASE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(bits.value).astype(bool)
-        for batch in batches:
-            found = [np.zeros(0, ta.U64)]
-            for _, _, b, o in ta.blocks(*ta.text_buffers(batch.column(0))):
-                *_, h, bounds = word_hashes(b, o)
-                doc, _, g = grams(h, bounds)
-                at = passing(there, g)
-                order = np.lexsort((g[at], doc[at]))
-                doc, g = doc[at][order], g[at][order]
-                found.append(g[np.append(True, (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]))[: len(g)]])
-            g, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "df"])
-
-    return docs.select("text").mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
+def last_windows(bounds: np.ndarray, span: int) -> np.ndarray:
+    """Number of the last window of each document: window c holds the words from c * span to (c + 2) * span."""
+    return np.maximum(-(-np.diff(bounds) // span) - 2, 0)
 
-def rare_seeds(known: DataFrame, counted: DataFrame) -> DataFrame:
-    """(item_id, pos, h): the rarest 3-gram of each window of each item."""
-    rated = known.join(counted, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, WINDOW - 1)  # a partition is one item
-    best = rated.withColumn("s", F.min(F.struct("df", "h", "pos")).over(ahead))
-    full = (F.col("pos") + WINDOW + GRAM - 1 <= F.col("words")) | (F.col("pos") == 0)
-    return best.filter(full).select("item_id", F.col("s.pos").alias("pos"), F.col("s.h").alias("h")).distinct()
 
+def seed_hits(docs: DataFrame, words: Broadcast, bits: Broadcast, span: int, kinds: list[tuple[int, ...]]) -> DataFrame:
+    """(region, h): the possible seeds in each window of the documents (key, text)."""
 
-def passages(docs: DataFrame, bits: Broadcast, reach: int) -> DataFrame:
-    """(doc_id, region, first_word, text, seeds): stretches of words within ``reach`` of a possible seed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, there = np.unpackbits(words.value).astype(bool), np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            keys, regions, seeds = batch.column(0).to_numpy(), [np.zeros(0, ta.U64)], [np.zeros(0, ta.U64)]
+            for lo, _, b, o in ta.blocks(*ta.text_buffers(batch.column(1))):
+                *_, h, bounds = word_hashes(b, o)
+                known = np.zeros(len(h), dtype=bool)
+                known[passing(vocabulary, h)] = True
+                last, found = last_windows(bounds, span), []
+                for steps in kinds:
+                    doc, at, g = seeds_at(h, bounds, steps, known)
+                    hit = passing(there, g)
+                    found.append((doc[hit], at[hit], g[hit]))
+                doc, at, g = (np.concatenate(x) for x in zip(*found, strict=True))
+                cell = (at - bounds[doc]) // span
+                for window in (np.minimum(cell, last[doc]), np.maximum(cell - 1, 0)):
+                    regions.append(region_ids(keys[lo + doc], window))
+                    seeds.append(g)
+            region, g = np.concatenate(regions), np.concatenate(seeds)
+            order = np.lexsort((g, region))
+            region, g = region[order], g[order]
+            new = np.append(True, (region[1:] != region[:-1]) | (g[1:] != g[:-1]))[: len(g)]
+            yield pa.RecordBatch.from_arrays([pa.array(region[new].view(np.int64)), pa.array(g[new].view(np.int64))], names=["region", "h"])
+
+    return docs.select("key", "text").mapInArrow(run, "region long, h long")
+
+
+def passages(docs: DataFrame, bits: Broadcast, span: int) -> DataFrame:
+    """(region, doc_id, first_word, passage): the windows of the documents (key, text, doc_id) that may be in the bit map."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        there = np.unpackbits(bits.value).astype(bool)
-        ids, rows = batch.column(0).to_pylist(), []
-        for lo, _, b, o in ta.blocks(*ta.text_buffers(batch.column(1))):
-            starts, ends, h, bounds = word_hashes(b, o)
-            doc, at, g = grams(h, bounds)
-            hit = passing(there, g)
-            if not len(hit):
-                continue
-            doc, at, g = doc[hit], at[hit], g[hit]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach + GRAM))
-            firsts = np.flatnonzero(new)
-            lasts = np.append(firsts[1:], len(at)) - 1
-            low = np.maximum(at[firsts] - reach, bounds[doc[firsts]])
-            high = np.minimum(at[lasts] + GRAM + reach, bounds[doc[firsts] + 1])
-            raw = b.tobytes()
-            for f, z, w, v in zip(firsts.tolist(), lasts.tolist(), low.tolist(), high.tolist(), strict=True):
-                d = int(doc[f])
-                rows.append((ids[lo + d], int(w - bounds[d]), raw[starts[w] : ends[v - 1]].decode("utf-8", "replace"), g[f : z + 1].view(np.int64)))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        seeds = pa.array([np.unique(s) for s in columns[3]], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), seeds], names=["doc_id", "first_word", "text", "seeds"])
-
-    found = ta.map_arrow(docs, run, "doc_id long, first_word long, text string, seeds array<long>", "text")
-    return found.withColumn("region", F.xxhash64("doc_id", "first_word", "text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            for part in ta.row_slices(batch, "text"):
+                keys, ids, rows = part.column(0).to_numpy(), part.column(2).to_pylist(), []
+                for lo, _, b, o in ta.blocks(*ta.text_buffers(part.column(1))):
+                    starts, ends, h, bounds = word_hashes(b, o)
+                    doc, window = ta.ragged(last_windows(bounds, span) + 1)
+                    region = region_ids(keys[lo + doc], window)
+                    hit = passing(wanted, region)
+                    raw = b.tobytes()
+                    for d, c, r in zip(doc[hit].tolist(), window[hit].tolist(), region[hit].view(np.int64).tolist(), strict=True):
+                        low = int(bounds[d]) + c * span
+                        high = min(low + 2 * span, int(bounds[d + 1]))
+                        if low < high:
+                            rows.append((r, ids[lo + d], c * span, raw[starts[low] : ends[high - 1]].decode("utf-8", "replace")))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["region", "doc_id", "first_word", "passage"])
+
+    return docs.select("key", "text", "doc_id").mapInArrow(run, "region long, doc_id long, first_word long, passage string")
 
 
 def align(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,15 +250,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """doc_id, item_id, score, start_word, end_word, n_seeds of the documents that hold copies of test items."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     items = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).distinct()
-    known = item_grams(items).persist(StorageLevel.MEMORY_AND_DISK)
-    seeds = rare_seeds(known, frequencies(docs, bit_map(known))).persist(StorageLevel.MEMORY_AND_DISK)
-    reach = known.agg(F.max("words").alias("n")).first()["n"] or 0
-    regions = passages(docs, bit_map(seeds), reach + reach // 4).persist(StorageLevel.MEMORY_AND_DISK)
-    hits = regions.select("region", F.explode("seeds").alias("h")).withColumn("salt", F.pmod("region", F.lit(SALTS)))
-    salted = seeds.select("item_id", "h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    wanted = hits.join(salted, ["h", "salt"]).groupBy("region", "item_id").agg(F.countDistinct("h").alias("n_seeds"))
-    texts = regions.select("region", "doc_id", "first_word", F.col("text").alias("passage")).dropDuplicates(["region"])
-    pairs = wanted.join(texts, "region").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    ta.bounded_batches(docs.sparkSession)
+    known = item_seeds(items.select("item", "text"), threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    most = known.agg(F.max("words").alias("words"), F.min("pairs").alias("least"), F.max("pairs").alias("most")).first()
+    span = math.ceil((most["words"] or 1) * (3 - 2 * threshold))  # m + e words of the document at most
+    kinds = TRIPLES * (most["least"] == 0) + PAIRS * (most["most"] == 1) or TRIPLES
+    hits = seed_hits(docs, bit_map(item_words(items.select("item", "text"))), bit_map(known), span, kinds)
+    hits = hits.withColumn("salt", F.pmod("region", F.lit(SALTS)))
+    salted = known.select("item", "h", "need").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    shared = hits.join(salted, ["h", "salt"]).groupBy("region", "item").agg(F.countDistinct("h").alias("n_seeds"), F.first("need").alias("need"))
+    wanted = shared.filter("n_seeds >= need").select("region", "item", "n_seeds").persist(StorageLevel.MEMORY_AND_DISK)
+    texts = passages(docs, bit_map(wanted, "region"), span).dropDuplicates(["region"])
+    pairs = wanted.join(texts, "region").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").drop("item").withColumnRenamed("item_text", "item")
     best = F.max(F.struct("score", "n_seeds", F.negative("start_word").alias("s"), "end_word")).alias("m")
     found = aligned(pairs, threshold).groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", "m.score", F.negative("m.s").alias("start_word"), "m.end_word", "m.n_seeds")

@@ -64,3 +64,42 @@ def test_messy_and_empty_tables(spark):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(5, 1), (6, 1)} and {r["score"] for r in rows} == {1.0}
     assert decontaminate.contaminated(empty(docs), items).collect() == []
     assert decontaminate.contaminated(docs, empty(items)).collect() == []
+
+
+def test_no_pair_of_the_threshold_is_missed(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 4, 5, 6, 7, 9, 15, 24, 40])))) for i in range(60)]
+
+    def edited(words, every, kind):
+        out = []
+        for n, w in enumerate(words, 1):
+            out += [w] if n % every else [f"x{n}"] if kind == 0 else [] if kind == 1 else [w, f"x{n}"]
+        return out
+
+    docs = []
+    for i, t in items:
+        for every in (1, 2, 3, 4, 5, 6, 8):
+            for kind in range(3):
+                long = rng.choice([5, 60, 200])
+                docs.append((len(docs), " ".join(rng.choices(vocabulary, k=long) + edited(t.split(), every, kind) + rng.choices(vocabulary, k=40))))
+    docs += [(len(docs) + i, t) for i, t in items]  # an exact copy of each is in the corpus too
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in rows}
+    sets = [(d, t.split(), set(t.split())) for d, t in docs]
+    want = {}
+    for i, t in items:
+        a = t.split()
+        for d, b, words in sets:
+            if 2 * sum(w in words for w in a) >= len(a):
+                score = local_score(a, b) / (2 * len(a))
+                if score >= 0.5:
+                    want[d, i] = score
+    assert len(want) > 500 and got == want
+
+
+def test_a_repetitive_item_is_found(spark):
+    item = "la la la la la la la la la la la la"
+    docs = [(1, "oh la la la x la la la y la la la z la la la oh"), (2, "la oh la oh"), (3, "a " * 500 + item)]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["score"] for r in rows} == {1: local_score(item.split(), docs[0][1].split()) / 24, 3: 1.0}
