@@ -11,7 +11,9 @@ an ``article`` or ``main`` element: text inside is main text, text outside is no
 ``variants`` rewritten forms that keep the texts but change the markup: other tags, classes and ids, and further
 menus, notices, adverts, forms, sidebars and comments, so that the trees don't rest on one element.
 
-Scripts, styles, the head, comments of the markup and form controls are dropped by the parser. Character references
+Scripts, styles, the head, comments of the markup, embedded objects and form controls are dropped by the parser. Only
+scripts, styles and comments without an end run to the end of the page. The head ends at the first tag that cannot be in
+it; another dropped element ends with its parent and, if its end tag is missing, at the next block tag. Character references
 are decoded; white space inside a leaf becomes one space, leaves are joined in page order by one space.
 
 Defined results: null or empty html gives an empty text; markup may be broken anywhere (an unfinished tag at the end
@@ -41,7 +43,7 @@ TREES, DEPTH = 16, 4
 SLICE = 2 << 20
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|head|noscript|template|svg|math|iframe|object|select|textarea|button)(?=[\s/>])(?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])(?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -66,6 +68,13 @@ TAGS = {tag: i for i, tags in enumerate(GROUPS.values()) for tag in tags.split()
 ARTICLE, LEAF = 0, len(GROUPS)
 VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(("br", "hr"))
+#: Elements whose text is dropped, those of them without markup inside, and those that may be empty as <svg/>.
+DROPPED = frozenset("head title noscript template svg math iframe object select textarea button".split())
+RAW, FOREIGN = frozenset(("title", "iframe", "textarea")), frozenset(("svg", "math"))
+IN_HEAD = frozenset("head title noscript template base basefont bgsound link meta".split())
+SELF_CLOSING = re.compile(r"(?:^|[\s\"'])/\s*\Z")
+#: Kinds of open elements: kept, dropped with an end tag, dropped without one, the head.
+KEPT, SUBTREE, LOOSE, HEAD = range(4)
 #: Tags that end an open one of their own kind.
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 OUTSIDE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist reply replies respond consent cookie cookies gdpr notice notices alert copyright footer foot header masthead menu nav navbar navigation newsletter subscribe signup login search popup modal overlay promo promoted promotion related recommended share sharing social sidebar side sponsor sponsored tags toolbar widget widgets rail teaser complementary contentinfo".split())
@@ -74,6 +83,21 @@ PUNCTUATION = re.compile(r"[.,;:!?]")
 FEATURES = 11 + 1 + 24
 
 
+def end_tags(tokens: list[re.Match]) -> dict[int, int]:
+    """Token of the end tag of each start tag of a dropped element that has one."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        name = m[3] and m[3].lower()
+        if name in DROPPED:
+            if not m[2]:
+                if name not in FOREIGN or not SELF_CLOSING.search(m[4]):
+                    begun.setdefault(name, []).append(i)
+            elif begun.get(name):
+                out[begun[name].pop()] = i
+    return out
+
+
 class Nodes:
     """Nodes of many pages in page order, parents before children."""
 
@@ -99,7 +123,7 @@ class Nodes:
     def parse(self, page: int, html: str) -> None:
         """Add the tree of one page."""
         root = self.add(page, -1, TAGS["body"])
-        stack: list[tuple[int, str]] = [(root, "body")]
+        stack: list[tuple[int, str, int]] = [(root, "body", KEPT)]  # node (-1: dropped), tag, kind; all above a dropped one are dropped
         pieces: list[str] = []
         linked, in_link = 0, False
 
@@ -113,13 +137,29 @@ class Nodes:
 
         def say(raw: str) -> None:
             nonlocal linked
+            if stack[-1][0] < 0:
+                if stack[-1][2] != HEAD or head_ends or not raw.strip():
+                    return
+                stack.pop()
             raw = unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if in_link:
                 linked += len(raw.strip())
 
-        at = 0
-        for m in TOKEN.finditer(html):
+        def loose(name: str) -> int:
+            """Depth of the open element of that name among the loose ones on top, or 0."""
+            depth = len(stack) - 1
+            while stack[depth][2] == LOOSE and stack[depth][1] != name:
+                depth -= 1
+            return depth if stack[depth][2] == LOOSE else 0
+
+        tokens = list(TOKEN.finditer(html))
+        ends = end_tags(tokens)
+        at, skipped, head_ends = 0, -1, False
+        for i, m in enumerate(tokens):
+            if i <= skipped:
+                at = m.end()
+                continue
             if m.start() > at:
                 say(html[at : m.start()])
             at = m.end()
@@ -127,22 +167,55 @@ class Nodes:
             if name is None:
                 continue
             name = name.lower()
-            if name == "a":
+            if stack[-1][2] == LOOSE:
+                if m[2]:
+                    depth = loose(name)
+                    if depth:
+                        del stack[depth:]
+                        continue
+                if m[2] or name in TAGS or name in BREAKS or (name in DROPPED and loose(name)):
+                    while stack[-1][2] == LOOSE:
+                        stack.pop()
+            if stack[-1][2] == HEAD and (name == "body" if m[2] else name not in IN_HEAD):
+                stack.pop()
+            dropping = stack[-1][0] < 0
+            if name == "a" and not dropping:
                 in_link = not m[2]
                 continue
             if name in BREAKS:
-                flush()
+                if not dropping:
+                    flush()
                 continue
             if name in VOID:
                 continue
             if m[2]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][1] == name:
-                        flush()
-                        in_link = False
+                        if stack[depth][0] >= 0:
+                            while stack[-1][0] < 0:
+                                stack.pop()
+                            flush()
+                            in_link = False
                         del stack[depth:]
                         break
                 continue
+            empty = SELF_CLOSING.search(m[4])
+            if name in DROPPED:
+                if empty and (name in FOREIGN or i not in ends):
+                    continue
+                if name == "head":
+                    if not dropping:
+                        head_ends = i in ends
+                        stack.append((-1, name, HEAD))
+                elif name in RAW and i in ends:
+                    skipped = ends[i]
+                else:
+                    stack.append((-1, name, SUBTREE if i in ends else LOOSE))
+                continue
+            if dropping:
+                if stack[-1][2] != HEAD and not empty:
+                    stack.append((-1, name, stack[-1][2]))
+                continue
             tag, marks = TAGS.get(name), m[4]
             outside = inside = 0
             if marks and "=" in marks:
@@ -164,9 +237,11 @@ class Nodes:
                 while len(stack) > 1 and stack[-1][1] in kinds:
                     stack.pop()
             if not marks.rstrip().endswith("/") or name in TAGS:
-                stack.append((self.add(page, stack[-1][0], tag, outside, inside), name))
+                stack.append((self.add(page, stack[-1][0], tag, outside, inside), name, KEPT))
         if at < len(html):
             say(html[at:])
+        while stack[-1][0] < 0:
+            stack.pop()
         flush()
 
     def matrix(self) -> np.ndarray:

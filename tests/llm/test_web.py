@@ -129,3 +129,33 @@ def test_decoding_keeps_ancestors_and_is_the_best_choice():
         assert all(keep[p] for i, p in enumerate(parent) if keep[i] and p >= 0)
         best = max(sum(o for o, k in zip(odds, c, strict=True) if k) for c in itertools.product((0, 1), repeat=n) if all(c[p] for i, p in enumerate(parent) if c[i] and p >= 0))
         assert odds[keep].sum() == pytest.approx(best)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><article><p>Main text</p></article>", "Main text"),
+        ("<html><head><title>x</title><meta charset=utf-8><link rel=a><style>p{}</style><p>Main<p>text", "Main text"),
+        ("<html><head><title>x</title>Main text<p>more", "Main text more"),
+        ("<HEAD><TITLE>x</TITLE><noscript><link><p>no</noscript></HEAD><body>Main text</body>", "Main text"),
+        ("<head><script>if (a < b) '<p>'</script><title>x<body><p>Main text", "Main text"),
+        ('<p>a</p><svg width="1"/><article>Main <svg/>text</article>', "a Main text"),
+        ("<p>a<svg><g><path d='1'/></g><title>icon</title><text>no</text></svg>b</p>c", "ab c"),
+        ("<p>a<svg><svg>no</svg>no</svg>b</p>", "ab"),
+        ("<div><button>OK</div><article>Main text</article>", "Main text"),
+        ("<button>OK<p>Main text</p><button>no</button>more", "Main text more"),
+        ("<p>a <span><svg><path d=1></span>b <b>c</b></p>d", "a b c d"),
+        ("<button>A<button>B</button> Main text", "Main text"),
+        ("<p>a<select><option>no<option>no</select> b<select><option>no</p>c", "a b c"),
+        ("<div><noscript>no</div>Main<iframe src=x></iframe> <iframe src='y'/>text<object data='z'><p>more", "Main text more"),
+        ("<p>a<textarea></p><p>no</textarea>b</p><template><p>no</p></template>c", "ab c"),
+        ("<p>a<button><div>no</div>no</button> b<math><mi>x</mi></math></p>", "a b"),
+        ("<p>a</p><script>no <p>no", "a"),
+        ("<p>a</p><!-- no <p>no", "a"),
+        ("<p>a<svg", "a"),
+    ],
+)
+def test_only_dropped_elements_are_lost(page, want):
+    nodes = html_text.Nodes()
+    nodes.parse(0, page)
+    assert " ".join(t for t in nodes.text if t) == want
