@@ -5,8 +5,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 it again as the next one's docs.
 
 Defined results: documents whose text is null or has no letter, or whose language is not clear, go in the first
-stage; of each class of near duplicates the document with the smallest doc_id stays, repeated rows of it go; rows
-with a null doc_id pass through the stages that work on ids; a document that holds a copy of a test item goes; a text
+stage; of each class of near duplicates the row with the smallest doc_id stays, repeated rows (doc_id and text) of it
+go, and rows that share only their doc_id are classed each by its own text; rows with a null doc_id pass through the stages that work on ids; a document that holds a copy of a test item goes; a text
 of which everything was cut stays as an empty one. Extra columns are dropped; an empty table gives an empty result.
 """
 
@@ -34,8 +34,11 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     docs = docs.select(COLUMNS)
-    kept = near_dup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: one shuffle
+    rows = docs.filter("doc_id is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    classes = near_dup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    ids = rows.select("key", "doc_id").join(classes.distinct(), "key")
+    kept = ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    one = rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).drop("key")  # both by key: one shuffle
     return one.unionByName(docs.filter("doc_id is null"))
 
 

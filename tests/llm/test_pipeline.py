@@ -40,3 +40,12 @@ def test_each_stage_takes_effect(spark):
     assert sorted(r["doc_id"] for r in clear.collect()) == [2, 3]
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, clear, SF).collect()] == [2]
     assert {r["doc_id"]: r["n_chars"] for r in corpus_pipeline.cut_repeats(spark, clear, SF).collect()} == {2: 216, 3: 0}
+
+
+def test_rows_that_share_only_their_doc_id_are_classed_by_their_texts(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["b"]), (2, text["c"]), (3, text["a"]), (3, None), (None, text["a"]), (0, text["c"])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(0, text["c"]), (1, text["a"]), (1, text["b"]), (3, None), (None, text["a"])], key=str)
