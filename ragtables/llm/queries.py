@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtables.llm import decontaminate, html_text, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
+from ragtables.llm import conversation_repair, decontaminate, html_text, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_dup": op9_near_dup,
     "op10_html_text": op10_html_text,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
