@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtables.llm import conversation_repair, decontaminate, html_text, language_id, near_dup, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
+from ragtables.llm import conversation_repair, decontaminate, html_text, language_id, near_dup, phrase_mining, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_near_dup": op9_near_dup,
     "op10_html_text": op10_html_text,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -84,4 +89,36 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN d.page_id < o.original THEN o.original END AS refers_to
 FROM d LEFT JOIN o USING (payload_digest)
 """
-ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+phrases AS (
+  SELECT lang, size, unnest([array_to_string(ws[i:i + size - 1], ' ') for i in range(1, len(ws) - size + 2)]) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= 30),
+cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+  FROM candidates c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < c.size),
+scores AS (
+  SELECT cuts.lang, cuts.size, cuts.phrase, a, k, p.n AS l, q.n AS r,
+         CAST((2000000::HUGEINT * a) // (p.n::HUGEINT + q.n::HUGEINT) AS BIGINT) AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x AND p.size = k JOIN f q ON q.lang = cuts.lang AND q.phrase = y AND q.size = cuts.size - k),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, size, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, a, unnest(CASE size WHEN 3 THEN [array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]
+    WHEN 4 THEN [array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' '), array_to_string(ws[3:4], ' '),
+                 array_to_string(ws[1:3], ' '), array_to_string(ws[2:4], ' ')] END) AS phrase
+  FROM candidates WHERE size > 2),
+covers AS (SELECT lang, phrase, max(a) AS cover FROM inside GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN covers USING (lang, phrase)
+  WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op8_warc": OP8_SQL, "op13_phrase_mining": OP13_SQL}
