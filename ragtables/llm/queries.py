@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtables.llm import conversation_repair, decontaminate, html_text, language_id, near_dup, phrase_mining, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, warc
+from ragtables.llm import conversation_repair, decontaminate, html_text, language_id, near_dup, phrase_mining, piece_codec, quality_model, quality_rules, suffix_dedup, url_rules, vector_near_dup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_near_dup": op9_near_dup,
     "op10_html_text": op10_html_text,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_vector_near_dup": op12_vector_near_dup,
     "op13_phrase_mining": op13_phrase_mining,
 }
 OP8_SQL = """
