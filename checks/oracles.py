@@ -82,17 +82,14 @@ def c6_user_model() -> str:
 
 
 def s3_decode_text() -> str:
-    return (
-        "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '中文' || doc_id "
-        "ELSE regexp_replace(text, '[^ -~]', '', 'g') END AS text FROM documents"
-    )
+    return "SELECT doc_id, text AS utf8, '中文' || regexp_replace(text, '[^ -~]', '', 'g') AS gbk, text AS bad FROM documents"
 
 
 def s6_xml_to_text() -> str:
     nl = "chr(10)"
     return (
-        f"SELECT n_nationkey, '<nation>' || {nl} || '  <name>' || {nl} || '  ' || n_name || {nl} || '  <region>' || {nl} || '    <key>' || {nl} || "
-        f"'    ' || n_regionkey AS text FROM nation"
+        f"SELECT o_orderkey, '<order>' || {nl} || '  <status>' || {nl} || '  ' || o_orderstatus || {nl} || '  <customer>' || {nl} || '    <key>' || {nl} || "
+        f"'    ' || o_custkey || {nl} || '  <priority>' || {nl} || '  ' || o_orderpriority AS text FROM orders"
     )
 
 
@@ -204,6 +201,17 @@ def r4_vector_topk() -> str:
     )
 
 
+def r4_nearest_vectors() -> str:
+    return _with(
+        [
+            f"sc AS (SELECT q.vec_id AS question_id, e.vec_id, round(1 - {_cos('q.embedding', 'e.embedding')}, 6) + 0.0 AS distance "
+            "FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)",
+            "rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM sc)",
+        ],
+        "SELECT question_id, rank::INTEGER AS rank, vec_id, distance FROM rk WHERE rank <= 5",
+    )
+
+
 def e2_hash_embed() -> str:
     ctes, v = _embed_ctes("benchmark", "item_id", "text", "e")
     return _with(ctes, f"SELECT item_id, unnest(range(len(vec)))::INTEGER AS dim, round(unnest(vec)::DOUBLE, 6) AS value FROM {v}")
@@ -416,7 +424,7 @@ def p5_answer() -> str:
 
 def _eval_ctes() -> list[str]:
     return [
-        "cases AS (SELECT row_number() OVER (ORDER BY item_id) AS ord, printf('Q%03d', row_number() OVER (ORDER BY item_id)) AS id, item_id, "
+        "cases AS (SELECT row_number() OVER (ORDER BY item_id) AS ord, printf('Q%03d', row_number() OVER (ORDER BY item_id)) AS id, item_id, text AS question, "
         "CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) < 400 THEN 'medium' ELSE 'long' END AS category, "
         "list_slice(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'), 1, 3) AS kw FROM benchmark)",
         *_default_chunks_ctes_meta(),
@@ -507,11 +515,14 @@ def s5_json_to_text() -> str:
     return "SELECT event_id, '{' || chr(10) || '  \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS text FROM events"
 
 
+def _csv_cell(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[\",\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
 def s7_table_to_text() -> str:
-    return ("SELECT r_regionkey, '工作表: ' || r_name || chr(10) || 'n_nationkey,n_name,n_regionkey' || chr(10) || "
-            "string_agg(CAST(n_nationkey AS VARCHAR) || ',' || CASE WHEN regexp_matches(n_name, '[\",\\r\\n]') THEN '\"' || replace(n_name, '\"', '\"\"') || '\"' ELSE n_name END "
-            "|| ',' || CAST(n_regionkey AS VARCHAR), chr(10) ORDER BY n_nationkey) AS content "
-            "FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+    return ("SELECT c_nationkey, '工作表: ' || n_name || chr(10) || 'c_custkey,c_name,c_mktsegment' || chr(10) || "
+            f"string_agg(CAST(c_custkey AS VARCHAR) || ',' || {_csv_cell('c_name')} || ',' || {_csv_cell('c_mktsegment')}, chr(10) ORDER BY c_custkey) AS content "
+            "FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey, n_name")
 
 
 def s9_assemble_parts() -> str:
@@ -530,8 +541,14 @@ def _table_doc(t: str, key: str, cols: list[str], ordv: int) -> str:
 
 
 def s10_table_documents() -> str:
-    return (_table_doc("region", "r_regionkey", ["r_regionkey", "r_name"], 0) + " UNION ALL " +
-            _table_doc("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], 1))
+    record = "'记录 ' || i || chr(10) || 'c_mktsegment: ' || c_mktsegment || chr(10) || 'customers: ' || customers"
+    query = (
+        "SELECT 0::BIGINT AS doc_ord, 'mysql_query' AS source, 'catalog://default/query' AS path, 'mysql_query' AS document_type, "
+        f"'MySQL 自定义查询结果' || {NL2} || string_agg({record}, {NL2} ORDER BY i) AS content FROM "
+        "(SELECT *, row_number() OVER (ORDER BY c_mktsegment) AS i FROM (SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment))"
+    )
+    return " UNION ALL ".join([query, _table_doc("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], 1),
+                               _table_doc("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], 2)])
 
 
 def s11_preview_table() -> str:
@@ -555,6 +572,38 @@ def s13_upsert() -> str:
     )
 
 
+def _document_files_cte() -> str:
+    lead = "CASE doc_id % 4 WHEN 1 THEN '_' WHEN 2 THEN '.' WHEN 3 THEN 'x' ELSE '' END"
+    german = "coalesce(lang = 'de', false)"
+    return ("files AS (SELECT doc_id, text, coalesce(lang, 'und') AS folder, "
+            f"'k/' || coalesce(lang, 'und') || '/' || {lead} || 'd' || doc_id || CASE WHEN {german} THEN '.JSON' ELSE '.txt' END AS relative_path, "
+            f"{german} AS german FROM documents)")
+
+
+def s1_scan_files() -> str:
+    size = """octet_length(encode(CASE WHEN german THEN '{"text":' || CAST(to_json(text) AS VARCHAR) || '}' ELSE coalesce(text, '') END))::BIGINT"""
+    return _with([_document_files_cte()], f"SELECT relative_path, CASE WHEN german THEN '.json' ELSE '.txt' END AS file_suffix, {size} AS length, {size} AS bytes_read, '' AS error FROM files")
+
+
+def s12_load_files() -> str:
+    json_text = """'{' || chr(10) || '  "text": ' || CAST(to_json(text) AS VARCHAR) || chr(10) || '}'"""
+    return _with(
+        [_document_files_cte(), f"loaded AS (SELECT relative_path, 'k/' || folder AS parent_dir, CASE WHEN german THEN {json_text} ELSE {clean('text')} END AS content FROM files)"],
+        "SELECT row_number() OVER (ORDER BY string_split(relative_path, '/')) - 1 AS doc_ord, relative_path, parent_dir, content FROM loaded WHERE length(content) > 0",
+    )
+
+
+def s14_ingest_stream() -> str:
+    return _with(
+        [_docs_cte("CASE WHEN lang = 'fr' THEN 'v2 ' || text ELSE text END"), *_default_chunks_ctes()[1:]],
+        "SELECT doc_id, 'a/' || doc_id || '.md' AS relative_path, chunk_index, content FROM chunks",
+    )
+
+
+def s15_load_eval_cases() -> str:
+    return _with(_eval_ctes()[:1], "SELECT ord::INTEGER AS ord, id, category, question, array_to_string(kw, '|') AS keywords FROM cases")
+
+
 def s17_parse_stage_log() -> str:
     return ("SELECT CASE WHEN event_type = 'error' THEN 'API_STAGE_END' ELSE 'STAGE_END' END AS marker, event_type AS name, "
             "date_trunc('second', ts) AS started_at, date_trunc('second', ts) AS ended_at, CAST(printf('%.2f', value * 1000) AS DOUBLE) AS duration_ms FROM events")
@@ -601,7 +650,10 @@ ORACLES = {
     "c10_chunk_keys": c10_chunk_keys,
     "r1_tokenize": r1_tokenize,
     "r3_keyword_topk": r3_keyword_topk,
+    "r3_term_tables": r3_keyword_topk,
     "r4_vector_topk": r4_vector_topk,
+    "r4_grid_topk": r4_nearest_vectors,
+    "r5_cell_topk": r4_nearest_vectors,
     "e2_hash_embed": e2_hash_embed,
     "e1_embed_model": e1_embed_model,
     "r2_keyword_score": r2_keyword_score,
@@ -634,6 +686,13 @@ ORACLES = {
     "s11_preview_table": s11_preview_table,
     "s12_source_counts": s12_source_counts,
     "s13_upsert": s13_upsert,
+    "s1_scan_files": s1_scan_files,
+    "s12_load_files": s12_load_files,
+    "s13_write_read": s13_upsert,
+    "s14_ingest_stream": s14_ingest_stream,
+    "s15_load_eval_cases": s15_load_eval_cases,
+    "s16_report_results": v4_evaluate_cases,
+    "s16_report_summary": v5_eval_summary,
     "s17_parse_stage_log": s17_parse_stage_log,
     "c7_split_sections": c7_split_sections,
     "t1_pair_stages": t1_pair_stages,

@@ -75,18 +75,24 @@ def _rates(prefix: str = "") -> list[Column]:
     ]
 
 
-def eval_summary(results: DataFrame) -> DataFrame:
-    """V5: totals and rates over rows without error (0.0 when none); one row, one aggregate pass."""
+def summary_columns() -> list[Column]:
+    """V5 as aggregates: totals and rates over rows without error (0.0 when none)."""
     valid = F.col("error") == ""
-    return results.agg(
-        F.count("*").alias("total_cases"),
+    mean = lambda c: F.coalesce(F.avg(F.when(valid, F.col(c))), F.lit(0.0))
+    return [
+        F.count(F.lit(1)).alias("total_cases"),
         F.count_if(valid).alias("successful_cases"),
         F.count_if(~valid).alias("failed_cases"),
         *_rates()[2:],
-        F.coalesce(F.avg(F.when(valid, F.col("retrieval_keyword_recall"))), F.lit(0.0)).alias("avg_retrieval_keyword_recall"),
-        F.coalesce(F.avg(F.when(valid, F.col("answer_keyword_accuracy"))), F.lit(0.0)).alias("avg_answer_keyword_accuracy"),
-        F.coalesce(F.avg(F.when(valid, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"),
-    )
+        mean("retrieval_keyword_recall").alias("avg_retrieval_keyword_recall"),
+        mean("answer_keyword_accuracy").alias("avg_answer_keyword_accuracy"),
+        mean("latency_ms").alias("avg_latency_ms"),
+    ]
+
+
+def eval_summary(results: DataFrame) -> DataFrame:
+    """V5: one row, one aggregate pass."""
+    return results.agg(*summary_columns())
 
 
 def eval_by_category(results: DataFrame) -> DataFrame:
@@ -129,11 +135,14 @@ def run_evaluation(spark, cases_path: str, index: DataFrame, *, retrieval=None,
                    answer_fn=None, limit: int = 0, min_ratio: float = 0.5, report_path: str | None = None):
     """Batch evaluation: cases (S15) -> retrieval (R9/R10) -> answers (P5) -> per-case
     scores (V4) -> summary (V5), per category (V6), first misses (V7) -> report (S16). One Spark job
-    graph in place of the per-case request loop. Returns (results, summary, by_category, misses)."""
+    graph in place of the per-case request loop. The results are computed once (the model is asked once per question):
+    written as the report's results, or checkpointed without ``report_path``; all else is derived from the kept rows, and
+    the summary is observed while they are written. Returns (results, summary, by_category, misses)."""
     from ..operators.profiles import RetrievalConfig
     from ..operators.prompts import answer, first_context_answer
     from ..operators.retrieval import retrieve, retrieve_multi
-    from ..sources.evalsets import load_eval_cases, write_eval_report
+    from ..plans.checkpoints import cut
+    from ..sources.evalsets import load_eval_cases, write_eval_results, write_eval_summary
 
     cases, meta = load_eval_cases(spark, cases_path, limit)
     cases = cases.withColumn("question_id", F.col("ord").cast("long"))
@@ -145,7 +154,10 @@ def run_evaluation(spark, cases_path: str, index: DataFrame, *, retrieval=None,
         hits = retrieve(qs, index, config, embed=embed)
     answers = answer(qs, hits, answer_fn or first_context_answer)
     results = evaluate_cases(cases, answers, min_ratio)
-    summary, by_cat, misses = eval_summary(results), eval_by_category(results), eval_misses(results)
-    if report_path:
-        write_eval_report(summary, by_cat, results, report_path, cases_path, meta.collect()[0]["meta"])
-    return results, summary, by_cat, misses
+    if not report_path:
+        results = cut(results)
+        return results, eval_summary(results), eval_by_category(results), eval_misses(results)
+    results, summary = write_eval_results(results, report_path)
+    by_cat = eval_by_category(results)
+    write_eval_summary(summary, by_cat, report_path, cases_path, meta.first()["meta"])
+    return results, summary, by_cat, eval_misses(results)

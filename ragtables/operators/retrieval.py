@@ -1,406 +1,69 @@
 """Retrieval over a chunk index, batch over a table of questions.
 
-Questions are a table ``(question_id, question[, embedding])``; hits are ranked rows per
-``question_id`` (see ``schemas.HIT_COLUMNS``). Ties are broken by ``(doc_ord, chunk_index)``.
-
-* keyword (R3): an exact *postings* plan, no pairwise scan. A word token occurs in a text iff it is
-  inside one of the text's maximal word runs, so question tokens are matched to the vocabulary's
-  substrings (equi-join), then to the postings, then scores are summed per (question, chunk).
-* vector (R4): exact. Question vectors are size-checked and broadcast; each index partition keeps a
-  running top-k per question in numpy (``mapInArrow``), so only partitions x questions x k rows
-  reach the final rank filter. Too many questions are cut in blocks, each its own broadcast.
+Questions are a table ``(question_id, question[, embedding])``; hits are ranked rows per ``question_id`` (see
+``schemas.HIT_COLUMNS``). Ties are broken by ``(doc_ord, chunk_index)``.
+
+* keyword (R3): a scan of the texts, or a threshold algorithm over stored term tables (``operators.keyword``).
+* vector (R4): exact, block by block (``operators.vector_search``); R5 rules out cells first (``operators.cells``).
+
+All methods keep the best hits of each (question, collection), so several collections are searched in one plan.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import cjk_chars, keyword_score_tokens, tokenize, word_runs
+from ..functions.tokens import keyword_score_tokens, tokenize
 from ..functions.vectors import cosine
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, join_small
+from ..plans.joins import join_small
 from ..plans.topk import top_k
 from ..schemas import FILE_METADATA_COLUMNS
+from . import vector_search
+from .keyword import KeywordTables, scan_scores, term_scores
 from .profiles import Profile, RetrievalConfig
+from .vector_search import with_payload
 
-CHUNK_KEY = ["collection_name", "doc_ord", "chunk_index"]
 PAYLOAD = ["collection_name", "kb_id", "doc_ord", "chunk_index", "content", "source", "path", *FILE_METADATA_COLUMNS]
 
-# Bytes of question vectors broadcast at once (larger question tables are processed in blocks).
-MAX_QUESTION_VECTOR_BYTES = 64 * 1024 * 1024
-
 
 def _payload(index: DataFrame) -> list[str]:
     return [c for c in PAYLOAD if c in index.columns]
 
 
-def _substrings(term: Column, lengths: list[int]) -> Column:
-    """All substrings of ``term`` whose length is one of ``lengths`` (distinct)."""
-    n = F.length(term)
-    empty = F.array().cast("array<string>")
-    parts = []
-    for ln in lengths:
-        parts.append(F.when(n >= ln, F.transform(F.sequence(F.lit(1), n - ln + 1), _sub(term, ln))).otherwise(empty))
-    return F.array_distinct(F.flatten(F.array(*parts))) if parts else empty
-
-
-def _sub(term: Column, ln: int):
-    return lambda s: F.substring(term, s, ln)
-
-
-def question_tokens(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(question_id, token, mult) and (question_id, ntok) from the question text."""
-    toks = questions.select("question_id", tokenize("question").alias("toks"))
-    mult = toks.select("question_id", F.explode("toks").alias("token")).groupBy("question_id", "token").agg(
-        F.count("*").alias("mult")
-    )
-    ntok = toks.select("question_id", F.size("toks").alias("ntok"))
-    return mult, ntok
-
-
-def keyword_scores(questions: DataFrame, index: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """(question_id, collection_name, doc_ord, chunk_index, score) for every pair with score > 0."""
-    mult, ntok = question_tokens(questions)
-    tokens = mult.select("token").distinct()
-    is_word = F.col("token").rlike("^[a-z0-9_]+$")
-    word = tokens.filter(is_word)
-    lengths = sorted(r[0] for r in word.select(F.length("token")).distinct().collect())
-    postings = index.select(*CHUNK_KEY, F.explode(F.concat(word_runs("content"), cjk_chars("content"))).alias("term"))
-    matches = tokens.filter(~is_word).select("token", F.col("token").alias("term"))
-    if lengths:
-        vocab = postings.select("term").distinct().filter(F.col("term").rlike("^[a-z0-9_]+$"))
-        subs = vocab.select("term", F.explode(_substrings(F.col("term"), lengths)).alias("token"))
-        matches = matches.unionByName(join_small(subs, word, "token", max_rows=max_broadcast_rows).select("token", "term"))
-    matches = matches.distinct()
-    # index-derived: AQE turns this into a broadcast join when the materialised match table is small
-    token_chunk = postings.join(matches, "term").select(*CHUNK_KEY, "token").distinct()
-    q_chunk = join_small(token_chunk, mult, "token", max_rows=max_broadcast_rows)
-    hits = q_chunk.groupBy("question_id", *CHUNK_KEY).agg(F.sum("mult").alias("hits"))
-    scored = join_small(hits, ntok, "question_id", max_rows=max_broadcast_rows)
-    return scored.select("question_id", *CHUNK_KEY, (F.col("hits") / F.col("ntok")).alias("score"))
-
-
-def _fetch(index: DataFrame, ranked: DataFrame, bound_rows: int, max_broadcast_rows: int) -> DataFrame:
-    """Attach the chunk payload to ranked keys. The ranked side has at most ``bound_rows`` rows
-    (questions x k), so it is broadcast when that bound is small; otherwise a shuffle join."""
-    payload = index.select(*_payload(index))
-    if bound_rows <= max_broadcast_rows:
-        ranked = F.broadcast(ranked)
-    return payload.join(ranked, CHUNK_KEY)
-
-
-def _collections_bound(index: DataFrame) -> int:
-    """Collections in the index: 1 after a literal collection filter, else counted (partition column)."""
-    return index.select("collection_name").distinct().count() if "collection_name" in index.columns else 1
-
-
-def keyword_topk(questions: DataFrame, index: DataFrame, k: int, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                 plan: str = "scan") -> DataFrame:
-    """Chunks with score > 0, best k per (question, collection); distance = round(1 - score, 6).
-
-    ``plan="scan"`` (default): broadcast question tokens + per-partition top-k (one pass over the
-    index, no shuffle of pairs). ``plan="postings"``: joins through the vocabulary and postings.
-    """
-    if plan == "scan":
-        return keyword_scan_topk(questions, index, k)
-    scores = keyword_scores(questions, index, max_broadcast_rows)
-    ranked = top_k(scores, ["question_id", "collection_name"], [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
-    bound = questions.count() * max(k, 1) * _collections_bound(index)
-    out = _fetch(index, ranked, bound, max_broadcast_rows)
-    return out.withColumn("distance", F.round(1 - F.col("score"), 6))
-
-
-# keyword scan plan: broadcast question tokens, per-partition exact scores and running top-k
-
-# Bytes of (question, token, count) entries broadcast at once; more questions go in blocks, each its own scan.
-MAX_TOKEN_BYTES = 64 * 1024 * 1024
-TOKEN_ENTRY_BYTES = 24
-# Rows that a task may keep for the questions of a block (questions x k).
-MAX_STATE_ROWS = 1_000_000
-# Groups of partitions that a question's rows are cut in before they meet.
-MERGE_GROUPS = 32
-
-
-def _key_columns(index: DataFrame) -> list[str]:
-    return [c for c in CHUNK_KEY if c in index.columns]
-
-
-def _merged_top_k(partial: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
-    """Final rank filter in two steps: groups of partitions first, so that a question's rows of all partitions do not
-    meet in one task."""
-    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-    first = top_k(salted, [*group, "_salt"], order, k, rank_col="_first").drop("_first", "_salt")
-    return top_k(first, group, order, k)
-
-
-def _with_payload(index: DataFrame, ranked: DataFrame, questions: int, k: int, columns: list[str]) -> DataFrame:
-    """Payload of the final rows by one join on the chunk key; the ranked side is broadcast when its bound
-    (questions x k x collections) is small."""
-    keys = _key_columns(index)
-    bound = questions * max(k, 1) * _collections_bound(index)
-    if bound <= DEFAULT_BROADCAST_ROWS:
-        ranked = F.broadcast(ranked)
-    return index.select(*dict.fromkeys([*keys, *columns])).join(ranked, keys)
-
-
-def _typed_ids(pdf_ids, field):
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return pa.array(list(pdf_ids), to_arrow_type(field.dataType))
-
-
-def _best_rows(score, names, k: int):
-    """(row, question) of the rows at or above each question's k-th best score of each collection (ties kept)."""
-    import numpy as np
-
-    keep = np.isfinite(score)
-    for name in set(names):
-        rows = np.flatnonzero(names == name)
-        if len(rows) > k:
-            kth = -np.partition(-score[rows], k - 1, axis=0)[k - 1]
-            keep[rows] &= score[rows] >= kth[None, :]
-    return np.nonzero(keep)
-
-
-def _kw_scan_factory(bc, k: int, keys: list[str], out_names: list[str], block_cells: int = 4_000_000):
-    def scan(batches):
-        import re
-
-        import ahocorasick
-        import numpy as np
-        import pyarrow as pa
-
-        qids, tokens, begins, question, mult, ntok = bc.value
-        n_questions = len(ntok)
-        auto = ahocorasick.Automaton()
-        for j, tok in enumerate(tokens):
-            auto.add_word(tok, j)
-        auto.make_automaton()
-        word = re.compile(r"[a-zA-Z0-9_]+")
-        cjk = re.compile("[\u4e00-\u9fff]")
-        group = ("question_id", "collection_name") if "collection_name" in keys else ("question_id",)
-        order = (("score", "descending"), ("doc_ord", "ascending"), ("chunk_index", "ascending"))
-        kept, kept_rows = [], 0
-        step = max(1, block_cells // max(n_questions, 1))
-        for batch in batches:
-            contents = batch.column(batch.schema.get_field_index("content")).to_pylist()
-            tbl = pa.Table.from_batches([batch]).select(keys)
-            for low in range(0, batch.num_rows, step):
-                high = min(batch.num_rows, low + step)
-                row, token = [], []
-                for i in range(low, high):
-                    if contents[i]:
-                        text = contents[i].lower()
-                        # a token occurs in the text iff it occurs in one of its distinct word runs / CJK chars
-                        found = {j for _, j in auto.iter("\x00".join(set(word.findall(text)) | set(cjk.findall(text))))}
-                        row += [i - low] * len(found)
-                        token += found
-                if not token:
-                    continue
-                row, token = np.array(row), np.array(token)
-                # every (chunk, question) entry of the tokens found; sparse, so rare tokens cost nothing
-                size = begins[token + 1] - begins[token]
-                which = np.repeat(np.arange(len(token)), size)
-                at = begins[token][which] + np.arange(len(which)) - (np.cumsum(size) - size)[which]
-                cells = row[which] * n_questions + question[at]
-                hits = np.bincount(cells, weights=mult[at], minlength=(high - low) * n_questions).reshape(high - low, n_questions)
-                score = np.where(hits > 0, hits / ntok[None, :], -np.inf)
-                names = tbl.column("collection_name").to_numpy()[low:high] if len(group) > 1 else np.zeros(high - low)
-                r, c = _best_rows(score, names, k)
-                if not len(r):
-                    continue
-                cand = tbl.slice(low, high - low).take(pa.array(r))
-                cand = cand.append_column("question_id", qids.take(pa.array(c)))
-                cand = cand.append_column("score", pa.array(score[r, c], pa.float64()))
-                kept.append(_trim(cand, k, group, order))
-                kept_rows += kept[-1].num_rows
-                if kept_rows > 4 * n_questions * k + 100_000:
-                    merged = _trim(pa.concat_tables(kept), k, group, order)
-                    kept, kept_rows = [merged], merged.num_rows
-        if kept:
-            yield from _trim(pa.concat_tables(kept), k, group, order).select(out_names).to_batches()
-
-    return scan
-
-
-def keyword_scan_topk(questions: DataFrame, index: DataFrame, k: int, *, max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
-    """R3, scan plan: the same result as the postings plan. Question tokens (distinct, with counts) are broadcast as
-    sparse entries in blocks of at most ``max_bytes`` (64 MB hold the tokens of about 100,000 questions); every index
-    partition finds the tokens present in each chunk, sums exact hit counts and keeps a running top-k of chunk keys
-    per question; a rank filter in two steps merges the partitions, and one join fetches the payload."""
-    import numpy as np
-
-    spark, field, keys = index.sparkSession, questions.schema["question_id"], _key_columns(index)
-    out_schema = T.StructType([*index.select(*keys).schema.fields, field, T.StructField("score", T.DoubleType())])
-    mult, _ = question_tokens(questions)
-    size = mult.agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("q")).first()
-    if size["q"] == 0 or k <= 0:
-        payload = index.select(*_payload(index)).schema
-        empty = T.StructType([*payload.fields, field, T.StructField("score", T.DoubleType())])
-        return spark.createDataFrame([], empty.add("rank", T.IntegerType()).add("distance", T.DoubleType()))
-    blocks = max(1, math.ceil(size["n"] * TOKEN_ENTRY_BYTES / max_bytes), math.ceil(size["q"] * k / MAX_STATE_ROWS))
-    partial = None
-    for b in range(blocks):
-        # a bounded block of question tokens
-        pdf = (mult if blocks == 1 else mult.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)).toPandas()
-        if len(pdf) == 0:
-            continue
-        question, ids = pdf["question_id"].factorize()
-        token, names = pdf["token"].factorize()
-        order = np.argsort(token, kind="stable")
-        counts = pdf["mult"].to_numpy(dtype=np.float64)
-        ntok = np.bincount(question, weights=counts)
-        begins = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(names)))))
-        bc = spark.sparkContext.broadcast((_typed_ids(ids, field), [str(t) for t in names], begins, question[order], counts[order], ntok))
-        part = index.select(*keys, "content").mapInArrow(_kw_scan_factory(bc, k, keys, out_schema.fieldNames()), out_schema)
-        partial = part if partial is None else partial.unionByName(part)
-    group = ["question_id", "collection_name"] if "collection_name" in keys else ["question_id"]
-    ranked = _merged_top_k(partial, group, [F.desc("score"), F.asc("doc_ord"), F.asc("chunk_index")], k)
-    out = _with_payload(index, ranked, size["q"], k, _payload(index))
-    return out.withColumn("distance", F.round(1 - F.col("score"), 6))
-
+def keyword_topk(questions: DataFrame, index: DataFrame, k: int, tables: KeywordTables | None = None, **sizes) -> DataFrame:
+    """Chunks with score > 0, best k per (question, collection); distance = round(1 - score, 6). ``tables``: stored
+    term tables of the index, which are then used in place of a scan of its texts. ``sizes``: see ``operators.keyword``."""
+    n = questions.count()
+    if n == 0 or k <= 0:
+        fields = [*index.select(*_payload(index)).schema.fields, questions.schema["question_id"], T.StructField("score", T.DoubleType())]
+        return index.sparkSession.createDataFrame([], T.StructType(fields).add("rank", T.IntegerType()).add("distance", T.DoubleType()))
+    if tables is None:
+        scores = scan_scores(questions, index, k, **sizes)
+    else:
+        scores = term_scores(questions, index, k, tables, **sizes)
+        scores = scores if "collection_name" in index.columns else scores.drop("collection_name")
+    return with_payload(index, scores, n, k, _payload(index)).withColumn("distance", F.round(1 - F.col("score"), 6))
 
-# ---------------------------------------------------------------------------------------------------
-# vector search
-
-
-def _matrix(vec, d: int):
-    import numpy as np
-    import pyarrow as pa
-
-    n = len(vec)
-    offs = vec.offsets.to_numpy()
-    lengths = np.diff(offs)
-    valid = (lengths == d) & vec.is_valid().to_numpy(zero_copy_only=False)
-    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if valid.all():
-        return flat.reshape(n, d), valid
-    X = np.zeros((n, d))
-    if valid.any():
-        starts = offs[:-1][valid] - offs[0]
-        X[valid] = flat[starts[:, None] + np.arange(d)[None, :]]
-    return X, valid
-
-
-def _trim(t, k: int, group=("question_id",), order=(("distance", "ascending"), ("doc_ord", "ascending"), ("chunk_index", "ascending"))):
-    """Keep the first k rows per ``group`` in ``order`` (a pyarrow Table)."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    if t.num_rows == 0:
-        return t
-    keys = [(g, "ascending") for g in group] + list(order)
-    t = t.take(pc.sort_indices(t, sort_keys=keys))
-    first = np.zeros(t.num_rows, dtype=bool)
-    first[0] = True
-    for g in group:
-        col = t.column(g).to_numpy(zero_copy_only=False)
-        first[1:] |= col[1:] != col[:-1]
-    pos = np.arange(t.num_rows)
-    start = np.maximum.accumulate(np.where(first, pos, 0))
-    return t.filter(pa.array((pos - start) < k))
-
-
-def _scan_factory(bq, k: int, keys: list[str], vec_col: str, out_names: list[str], block_elems: int = 4_000_000):
-    def scan(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        qids, Q = bq.value
-        q, d = Q.shape
-        qn = np.linalg.norm(Q, axis=1)
-        group = ("question_id", "collection_name") if "collection_name" in keys else ("question_id",)
-        kept, kept_rows = [], 0
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0 or q == 0:
-                continue
-            X, valid = _matrix(batch.column(batch.schema.get_field_index(vec_col)), d)
-            xn = np.linalg.norm(X, axis=1)
-            tbl = pa.Table.from_batches([batch]).select(keys)
-            step = max(1, block_elems // q)
-            for s in range(0, n, step):
-                e = min(n, s + step)
-                dots = X[s:e] @ Q.T
-                denom = xn[s:e, None] * qn[None, :]
-                ok = (denom > 0) & valid[s:e, None]
-                cos = np.where(ok, dots / np.where(ok, denom, 1.0), 0.0)
-                dist = np.round(1.0 - cos, 6)
-                names = tbl.column("collection_name").to_numpy()[s:e] if len(group) > 1 else np.zeros(e - s)
-                r, c = _best_rows(-dist, names, k)
-                cand = tbl.slice(s, e - s).take(pa.array(r))
-                cand = cand.append_column("question_id", qids.take(pa.array(c)))
-                cand = cand.append_column("cosine", pa.array(cos[r, c], pa.float64()))
-                cand = cand.append_column("distance", pa.array(dist[r, c], pa.float64()))
-                kept.append(cand)
-                kept_rows += cand.num_rows
-                if kept_rows > 4 * q * k + 100_000:
-                    merged = _trim(pa.concat_tables(kept), k, group)
-                    kept, kept_rows = [merged], merged.num_rows
-        if kept:
-            yield from _trim(pa.concat_tables(kept), k, group).select(out_names).to_batches()
-
-    return scan
-
-
-def vector_topk(
-    questions: DataFrame,
-    index: DataFrame,
-    k: int,
-    *,
-    vec_col: str = "embedding",
-    question_vec_col: str = "embedding",
-    max_question_bytes: int = MAX_QUESTION_VECTOR_BYTES,
-    carry: list[str] | None = None,
-) -> DataFrame:
-    """The k nearest chunks per question and collection by cosine distance (exact), best first.
-
-    Question vectors are broadcast in blocks bounded by their bytes and by the rows that a task keeps for them; the
-    scan keeps chunk keys only, and one join fetches the payload of the final rows. Output: payload columns (plus
-    ``carry``, e.g. the chunk vector for re-ranking), question_id, cosine, distance (= round(1 - cos, 6)), rank.
-    """
-    import numpy as np
 
-    spark, field, keys = index.sparkSession, questions.schema["question_id"], _key_columns(index)
+def vector_topk(questions: DataFrame, index: DataFrame, k: int, *, vec_col: str = "embedding", question_vec_col: str = "embedding",
+                carry: list[str] | None = None, **sizes) -> DataFrame:
+    """The k nearest chunks per question and collection by cosine distance (exact), best first, with payload columns
+    (plus ``carry``, e.g. the chunk vector for re-ranking). ``sizes``: see ``vector_search.vector_topk``."""
     payload = _payload(index) + [c for c in (carry or []) if c not in PAYLOAD]
-    scores = [field, T.StructField("cosine", T.DoubleType()), T.StructField("distance", T.DoubleType())]
-    out_schema = T.StructType([*index.select(*keys).schema.fields, *scores])
-    qv = questions.select("question_id", F.col(question_vec_col).alias("qvec"))
-    stats = qv.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("d")).collect()[0]
-    n, d = stats["n"], stats["d"] or 0
-    if n == 0 or k <= 0:
-        return spark.createDataFrame([], T.StructType([*index.select(*payload).schema.fields, *scores]).add("rank", T.IntegerType()))
-    per_block = max(1, min(max_question_bytes // (8 * max(d, 1)), MAX_STATE_ROWS // k))
-    blocks = max(1, math.ceil(n / per_block))
-    partial = None
-    for b in range(blocks):
-        pdf = (qv if blocks == 1 else qv.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)).toPandas()
-        if len(pdf) == 0:
-            continue
-        Q = np.zeros((len(pdf), d))
-        for i, v in enumerate(pdf["qvec"]):
-            if v is not None and len(v) == d:
-                Q[i] = np.asarray(v, dtype=np.float64)
-        bq = spark.sparkContext.broadcast((_typed_ids(pdf["question_id"], field), Q))
-        part = index.select(*keys, vec_col).mapInArrow(_scan_factory(bq, k, keys, vec_col, out_schema.fieldNames()), out_schema)
-        partial = part if partial is None else partial.unionByName(part)
-    group = ["question_id", "collection_name"] if "collection_name" in keys else ["question_id"]
-    ranked = _merged_top_k(partial, group, [F.asc("distance"), F.asc("doc_ord"), F.asc("chunk_index")], k)
-    return _with_payload(index, ranked, n, k, payload)
+    return vector_search.vector_topk(questions, index, k, vec_col=vec_col, question_vec_col=question_vec_col, payload=payload, **sizes)
 
 
 # ---------------------------------------------------------------------------------------------------
 # re-ranking, fusion, merging
 
 
-def rerank(questions: DataFrame, candidates: DataFrame, k: int, *, vec_col: str = "embedding", question_vec_col: str = "embedding") -> DataFrame:
-    """score = 0.7 * cosine(question, chunk) + 0.3 * keyword score; best k by score.
+def rerank(questions: DataFrame, candidates: DataFrame, k: int, *, vec_col: str = "embedding", question_vec_col: str = "embedding",
+           group: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """score = 0.7 * cosine(question, chunk) + 0.3 * keyword score; best k of each ``group`` by score.
 
     ``candidates`` are vector hits that still carry the chunk vector and their vector ``rank``.
     """
@@ -409,12 +72,12 @@ def rerank(questions: DataFrame, candidates: DataFrame, k: int, *, vec_col: str
     vscore = F.when(F.col(vec_col).isNotNull(), cosine("_qvec", vec_col)).otherwise(F.lit(0.0))
     scored = c.withColumn("score", vscore * 0.7 + keyword_score_tokens(F.col("_qtok"), F.col("content")) * 0.3)
     scored = scored.withColumn("distance", F.round(1 - F.col("score"), 6))
-    ranked = top_k(scored, ["question_id"], [F.desc("score"), F.asc("_vrank")], k)
+    ranked = top_k(scored, list(group), [F.desc("score"), F.asc("_vrank")], k)
     return ranked.drop("_qtok", "_qvec", "_vrank", vec_col, "cosine")
 
 
-def rrf_fuse(keyword_hits: DataFrame, vector_hits: DataFrame, rrf_k: int, k: int) -> DataFrame:
-    """Reciprocal-rank fusion keyed by (source, content); every occurrence adds 1/(rrf_k + rank).
+def rrf_fuse(keyword_hits: DataFrame, vector_hits: DataFrame, rrf_k: int, k: int, *, group: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """Reciprocal-rank fusion keyed by (source, content) in each ``group``; every occurrence adds 1/(rrf_k + rank).
 
     The fused row is the first sighting (keyword list first, then by rank); ties keep that order.
     Output has ``distance = round(1 - score, 6)`` and no score.
@@ -424,13 +87,13 @@ def rrf_fuse(keyword_hits: DataFrame, vector_hits: DataFrame, rrf_k: int, k: int
     vc = vector_hits.select("question_id", "rank", *cols).withColumn("_list", F.lit(1))
     u = kw.unionByName(vc)
     first = F.struct(F.col("_list"), F.col("rank"))
-    g = u.groupBy("question_id", "source", "content").agg(
+    g = u.groupBy(*group, "source", "content").agg(
         F.sum(1.0 / (F.lit(rrf_k) + F.col("rank"))).alias("score"),
-        F.min_by(F.struct(*[c for c in cols if c not in ("source", "content")]), first).alias("_seed"),
+        F.min_by(F.struct(*[c for c in cols if c not in ("source", "content", *group)]), first).alias("_seed"),
         F.min(first).alias("_first"),
     )
-    ranked = top_k(g, ["question_id"], [F.desc(F.round("score", 12)), F.asc("_first._list"), F.asc("_first.rank")], k)
-    out = ranked.select("question_id", "rank", "source", "content", "_seed.*", F.round(1 - F.col("score"), 6).alias("distance"))
+    ranked = top_k(g, list(group), [F.desc(F.round("score", 12)), F.asc("_first._list"), F.asc("_first.rank")], k)
+    out = ranked.select(*group, "rank", "source", "content", "_seed.*", F.round(1 - F.col("score"), 6).alias("distance"))
     return out.withColumn("score", F.lit(None).cast("double"))
 
 
@@ -458,66 +121,57 @@ def _with_question_vectors(questions: DataFrame, embed: Callable[[Column], Colum
     return questions.withColumn(question_vec_col, embed(F.col("question")))
 
 
-def retrieve(
-    questions: DataFrame,
-    index: DataFrame,
-    config: RetrievalConfig = RetrievalConfig(),
-    *,
-    collection: str | None = None,
-    embed: Callable[[Column], Column] | None = None,
-    vec_col: str = "embedding",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
+def _method_hits(questions: DataFrame, index: DataFrame, config: RetrievalConfig, embed: Callable[[Column], Column] | None, vec_col: str,
+                 tables: KeywordTables | None, group: tuple[str, ...]) -> DataFrame:
+    """Hits of the configured method, best ones of each ``group``."""
+    qvec, m = "_question_vec", config.method
+    if m == "keyword":
+        return keyword_topk(questions, index, config.top_k, tables)
+    qs = _with_question_vectors(questions, embed, vec_col).withColumnRenamed(vec_col, qvec)
+    if m == "vector":
+        return vector_topk(qs, index, config.top_k, vec_col=vec_col, question_vec_col=qvec)
+    if m == "rerank":
+        near = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec, carry=[vec_col])
+        return rerank(qs, near, config.top_k, vec_col=vec_col, question_vec_col=qvec, group=group)
+    words = keyword_topk(questions, index, config.candidate_k, tables)
+    near = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec)
+    return rrf_fuse(words, near, config.rrf_k, config.top_k, group=group)
+
+
+def _finished(hits: DataFrame) -> DataFrame:
+    hits = hits if "score" in hits.columns else hits.withColumn("score", F.lit(None).cast("double"))
+    return hits.drop("cosine")
+
+
+def _tables_of(tables: KeywordTables | None, names: list[str]) -> KeywordTables | None:
+    """The part of stored term tables that belongs to these collections (a partition filter)."""
+    return None if tables is None else KeywordTables(*(t.filter(F.col("collection_name").isin(*names)) for t in tables))
+
+
+def retrieve(questions: DataFrame, index: DataFrame, config: RetrievalConfig = RetrievalConfig(), *, collection: str | None = None,
+             embed: Callable[[Column], Column] | None = None, vec_col: str = "embedding", tables: KeywordTables | None = None) -> DataFrame:
     """Hits of one collection by ``keyword``, ``vector``, ``rerank`` or ``rrf``; stamps the collection."""
     config.validate()
     if collection is not None:
-        index = index.filter(F.col("collection_name") == collection)
-    qvec = "_question_vec"
-    m = config.method
-    if m == "keyword":
-        hits = keyword_topk(questions, index, config.top_k, max_broadcast_rows)
-    else:
-        qs = _with_question_vectors(questions, embed, vec_col)
-        qs = qs.withColumnRenamed(vec_col, qvec) if vec_col in qs.columns else qs
-        if m == "vector":
-            hits = vector_topk(qs, index, config.top_k, vec_col=vec_col, question_vec_col=qvec)
-        elif m == "rerank":
-            cand = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec, carry=[vec_col])
-            hits = rerank(qs, cand, config.top_k, vec_col=vec_col, question_vec_col=qvec)
-        else:
-            kw = keyword_topk(questions, index, config.candidate_k, max_broadcast_rows)
-            vc = vector_topk(qs, index, config.candidate_k, vec_col=vec_col, question_vec_col=qvec)
-            hits = rrf_fuse(kw, vc, config.rrf_k, config.top_k)
-    if "score" not in hits.columns:
-        hits = hits.withColumn("score", F.lit(None).cast("double"))
-    if collection is not None:
-        hits = hits.withColumn("collection_name", F.lit(collection))
-    return hits.drop("cosine")
+        index, tables = index.filter(F.col("collection_name") == collection), _tables_of(tables, [collection])
+    hits = _finished(_method_hits(questions, index, config, embed, vec_col, tables, ("question_id",)))
+    return hits if collection is None else hits.withColumn("collection_name", F.lit(collection))
 
 
-def retrieve_multi(
-    questions: DataFrame,
-    index: DataFrame,
-    profiles: list[Profile],
-    config: RetrievalConfig = RetrievalConfig(),
-    *,
-    default_collection: str | None = None,
-    embed: Callable[[Column], Column] | None = None,
-    vec_col: str = "embedding",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-) -> DataFrame:
-    """R9 per enabled profile (kb_id, kb_name stamped, cut to max(top_k, candidate_k)), then R8
-    in profile order. Without enabled profiles: R9 on the default collection."""
+def retrieve_multi(questions: DataFrame, index: DataFrame, profiles: list[Profile], config: RetrievalConfig = RetrievalConfig(), *,
+                   default_collection: str | None = None, embed: Callable[[Column], Column] | None = None, vec_col: str = "embedding",
+                   tables: KeywordTables | None = None) -> DataFrame:
+    """R9 per enabled profile (kb_id, kb_name stamped, cut to max(top_k, candidate_k)), then R8 in profile order,
+    as one search of all their collections. Without enabled profiles: R9 on the default collection."""
     active = [p for p in profiles if p.enabled]
     if not active:
-        return retrieve(questions, index, config, collection=default_collection, embed=embed, vec_col=vec_col,
-                        max_broadcast_rows=max_broadcast_rows)
-    per_k = max(config.top_k, config.candidate_k)
-    groups = None
-    for i, p in enumerate(active):
-        h = retrieve(questions, index, config, collection=p.collection_name, embed=embed, vec_col=vec_col,
-                     max_broadcast_rows=max_broadcast_rows)
-        h = h.filter(F.col("rank") <= per_k).withColumn("kb_id", F.lit(p.id)).withColumn("kb_name", F.lit(p.name))
-        h = h.withColumn("group_ord", F.lit(i))
-        groups = h if groups is None else groups.unionByName(h, allowMissingColumns=True)
-    return merge_hits(groups, config.top_k).drop("group_ord")
+        return retrieve(questions, index, config, collection=default_collection, embed=embed, vec_col=vec_col, tables=tables)
+    config.validate()
+    names = sorted({p.collection_name for p in active})
+    index = index.filter(F.col("collection_name").isin(*names))
+    hits = _finished(_method_hits(questions, index, config, embed, vec_col, _tables_of(tables, names), ("question_id", "collection_name")))
+    hits = hits.filter(F.col("rank") <= max(config.top_k, config.candidate_k)).drop("kb_id", "kb_name")
+    stamps = index.sparkSession.createDataFrame([(p.collection_name, p.id, p.name, i) for i, p in enumerate(active)],
+                                                "collection_name string, kb_id string, kb_name string, group_ord int")
+    # one small row per profile
+    return merge_hits(hits.join(F.broadcast(stamps), "collection_name"), config.top_k).drop("group_ord")

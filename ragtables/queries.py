@@ -5,6 +5,8 @@ Column names match the DuckDB oracles in ``checks/oracles.py``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +15,27 @@ from .functions.chunkers import apply_overlap, sections, sentences
 from .functions.text import clean_text
 from .functions.tokens import keyword_score, tokenize
 from .functions.vectors import cosine, hash_embed, l2_normalize
+from .operators.cells import build_cells, cell_topk
 from .operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
 from .operators.embedding import embed, hash_embed_arrow, hash_model
 from .operators.evaluation import build_eval_cases, eval_by_category, eval_misses, eval_summary, evaluate_cases
+from .operators.keyword import read_keyword_tables, write_keyword_tables
 from .operators.profiles import ChunkConfig, Profile, RetrievalConfig
 from .operators.prompts import answer, build_prompts, format_context
 from .operators.retrieval import keyword_topk, merge_hits, retrieve, retrieve_multi, vector_topk
 from .operators.timing import pair_stages, timing_summary
 from .plans.joins import join_small
 from .plans.partitioning import spread
-from .sources.files import decode_text, source_counts, with_path_metadata
-from .sources.index import upsert
+from .session import checkpoint_dir
+from .sources.evalsets import load_eval_cases, read_eval_summary, write_eval_report
+from .sources.files import base_path, decode_text, file_documents, scan_files, source_counts, with_path_metadata
+from .sources.filesource import file_system, write_files
+from .sources.index import read_index, upsert, write_index
 from .sources.logs import parse_stage_log
 from .sources.markup import html_to_text, json_to_text, xml_to_text
 from .sources.tables import (assemble_parts, documents_from_table, load_table_documents, preview_table, rows_to_text,
                              table_to_text)
+from .streaming.ingest import ingest_stream
 
 DEFAULT = ChunkConfig("fixed", 800, 120)
 
@@ -133,6 +141,14 @@ def r3_keyword_topk(spark, d):
     return hits.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("doc_ord").alias("doc_id"), "chunk_index", "distance")
 
 
+def r3_term_tables(spark, d):
+    """R3 over stored term tables: the threshold algorithm."""
+    index, path = default_index(spark, d), scratch(spark, "terms")
+    write_keyword_tables(index, path)
+    hits = keyword_topk(questions(spark, d), index, 4, read_keyword_tables(spark, path))
+    return hits.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("doc_ord").alias("doc_id"), "chunk_index", "distance")
+
+
 def label_centroids(spark, d) -> DataFrame:
     """Mean vector per label: per-dimension averages (map-side partial aggregation), reassembled."""
     e = table(spark, d, "embeddings")
@@ -160,6 +176,35 @@ def r4_vector_topk(spark, d):
     return hits.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("doc_ord").alias("vec_id"), "distance")
 
 
+def vector_questions(spark, d) -> DataFrame:
+    """A stated query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+
+
+def _vector_hits(hits: DataFrame) -> DataFrame:
+    return hits.select("question_id", F.col("rank").cast("int").alias("rank"), F.col("doc_ord").alias("vec_id"), "distance")
+
+
+def r4_grid_topk(spark, d):
+    """R4 with both sides distributed: blocks of questions against blocks of the index."""
+    return _vector_hits(vector_topk(vector_questions(spark, d), embeddings_index(spark, d), 5, plan="grid"))
+
+
+def r5_cell_topk(spark, d):
+    """R5, exact: cells ruled out by the triangle inequality."""
+    return _vector_hits(cell_topk(vector_questions(spark, d), build_cells(embeddings_index(spark, d), 64), 5).hits)
+
+
+def r5_cell_probe(spark, d):
+    """R5, approximate: the 24 nearest of 64 cells."""
+    return _vector_hits(cell_topk(vector_questions(spark, d), build_cells(embeddings_index(spark, d), 64), 5, nprobe=24).hits)
+
+
+def r5_cell_visits(spark, d):
+    """Share of the index that the exact search visits, for each question."""
+    return cell_topk(vector_questions(spark, d), build_cells(embeddings_index(spark, d), 64), 5).visits
+
+
 def e2_hash_embed(spark, d):
     b = table(spark, d, "benchmark")
     return b.select("item_id", F.posexplode(hash_embed("text")).alias("dim", "value")).select(
@@ -301,8 +346,7 @@ def v8_build_eval_cases(spark, d):
     return c.select(F.col("ord").cast("int").alias("ord"), "id", "category", F.array_join("expected_keywords", "|").alias("keywords"))
 
 
-def v4_evaluate_cases(spark, d):
-    r = eval_results(spark, d)
+def _results_out(r: DataFrame) -> DataFrame:
     return r.select(
         "id", "category", "retrieval_hit", F.round("retrieval_keyword_recall", 6).alias("retrieval_keyword_recall"),
         "answer_hit", F.round("answer_keyword_accuracy", 6).alias("answer_keyword_accuracy"),
@@ -312,12 +356,18 @@ def v4_evaluate_cases(spark, d):
     )
 
 
+def v4_evaluate_cases(spark, d):
+    return _results_out(eval_results(spark, d))
+
+
+SUMMARY_RATES = ["retrieval_recall", "answer_accuracy", "avg_retrieval_keyword_recall", "avg_answer_keyword_accuracy", "avg_latency_ms"]
+
+
 def v5_eval_summary(spark, d):
     s = eval_summary(eval_results(spark, d))
     return s.select(
         "total_cases", "successful_cases", "failed_cases",
-        *[F.round(c, 6).alias(c) for c in ["retrieval_recall", "answer_accuracy", "avg_retrieval_keyword_recall",
-                                           "avg_answer_keyword_accuracy", "avg_latency_ms"]],
+        *[F.round(c, 6).alias(c) for c in SUMMARY_RATES],
     )
 
 
@@ -341,13 +391,13 @@ def s2_path_metadata(spark, d):
 
 
 def s3_decode_text(spark, d):
-    """Texts as bytes and back: UTF-8, GBK, and ASCII with a byte that no encoding knows."""
+    """Every whole text three times as bytes and back: as UTF-8; its ASCII part after two GBK characters; as UTF-8 with a
+    last byte that no encoding knows."""
     t = spread(table(spark, d, "documents"))
-    gbk = F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(F.col("doc_id").cast("string"), "UTF-8"))
-    bad = F.concat(F.encode(F.regexp_replace("text", "[^ -~]", ""), "UTF-8"), F.unhex(F.lit("FF")))
-    part = F.pmod("doc_id", F.lit(3))
-    raw = F.when(part == 0, F.encode("text", "UTF-8")).when(part == 1, gbk).otherwise(bad)
-    return t.select("doc_id", raw.alias("raw")).select("doc_id", decode_text("raw").alias("text"))
+    gbk = F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(F.regexp_replace("text", "[^ -~]", ""), "UTF-8"))
+    bad = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
+    raw = t.select("doc_id", F.encode("text", "UTF-8").alias("utf8"), gbk.alias("gbk"), bad.alias("bad"))
+    return raw.select("doc_id", *[decode_text(c).alias(c) for c in ("utf8", "gbk", "bad")])
 
 
 def s4_html_to_text(spark, d):
@@ -359,16 +409,18 @@ def s5_json_to_text(spark, d):
 
 
 def s6_xml_to_text(spark, d):
-    """XML built from the nations: nested elements, attributes and tail text (both left out)."""
-    xml = F.concat(F.lit('<nation id="1"><name>'), "n_name", F.lit("</name>tail<region> <key>"), F.col("n_regionkey").cast("string"), F.lit("</key> </region></nation>"))
-    return table(spark, d, "nation").select("n_nationkey", xml_to_text(xml).alias("text"))
+    """XML built from the orders: nested elements, attributes and tail text (both left out)."""
+    xml = F.concat(F.lit('<order id="'), F.col("o_orderkey").cast("string"), F.lit('"><status>'), "o_orderstatus", F.lit("</status>tail<customer> <key>"),
+                   F.col("o_custkey").cast("string"), F.lit("</key> </customer><priority>"), "o_orderpriority", F.lit("</priority></order>"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", xml_to_text(xml).alias("text"))
 
 
 def s7_table_to_text(spark, d):
-    n = join_small(table(spark, d, "nation"), table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    n = n.withColumn("r_regionkey", F.col("n_regionkey"))
-    return table_to_text(n, columns=["n_nationkey", "n_name", "n_regionkey"], order_by=["n_nationkey"],
-                         group_by=["r_regionkey"], title_col="r_name").select("r_regionkey", "content")
+    """One sheet of customers per nation."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = join_small(table(spark, d, "customer"), nation, "c_nationkey")
+    return table_to_text(c, columns=["c_custkey", "c_name", "c_mktsegment"], order_by=["c_custkey"], group_by=["c_nationkey"],
+                         title_col="n_name").select("c_nationkey", "content")
 
 
 def s9_assemble_parts(spark, d):
@@ -377,9 +429,11 @@ def s9_assemble_parts(spark, d):
 
 
 def s10_table_documents(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("region")
-    table(spark, d, "nation").createOrReplaceTempView("nation")
-    docs = load_table_documents(spark, ["region", "nation"], order_by={"region": ["r_regionkey"], "nation": ["n_nationkey"]})
+    """A custom query over the customers, and two tables."""
+    for name in ("customer", "supplier", "nation"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    docs = load_table_documents(spark, ["supplier", "nation"], query="SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
+                                order_by={"__query__": ["c_mktsegment"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"]})
     return docs.select("doc_ord", "source", "path", "document_type", "content")
 
 
@@ -404,6 +458,87 @@ def s13_upsert(spark, d):
     return upsert(old, new).select(F.col("doc_ord").alias("doc_id"), "chunk_index", "content")
 
 
+def scratch(spark, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def document_files(spark, d) -> str:
+    """The documents as one file each: folders by language, some names with a leading dot or underscore, JSON for the
+    German ones."""
+    t = table(spark, d, "documents")
+    lead = F.element_at(F.array(*map(F.lit, ("", "_", ".", "x"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    german = F.coalesce(F.col("lang") == "de", F.lit(False))
+    path = F.concat(F.lit("k/"), F.coalesce("lang", F.lit("und")), F.lit("/"), lead, F.lit("d"), F.col("doc_id").cast("string"), F.when(german, ".JSON").otherwise(".txt"))
+    root = scratch(spark, "files")
+    write_files(spread(t).select(path.alias("path"), F.when(german, F.to_json(F.struct("text"))).otherwise(F.col("text")).alias("content")), root)
+    return root
+
+
+def s1_scan_files(spark, d):
+    """Listing and bytes of the documents' files, hidden names included."""
+    root = document_files(spark, d)
+    files = with_path_metadata(scan_files(spark, root), base_path(root))
+    return files.select("relative_path", "file_suffix", "length", F.length("content").cast("long").alias("bytes_read"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def s12_load_files(spark, d):
+    """The documents' files as documents, numbered in path order."""
+    return file_documents(spark, document_files(spark, d)).select("doc_ord", "relative_path", "parent_dir", "content")
+
+
+def s13_write_read(spark, d):
+    """The rows of ``s13_upsert`` through a stored index: written, upserted, read."""
+    docs = documents_from_table(spread(table(spark, d, "documents")), keep=["lang"])
+    first, second = docs.filter(F.col("lang").isin("en", "fr")).drop("lang"), docs.filter(F.col("lang").isin("fr", "de", "es")).drop("lang")
+    path = scratch(spark, "index")
+    write_index(with_chunk_keys(chunk_documents(first, DEFAULT), None, "knowledge"), path, buckets=16, counts=False, collections=["knowledge"])
+    new = with_chunk_keys(chunk_documents(second, ChunkConfig("recursive", 300, 40)), None, "knowledge")
+    write_index(new, path, mode="upsert", documents=second.select(F.lit("knowledge").alias("collection_name"), "doc_id"), counts=False)
+    return read_index(spark, path, "knowledge").select(F.col("doc_ord").alias("doc_id"), "chunk_index", "content")
+
+
+def s14_ingest_stream(spark, d):
+    """Three triggers over a folder: added, changed and removed files; the index is that of the last state."""
+    t = spread(table(spark, d, "documents"))
+    root, lang, n = scratch(spark, "stream"), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string")
+    index, notes, config = f"{root}/index", f"{root}/checkpoint", DEFAULT
+    put = lambda rows, folder, text: write_files(rows.select(F.concat(F.lit(folder), n, F.lit(".md")).alias("path"), text.alias("content")), f"{root}/k")
+    put(t.filter(~lang.isin("de", "es")), "a/", F.col("text"))
+    put(t.filter(lang == "es"), "old/", F.col("text"))
+    ingest_stream(spark, f"{root}/k", index, notes, config=config)
+    put(t.filter(lang == "fr"), "a/", F.concat(F.lit("v2 "), "text"))
+    put(t.filter(lang.isin("de", "es")), "a/", F.col("text"))
+    ingest_stream(spark, f"{root}/k", index, notes, config=config)
+    system, base = file_system(f"{root}/k")
+    system.create_dir(f"{base}/old")
+    system.delete_dir(f"{base}/old")
+    ingest_stream(spark, f"{root}/k", index, notes, config=config)
+    return read_index(spark, index).select(F.regexp_extract("file_stem", "([0-9]+)$", 1).cast("long").alias("doc_id"), "relative_path", "chunk_index", "content")
+
+
+def s15_load_eval_cases(spark, d):
+    """The benchmark written as JSON lines in several files, and loaded in order."""
+    path = f"{scratch(spark, 'cases')}.jsonl"
+    c = eval_cases(spark, d).select("ord", F.to_json(F.struct("id", "category", "question", "expected_keywords", F.lit("").alias("reference"))).alias("value"))
+    c.repartitionByRange(4, "ord").sortWithinPartitions("ord").select("value").write.text(path)
+    cases, _ = load_eval_cases(spark, path)
+    return cases.select(F.col("ord").cast("int").alias("ord"), "id", "category", "question", F.array_join("expected_keywords", "|").alias("keywords"))
+
+
+def s16_report_results(spark, d):
+    """Results of a written report."""
+    return _results_out(write_eval_report(eval_results(spark, d), scratch(spark, "report")))
+
+
+def s16_report_summary(spark, d):
+    """Summary of a written report, observed while its results were written."""
+    path = scratch(spark, "report")
+    write_eval_report(eval_results(spark, d), path)
+    s = read_eval_summary(spark, path)
+    return s.select("total_cases", "successful_cases", "failed_cases", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in SUMMARY_RATES])
+
+
 def stage_log_lines(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     t = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
@@ -459,7 +594,12 @@ QUERIES = {
     "c10_chunk_keys": c10_chunk_keys,
     "r1_tokenize": r1_tokenize,
     "r3_keyword_topk": r3_keyword_topk,
+    "r3_term_tables": r3_term_tables,
     "r4_vector_topk": r4_vector_topk,
+    "r4_grid_topk": r4_grid_topk,
+    "r5_cell_topk": r5_cell_topk,
+    "r5_cell_probe": r5_cell_probe,
+    "r5_cell_visits": r5_cell_visits,
     "e2_hash_embed": e2_hash_embed,
     "e1_embed_model": e1_embed_model,
     "r2_keyword_score": r2_keyword_score,
@@ -489,6 +629,13 @@ QUERIES = {
     "s11_preview_table": s11_preview_table,
     "s12_source_counts": s12_source_counts,
     "s13_upsert": s13_upsert,
+    "s1_scan_files": s1_scan_files,
+    "s12_load_files": s12_load_files,
+    "s13_write_read": s13_write_read,
+    "s14_ingest_stream": s14_ingest_stream,
+    "s15_load_eval_cases": s15_load_eval_cases,
+    "s16_report_results": s16_report_results,
+    "s16_report_summary": s16_report_summary,
     "s17_parse_stage_log": s17_parse_stage_log,
     "c7_split_sections": c7_split_sections,
     "t1_pair_stages": t1_pair_stages,

@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text, col_
 from ..schemas import DOCUMENT_COLUMNS
+from .filesource import file_system, read_files
 from .markup import html_to_text, structured_to_text
 
 # Supported file suffixes (lower case).
 SUPPORTED_SUFFIXES = (".txt", ".md", ".pdf", ".csv", ".xlsx", ".xls", ".xlsm", ".docx", ".pptx", ".html", ".json", ".xml")
-# Suffixes whose bytes this package turns into text (the office and PDF formats come as extracted parts, see S9).
+# Suffixes whose bytes this package turns into text (the office and PDF formats come as extracted parts, see S9).
 TEXT_SUFFIXES = (".txt", ".md", ".html", ".json", ".xml", ".csv")
 
 
@@ -59,22 +60,16 @@ def with_path_metadata(df: DataFrame, root: str, path_col: str = "path") -> Data
     )
 
 
-def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES, ordered: bool = True) -> DataFrame:
-    """Regular files under ``directory`` (recursive) whose lower-cased suffix is supported,
-    ordered by path; a missing directory gives no rows. Columns: path, length, content (binary).
-    Names that start with a dot or an underscore are left out by Spark's file sources (``skipped_files``)."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()),
-                           T.StructField("content", T.BinaryType())])
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    except Exception as exc:  # missing directory
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return spark.createDataFrame([], schema)
-        raise
-    path = F.regexp_replace("path", "^file:", "")
-    out = raw.select(path.alias("path"), "length", "content")
-    out = out.filter(F.lower(file_suffix(file_name(F.col("path")))).isin(*suffixes))
-    return out.orderBy(F.split("path", "/")) if ordered else out
+def base_path(directory: str) -> str:
+    """The folder as the files' paths begin."""
+    return file_system(directory)[1]
+
+
+def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES) -> DataFrame:
+    """Regular files under ``directory`` (recursive, names with a leading dot or underscore too) whose lower-cased
+    suffix is supported, in path order without a sort; a missing directory gives no rows. Columns: path, length, content
+    (binary), error (why a file could not be read)."""
+    return read_files(spark, directory, tuple(suffixes)).select("path", "length", "content", "error")
 
 
 @F.pandas_udf(T.StringType())
@@ -100,21 +95,53 @@ def decode_text(content: Column | str) -> Column:
     return F.coalesce(F.when(F.is_valid_utf8(s), s), _decode_fallback(F.when(~F.is_valid_utf8(s), c)))
 
 
+#: How the extracted parts of other formats are joined (S9), by suffix.
+PART_KINDS = {".pdf": "pages", ".docx": "paragraphs", ".pptx": "slides", ".xlsx": "paragraphs", ".xls": "paragraphs", ".xlsm": "paragraphs"}
+
+
+def file_text(suffix: Column, content: Column) -> Column:
+    """struct(text, error) of a file's bytes by its suffix (S3-S7); the text is null for other formats and for contents
+    that cannot be parsed, of which the error tells why."""
+    text = decode_text(content)
+    plain = F.when(suffix.isin(".txt", ".md"), text).when(suffix == ".html", html_to_text(F.when(suffix == ".html", text)))
+    parsed = structured_to_text(suffix, F.when(suffix.isin(".json", ".xml", ".csv"), text))
+    return F.struct(F.coalesce(plain, parsed["text"]).alias("text"), parsed["error"].alias("error"))
+
+
+def file_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per file of a text format: path metadata, ``content`` (text) and ``error`` (unreadable or unparsable)."""
+    files = with_path_metadata(scan_files(spark, directory, TEXT_SUFFIXES), base_path(directory))
+    read = files.withColumn("_read", file_text(F.col("file_suffix"), F.col("content")))
+    return read.withColumn("content", clean_text("_read.text")).withColumn("error", F.coalesce("error", "_read.error")).drop("_read", "length")
+
+
+def failed_files(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, error) of the files that ``file_documents`` leaves out because they cannot be read or parsed."""
+    return file_texts(spark, directory).filter("error is not null").select("path", "error")
+
+
+def _part_documents(parts: DataFrame, root: str) -> DataFrame:
+    """Documents of the extracted parts (path, part, text[, sub]): pages, paragraphs, slides or sheets by the suffix."""
+    from .tables import assemble_parts
+
+    named = with_path_metadata(parts, root).withColumnRenamed("text", "_text")
+    out = None
+    for kind in sorted(set(PART_KINDS.values())):
+        own = named.filter(F.col("file_suffix").isin(*[s for s, k in PART_KINDS.items() if k == kind]))
+        sub = "sub" if kind == "slides" and "sub" in parts.columns else None
+        one = assemble_parts(own, doc_key=["path"], part_key="part", text="_text", kind=kind, sub_key=sub)
+        out = one if out is None else out.unionByName(one)
+    return with_path_metadata(out.select("path", clean_text("content").alias("content")), root).filter(F.length("content") > 0)
+
+
 def file_documents(spark: SparkSession, directory: str, parts: DataFrame | None = None) -> DataFrame:
-    """S12 (files): text formats decoded and converted by suffix, stripped, blanks dropped, newlines
-    normalised; ``doc_ord`` follows the path order. ``parts`` (path, part, text): the extracted pages, slides or
-    sheets of files in other formats, which become documents too. See ``skipped_files`` for what is left out."""
-    files = scan_files(spark, directory, TEXT_SUFFIXES, ordered=False)  # file bytes are not sorted
-    files = with_path_metadata(files, directory)
-    docs = files.withColumn("content", file_text(F.col("file_suffix"), F.col("content")))
-    docs = docs.withColumn("content", clean_text("content")).filter(F.length("content") > 0)
+    """S12 (files): text formats decoded and converted by suffix, stripped, blanks dropped, newlines normalised;
+    ``doc_ord`` follows the path order. ``parts`` (path, part, text[, sub]): the extracted pages, paragraphs, slides (with
+    their shapes as ``sub``) or sheets of files in other formats, which become documents too. Files that cannot be read
+    or parsed fail no job (``failed_files``)."""
+    docs = file_texts(spark, directory).filter("error is null").drop("error").filter(F.length("content") > 0)
     if parts is not None:
-        from .tables import assemble_parts
-
-        # extracted parts of other formats: (path, part, text), joined per file
-        whole = assemble_parts(parts, doc_key=["path"], part_key="part", text="text", kind="paragraphs")
-        whole = with_path_metadata(whole.select("path", clean_text("content").alias("content")), directory)
-        docs = docs.unionByName(whole.filter(F.length("content") > 0), allowMissingColumns=True)
+        docs = docs.unionByName(_part_documents(parts, base_path(directory)), allowMissingColumns=True)
     from ..plans.ordinals import with_ordinal
 
     # numbered in path-component order (as sorted Path objects), not string order: "a/b" < "a-c/x"; only the
@@ -124,30 +151,10 @@ def file_documents(spark: SparkSession, directory: str, parts: DataFrame | None
     return docs.select(*DOCUMENT_COLUMNS)
 
 
-def file_text(suffix: Column, content: Column) -> Column:
-    """Text of a file's bytes by its suffix (S3-S7); null for other formats."""
-    text = decode_text(content)
-    plain = F.when(suffix.isin(".txt", ".md"), text).when(suffix == ".html", html_to_text(F.when(suffix == ".html", text)))
-    return F.coalesce(plain, structured_to_text(suffix, F.when(suffix.isin(".json", ".xml", ".csv"), text)))
-
-
 def skipped_files(spark: SparkSession, directory: str, suffixes=TEXT_SUFFIXES) -> DataFrame:
-    """(path, file_suffix) of the files under ``directory`` that ``file_documents`` does not read: other suffixes, and
-    names that start with a dot or an underscore, which Spark's file sources leave out."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(directory)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = []
-    if fs.exists(root):
-        found = fs.listFiles(root, True)
-        while found.hasNext():
-            path = found.next().getPath()
-            name = path.getName()
-            dot = name.rfind(".")
-            suffix = name[dot:].lower() if 0 < dot < len(name) - 1 else ""
-            if name.startswith((".", "_")) or suffix not in suffixes:
-                rows.append((path.toUri().getPath(), suffix))
-    return spark.createDataFrame(rows, "path string, file_suffix string")
+    """(path, file_suffix) of the files under ``directory`` of other formats, which ``file_documents`` does not read."""
+    found = read_files(spark, directory, content=False).select("path", F.lower(file_suffix(file_name(F.col("path")))).alias("file_suffix"))
+    return found.filter(~F.col("file_suffix").isin(*suffixes))
 
 
 def load_documents(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_name", "doc_id"), documents: DataFrame | None = None) -> DataFrame:
     """Rows of the incoming documents replace all old rows of those documents (so chunks that a
@@ -25,130 +27,106 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("collection_
 DOC_BUCKETS = 256
 # The index keeps its bucket count in this file (readers skip names that start with an underscore).
 META = "_index.json"
+PARTS = ["collection_name", "doc_bucket"]
 
 
 def doc_bucket(doc_id, buckets: int = DOC_BUCKETS):
     return F.pmod(F.xxhash64(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(buckets)).cast("int")
 
 
-class _Folder:
-    """A folder on any Hadoop file system."""
+def _meta(spark: SparkSession, path: str):
+    """(file system, path) of the file that holds the bucket count."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{META}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
-        self.fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _of(self, path: str):
-        return self.jvm.org.apache.hadoop.fs.Path(path)
+def index_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count of an existing index; None without one."""
+    fs, at = _meta(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["buckets"]
+    finally:
+        stream.close()
 
-    def names(self, inside: str = "") -> list[str]:
-        at = self._of(f"{self.path}/{inside}" if inside else self.path)
-        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
-    def delete(self, inside: str) -> None:
-        self.fs.delete(self._of(f"{self.path}/{inside}"), True)
+def _note_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    fs, at = _meta(spark, path)
+    stream = fs.create(at, True)
+    stream.write(bytearray(json.dumps({"buckets": buckets}).encode()))
+    stream.close()
 
-    def move(self, source: str, inside: str) -> None:
-        target = self._of(f"{self.path}/{inside}")
-        self.fs.mkdirs(target.getParent())
-        if not self.fs.rename(self._of(source), target):
-            raise OSError(f"cannot move {source} to {target}")
 
-    def read(self, name: str) -> str | None:
-        at = self._of(f"{self.path}/{name}")
-        if not self.fs.exists(at):
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows under ``path``, markers of emptied partitions included; None if nothing is written yet."""
+    spark.catalog.refreshByPath(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
             return None
-        stream = self.fs.open(at)
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        stream = self.fs.create(self._of(f"{self.path}/{name}"), True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
-
-def index_buckets(spark: SparkSession, path: str) -> int | None:
-    """Bucket count of an existing index; None without one."""
-    folder = _Folder(spark, path)
-    if not any(n.startswith("collection_name=") for n in folder.names()):
-        return None
-    meta = folder.read(META)
-    return json.loads(meta)["buckets"] if meta else DOC_BUCKETS
+        raise
 
 
 def write_index(chunks: DataFrame, path: str, mode: str = "replace", buckets: int = DOC_BUCKETS, documents: DataFrame | None = None,
-                counts: bool = True) -> dict:
+                counts: bool = True, collections: list[str] | None = None) -> dict:
     """Write chunks partitioned by ``collection_name`` and ``doc_bucket`` (a hash of ``doc_id``).
 
-    ``replace``: the collections present in ``chunks`` are replaced, other collections stay. ``upsert``: only the
-    (collection, bucket) partitions touched by the incoming documents are read, merged (the incoming documents'
-    chunks replace theirs; ``documents`` also names those that became blank) and rewritten. An existing index keeps
-    its bucket count; a new one takes ``buckets``. All rows are computed once, into a stage folder of its own beside
-    the index, one file for each partition; only when that is complete the old partitions give way to the staged
-    ones, by renaming. An index that cannot be read is an error. Returns the per-collection document and chunk
-    counts (``counts=False``: none, which saves reading the index); no chunks is an error, but for an upsert with
-    ``documents``.
+    ``replace``: the collections of ``chunks`` (named by ``collections``, else looked up first) are replaced, other
+    collections stay. ``upsert``: only the (collection, bucket) partitions of the incoming documents are read, merged
+    (their chunks replace the old ones; ``documents`` names all incoming documents, also those that became blank) and
+    rewritten. An existing index keeps its bucket count; a new one takes ``buckets``.
+
+    One write with Spark's dynamic partition overwrite: rows are staged by the commit protocol and replace their
+    partitions only when all of them are written, so a failed write leaves the old rows. A partition that loses all its
+    rows gets a marker row without a ``doc_id``, which ``read_index`` leaves out. Rows are rebalanced by partition, so a
+    large bucket is many tasks and files, and small ones share a task.
+
+    Returns the per-collection document and chunk counts (``counts=False``: none, which saves reading the index); no
+    chunks is an error, but for an upsert with ``documents``. An index that cannot be read is an error.
     """
     if mode not in ("replace", "upsert"):
         raise ValueError("mode must be 'replace' or 'upsert'")
-    spark, folder, parts = chunks.sparkSession, _Folder(chunks.sparkSession, path), ["collection_name", "doc_bucket"]
+    if (mode == "replace" or documents is None) and chunks.isEmpty():
+        raise ValueError("no chunks to index")
+    spark = chunks.sparkSession
     known = index_buckets(spark, path)
+    if known is None:
+        _note_buckets(spark, path, buckets)
     buckets = known or buckets
     chunks = chunks.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
-    stage = f"{folder.path}._stage-{uuid.uuid4().hex}"
+    old = _stored(spark, path)
     fresh = chunks
-    touched = None
-    if mode == "upsert" and known is not None:
-        keys = chunks.select(*parts, "doc_id")
+    if old is not None and mode == "replace":
+        present = old.select(*PARTS).distinct()
+        names = chunks.select("collection_name").distinct() if collections is None else spark.createDataFrame([(c,) for c in collections], "collection_name string")
+        # one row per collection, and per collection and bucket
+        fresh = fresh.unionByName(present.join(F.broadcast(names), "collection_name", "left_semi"), allowMissingColumns=True)
+    elif mode == "upsert":
+        keys = chunks.select(*PARTS, "doc_id")
         if documents is not None:
-            documents = documents.select("collection_name", "doc_id").withColumn("doc_bucket", doc_bucket("doc_id", buckets))
-            keys = keys.unionByName(documents)
-        # at most collections x buckets small rows
-        touched = [(r["collection_name"], r["doc_bucket"]) for r in keys.select(*parts).distinct().collect()]
-        old = spark.read.parquet(path)
-        where = F.lit(False)
-        for name in sorted({c for c, _ in touched}):
-            where = where | ((F.col("collection_name") == name) & F.col("doc_bucket").isin([b for c, b in touched if c == name]))
-        fresh = upsert(old.filter(where), chunks, documents=documents)
-    fresh.repartition(*parts).write.partitionBy(*parts).parquet(stage)
-    staged = _Folder(spark, stage)
-    collections = [n for n in staged.names() if n.startswith("collection_name=")]
-    if not collections and not touched:
-        folder.fs.delete(folder._of(stage), True)
-        raise ValueError("no chunks to index")
-    filled = {(c, b) for c in collections for b in staged.names(c) if b.startswith("doc_bucket=")}
-    if mode == "replace":
-        for c in collections:
-            folder.delete(c)
-    for name, bucket in touched or []:
-        c, b = f"collection_name={_escaped(spark, name)}", f"doc_bucket={bucket}"
-        if (c, b) not in filled:
-            folder.delete(f"{c}/{b}")
-    for c, b in sorted(filled):
-        folder.delete(f"{c}/{b}")
-        folder.move(f"{stage}/{c}/{b}", f"{c}/{b}")
-    folder.write(META, json.dumps({"buckets": buckets}))
-    folder.fs.delete(folder._of(stage), True)
-    if not counts or not any(n.startswith("collection_name=") and folder.names(n) for n in folder.names()):
-        return {}
+            keys = documents.select("collection_name", "doc_id").withColumn("doc_bucket", doc_bucket("doc_id", buckets)).select(*PARTS, "doc_id")
+        touched = cut(keys.select(*PARTS).distinct())
+        if old is not None:
+            # at most collections x buckets rows: the scan is pruned to these partitions
+            mine = old.filter("doc_id is not null").join(F.broadcast(touched), PARTS, "left_semi")
+            fresh = upsert(mine, chunks, documents=documents)
+        fresh = fresh.unionByName(touched, allowMissingColumns=True)
+    fresh = fresh.select(*[c for c in fresh.columns if c not in PARTS], *PARTS)
+    writer = fresh.hint("rebalance", *PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*PARTS).parquet(path)
     spark.catalog.refreshByPath(path)
-    stats = spark.read.parquet(path).groupBy("collection_name").agg(
-        F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks")
-    )
+    if not counts:
+        return {}
+    stats = read_index(spark, path).groupBy("collection_name").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
     return {r["collection_name"]: {"documents": r["documents"], "chunks": r["chunks"]} for r in stats.collect()}
 
 
-def _escaped(spark: SparkSession, name: str) -> str:
-    """A partition value as Spark writes it in a folder name."""
-    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
-
-
 def read_index(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """The index; a collection filter prunes to that partition directory."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).filter("doc_id is not null")
     return df.filter(F.col("collection_name") == collection) if collection else df
 
 
@@ -172,4 +150,4 @@ def build_index(docs: DataFrame, path: str, profiles=None, *, config=None, make_
     if make_model is not None:
         chunks = embed(chunks, "content", make_model, out_col=embed_col, batch_size=batch_size, normalize=True)
     incoming = docs.select(F.explode(F.array(*map(F.lit, names))).alias("collection_name"), "doc_id")
-    return write_index(chunks, path, mode=mode, documents=incoming)
+    return write_index(chunks, path, mode=mode, documents=incoming, collections=names)

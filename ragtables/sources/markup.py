@@ -5,9 +5,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import col_
+
 # Elements whose text is not part of the visible text.
 HIDDEN_ELEMENTS = ("script", "style", "template")
 
@@ -49,38 +52,35 @@ def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(lambda v: None if v is None else visible_text(v))
 
 
-@F.pandas_udf(T.StringType())
-def json_to_text(s: pd.Series) -> pd.Series:
-    """Parse and re-print with a 2-space indent, key order and non-ASCII kept."""
+def json_text(v: str) -> str:
+    """Parsed and printed again with a 2-space indent, key order and non-ASCII kept."""
     import json
 
-    return s.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=False, indent=2))
+    return json.dumps(json.loads(v), ensure_ascii=False, indent=2)
+
 
+def xml_text(v: str) -> str:
+    """Pre-order walk: ``<tag>`` line then the element's own text, indent 2 per depth; attributes and tail text dropped."""
+    import xml.etree.ElementTree as ET
 
-def _flatten_xml(elem, depth: int, out: list) -> None:
-    pad = "  " * depth
-    out.append(f"{pad}<{elem.tag}>")
-    text = (elem.text or "").strip()
-    if text:
-        out.append(f"{pad}{text}")
-    for child in list(elem):
-        _flatten_xml(child, depth + 1, out)
+    out, open_ = [], [(ET.fromstring(v), 0)]
+    while open_:
+        elem, depth = open_.pop()
+        pad, text = "  " * depth, (elem.text or "").strip()
+        out += [f"{pad}<{elem.tag}>", *([f"{pad}{text}"] if text else [])]
+        open_ += [(child, depth + 1) for child in reversed(elem)]
+    return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def xml_to_text(s: pd.Series) -> pd.Series:
-    """Pre-order walk: ``<tag>`` line then the element's own text, indent 2 per depth;
-    attributes and tail text dropped."""
-    import xml.etree.ElementTree as ET
+def json_to_text(s: Column | str) -> Column:
+    """``json_text`` of a column; null stays null, and a text that cannot be parsed is null (``structured_to_text``
+    tells why)."""
+    return structured_to_text(F.lit(".json"), col_(s))["text"]
 
-    def one(v):
-        if v is None:
-            return None
-        out: list = []
-        _flatten_xml(ET.fromstring(v), 0, out)
-        return "\n".join(out)
 
-    return s.map(one)
+def xml_to_text(s: Column | str) -> Column:
+    """``xml_text`` of a column; null as in S5."""
+    return structured_to_text(F.lit(".xml"), col_(s))["text"]
 
 
 def csv_to_text(text: str) -> str:
@@ -96,24 +96,22 @@ def csv_to_text(text: str) -> str:
     return shown.to_csv(index=False).strip() or "(空表)"
 
 
-@F.pandas_udf(T.StringType())
-def structured_to_text(suffix: pd.Series, text: pd.Series) -> pd.Series:
-    """S5, S6 and CSV by file suffix in one UDF; other rows give null. The caller sends null texts for these: Spark
-    evaluates a Python UDF for every row even under ``CASE WHEN``."""
-    import json
-    import xml.etree.ElementTree as ET
+PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(PARSED)
+def structured_to_text(suffix: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """struct(text, error): S5, S6 and CSV by file suffix in one UDF; other rows give nulls, and a text that cannot be
+    parsed gives its error, not a failed job. The caller sends null texts for other formats: Spark evaluates a Python UDF
+    for every row even under ``CASE WHEN``."""
+    parsers = {".json": json_text, ".xml": xml_text, ".csv": csv_to_text}
 
     def one(suf, v):
-        if v is None:
-            return None
-        if suf == ".json":
-            return json.dumps(json.loads(v), ensure_ascii=False, indent=2)
-        if suf == ".xml":
-            out: list = []
-            _flatten_xml(ET.fromstring(v), 0, out)
-            return "\n".join(out)
-        if suf == ".csv":
-            return csv_to_text(v)
-        return None
-
-    return pd.Series([one(s, v) for s, v in zip(suffix, text)], dtype=object)
+        if v is None or suf not in parsers:
+            return None, None
+        try:
+            return parsers[suf](v), None
+        except (ValueError, SyntaxError, RecursionError) as e:  # what the three parsers raise
+            return None, f"{type(e).__name__}: {e}"
+
+    return pd.DataFrame([one(s, v) for s, v in zip(suffix, text)], columns=["text", "error"], dtype=object)

@@ -1,42 +1,104 @@
-"""Incremental ingest (S14): only new files are chunked, embedded and upserted.
-
-A Structured Streaming ``binaryFile`` source over the knowledge folder; each micro-batch is decoded,
-chunked and upserted into the index by ``foreachBatch``. The file source's checkpoint remembers which
-files were processed (exactly-once per file across restarts); ``trigger(availableNow=True)`` processes
-what is there and stops.
+"""Incremental ingest (S14): only changed files are read, chunked, embedded and upserted.
+
+Each trigger lists the folder (``note_folder``: path, length, modification time, and the time of the listing) as one more
+batch of a streaming table. ``transformWithState`` keeps what is known of every path: length, time and content hash. A
+path that is new or whose length or time differs is read; if its hash differs too, it goes on as a change. The watermark
+is the time of the newest listing, and each path sets a timer to its last one, so the paths that a listing no longer has
+come up as removed by themselves. There is no manifest: the state is the store's, and old listings are deleted by the
+source. ``foreachBatch`` upserts the changes; a batch that runs again upserts the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections.abc import Iterator
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import clean_text
 from ..operators.chunking import chunk_documents, with_chunk_keys
 from ..operators.embedding import embed
 from ..operators.profiles import ChunkConfig
-from ..sources.files import TEXT_SUFFIXES, file_name, file_suffix, file_text, with_path_metadata
-from ..sources.index import _Folder, index_buckets, write_index
+from ..sources.files import TEXT_SUFFIXES, base_path, file_text, with_path_metadata
+from ..sources.filesource import file_system, read_files
+from ..sources.index import index_buckets, write_index
+
+LISTED = "path string, length long, modified timestamp, at timestamp"
+CHANGES = "path string, change string, content binary"
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class FileChanges(StatefulProcessor):
+    """Listings of one path in, its changes out: ``added``, ``changed`` (with the content) and ``removed``."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "length long, modified long, digest string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (path,) = key
+        newest = pd.concat(list(rows)).sort_values("at").iloc[-1]
+        if path:  # an empty path only tells the time of a listing
+            yield from self.compared(path, int(newest["length"]), int(newest["modified"].value))
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(newest["at"].value // 1_000_000 + 1)
+
+    def compared(self, path: str, length: int, modified: int) -> Iterator[pd.DataFrame]:
+        before = self.known.get() if self.known.exists() else None
+        if before is not None and (before[0], before[1]) == (length, modified):
+            return
+        try:
+            with file_system(self.root)[0].open_input_stream(path) as stream:
+                content = stream.read()
+        except OSError:
+            return  # gone or unreadable now: the next listing tells
+        digest = hashlib.sha256(content).hexdigest()
+        self.known.update((length, modified, digest))
+        if before is None or before[2] != digest:
+            yield pd.DataFrame({"path": [path], "change": ["added" if before is None else "changed"], "content": [content]})
 
-BINARY_FILE_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("modificationTime", T.TimestampType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("content", T.BinaryType()),
-    ]
-)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.known.exists():
+            self.known.clear()
+            yield pd.DataFrame({"path": [key[0]], "change": ["removed"], "content": [None]})
+
+    def close(self) -> None:
+        pass
+
+
+def listings(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/listings"
+
+
+def note_folder(spark: SparkSession, directory: str, checkpoint: str) -> None:
+    """One more listing of the folder for the stream."""
+    at = F.timestamp_millis(F.lit(int(time.time() * 1000)))
+    files = read_files(spark, directory, TEXT_SUFFIXES, content=False).select("path", "length", "modified")
+    clock = spark.range(1).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("length"), at.alias("modified"))
+    files.unionByName(clock).withColumn("at", at).write.mode("append").parquet(listings(checkpoint))
+
+
+def file_changes(spark: SparkSession, directory: str, checkpoint: str) -> DataFrame:
+    """The stream of changes (path, change, content) between the listings."""
+    spark.conf.set(*STORE)
+    listed = spark.readStream.schema(LISTED).option("cleanSource", "delete").parquet(listings(checkpoint))
+    keyed = listed.withWatermark("at", "0 seconds").groupBy("path")
+    return keyed.transformWithStateInPandas(FileChanges(directory), CHANGES, "Update", "EventTime")
 
 
 def _batch_documents(files: DataFrame, root: str) -> DataFrame:
-    """Documents of the files, also those without text (their chunks are to go)."""
-    files = files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
-    files = files.filter(F.lower(file_suffix(file_name(F.col("path")))).isin(*TEXT_SUFFIXES))
-    files = with_path_metadata(files, root)
-    docs = files.withColumn("content", clean_text(file_text(F.col("file_suffix"), F.col("content"))))
+    """Documents of the changes, also those without text (their chunks are to go)."""
+    files = with_path_metadata(files.select("path", "content"), root)
+    docs = files.withColumn("content", clean_text(file_text(F.col("file_suffix"), F.col("content"))["text"]))
     # doc_id = hash of the path: stable across batches, so an upsert replaces a changed file's chunks; the batch job
     # numbers documents by path order instead, which no later batch could keep
     return docs.withColumn("doc_id", F.sha2("path", 256)).withColumn("doc_ord", F.xxhash64("path"))
@@ -48,71 +110,31 @@ def _upsert(docs: DataFrame, index_path: str, config: ChunkConfig, profile_id: s
     if make_model is not None:
         chunks = embed(chunks, "content", make_model, batch_size=batch_size, normalize=True)
     incoming = docs.select(F.lit(collection).alias("collection_name"), "doc_id")
-    if chunks.isEmpty() and index_buckets(docs.sparkSession, index_path) is None:
+    if index_buckets(docs.sparkSession, index_path) is None and chunks.isEmpty():
         return
     write_index(chunks, index_path, mode="upsert", documents=incoming, counts=False)
 
 
-def _note(files: DataFrame, manifest: str) -> None:
-    files.select("path", "modificationTime").write.mode("append").parquet(manifest)
-
-
-def ingest_changes(spark: SparkSession, directory: str, index_path: str, checkpoint: str, *, config: ChunkConfig = ChunkConfig(),
-                   profile_id: str | None = None, collection: str = "knowledge", make_model: Callable | None = None,
-                   batch_size: int = 32) -> int:
-    """Re-read the files whose modification time is later than that of their last ingest, and drop the chunks of files
-    that are gone. Returns the number of such files. The ingested (path, modification time) rows are kept beside the
-    stream's checkpoint."""
-    manifest = f"{checkpoint.rstrip('/')}/manifest"
-    if not _Folder(spark, manifest).names():
-        return 0
-    seen = spark.read.parquet(manifest).groupBy("path").agg(F.max("modificationTime").alias("at"))
-    now = spark.read.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true").load(directory)
-    listed = now.select("path", "modificationTime")  # pruned: no file is read
-    state = seen.join(listed, "path", "left")
-    state = state.filter(F.col("modificationTime").isNull() | (F.col("modificationTime") > F.col("at"))).persist()
-    n = state.count()
-    if n:
-        changed = now.join(state.filter("modificationTime is not null").select("path"), "path", "left_semi")
-        gone = state.filter("modificationTime is null").select("path", F.lit(None).cast("binary").alias("content"))
-        docs = _batch_documents(changed.select("path", "content").unionByName(gone), directory)
-        _upsert(docs, index_path, config, profile_id, collection, make_model, batch_size)
-        _note(state.select("path", F.coalesce("modificationTime", F.current_timestamp()).alias("modificationTime")), manifest)
-    state.unpersist()
-    return n
-
-
-def ingest_stream(
-    spark: SparkSession,
-    directory: str,
-    index_path: str,
-    checkpoint: str,
-    *,
-    config: ChunkConfig = ChunkConfig(),
-    profile_id: str | None = None,
-    collection: str = "knowledge",
-    make_model: Callable | None = None,
-    batch_size: int = 32,
-    available_now: bool = True,
-):
-    """Start the incremental ingest; returns the StreamingQuery (already finished when available_now).
-
-    The file source knows new paths only; with ``available_now`` changed and removed files are brought up to date
-    afterwards (``ingest_changes``); beside a running stream, call that function when needed."""
-    stream = (
-        spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-        .option("recursiveFileLookup", "true").load(directory)
-    )
+def ingest_stream(spark: SparkSession, directory: str, index_path: str, checkpoint: str, *, config: ChunkConfig = ChunkConfig(),
+                  profile_id: str | None = None, collection: str = "knowledge", make_model: Callable | None = None,
+                  batch_size: int = 32, available_now: bool = True):
+    """Bring the index up to date with the folder; returns the StreamingQuery.
+
+    ``available_now``: one listing, processed to its end. Otherwise the query keeps running, and every call of
+    ``note_folder`` (by a timer of the caller) makes it process one more listing."""
+    root = base_path(directory)
+    note_folder(spark, directory, checkpoint)
 
     def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        _upsert(_batch_documents(batch, directory), index_path, config, profile_id, collection, make_model, batch_size)
-        _note(batch, f"{checkpoint.rstrip('/')}/manifest")
+        batch = batch.persist()  # the state is asked once
+        if not batch.isEmpty():
+            _upsert(_batch_documents(batch, root), index_path, config, profile_id, collection, make_model, batch_size)
+        batch.unpersist()
 
-    q = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
+    q = file_changes(spark, directory, checkpoint).writeStream.outputMode("update").foreachBatch(upsert_batch)
+    q = q.option("checkpointLocation", checkpoint)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     handle = q.start()
     if available_now:
         handle.awaitTermination()
-        ingest_changes(spark, directory, index_path, checkpoint, config=config, profile_id=profile_id, collection=collection,
-                       make_model=make_model, batch_size=batch_size)
     return handle

@@ -1,6 +1,7 @@
 """Retrieval: tokens, scores, both keyword plans against brute force, vector search, fusion, merge."""
 
 import math
+import random
 import re
 
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from ragtables.functions.tokens import keyword_score, tokenize
 from ragtables.functions.vectors import cosine, hash_embed, l2_normalize
 from ragtables.operators.chunking import chunk_documents, chunk_profiles, with_chunk_keys
+from ragtables.operators.cells import build_cells, cell_topk, read_cells, write_cells
+from ragtables.operators.keyword import hit_sums, keyword_tables, matches, read_keyword_tables, token_weights, write_keyword_tables
 from ragtables.operators.profiles import ChunkConfig, Profile, RetrievalConfig
 from ragtables.operators.retrieval import (keyword_topk, merge_hits, retrieve, retrieve_multi, rrf_fuse, vector_topk)
 from ragtables.sources.tables import documents_from_table
@@ -56,20 +59,56 @@ def _brute_keyword(idx_rows, q_rows, k):
     return out
 
 
-@pytest.mark.parametrize("plan", ["scan", "postings"])
-def test_keyword_plans_equal_brute_force(spark, corpus, plan):
+@pytest.fixture(scope="module")
+def stored_tables(spark, corpus, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("terms"))
+    write_keyword_tables(corpus[0], path)
+    return read_keyword_tables(spark, path)
+
+
+@pytest.mark.parametrize("seed_share", [0.4, 0.02])
+def test_term_tables_equal_brute_force(spark, corpus, stored_tables, seed_share):
     idx, qs = corpus
     got = {}
-    for r in keyword_topk(qs, idx, 4, plan=plan).collect():
+    for r in keyword_topk(qs, idx, 4, stored_tables, seed_share=seed_share).collect():
         got.setdefault(r.question_id, []).append((r.rank, r.doc_ord, r.chunk_index, r.distance))
     exp = _brute_keyword(idx.select("doc_ord", "chunk_index", "content").collect(), qs.collect(), 4)
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in exp.items() if v}
 
 
-def test_vector_topk_equals_brute_force(spark, corpus):
+@pytest.mark.parametrize("sizes", [{}, {"token_bytes": 4000}, {"plan": "grid"}])
+def test_scan_equals_brute_force(spark, corpus, sizes):
+    idx, qs = corpus
+    got = {}
+    for r in keyword_topk(qs, idx, 4, **sizes).collect():
+        got.setdefault(r.question_id, []).append((r.rank, r.doc_ord, r.chunk_index, r.distance))
+    exp = _brute_keyword(idx.select("doc_ord", "chunk_index", "content").collect(), qs.collect(), 4)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in exp.items() if v}
+
+
+def test_matches_are_all_substrings():
+    rng = random.Random(3)
+    terms = ["".join(rng.choices("ab_1", k=rng.randint(1, 9))) for _ in range(200)] + ["向", "量"]
+    tokens = sorted({"".join(rng.choices("ab_1", k=rng.randint(1, 6))) for _ in range(80)} | {"向", "x"})
+    term, token = matches(terms, tokens)
+    assert sorted(zip(term.tolist(), token.tolist())) == sorted((i, j) for i, t in enumerate(terms) for j, x in enumerate(tokens) if x in t)
+    assert matches([], tokens)[0].size == 0 and matches(terms, [])[0].size == 0
+
+
+def test_common_tokens_are_not_looked_up(spark, corpus, stored_tables):
+    """Postings are read for the tokens that the threshold leaves, and the result is the same."""
+    idx, qs = corpus
+    weights = token_weights(qs, stored_tables, 0.15)
+    seeds = hit_sums(weights.filter("seed"), stored_tables).count()
+    everything = hit_sums(weights, stored_tables).count()
+    assert seeds < 0.5 * everything
+
+
+@pytest.mark.parametrize("sizes", [{"max_question_bytes": 64 * 8 * 7}, {"plan": "grid", "index_bytes": 64 * 8 * 50}, {"plan": "broadcast"}])
+def test_vector_topk_equals_brute_force(spark, corpus, sizes):
     idx, qs = corpus
     got = {}
-    for r in vector_topk(qs, idx, 5, max_question_bytes=64 * 8 * 7).collect():  # forces several question blocks
+    for r in vector_topk(qs, idx, 5, **sizes).collect():  # several blocks of both sides
         got.setdefault(r.question_id, []).append((r.rank, r.doc_ord, r.chunk_index, r.distance))
     ir = idx.select("doc_ord", "chunk_index", "embedding").collect()
     for q in qs.collect():
@@ -169,9 +208,8 @@ def test_merge_reference_expectations(spark):
 def test_retrieval_edge_cases(spark, corpus):
     idx, _ = corpus
     qs = spark.createDataFrame([(1, "!!! ???"), (2, "the")], "question_id long, question string")
-    for plan in ["scan", "postings"]:
-        ids = {r.question_id for r in keyword_topk(qs, idx, 3, plan=plan).collect()}
-        assert ids == {2}
+    assert {r.question_id for r in keyword_topk(qs, idx, 3).collect()} == {2}
+    assert keyword_topk(qs.limit(0), idx, 3).collect() == [] and keyword_topk(qs, idx.limit(0), 3).collect() == []
     with pytest.raises(ValueError):
         retrieve(qs, idx, RetrievalConfig("vector", 3))
 
@@ -181,9 +219,7 @@ def test_text_ids_blocks_and_collections(spark):
         [(f"c{i % 2}", i, 0, f"word{i} common", "s", [1.0, float(i)]) for i in range(8)],
         "collection_name string, doc_ord long, chunk_index int, content string, source string, embedding array<float>")
     qs = spark.createDataFrame([("Q001", "common word1", [1.0, 0.0]), ("Q002", "word6", [0.0, 1.0])], "question_id string, question string, embedding array<float>")
-    from ragtables.operators.retrieval import keyword_scan_topk
-
-    for hits in (keyword_topk(qs, index, 2), keyword_scan_topk(qs, index, 2, max_bytes=1)):
+    for hits in (keyword_topk(qs, index, 2), keyword_topk(qs, index, 2, keyword_tables(index))):
         rows = hits.collect()
         assert sorted((r.collection_name, r.doc_ord) for r in rows if r.question_id == "Q001" and r["rank"] == 1) == [("c0", 0), ("c1", 1)]
         assert [(r.collection_name, r.doc_ord) for r in rows if r.question_id == "Q002"] == [("c0", 6)]
@@ -192,3 +228,61 @@ def test_text_ids_blocks_and_collections(spark):
         rows = vector_topk(qs, index, 2, max_question_bytes=size).collect()
         assert sorted((r.collection_name, r.doc_ord) for r in rows if r.question_id == "Q001") == [("c0", 0), ("c0", 2), ("c1", 1), ("c1", 3)]
         assert {r.question_id for r in rows} == {"Q001", "Q002"}
+
+
+def test_several_collections_in_one_search(spark, corpus):
+    """R10 equals one search per profile, merged."""
+    idx, qs = corpus
+    both = idx.unionByName(idx.filter("doc_ord % 3 = 0").withColumn("collection_name", F.lit("d"))).cache()
+    profiles = [Profile("kb-d", "D", "d", ChunkConfig("fixed", 800, 120)), Profile("kb-c", "C", "c", ChunkConfig("fixed", 800, 120)),
+                Profile("kb-x", "X", "none", ChunkConfig("fixed", 800, 120))]
+    for method in ("keyword", "vector", "rerank", "rrf"):
+        config = RetrievalConfig(method, 3, 5)
+        groups = None
+        for i, p in enumerate(profiles):
+            h = retrieve(qs, both, config, collection=p.collection_name).withColumn("kb_id", F.lit(p.id)).withColumn("group_ord", F.lit(i))
+            groups = h if groups is None else groups.unionByName(h, allowMissingColumns=True)
+        key = lambda r: (r.question_id, r["rank"], r.kb_id, r.doc_ord, r.chunk_index, r.distance)
+        want = sorted(map(key, merge_hits(groups, config.top_k).collect()))
+        assert sorted(map(key, retrieve_multi(qs, both, profiles, config).collect())) == want
+    both.unpersist()
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    rng = random.Random(12)
+    rows, centers = [], [[rng.gauss(0, 1) for _ in range(12)] for _ in range(25)]
+    for i in range(1500):
+        c = centers[min(24, int(rng.expovariate(0.3)))]  # one cell holds a third of all rows
+        rows.append(("c", i, 0, [x + rng.gauss(0, 0.15) for x in c]))
+    rows += [("c", 1500, 0, None), ("c", 1501, 0, [0.0] * 12), ("c", 1502, 0, [1.0]), ("c", 1503, 0, rows[3][3])]
+    return spark.createDataFrame(rows, "collection_name string, doc_ord long, chunk_index int, embedding array<double>").withColumn("content", F.lit("")).cache()
+
+
+def test_cells_equal_full_search(spark, clustered, tmp_path):
+    qs = clustered.filter("doc_ord % 37 = 0 or doc_ord in (1500, 1501)").select(F.col("doc_ord").alias("question_id"), "embedding")
+    key = lambda r: (r.question_id, r["rank"], r.doc_ord, r.distance)
+    full = sorted(map(key, vector_topk(qs, clustered, 6).collect()))
+    cells = build_cells(clustered, 20)
+    found = cell_topk(qs, cells, 6)
+    assert sorted(map(key, found.hits.collect())) == full
+    shares = [r.share for r in found.visits.collect()]
+    assert len(shares) == qs.count() and min(shares) < 0.2 and max(shares) <= 1
+    write_cells(cells, str(tmp_path))
+    stored = read_cells(spark, str(tmp_path))
+    assert sorted(map(key, cell_topk(qs, stored, 6).hits.collect())) == full
+    every = cell_topk(qs, stored, 6, nprobe=10**6)
+    assert sorted(map(key, every.hits.collect())) == full and all(r.share == 1 for r in every.visits.collect())
+    some = sorted(map(key, cell_topk(qs, stored, 6, nprobe=5).hits.collect()))
+    assert len({(a, c) for a, _, c, _ in some} & {(a, c) for a, _, c, _ in full}) >= 0.9 * len(full)
+
+
+def test_cell_radius_bounds_every_row(spark, clustered):
+    cells = build_cells(clustered, 10)
+    centers = {r.cell: r for r in cells.cells.collect()}
+    for r in cells.rows.collect():
+        if r.cell < 0:
+            assert r.doc_ord in (1500, 1501, 1502)
+        else:
+            assert math.acos(min(1, angle(r.embedding, centers[r.cell].centroid))) <= centers[r.cell].radius + 1e-7
+    assert sum(r.n for r in centers.values()) == 1504

@@ -3,11 +3,12 @@
 import json
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from ragtables.sources.evalsets import load_eval_cases, write_eval_report
+from ragtables.sources.evalsets import load_eval_cases, write_eval_summary
 from ragtables.sources.files import decode_text, file_documents, scan_files, with_path_metadata
 from ragtables.sources.index import build_index, read_index, upsert, write_index
 from ragtables.sources.logs import parse_stage_log
@@ -116,8 +117,48 @@ def test_csv_parts_and_skipped_files(spark):
             f.write(data)
     parts = spark.createDataFrame([(f"{tmp}/c.pdf", 2, "page two"), (f"{tmp}/c.pdf", 1, "page one")], "path string, part int, text string")
     docs = {r.relative_path: r.content for r in file_documents(spark, tmp, parts).collect()}
-    assert docs == {"a.csv": "id,名\n1,x\n2,", "b.txt": "text", "c.pdf": "page one\n\npage two"}
-    assert sorted(os.path.basename(r.path) for r in skipped_files(spark, tmp).collect()) == [".h.txt", "_n.txt", "c.pdf"]
+    assert docs == {"a.csv": "id,名\n1,x\n2,", "b.txt": "text", "_n.txt": "x", ".h.txt": "x", "c.pdf": "page one\npage two"}
+    assert [os.path.basename(r.path) for r in skipped_files(spark, tmp).collect()] == ["c.pdf"]
+
+
+def test_parts_are_joined_by_their_format(spark):
+    tmp = tempfile.mkdtemp(prefix="rt-parts-")
+    rows = [("c.pdf", 2, 0, "two"), ("c.pdf", 1, 0, "one"), ("w.docx", 1, 0, "a"), ("w.docx", 2, 0, " "), ("w.docx", 3, 0, "b"),
+            ("s.PPTX", 1, 1, "right"), ("s.PPTX", 1, 0, "left"), ("s.PPTX", 3, 0, "third"), ("s.PPTX", 2, 0, ""), ("t.xlsx", 1, 0, "工作表: A\nx"), ("t.xlsx", 2, 0, "工作表: B\ny")]
+    parts = spark.createDataFrame([(f"{tmp}/{n}", p, s, t) for n, p, s, t in rows], "path string, part int, sub int, text string")
+    docs = {r.relative_path: r.content for r in file_documents(spark, tmp, parts).collect()}
+    assert docs == {"c.pdf": "one\ntwo", "w.docx": "a\n\nb", "s.PPTX": "幻灯片 1\nleft\nright\n\n幻灯片 3\nthird", "t.xlsx": "工作表: A\nx\n\n工作表: B\ny"}
+
+
+def test_unreadable_and_unparsable_files_are_rows(spark, monkeypatch):
+    from ragtables.sources.files import failed_files
+
+    tmp = tempfile.mkdtemp(prefix="rt-broken-")
+    for name, data in {"good.json": b'{"a": 1}', "bad.json": b"{", "bad.xml": b"<a>", "ok.txt": b"text"}.items():
+        with open(os.path.join(tmp, name), "wb") as f:
+            f.write(data)
+    os.symlink(os.path.join(tmp, "nowhere.txt"), os.path.join(tmp, "dangling.txt"))
+    assert sorted(r.relative_path for r in file_documents(spark, tmp).collect()) == ["good.json", "ok.txt"]
+    errors = {os.path.basename(r.path): r.error for r in failed_files(spark, tmp).collect()}
+    assert set(errors) - {"dangling.txt"} == {"bad.json", "bad.xml"} and all(errors.values())
+
+
+def test_files_are_packed_by_bytes_in_path_order(spark):
+    from ragtables.sources.filesource import packed, read_files, write_files
+
+    tmp = tempfile.mkdtemp(prefix="rt-packed-")
+    rows = spark.range(300).selectExpr("concat('d', id % 7, '/', if(id % 3 = 0, '.', if(id % 3 = 1, '_', 'f')), id, '.txt') path", "repeat('x', cast(id as int)) content")
+    assert write_files(rows, tmp) == 300
+    got = read_files(spark, tmp, (".txt",), partition_bytes=2000)
+    assert got.rdd.getNumPartitions() > 20
+    rows = got.collect()
+    assert len(rows) == 300 and all(len(r.content) == r.length and r.error is None for r in rows)
+    assert [r.path for r in rows] == sorted((r.path for r in rows), key=lambda p: p.split("/"))
+    assert read_files(spark, tmp, (".md",)).count() == 0 and read_files(spark, tmp, content=False).filter("content is not null").count() == 0
+    from ragtables.sources.filesource import listed
+
+    parts = packed(listed(tmp, ()), 5000)
+    assert all(sum(f.length for f in p.files) <= 5000 for p in parts) and sum(len(p.files) for p in parts) == 300
 
 
 def test_index_write_upsert(spark):
@@ -169,6 +210,27 @@ def test_an_index_that_cannot_be_read_is_an_error(spark):
     assert os.path.exists(part)
 
 
+def test_a_failed_write_leaves_the_old_rows(spark):
+    path = tempfile.mkdtemp(prefix="rt-index-") + "/idx"
+    mk = lambda rows: spark.createDataFrame(rows, "collection_name string, doc_id string, chunk_index int, content string")
+    old = [("c", f"d{i}", 0, f"old {i}") for i in range(50)]
+    write_index(mk(old), path, buckets=4)
+    broken = mk([("c", f"d{i}", 0, "new") for i in range(50)]).withColumn("content", F.when(F.col("doc_id") == "d49", F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    for mode in ("replace", "upsert"):
+        with pytest.raises(Exception, match="lost"):
+            write_index(broken, path, mode=mode, documents=mk(old).select("collection_name", "doc_id"), collections=["c"])
+        spark.catalog.refreshByPath(path)
+        assert sorted(r.content for r in read_index(spark, path).collect()) == sorted(r[3] for r in old)
+
+
+def test_replaced_collections_lose_their_old_buckets(spark):
+    path = tempfile.mkdtemp(prefix="rt-index-") + "/idx"
+    mk = lambda rows: spark.createDataFrame(rows, "collection_name string, doc_id string, chunk_index int, content string")
+    write_index(mk([(c, f"d{i}", 0, "old") for i in range(60) for c in ("a", "b")]), path, buckets=8)
+    assert write_index(mk([("a", "d1", 0, "new")]), path) == {"a": {"documents": 1, "chunks": 1}, "b": {"documents": 60, "chunks": 60}}
+    assert [(r.doc_id, r.content) for r in read_index(spark, path, "a").collect()] == [("d1", "new")]
+
+
 def test_changed_emptied_and_removed_files(spark):
     from ragtables.operators.profiles import ChunkConfig
     from ragtables.streaming.ingest import ingest_stream
@@ -205,7 +267,7 @@ def test_eval_sets_and_report(spark):
     c2, m2 = load_eval_cases(spark, os.path.join(tmp, "set.jsonl"))
     assert c2.count() == 3 and json.loads(m2.collect()[0].meta) == {"format": "jsonl", "case_count": 3}
     summary = spark.createDataFrame([(3, 1.0)], "total_cases int, retrieval_recall double")
-    write_eval_report(summary, summary, c2, os.path.join(tmp, "report"), "set.jsonl", m1.collect()[0].meta)
+    write_eval_summary(summary, summary, os.path.join(tmp, "report"), "set.jsonl", m1.collect()[0].meta)
     head = json.loads(spark.read.text(os.path.join(tmp, "report", "summary")).first().value)
     assert head["meta"] == {"name": "x", "n": {"a": [1, True]}} and head["summary"] == {"total_cases": 3, "retrieval_recall": 1.0}
     assert head["cases_path"] == "set.jsonl" and head["generated_at"][-1] == "Z" or "+" in head["generated_at"]
@@ -215,6 +277,15 @@ def test_eval_sets_and_report(spark):
     assert list_eval_datasets(spark, tmp + "/none").count() == 0
 
 
+def test_lines_of_several_files_keep_their_order(spark):
+    path = tempfile.mkdtemp(prefix="rt-lines-") + "/set.jsonl"
+    rows = [(i, json.dumps({"id": f"Q{i}", "category": "c", "question": "x" * (5000 if i > 60 else 5), "expected_keywords": [], "reference": ""})) for i in range(90)]
+    spark.createDataFrame(rows, "i int, value string").repartitionByRange(6, "i").sortWithinPartitions("i").select("value").write.text(path)
+    cases, meta = load_eval_cases(spark, path, limit=70)
+    assert [r.id for r in cases.orderBy("ord").collect()] == [f"Q{i}" for i in range(70)]
+    assert json.loads(meta.first().meta)["case_count"] == 90
+
+
 def test_stage_log(spark):
     lines = spark.createDataFrame(
         [("2024-01-01 00:00:00,1 | INFO | easy | STAGE_END | vector_retrieve | started_at=2024-01-01T00:00:00 | ended_at=2024-01-01T00:00:01 | duration_ms=12.5",),
@@ -283,6 +354,20 @@ def test_build_index_and_run_evaluation(spark, sf):
     s = summary.collect()[0]
     assert s.total_cases == 10 and s.failed_cases == 0 and s.retrieval_recall > 0.5
     assert results.count() == 10 and spark.read.json(os.path.join(base, "report", "results")).count() == 10
+    from ragtables.sources.evalsets import read_eval_summary
+
+    assert read_eval_summary(spark, os.path.join(base, "report")).first().total_cases == 10
+    # the model is asked once for each question, with and without a report
+    for report in (None, os.path.join(base, "again")):
+        notes = tempfile.mkdtemp(prefix="rt-asked-")
+
+        def noted(prompts, notes=notes):
+            for _ in range(len(prompts)):
+                open(os.path.join(notes, uuid.uuid4().hex), "w").close()
+            return ["an answer"] * len(prompts)
+
+        out = run_evaluation(spark, os.path.join(base, "cases.jsonl"), idx, profiles=profiles, answer_fn=noted, limit=6, report_path=report)
+        assert [df.count() for df in out][:2] == [6, 1] and len(os.listdir(notes)) == 6
 
 
 def test_table_to_text_empty(spark):
