@@ -30,6 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragtables.llm import bitmaps
 from ragtables.llm import textarrays as ta
 from ragtables.llm.storage import cut
 
@@ -291,7 +292,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
     members = members.join(shared, "bucket").persist(StorageLevel.MEMORY_AND_DISK)
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text").persist(StorageLevel.MEMORY_AND_DISK)
+    texts, _ = bitmaps.split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted)
+    texts = texts.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text").persist(StorageLevel.MEMORY_AND_DISK)
     roots, done = None, None
     place = lambda: members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for turn in range(rounds):

@@ -49,3 +49,23 @@ def test_rows_that_share_only_their_doc_id_are_classed_by_their_texts(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert out.columns == corpus_pipeline.COLUMNS
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(0, text["c"]), (1, text["a"]), (1, text["b"]), (3, None), (None, text["a"])], key=str)
+
+
+def test_contaminated_rows_go_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, item), (None, clean), (1, f"before {item} after"), (1, clean), (2, clean), (2, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(None, clean), (1, clean), (2, clean), (2, None)], key=str)
+
+
+def test_bit_maps_lose_no_key(spark):
+    from ragtables.llm import bitmaps
+
+    rows = spark.range(5000).selectExpr("id as k", "cast(id as string) as text")
+    keys = spark.range(0, 5000, 7).selectExpr("id as k")
+    some, others = (df.select("k").collect() for df in bitmaps.split(rows, "k", keys))
+    some, others = {r["k"] for r in some}, {r["k"] for r in others}
+    assert set(range(0, 5000, 7)) <= some and some | others == set(range(5000)) and not some & others and len(others) > 4000
+    assert bitmaps.split(rows, "k", keys.limit(0))[1].count() == 5000
