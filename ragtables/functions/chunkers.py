@@ -47,13 +47,13 @@ def windows(p: Column, size, overlap) -> Column:
     return F.filter(pieces, lambda s: F.length(s) > 0)
 
 
-def group_starts(lengths: Column, gap: int, size) -> Column:
+def group_starts(lengths: Column, gap, size) -> Column:
     """First index of each group when items of these lengths are packed greedily, ``gap`` characters between two."""
     size = _c(size)
     init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(-1).alias("cur"), F.lit(0).alias("i"))
 
     def step(acc, n):
-        longer = acc["cur"] + F.lit(gap) + n
+        longer = acc["cur"] + _c(gap) + n
         return F.when(
             (acc["cur"] >= 0) & (longer <= size),
             F.struct(acc["starts"].alias("starts"), longer.alias("cur"), (acc["i"] + 1).alias("i")),
@@ -62,24 +62,25 @@ def group_starts(lengths: Column, gap: int, size) -> Column:
     return F.aggregate(lengths, init, step, lambda acc: acc["starts"])
 
 
-def joined_groups(items: Column, starts: Column, sep: str) -> Column:
+def joined_groups(items: Column, starts: Column, sep: Column | str) -> Column:
     """The items from each start up to the next, joined by ``sep``."""
+    sep = _c(sep)
     return let(
         F.struct(items.alias("x"), starts.alias("s")),
         lambda v: F.transform(
-            v["s"], lambda s, j: F.array_join(F.slice(v["x"], s + 1, F.coalesce(F.get(v["s"], j + 1), F.size(v["x"])) - s), sep)
+            v["s"], lambda s, j: F.call_function("array_join", F.slice(v["x"], s + 1, F.coalesce(F.get(v["s"], j + 1), F.size(v["x"])) - s), sep)
         ),
     )
 
 
-def pack(segments: Column, sep: str, size) -> Column:
+def pack(segments: Column, sep: Column | str, size) -> Column:
     """Greedy packing: strip segments, drop blanks, join with ``sep`` while the result fits ``size``.
 
     The fold runs over lengths only; the strings are sliced and joined once at the end.
     """
     return let(
         stripped_nonblank(segments),
-        lambda segs: joined_groups(segs, group_starts(F.transform(segs, F.length), len(sep), size), sep),
+        lambda segs: joined_groups(segs, group_starts(F.transform(segs, F.length), F.length(_c(sep)), size), sep),
     )
 
 
@@ -89,9 +90,8 @@ def fixed_chunks(text: Column | str, size, overlap) -> Column:
     An oversize paragraph can share no group (its length alone is over ``size``), so packing all
     paragraphs first and cutting the groups that are too long is the same.
     """
-    groups = pack(split_literal(text, "\n\n"), "\n\n", size)
     return let(
-        groups,
+        pack(split_literal(text, "\n\n"), "\n\n", size),
         lambda gs: F.when(
             F.exists(gs, lambda g: F.length(g) > _c(size)),
             F.flatten(F.transform(gs, lambda g: F.when(F.length(g) <= _c(size), F.array(g)).otherwise(windows(g, size, overlap)))),
@@ -113,9 +113,10 @@ def apply_overlap(chunks: Column, overlap) -> Column:
     return let(chunks, body)
 
 
-def _level(sep: str, size: Column):
+def _level(sep: Column, size: Column):
     """Split the pieces that are too long at ``sep`` and pack them; a piece without ``sep`` stays as it is."""
-    split = lambda p: F.when((F.length(p) > size) & p.contains(sep), pack(split_literal(p, sep), sep, size)).otherwise(F.array(p))
+    quoted = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+    split = lambda p: F.when((F.length(p) > size) & F.contains(p, sep), pack(F.split(p, quoted, -1), sep, size)).otherwise(F.array(p))
     return _where_too_long(size, split)
 
 
@@ -128,18 +129,16 @@ def recursive_stages(size, overlap) -> list[Callable[[Column], Column]]:
     """C4 as stages over a state ``array<array<string>>`` (one inner array per section).
 
     A piece that fits is kept; an oversize piece is split on the next separator, segments are
-    stripped and packed. A level whose separator is absent is a no-op, so the eleven unrolled levels
-    equal the recursion. Pieces still oversize after the last separator have no separator left and
-    are cut in windows (C2 on one paragraph). The last stage applies C3 per section and flattens.
+    stripped and packed. A level whose separator is absent is a no-op, so one pass over the separators
+    equals the recursion: a fold over their array, whose expression is built and analysed once for all of
+    them. Pieces still oversize after the last separator have no separator left and are cut in windows (C2
+    on one paragraph). The last stage applies C3 per section and flattens.
 
-    Stages are applied one ``withColumn`` at a time: each is analysed on its own (a single nested
-    expression exceeds the analyzer's iteration limit) and the optimizer collapses them again.
+    Stages are applied one ``withColumn`` at a time, so that each is analysed on its own.
     """
     size, overlap = _c(size), _c(overlap)
-    stages: list[Callable[[Column], Column]] = []
-    for sep in RECURSIVE_SEPARATORS[:-1]:
-        lv = _level(sep, size)
-        stages.append(lambda st, lv=lv: F.transform(st, lv))
+    separators = F.array(*[F.lit(sep) for sep in RECURSIVE_SEPARATORS[:-1]])
+    stages: list[Callable[[Column], Column]] = [lambda st: F.aggregate(separators, st, lambda now, sep: F.transform(now, _level(sep, size)))]
     last = _where_too_long(size, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(windows(p, size, overlap)))
     stages.append(lambda st: F.transform(st, last))
     stages.append(lambda st: F.flatten(F.transform(st, lambda ps: apply_overlap(ps, overlap))))

@@ -36,13 +36,20 @@ def strip(c: Column | str) -> Column:
 
 
 def normalize_newlines(c: Column | str) -> Column:
-    """``\\r\\n`` and lone ``\\r`` become ``\\n``."""
-    return F.regexp_replace(col_(c), "\r\n?", "\n")
+    """``\\r\\n`` and lone ``\\r`` become ``\\n``; a text without ``\\r`` is not searched by the expression."""
+    c = col_(c)
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
 
 
 def clean_text(c: Column | str) -> Column:
-    """Normalise newlines, then strip (the entry of every chunker)."""
-    return strip(normalize_newlines(c))
+    """Normalise newlines, then strip (the entry of every chunker). Each step is bound once: ``strip`` names its input
+    four times, and a text that is cleaned again by the next operator would be searched sixteen times."""
+    return let(col_(c), lambda raw: let(normalize_newlines(raw), strip))
+
+
+def not_blank(c: Column | str) -> Column:
+    """Whether a text has anything but white space, without cleaning it."""
+    return F.rlike(col_(c), F.lit(f"[^{WHITESPACE_CLASS}]"))
 
 
 def regex_quote(s: str) -> str:

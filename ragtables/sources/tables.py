@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import clean_text, not_blank
 
 
 def documents_from_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -13,14 +13,15 @@ def documents_from_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Blank documents are dropped (they have no number). ``keep``: other columns to carry.
     """
-    return df.select(
+    # blank texts are found in the raw column: a filter on the cleaned one would clean every text twice
+    return df.filter(not_blank(text_col)).select(
         *(keep or []),
         F.col(id_col).alias("doc_id"),
         F.col(id_col).cast("long").alias("doc_ord"),
         clean_text(F.col(text_col)).alias("content"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.concat(F.lit("table/"), F.col(id_col).cast("string")).alias("path"),
-    ).filter(F.length("content") > 0)
+    )
 
 
 def render_value(c) -> "F.Column":
