@@ -525,6 +525,19 @@ def s7_table_to_text() -> str:
             "FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey, n_name")
 
 
+def s7_workbooks() -> str:
+    return _with(
+        [
+            "typed AS (SELECT *, bool_or(c_acctbal < 0) OVER (PARTITION BY c_nationkey, c_mktsegment) AS gaps FROM customer)",
+            f"sheets AS (SELECT c_nationkey, c_mktsegment, '工作表: ' || c_mktsegment || chr(10) || 'id,name,balance,code,rich' || chr(10) || "
+            f"string_agg(c_custkey || ',' || {_csv_cell('c_name')} || ',' || CASE WHEN c_acctbal < 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END || ',' || "
+            "CASE WHEN c_acctbal < 0 THEN '' WHEN gaps THEN c_nationkey || '.0' ELSE CAST(c_nationkey AS VARCHAR) END || ',' || "
+            "CASE WHEN c_acctbal > 5000 THEN 'True' ELSE 'False' END, chr(10) ORDER BY c_custkey) AS sheet FROM typed GROUP BY c_nationkey, c_mktsegment)",
+        ],
+        f"SELECT c_nationkey, string_agg(sheet, {NL2} ORDER BY c_mktsegment) AS content FROM sheets GROUP BY c_nationkey",
+    )
+
+
 def s9_assemble_parts() -> str:
     return (f"SELECT conv_id, string_agg({strip('text')}, {NL2} ORDER BY turn) AS content FROM conversations "
             f"WHERE length({strip('text')}) > 0 GROUP BY conv_id")
@@ -678,9 +691,11 @@ ORACLES = {
     "s4_html_to_text": s4_html_to_text,
     "s5_json_to_text": s5_json_to_text,
     "c6_user_model": c6_user_model,
+    "c6_embed_once": c6_user_model,
     "s3_decode_text": s3_decode_text,
     "s6_xml_to_text": s6_xml_to_text,
     "s7_table_to_text": s7_table_to_text,
+    "s7_workbooks": s7_workbooks,
     "s9_assemble_parts": s9_assemble_parts,
     "s10_table_documents": s10_table_documents,
     "s11_preview_table": s11_preview_table,

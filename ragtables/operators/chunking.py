@@ -13,9 +13,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunkers import add_chunks
+from ..functions.chunkers import add_chunks, semantic_stages, sentences
 from ..functions.text import clean_text, nullif_blank
+from ..functions.vectors import cosine
+from ..plans.checkpoints import cut
+from ..plans.ordinals import lag_split
 from ..schemas import CHUNK_COLUMNS, FILE_METADATA_COLUMNS
+from .embedding import embed, hash_vectors
 from .profiles import ChunkConfig, Profile
 
 
@@ -26,22 +30,44 @@ def chunk_documents(
     text_col: str = "content",
     make_model: Callable | None = None,
     batch_size: int = 32,
+    embed_once: bool = False,
 ) -> DataFrame:
     """One row per chunk: the document's columns, ``chunk_index`` and the chunk as ``content``.
 
     Text is normalised and stripped first; blank documents give no chunks. Chunkers are array expressions
     in the scan stage. Semantic chunking (C6) asks the model of E1 (``make_model``, batches of
-    ``batch_size`` sentences) for vectors; without one it uses the E2 hash model.
+    ``batch_size`` sentences) for vectors; without one it uses the E2 hash model. ``embed_once``: each distinct sentence
+    of all documents is embedded once and joined back (for a costly model; see ``sentence_similarities``).
     """
     config.validate()
     keep = [c for c in docs.columns if c != text_col]
     staged = docs.select(*keep, clean_text(F.col(text_col)).alias("_text"))
-    staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, make_model, batch_size)
+    if embed_once and config.strategy == "semantic":
+        staged = sentence_similarities(staged, "_text", make_model or hash_vectors, batch_size).withColumn("_chunks", F.col("_text"))
+        for stage in semantic_stages(config.size, config.overlap, config.threshold, lambda _: F.col("_sims")):
+            staged = staged.withColumn("_chunks", stage(F.col("_chunks")))
+    else:
+        staged = add_chunks(staged, "_text", "_chunks", config.strategy, config.size, config.overlap, config.threshold, make_model, batch_size)
     # the outer form: for the inner one Spark infers a filter on the array and so chunks every text twice more
     chunks = staged.select(*keep, F.posexplode_outer("_chunks").alias("chunk_index", "content")).filter("chunk_index is not null")
     return chunks.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
+def sentence_similarities(docs: DataFrame, text_col: str, make_model: Callable, batch_size: int = 32) -> DataFrame:
+    """The documents with ``_sims``: the similarity of each sentence to the one before it (0 for the first).
+
+    Sentences are rows: their distinct texts are embedded once, over all tasks, and joined back, so a long document or
+    one that holds a common sentence is no single task. Documents are checkpointed with a number of their own."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    parts = rows.select("_row", F.posexplode(sentences(F.col(text_col))).alias("_pos", "_sentence"))
+    vectors = cut(embed(parts.select("_sentence").distinct(), "_sentence", make_model, out_col="_v", batch_size=batch_size))
+    placed = lag_split(parts.join(vectors, "_sentence").select("_row", "_pos", "_v"), ["_row"], ["_pos"], ["_v"])
+    sim = F.when(F.col("_pos") == 0, F.lit(0.0)).otherwise(cosine("prev__v", "_v"))
+    per_doc = placed.select("_row", "_pos", sim.alias("_sim")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_sim"))).alias("_sims"))
+    sims = F.coalesce(F.transform("_sims", lambda x: x["_sim"]), F.array().cast("array<double>"))
+    return rows.join(per_doc, "_row", "left").withColumn("_sims", sims).drop("_row")
+
+
 def with_chunk_keys(chunks: DataFrame, profile_id: str | None = None, collection_name: str = "") -> DataFrame:
     """``{profile or default}-doc-{doc_ord}-chunk-{chunk_index}``, kb id, collection, metadata."""
     prefix = profile_id or "default"

@@ -33,6 +33,7 @@ from .sources.filesource import file_system, write_files
 from .sources.index import read_index, upsert, write_index
 from .sources.logs import parse_stage_log
 from .sources.markup import html_to_text, json_to_text, xml_to_text
+from .sources.sheets import workbook_texts
 from .sources.tables import (assemble_parts, documents_from_table, load_table_documents, preview_table, rows_to_text,
                              table_to_text)
 from .streaming.ingest import ingest_stream
@@ -102,6 +103,11 @@ def c6_user_model(spark, d):
     return _chunks_out(chunk_documents(documents(spark, d), ChunkConfig("semantic", 300, 40, 0.3), make_model=parity_model))
 
 
+def c6_embed_once(spark, d):
+    """C6 with that model, asked once for each distinct sentence."""
+    return _chunks_out(chunk_documents(documents(spark, d), ChunkConfig("semantic", 300, 40, 0.3), make_model=parity_model, embed_once=True))
+
+
 def customer_records(spark, d) -> DataFrame:
     """Customers rendered as record text, one document per nation and 50 records."""
     cust = table(spark, d, "customer")
@@ -423,6 +429,16 @@ def s7_table_to_text(spark, d):
                          title_col="n_name").select("c_nationkey", "content")
 
 
+def s7_workbooks(spark, d):
+    """A workbook per nation, a sheet per market segment; cells as text, some missing."""
+    low = F.col("c_acctbal") < 0
+    cells = table(spark, d, "customer").select(
+        "c_nationkey", "c_mktsegment", "c_custkey", F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("id"), F.col("c_name").alias("name"),
+        F.when(low, "NA").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.when(~low, F.col("c_nationkey").cast("string")).alias("code"),
+        F.when(F.col("c_acctbal") > 5000, "TRUE").otherwise("false").alias("rich"))
+    return workbook_texts(cells, columns=["id", "name", "balance", "code", "rich"], workbook=["c_nationkey"], sheet="c_mktsegment", order_by=["c_custkey"])
+
+
 def s9_assemble_parts(spark, d):
     c = table(spark, d, "conversations")
     return assemble_parts(c, doc_key=["conv_id"], part_key="turn", text="text", kind="paragraphs")
@@ -587,6 +603,7 @@ QUERIES = {
     "c5_split_sentences": c5_split_sentences,
     "c6_split_semantic": c6_split_semantic,
     "c6_user_model": c6_user_model,
+    "c6_embed_once": c6_embed_once,
     "s3_decode_text": s3_decode_text,
     "s6_xml_to_text": s6_xml_to_text,
     "s8_rows_to_text": s8_rows_to_text,
@@ -624,6 +641,7 @@ QUERIES = {
     "s4_html_to_text": s4_html_to_text,
     "s5_json_to_text": s5_json_to_text,
     "s7_table_to_text": s7_table_to_text,
+    "s7_workbooks": s7_workbooks,
     "s9_assemble_parts": s9_assemble_parts,
     "s10_table_documents": s10_table_documents,
     "s11_preview_table": s11_preview_table,

@@ -182,3 +182,33 @@ def test_named_forms(spark):
     assert [list(r.chunks) for r in split_semantic(df, "t", 20, 4, 0.5).orderBy("id").collect()] == run_chunks(spark, texts, "semantic", 20, 4, 0.5)
     assert [list(r.sections) for r in split_sections(df, "t").orderBy("id").collect()] == [e for _, e in SECTIONS]
     assert split_sentences(df, "t").count() == len(texts)
+
+
+def test_each_distinct_sentence_is_embedded_once(spark, monkeypatch):
+    import os
+    import tempfile
+    import uuid
+
+    from ragtables.plans import ordinals
+
+    notes = tempfile.mkdtemp(prefix="rt-embedded-")
+
+    def noting_model():
+        def predict(texts):
+            for _ in texts:
+                open(os.path.join(notes, uuid.uuid4().hex), "w").close()
+            return [[1.0, 0.0] if len(t) % 2 == 0 else [0.0, 1.0] for t in texts]
+
+        return predict
+
+    def same_model():
+        return lambda texts: [[1.0, 0.0] if len(t) % 2 == 0 else [0.0, 1.0] for t in texts]
+
+    texts = ["a! bb! a! ccc! " * 12, "a!bb!", "", "one", "dddd! a! e! " * 5, "a! bb! a! ccc! " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string").repartition(3)
+    config = ChunkConfig("semantic", 12, 2, 0.5)
+    want = sorted(map(tuple, chunk_documents(docs, config, make_model=same_model).collect()))
+    assert sorted(map(tuple, chunk_documents(docs, config, make_model=noting_model, embed_once=True).collect())) == want
+    assert len(os.listdir(notes)) == len({s + "!" if s != "one" else s for t in texts for s in t.replace(" ", "").split("!") if s})
+    monkeypatch.setattr(ordinals, "MAX_KEY_ROWS", 10)  # a long document is several tasks
+    assert sorted(map(tuple, chunk_documents(docs, config, make_model=same_model, embed_once=True).collect())) == want

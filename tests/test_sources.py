@@ -370,6 +370,28 @@ def test_build_index_and_run_evaluation(spark, sf):
         assert [df.count() for df in out][:2] == [6, 1] and len(os.listdir(notes)) == 6
 
 
+def test_column_types_of_sheets_follow_a_table_reader(spark):
+    import io
+
+    import pandas as pd
+
+    from ragtables.sources.markup import csv_to_text
+    from ragtables.sources.sheets import sheet_texts, workbook_texts
+
+    columns = {"ids": ["007", "010", "+3"], "gaps": ["7", "NA", "-2"], "prices": ["1.50", "2", "1e3"], "flags": ["TRUE", "false", "True"], "mixed": ["true", "1", "x"],
+               "switch": ["true", "", "False"], "words": ["a,b", 'say "x"', "null"], "none": ["", "NaN", "N/A"], "tiny": [".5", "3.", "-0.25"]}
+    csv = pd.DataFrame(columns).to_csv(index=False)
+    rows = [(g, i, *[columns[c][i] for c in columns]) for g in ("s1", "s2") for i in range(3)]
+    schema = "sheet string, row int, " + ", ".join(f"{c} string" for c in columns)
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    want = csv_to_text(csv)
+    got = sheet_texts(df, columns=list(columns), keys=["sheet"], order_by=["row"]).collect()
+    assert {r.sheet: r.content for r in got} == {"s1": want, "s2": want}
+    assert pd.read_csv(io.StringIO(csv))["ids"].tolist() == [7, 10, 3]
+    book = workbook_texts(df.withColumn("file", F.lit("b.xlsx")), columns=list(columns), workbook=["file"], sheet="sheet", order_by=["row"]).first().content
+    assert book == f"工作表: s1\n{want}\n\n工作表: s2\n{want}"
+
+
 def test_table_to_text_empty(spark):
     empty = spark.createDataFrame([], "id int, name string")
     assert [r.content for r in table_to_text(empty, order_by=["id"]).collect()] == ["id,name"]
