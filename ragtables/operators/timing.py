@@ -70,3 +70,13 @@ def timing_summary(stages: DataFrame, *, request: str, name: str = "stage", end_
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pid", "_chain"))), lambda x: x["_chain"]), " -> ").alias("chain_text"),
     )
     return g.select(request, "total_ms", "stages", "chain_text")
+
+
+def timing_chains(stages: DataFrame, *, request: str, part_bytes: int, name: str = "stage", end_order: list[str] | None = None) -> DataFrame:
+    """The chains of T2 in numbered parts of about ``part_bytes``: (request, part, chain_text), for requests of any size."""
+    from ..plans.strings import ordered_parts
+
+    order = end_order or ["ended_at"]
+    text = F.concat(F.col(name), F.lit("("), python_float_text(F.col("duration_ms")), F.lit("ms)"))
+    rows = stages.select(request, *[c for c in order if c != request], text.alias("_text"))
+    return ordered_parts(rows, [request], order, "_text", " -> ", part_bytes, "chain_text")

@@ -37,9 +37,11 @@ def rows_to_text(
     order_by: list[str],
     group_by: list[str] | None = None,
     rows_per_doc: int | None = None,
+    bytes_per_doc: int | None = None,
 ) -> DataFrame:
     """``记录 i`` then ``col: value`` lines per row, records stripped and joined by a blank line,
-    title first. One document per group (and per ``rows_per_doc`` records, which bounds the text).
+    title first. One document per group, or per ``rows_per_doc`` records, or per about ``bytes_per_doc`` bytes of
+    records (prefix sums, so a group of any size is many tasks).
 
     Output: group columns, ``part`` (0-based), ``content``.
     """
@@ -58,7 +60,11 @@ def rows_to_text(
     )
     part = F.floor((F.col("_i") - 1) / rows_per_doc).cast("int") if rows_per_doc else F.lit(0)
     rec = rec.withColumn("part", part).filter(F.length("_sec") > 0)
-    if rows_per_doc:
+    if bytes_per_doc:
+        from ..plans.strings import ordered_parts
+
+        grouped = ordered_parts(rec.drop("part"), group_by, ["_i"], "_sec", "\n\n", bytes_per_doc, "_body")
+    elif rows_per_doc:
         # a document holds at most rows_per_doc records: one ordered collect per document
         grouped = rec.groupBy(*group_by, "part").agg(F.array_sort(F.collect_list(F.struct("_i", "_sec"))).alias("_r"))
         grouped = grouped.select(*group_by, "part", F.array_join(F.transform("_r", lambda r: r["_sec"]), "\n\n").alias("_body"))
@@ -116,30 +122,36 @@ def table_to_text(
 
 
 def assemble_parts(df: DataFrame, *, doc_key: list[str], part_key: str, text: str, kind: str = "paragraphs",
-                   sub_key: str | None = None) -> DataFrame:
+                   sub_key: str | None = None, bytes_per_doc: int | None = None) -> DataFrame:
     """Parts (pages, paragraphs, slides' shapes) -> one document per ``doc_key``.
 
     ``pages``: stripped non-blank parts joined by a line break; ``paragraphs``: by a blank line;
     ``slides``: per slide (``part_key`` = slide number) ``幻灯片 n`` then its shape texts (ordered by
-    ``sub_key``) one per line, slides without text dropped, slides joined by a blank line.
+    ``sub_key``) one per line, slides without text dropped, slides joined by a blank line. ``bytes_per_doc``: documents
+    in numbered parts (``part``) of about that size, for a key of any size.
     """
     from ..functions.text import strip
 
-    from ..plans.strings import ordered_join
+    from ..plans.strings import ordered_join, ordered_parts
+
+    def joined(rows: DataFrame, order: list[str], column: str, sep: str) -> DataFrame:
+        if bytes_per_doc:
+            return ordered_parts(rows, doc_key, order, column, sep, bytes_per_doc, "content")
+        return ordered_join(rows, doc_key, order, column, sep, "content")
 
     t = strip(F.col(text))
     if kind in ("pages", "paragraphs"):
         sep = "\n" if kind == "pages" else "\n\n"
         parts = df.filter(F.length(t) > 0).select(*doc_key, part_key, *([sub_key] if sub_key else []), t.alias("_t"))
         order = [part_key] + ([sub_key] if sub_key else [])
-        return ordered_join(parts, doc_key, order, "_t", sep, "content")
+        return joined(parts, order, "_t", sep)
     if kind != "slides":
         raise ValueError(f"unknown part kind {kind!r}")
     shapes = df.filter(F.col(text).isNotNull() & (F.length(t) > 0)).select(
         *doc_key, part_key, *([sub_key] if sub_key else []), t.alias("_t"))
     slides = ordered_join(shapes, doc_key + [part_key], [sub_key] if sub_key else [part_key], "_t", "\n", "_shapes")
     slides = slides.select(*doc_key, part_key, F.concat(F.lit("幻灯片 "), F.col(part_key).cast("string"), F.lit("\n"), F.col("_shapes")).alias("_slide"))
-    return ordered_join(slides, doc_key, [part_key], "_slide", "\n\n", "content")
+    return joined(slides, [part_key], "_slide", "\n\n")
 
 
 # Table-document titles, sources and types.

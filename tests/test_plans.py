@@ -83,3 +83,25 @@ def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
     assert fits(wide, 100)
     monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 100_000)
     assert not fits(wide, 100)
+
+
+def test_parts_of_a_hot_key_join_to_the_whole_text(spark):
+    from ragtables.operators.timing import timing_chains, timing_summary
+    from ragtables.plans.strings import ordered_join, ordered_parts
+    from ragtables.sources.tables import assemble_parts, rows_to_text
+
+    df = _data(spark).withColumn("text", F.concat(F.lit("é"), F.col("t").cast("string"))).unionByName(spark.createDataFrame([(None, 1, 0, "n"), (None, 2, 0, "m")], "k string, t long, v long, text string")).repartition(6)
+    whole = {r.k: r.text for r in ordered_join(df, ["k"], ["t"], "text", "; ").collect()}
+    for size in (1, 200, 10**6):
+        rows = ordered_parts(df, ["k"], ["t"], "text", "; ", size).collect()
+        assert all(len(r.text.encode()) <= size + 10 for r in rows)
+        assert {k: "; ".join(r.text for r in sorted((r for r in rows if r.k == k), key=lambda r: r.part)) for k in whole} == whole
+    parts = rows_to_text(df, columns=["v"], title="T", order_by=["t"], group_by=["k"], bytes_per_doc=500).filter("k = 'hot'").orderBy("part").collect()
+    one = rows_to_text(df, columns=["v"], title="T", order_by=["t"], group_by=["k"]).filter("k = 'hot'").first().content
+    assert len(parts) > 50 and "T\n\n" + "\n\n".join(p.content.removeprefix("T\n\n") for p in parts) == one
+    pages = assemble_parts(df, doc_key=["k"], part_key="t", text="text", kind="pages", bytes_per_doc=300).filter("k = 'hot'").orderBy("part").collect()
+    assert "\n".join(p.content for p in pages) == whole["hot"].replace("; ", "\n")
+    stages = df.select("k", F.col("t").alias("ended_at"), F.lit("s").alias("stage"), (F.col("v") / 2).alias("duration_ms"))
+    chain = {r.k: r.chain_text for r in timing_summary(stages, request="k").collect()}
+    cut = timing_chains(stages, request="k", part_bytes=400).collect()
+    assert {k: " -> ".join(r.chain_text for r in sorted((r for r in cut if r.k == k), key=lambda r: r.part)) for k in chain} == chain
