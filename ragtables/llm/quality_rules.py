@@ -10,7 +10,8 @@ of its good documents to the learned rules. A stratum with too few good document
 nothing.
 
 Defined results: null text is an empty text; a null stratum is a stratum of its own; labels of 1 are good, others
-and null are not used; repeated rows count each; extra columns are dropped; an empty table gives an empty result.
+and null are not used, nor are documents with labels of 1 and others; a document counts once for the cutoffs, however
+often its label or its row is repeated (of rows that share only the doc_id, the least); every row is judged; extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,8 +167,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
     stats = text_stats(docs.select("doc_id", F.col(stratum).alias("stratum"), "text"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns(rules()).persist(StorageLevel.MEMORY_AND_DISK)
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
-    labelled = stats.filter("not base_failed").join(good, "doc_id")
+    # the exact bound needs one trial per document, however often its label or its row is given
+    marks = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+    good = marks.filter("least = 1 and most = 1").select("doc_id")
+    found = stats.filter("not base_failed").join(good, "doc_id")
+    labelled = found.groupBy("doc_id").agg(F.min(F.struct(*found.columns)).alias("row")).select("row.*")
     cuts = cutoffs(labelled, max_false_rejection, delta).withColumnRenamed("stratum", "key")
     judged = stats.join(cuts, F.coalesce("stratum", F.lit("")) == F.col("key"), "left").drop("key")
     broken = [F.when(F.ceil(F.col(r) * GRID) > F.col(f"{r}_cut"), F.lit(r)) for r in rules()]

@@ -82,3 +82,22 @@ def test_learned_rule_rejects_and_spares_good_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(1000 + i, 0) for i in range(50)], "doc_id long, quality int")
     rows = quality_rules.quality_rules(docs, labels).collect()
     assert all(r["kept"] == (r["doc_id"] < 900) for r in rows)
+
+
+def test_repeated_labels_and_rows_certify_nothing_new(spark):
+    good = [(i, f"some plain words that make a good text of ten words and number {i}", "en") for i in range(60)]
+    spam = [(1000, "### $$$ *** some &&& words ||| that %%% are $$$ mostly *** signs ### here", "en")]
+    docs = spark.createDataFrame(good + spam, "doc_id long, text string, lang string")
+    marks = [(i, 1) for i in range(60)]
+    columns = ["doc_id", "kept", "broken_rules"]
+    once = quality_rules.quality_rules(docs, spark.createDataFrame(marks, "doc_id long, quality int")).select(columns).collect()
+    often = quality_rules.quality_rules(docs, spark.createDataFrame(marks * 20, "doc_id long, quality int")).select(columns).collect()
+    assert sorted(map(str, once)) == sorted(map(str, often)) and not any(r["broken_rules"] for r in once)
+    rows = quality_rules.quality_rules(docs.unionByName(docs.filter("doc_id < 60")), spark.createDataFrame(marks, "doc_id long, quality int")).select(columns)
+    assert {str(r) for r in rows.collect()} == {str(r) for r in once}
+
+
+def test_documents_with_conflicting_labels_are_not_used(spark):
+    docs = spark.createDataFrame([(i, f"some plain words that make a good text of ten words and number {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, q) for i in range(900) for q in (0, 1)], "doc_id long, quality int")
+    assert all(r["kept"] and not r["broken_rules"] for r in quality_rules.quality_rules(docs, marks).collect())
