@@ -667,6 +667,7 @@ ORACLES = {
     "r4_vector_topk": r4_vector_topk,
     "r4_grid_topk": r4_nearest_vectors,
     "r5_cell_topk": r4_nearest_vectors,
+    "r5_cell_probe": r4_nearest_vectors,
     "e2_hash_embed": e2_hash_embed,
     "e1_embed_model": e1_embed_model,
     "r2_keyword_score": r2_keyword_score,
