@@ -422,3 +422,32 @@ def test_file_order_by_path_components(spark):
 
     expect = [p.relative_to(tmp).as_posix() for p in sorted(Path(tmp).rglob("*")) if p.is_file()]
     assert [r for _, r in docs] == expect
+
+
+def test_ingest_asks_the_state_by_bucket_and_rebalances_its_writes(spark):
+    """The state of a listing is asked once for a bucket, and a bucket is written in few files, not one for each task."""
+    import glob
+    from unittest import mock
+
+    from ragtables.operators.profiles import ChunkConfig
+    from ragtables.streaming import ingest
+
+    base = tempfile.mkdtemp(prefix="rt-buckets-")
+    kdir, idx, ck = os.path.join(base, "k"), os.path.join(base, "idx"), os.path.join(base, "ck")
+    os.makedirs(kdir)
+    for i in range(400):
+        with open(os.path.join(kdir, f"d{i}.md"), "w") as f:
+            f.write(f"text {i}")
+    with mock.patch.object(ingest, "LISTING_BUCKETS", 16):
+        query = ingest.ingest_stream(spark, kdir, idx, ck, config=ChunkConfig("fixed", 50, 0))
+        assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) <= 16
+        assert len(glob.glob(f"{idx}/*/*/*.parquet")) <= 256  # a file for each bucket at most; before, 400
+        os.remove(os.path.join(kdir, "d7.md"))
+        os.utime(os.path.join(kdir, "d8.md"), (1, 1))  # another time, the same content
+        with open(os.path.join(kdir, "d9.md"), "w") as f:
+            f.write("another text")
+        query = ingest.ingest_stream(spark, kdir, idx, ck, config=ChunkConfig("fixed", 50, 0))
+        assert 1 <= sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    spark.catalog.refreshByPath(idx)
+    want = {f"text {i}" for i in range(400) if i not in (7, 9)} | {"another text"}
+    assert sorted(r.content for r in read_index(spark, idx).collect()) == sorted(want)
