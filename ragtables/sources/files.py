@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, col_
+from ..plans.partitioning import bounded_batches
 from ..schemas import DOCUMENT_COLUMNS
 from .filesource import file_system, read_files
-from .markup import html_to_text, structured_to_text
+from .markup import PARSED, PARSERS, parsed_text, visible_text
 
 # Supported file suffixes (lower case).
 SUPPORTED_SUFFIXES = (".txt", ".md", ".pdf", ".csv", ".xlsx", ".xls", ".xlsm", ".docx", ".pptx", ".html", ".json", ".xml")
@@ -72,19 +73,18 @@ def scan_files(spark: SparkSession, directory: str, suffixes=SUPPORTED_SUFFIXES)
     return read_files(spark, directory, tuple(suffixes)).select("path", "length", "content", "error")
 
 
+def decoded(v: bytes) -> str:
+    for enc in ("utf-8", "gbk", "gb18030"):
+        try:
+            return bytes(v).decode(enc)
+        except UnicodeDecodeError:
+            continue
+    return bytes(v).decode("utf-8", errors="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _decode_fallback(b: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None:
-            return None
-        for enc in ("utf-8", "gbk", "gb18030"):
-            try:
-                return bytes(v).decode(enc)
-            except UnicodeDecodeError:
-                continue
-        return bytes(v).decode("utf-8", errors="ignore")
-
-    return b.map(one)
+    return b.map(lambda v: None if v is None else decoded(v))
 
 
 def decode_text(content: Column | str) -> Column:
@@ -99,17 +99,33 @@ def decode_text(content: Column | str) -> Column:
 PART_KINDS = {".pdf": "pages", ".docx": "paragraphs", ".pptx": "slides", ".xlsx": "paragraphs", ".xls": "paragraphs", ".xlsm": "paragraphs"}
 
 
+@F.pandas_udf(PARSED)
+def _read_file(suffix: pd.Series, content: pd.Series) -> pd.DataFrame:
+    def one(suf, v):
+        if v is None or suf not in TEXT_SUFFIXES:
+            return None, None
+        if suf in PARSERS:
+            return parsed_text(suf, decoded(v))
+        return (visible_text(decoded(v)) if suf == ".html" else decoded(v)), None
+
+    return pd.DataFrame([one(s, v) for s, v in zip(suffix, content)], columns=["text", "error"], dtype=object)
+
+
+_read_once = _read_file.asNondeterministic()  # else a filter on the text is pushed below it and each file is parsed again
+
+
 def file_text(suffix: Column, content: Column) -> Column:
     """struct(text, error) of a file's bytes by its suffix (S3-S7); the text is null for other formats and for contents
-    that cannot be parsed, of which the error tells why."""
-    text = decode_text(content)
-    plain = F.when(suffix.isin(".txt", ".md"), text).when(suffix == ".html", html_to_text(F.when(suffix == ".html", text)))
-    parsed = structured_to_text(suffix, F.when(suffix.isin(".json", ".xml", ".csv"), text))
-    return F.struct(F.coalesce(plain, parsed["text"]).alias("text"), parsed["error"].alias("error"))
+    that cannot be parsed, of which the error tells why. One Python function for all formats, so a task has one worker for
+    them; valid UTF-8 of plain files stays in Spark."""
+    text = content.cast("string")
+    plain = F.coalesce(suffix.isin(".txt", ".md") & F.is_valid_utf8(text), F.lit(False))
+    return F.when(plain, F.struct(text.alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(_read_once(suffix, F.when(~plain, content)))
 
 
 def file_texts(spark: SparkSession, directory: str) -> DataFrame:
     """One row per file of a text format: path metadata, ``content`` (text) and ``error`` (unreadable or unparsable)."""
+    bounded_batches(spark)
     files = with_path_metadata(scan_files(spark, directory, TEXT_SUFFIXES), base_path(directory))
     read = files.withColumn("_read", file_text(F.col("file_suffix"), F.col("content")))
     return read.withColumn("content", clean_text("_read.text")).withColumn("error", F.coalesce("error", "_read.error")).drop("_read", "length")

@@ -22,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FORMAT = "ragtables_files"
 SCHEMA = "path string, length long, modified timestamp, content binary, error string"
 PARTITION_BYTES, FILES_PER_PARTITION = 64 << 20, 10_000
-#: Bytes of content in one Arrow batch, and the most that a value can hold.
-BATCH_BYTES, MOST_BYTES = 16 << 20, (1 << 31) - 1
+#: Bytes of content and files in one Arrow batch, and the most bytes that a value can hold.
+BATCH_BYTES, BATCH_FILES, MOST_BYTES = 4 << 20, 1000, (1 << 31) - 1
 ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("content", pa.binary()), ("error", pa.string())])
 
 
@@ -106,7 +106,7 @@ class FilesReader(DataSourceReader):
                     error = str(e)
             rows.append({"path": f.path, "length": f.length, "modified": f.modified, "content": content, "error": error})
             size += len(content or b"")
-            if size >= BATCH_BYTES or len(rows) >= FILES_PER_PARTITION:
+            if size >= BATCH_BYTES or len(rows) >= BATCH_FILES:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                 rows, size = [], 0
         if rows:

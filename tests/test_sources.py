@@ -451,3 +451,24 @@ def test_ingest_asks_the_state_by_bucket_and_rebalances_its_writes(spark):
     spark.catalog.refreshByPath(idx)
     want = {f"text {i}" for i in range(400) if i not in (7, 9)} | {"another text"}
     assert sorted(r.content for r in read_index(spark, idx).collect()) == sorted(want)
+
+
+def test_files_are_read_by_one_python_function_in_small_batches(spark):
+    """One worker of a task parses the files of all formats, once, in batches of bounded size."""
+    from ragtables.sources.files import file_texts
+    from ragtables.sources.filesource import FilesReader
+
+    base = tempfile.mkdtemp(prefix="rt-once-")
+    for i in range(2500):
+        with open(os.path.join(base, f"f{i}.txt"), "w") as f:
+            f.write("text")
+    with open(os.path.join(base, "g.txt"), "wb") as f:
+        f.write("中文".encode("gbk"))
+    with open(os.path.join(base, "h.html"), "wb") as f:
+        f.write("<p>中文</p>".encode("gbk"))
+    docs = file_documents(spark, base)
+    assert file_texts(spark, base).filter("error is null").filter("length(content) > 0")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.content for r in docs.collect()) == ["text"] * 2500 + ["中文"] * 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    reader = FilesReader({"path": base})
+    assert max(b.num_rows for p in reader.partitions() for b in reader.read(p)) <= 1000
