@@ -41,6 +41,8 @@ NONE, CHAR = -1, -2  # no piece yet; a character without a piece
 SLICE = 2 << 20
 #: Words whose pieces a worker remembers; beyond it, it starts anew.
 KNOWN_WORDS = 600_000
+#: Pairs of pieces of which a worker remembers whether they may stand side by side.
+PAIR_SLOTS = 1 << 19
 TOP = np.iinfo(np.int64).max
 
 
@@ -160,6 +162,7 @@ class Codec:
         """Empty the store of words that this worker has already searched."""
         self.known, self.known_at, self.known_size = np.zeros(0, ta.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known_ids = np.zeros(0, np.int32)
+        self.pair_key = self.pair_fine = None  # made by the worker
 
     def distinct_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, number) in ``known_ids`` of the ids of distinct words with sorted hashes; new words are searched."""
@@ -190,8 +193,19 @@ class Codec:
         return out
 
     def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether BPE leaves pieces a and b side by side: no better merge across the border at any time."""
-        pairs, inverse = np.unique(a * len(self.rank) + b, return_inverse=True)
+        """Whether BPE leaves pieces a and b side by side; the last pair of each of ``PAIR_SLOTS`` slots is remembered."""
+        if self.pair_key is None:
+            self.pair_key, self.pair_fine = np.full(PAIR_SLOTS, -1), np.zeros(PAIR_SLOTS, dtype=bool)
+        pair = a * len(self.rank) + b
+        slot = (ta.mix(pair.astype(ta.U64)) % ta.U64(PAIR_SLOTS)).astype(np.int64)
+        fine, new = self.pair_fine[slot], np.flatnonzero(self.pair_key[slot] != pair)
+        if len(new):
+            fine[new] = self.never_merged(pair[new])
+            self.pair_key[slot[new]], self.pair_fine[slot[new]] = pair[new], fine[new]  # of pairs with one slot the last one, twice
+        return fine
+
+    def never_merged(self, pairs: np.ndarray) -> np.ndarray:
+        """For pairs of pieces: no better merge across the border at any time."""
         x, y = pairs // len(self.rank), pairs % len(self.rank)
         fine, active = np.ones(len(pairs), dtype=bool), np.arange(len(pairs))
         x_until, y_until = np.full(len(pairs), TOP), np.full(len(pairs), TOP)
@@ -207,7 +221,7 @@ class Codec:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_y, self.left[y], y)
             go = ~merge & (undo_x | undo_y)
             active, x, y, x_until, y_until = active[go], x[go], y[go], x_until[go], y_until[go]
-        return fine[inverse]
+        return fine
 
     def search(self, subs: ta.Substrings, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over words of one length: at (words x length + 1) are the byte positions of their characters.

@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -90,3 +91,18 @@ def test_unigram_search_finds_the_best_sum(unigram):
         total = sum(codec.score[i] if i else low for i in own)
         assert total == pytest.approx(best(" " + t) if t else 0, abs=1e-3), t
     assert names
+
+
+def test_pairs_are_remembered(monkeypatch):
+    """A pair of pieces is settled once, and pairs that share a slot keep their own answers."""
+    codec, rng = piece_codec.Codec(), np.random.default_rng(3)
+    a, b = rng.integers(300, 3000, 4000), rng.integers(300, 3000, 4000)
+    want = codec.never_merged(a * len(codec.rank) + b)
+    asked, plain = [], codec.never_merged
+    monkeypatch.setattr(codec, "never_merged", lambda pairs: asked.append(len(pairs)) or plain(pairs))
+    assert (codec.adjacent(a, b) == want).all() and (codec.adjacent(a, b) == want).all()
+    assert sum(asked) < 4100
+    monkeypatch.setattr(piece_codec, "PAIR_SLOTS", 5)
+    codec.forget()
+    for at in (slice(None), slice(0, 50), slice(40, 90)):
+        assert (codec.adjacent(a[at], b[at]) == want[at]).all()
