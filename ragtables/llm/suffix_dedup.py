@@ -207,8 +207,10 @@ class Stage:
     def combined(self, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         """A task's rows: those of the smallest documents by bucket, the others settled and spread by document."""
         digit, key, doc, tag, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()  # held once while they are sorted and sent
         order, number, least = smallest_first([key, digit], doc)
         ship, done = order[least], order[~least]
+        pos = pos.astype(np.int64)
         if self.half:  # the smallest document's row is shared too
             done = np.append(done, order[least & (np.bincount(number, weights=~least) > 0)[number]])
         for bucket, at in ta.buckets_of((digit[ship] >> ta.U64(32)).astype(np.int64) % self.buckets):
@@ -277,7 +279,7 @@ def suffix_rows(rows: DataFrame, stage: Stage, length: int, seed: int) -> DataFr
             ids, tags = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False)
             for lo, _, b, o in ta.blocks(*ta.text_buffers(batch.column("text"))):
                 doc, pos, digit, key = chosen_suffixes(b, o, length, seed)
-                yield from held.add(digit, key, ids[lo + doc], tags[lo + doc], pos - o[doc])
+                yield from held.add(digit, key, ids[lo + doc], tags[lo + doc], (pos - o[doc]).astype(np.int32))
         yield from held.flush()
 
     return rows.filter("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(run, PACKED)

@@ -105,3 +105,18 @@ def test_registers_estimate_probability_jaccard():
     both = (wa > 0) & (wb > 0)
     want = sum(1 / np.maximum(wa / wa[i], wb / wb[i]).sum() for i in np.flatnonzero(both))
     assert abs(np.mean(got) - want) < 0.03
+
+
+def test_rows_of_a_task_are_held_once_when_they_are_sent():
+    import numpy as np
+
+    from ragtables.llm.suffix_dedup import Collected, Stage
+
+    held, n = Collected(Stage(4, 32, 50)), 1000
+    for i in range(3):
+        at = np.arange(n)
+        assert not list(held.add(at.astype(np.uint64) << np.uint64(32), at.astype(np.uint64), at + i, at.astype(np.int32), at.astype(np.int32)))
+    sent = held.flush()
+    next(sent)
+    assert not held.parts  # before: the collected rows stayed beside their sorted copies
+    assert list(sent)
