@@ -86,6 +86,20 @@ def test_scan_equals_brute_force(spark, corpus, sizes):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in exp.items() if v}
 
 
+def test_a_common_term_has_a_row_for_each_task_not_for_each_chunk(spark, tmp_path):
+    rows = [("a" if i % 3 else "b", i // 4, i % 4, f"Common w{i} 向" if i % 7 else None) for i in range(400)]
+    rows += [("a", 7, 0, "common again"), ("a", None, 0, "common"), ("a", 500, 0, ""), (None, 1, 0, "common")]
+    index = spark.createDataFrame(rows, "collection_name string, doc_ord long, chunk_index int, content string").coalesce(2)
+    write_keyword_tables(index, str(tmp_path / "terms"))
+    tables = read_keyword_tables(spark, str(tmp_path / "terms"))
+    common = tables.postings.filter("term = 'common'").collect()
+    assert len(common) <= 2 * 3
+    got = sorted(((r.collection_name, d, c) for r in common for d, c in zip(r.doc_ord, r.chunk_index, strict=True)), key=str)
+    assert got == sorted(((n, d, c) for n, d, c, text in rows if text and "ommon" in text), key=str)
+    df = {(r.collection_name, r.term): r.df for r in tables.terms.collect()}
+    assert df["a", "common"] == sum(n == "a" for n, *_ in got) and df["b", "向"] == sum(n == "b" for n, *_ in got) and df["a", "w1"] == 1
+
+
 def test_matches_are_all_substrings():
     rng = random.Random(3)
     terms = ["".join(rng.choices("ab_1", k=rng.randint(1, 9))) for _ in range(200)] + ["向", "量"]
