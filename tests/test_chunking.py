@@ -212,3 +212,17 @@ def test_each_distinct_sentence_is_embedded_once(spark, monkeypatch):
     assert len(os.listdir(notes)) == len({s + "!" if s != "one" else s for t in texts for s in t.replace(" ", "").split("!") if s})
     monkeypatch.setattr(ordinals, "MAX_KEY_ROWS", 10)  # a long document is several tasks
     assert sorted(map(tuple, chunk_documents(docs, config, make_model=same_model, embed_once=True).collect())) == want
+
+
+def test_sentences_are_split_once_and_joined_rows_not_counted(spark, monkeypatch):
+    from ragtables.plans import ordinals
+
+    model = lambda: lambda texts: [[1.0, 0.0] if len(t) % 3 else [0.0, 0.0] for t in texts]
+    rows = [(1, "a! bb! a! cc! ccc!"), (1, "a! bb! a! cc! ccc!"), (2, None), (None, "one"), (3, ""), (4, "dddd! a! " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, content string").repartition(2)
+    config = ChunkConfig("semantic", 12, 2, 0.5)
+    want = sorted(map(str, chunk_documents(docs, config, make_model=model).collect()))
+    monkeypatch.setattr(ordinals, "largest_key", lambda *_: pytest.fail("the joined rows are computed to count them"))
+    once = chunk_documents(docs, config, make_model=model, embed_once=True)
+    assert C.SENTENCE_END_CHARS.strip() not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, once.collect())) == want
