@@ -341,3 +341,27 @@ def test_hits_are_summed_in_small_steps(monkeypatch):
     held = [[(q, names[i], i, sum(n for t, n in c.items() if t in texts[i]) / 40) for i in range(1, 4000, 7) if i % 50] for q, c in asked.items()]
     floor = {(q, c): min(s for q_, c_, _, s in whole if (q_, c_) == (q, c)) for q in asked for c in (None, "x")}
     assert all(s <= floor[q, c] or (q, c, i, s) in whole for rows in held for q, c, i, s in rows)
+
+
+def test_profile_search_keeps_its_index_on_disk(spark, tmp_path):
+    """The chunks of both profiles are kept once, none of them in the executors' memory."""
+    from ragtables import queries
+
+    texts = [(i, f"part {i}. " + "word%d other. " % (i % 7) * 200, "en", "s", 10) for i in range(30)] + [(30, None, "en", "s", 0)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word3 part 12"), (2, "nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.catalog.clearCache()
+    rows = queries.r10_retrieve_multi(spark, str(tmp_path)).collect()
+    held = list(spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    assert held and all(r.memSize() == 0 and r.diskSize() > 0 for r in held)
+    spark.catalog.clearCache()
+    assert len(rows) == 4 and [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == [1, 2, 3, 4] and {r.question_id for r in rows} == {1}
+
+
+def test_profile_rows_take_no_python_workers(spark, corpus):
+    """The rows of the profiles are literals, not Python objects that every executor would start workers for."""
+    idx, qs = corpus[0], corpus[1]
+    profiles = [Profile("a", "A", "c", ChunkConfig("fixed", 800, 120))]
+    hits = retrieve_multi(qs, idx, profiles, RetrievalConfig("vector", 2, 2))
+    assert "ExistingRDD" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {(r.kb_id, r.kb_name) for r in hits.collect()} == {("a", "A")}
