@@ -7,16 +7,20 @@ no content; so does one beyond the 2 GB that a binary value can hold.
 
 Options: ``path`` (a plain path or a ``file:``, ``s3:``, ``gs:`` or ``hdfs:`` URI), ``suffixes`` (comma-separated, lower
 case; default: all), ``partitionBytes`` (64 MB), ``content`` (``false``: listing only). A missing folder gives no rows.
+
+``list_files`` lists a folder without planning: no process holds the listing, and the driver sees none of it.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "ragtables_files"
@@ -24,6 +28,9 @@ SCHEMA = "path string, length long, modified timestamp, content binary, error st
 PARTITION_BYTES, FILES_PER_PARTITION = 64 << 20, 10_000
 #: Bytes of content and files in one Arrow batch, and the most bytes that a value can hold.
 BATCH_BYTES, BATCH_FILES, MOST_BYTES = 4 << 20, 1000, (1 << 31) - 1
+#: A listed file; length and modification time (microseconds) are null where the walk does not see them.
+LISTED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64())])
+NEVER = datetime.fromtimestamp(0, timezone.utc)
 ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("content", pa.binary()), ("error", pa.string())])
 
 
@@ -63,8 +70,7 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[Listed]:
     found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     files = [f for f in found if f.type == fs.FileType.File and (not suffixes or suffix_of(f.base_name) in suffixes)]
     files.sort(key=lambda f: f.path.split("/"))
-    never = datetime.fromtimestamp(0, timezone.utc)
-    return [Listed(f.path, f.size, f.mtime or never) for f in files]
+    return [Listed(f.path, f.size, f.mtime or NEVER) for f in files]
 
 
 def packed(files: list[Listed], partition_bytes: int, most_files: int = FILES_PER_PARTITION) -> list[FilePartition]:
@@ -134,6 +140,64 @@ def read_files(spark: SparkSession, directory: str, suffixes: tuple[str, ...] =
     return reader.option("content", str(content).lower()).load(directory)
 
 
+def _entry(f) -> tuple[str, int, int]:
+    return f.path, f.size, ((f.mtime or NEVER) - NEVER) // timedelta(microseconds=1)
+
+
+def walked(root: str, suffixes: tuple[str, ...]) -> Iterator[tuple[str, int | None, int | None]]:
+    """(path, length, modified) of the regular files under a folder, in no order, one after the other.
+
+    A local folder is read entry by entry, without the files' lengths and times; other stores tell both, and are listed a
+    folder at a time."""
+    from pyarrow import fs
+
+    system, root = file_system(root)
+    folders = [root]
+    while folders:
+        folder = folders.pop()
+        if isinstance(system, fs.LocalFileSystem):
+            try:
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        if e.is_dir():
+                            folders.append(e.path)
+                        elif not suffixes or suffix_of(e.name) in suffixes:
+                            yield e.path, None, None
+            except FileNotFoundError:
+                pass  # no such folder, or gone meanwhile
+        else:
+            for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if f.type == fs.FileType.Directory:
+                    folders.append(f.path)
+                elif f.type == fs.FileType.File and (not suffixes or suffix_of(f.base_name) in suffixes):
+                    yield _entry(f)
+
+
+def list_files(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The files under ``directory`` (path, length, modified in microseconds), in no order: the listing of ``read_files``
+    for any number of files. One task walks the folders and sends the files on as it finds them; lengths and times that it
+    did not see are asked for by all tasks, a batch of files at a time."""
+    from pyarrow import fs
+
+    def walk(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = walked(directory, suffixes)
+        while rows := list(islice(found, BATCH_FILES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LISTED.types, strict=True)], schema=LISTED)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(directory)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_FILES):
+                rows = [tuple(r.values()) for r in batch.slice(lo, BATCH_FILES).to_pylist()]
+                seen = [r for r in rows if r[1] is not None]
+                seen += [_entry(f) for f in system.get_file_info([r[0] for r in rows if r[1] is None]) if f.type == fs.FileType.File]
+                yield pa.RecordBatch.from_pylist([dict(zip(LISTED.names, r, strict=True)) for r in seen], schema=LISTED)
+
+    kind = "path string, length long, modified long"
+    found = spark.range(0, 1, 1, 1).mapInArrow(walk, kind)
+    return found.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(ask, kind)
+
+
 def write_files(rows, root: str, path: str = "path", content: str = "content"):
     """One file for each row of (``path`` relative to ``root``, ``content``); a task that runs again writes the same files.
     Returns the number of files."""

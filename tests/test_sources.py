@@ -472,3 +472,61 @@ def test_files_are_read_by_one_python_function_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     reader = FilesReader({"path": base})
     assert max(b.num_rows for p in reader.partitions() for b in reader.read(p)) <= 1000
+
+
+def test_a_folder_is_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """``list_files`` finds what ``read_files`` plans, and its walk holds no listing (which the driver held before)."""
+    import tracemalloc
+
+    from pyarrow import fs
+
+    from ragtables.sources import filesource
+    from ragtables.streaming.ingest import listings, note_folder
+
+    names = ["a.md", ".b.md", "_c.TXT", "x/d e.md", "x/y/ü.md", "x/.h/f.json", "x/no", "x/g.png", "x.md/i.md"]
+    for n in [*names, *(f"many/{i}.md" for i in range(5000))]:
+        (tmp_path / "k" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "k" / n).write_text(n)
+    (tmp_path / "k/empty").mkdir()
+    (tmp_path / "k/linked.md").symlink_to(tmp_path / "k/a.md")
+    (tmp_path / "k/lost.md").symlink_to(tmp_path / "nowhere.md")
+    root, suffixes = str(tmp_path / "k"), (".md", ".txt", ".json")
+    planned = filesource.read_files(spark, root, suffixes, content=False).selectExpr("path", "length", "unix_micros(modified) AS modified")
+    want = sorted(map(tuple, planned.collect()))
+    assert len(want) == 5008
+    assert sorted(map(tuple, filesource.list_files(spark, root, suffixes).collect())) == want
+    assert sorted(map(tuple, filesource.list_files(spark, f"file://{root}", suffixes).collect())) == want
+    assert filesource.list_files(spark, f"{root}/none", suffixes).count() == 0
+    # the listing of a trigger has them by bucket, and no scan that the driver plans file by file
+    note_folder(spark, root, str(tmp_path / "notes"))
+    noted = spark.read.parquet(listings(str(tmp_path / "notes")))
+    assert noted.count() == 1024
+    assert sorted(map(tuple, noted.selectExpr("inline(arrays_zip(path, length, modified))").collect())) == want
+    tracemalloc.start()
+    assert sum(1 for _ in filesource.walked(root, suffixes)) == 5009
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000  # a list of the files: over 1 MB
+    # a store that tells lengths and times with the names
+    store = fs._MockFileSystem()
+    for n in ("k/x/y", "k/z"):
+        store.create_dir(n, recursive=True)
+    for n in ("k/a.md", "k/x/b.md", "k/x/y/c.txt", "k/x/y/d.png"):
+        with store.open_output_stream(n) as out:
+            out.write(b"123")
+    monkeypatch.setattr(filesource, "file_system", lambda path: (store, path))
+    assert sorted(r[:2] for r in filesource.walked("k", (".md", ".txt"))) == [("k/a.md", 3), ("k/x/b.md", 3), ("k/x/y/c.txt", 3)]
+
+
+def test_a_trigger_plans_no_file(spark, tmp_path, monkeypatch):
+    """The driver plans a fixed number of partitions for a listing, whatever the folder holds."""
+    from ragtables.sources import filesource
+    from ragtables.streaming import ingest
+
+    plans = []
+    real = type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda self, *c: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self, *c))
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k/a.md").write_text("a")
+    ingest.note_folder(spark, str(tmp_path / "k"), str(tmp_path / "notes"))
+    assert plans and not any(filesource.FORMAT in p or "BatchScan" in p for p in plans)
